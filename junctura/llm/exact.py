@@ -5,8 +5,8 @@
 3. Globally: the salt winners of a digest are combined; at most SALTS rows a text.
 
 The normalised text itself is a grouping key at every stage, so equality is equality of
-content, never of digests alone.  Members then get their group by digest and salt; only where
-two contents share a digest, which SHA-256 has never shown, the text is carried once more.
+content, never of digests alone.  Members then find their group by SHA-256, a second 64-bit
+hash, the length and the salt, which spreads a group that holds a third of all rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read, stash
+from .common import SPACES, read
 
 SALTS = 64
 #: A rank orders texts by code points, then by smaller doc_id; a decimal stays in hash aggregates.
@@ -48,17 +48,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     """
     digest = digest or (lambda t: F.sha2(t, 256))
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"), normalised(F.col(text)).alias("norm"))
-    rows = rows.withColumn("digest", digest(F.col("norm"))).withColumn("salt", F.pmod(F.xxhash64("k", "n"), F.lit(SALTS)).cast("int"))
-    salted = rows.groupBy("digest", "salt", "norm").agg(F.max(_rank(F.col("n"), F.col("k"))).alias("rank"), F.count("*").alias("size"))
-    whole = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("size").alias("size"), F.collect_list("salt").alias("salts"))
-    groups = stash(whole.select("digest", "salts", _doc_of(F.col("rank")).alias("keep_id"), F.col("size").alias("group_size"), F.sha2("norm", 256).alias("text_sha256")), "exact-groups")
-    twice = groups.groupBy("digest").agg(F.count("*").alias("contents")).filter("contents > 1").select("digest")
-    by_salt = groups.withColumn("salt", F.explode("salts")).drop("salts")
-    if twice.isEmpty():
-        found = rows.drop("norm").join(by_salt, ["digest", "salt"])
-    else:
-        hashed = rows.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm")
-        found = hashed.join(by_salt, ["digest", "salt", "text_sha256"])
+    rows = rows.withColumns({"digest": digest(F.col("norm")), "check": F.xxhash64("norm"), "size": F.length("norm"), "salt": F.pmod(F.xxhash64("k", "n"), F.lit(SALTS)).cast("int")})
+    salted = rows.groupBy("digest", "check", "size", "salt", "norm").agg(F.max(_rank(F.col("n"), F.col("k"))).alias("rank"), F.count("*").alias("rows"))
+    whole = salted.groupBy("digest", "check", "size", "norm").agg(F.max("rank").alias("rank"), F.sum("rows").alias("group_size"), F.collect_list("salt").alias("salts"))
+    groups = whole.select("digest", "check", "size", F.explode("salts").alias("salt"), _doc_of(F.col("rank")).alias("keep_id"), "group_size", F.sha2("norm", 256).alias("text_sha256"))
+    found = rows.drop("norm").join(groups, ["digest", "check", "size", "salt"])
     return found.select(F.col("k").alias(key), "keep_id", "group_size", F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
