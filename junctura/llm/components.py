@@ -1,0 +1,37 @@
+"""Connected components of an edge table, without collecting edges."""
+
+from __future__ import annotations
+
+from itertools import count
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+from .common import keep, stash
+
+ROWS_A_FILE = 1_000_000
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(v, root): each vertex of `edges` with the smallest vertex it is connected to.
+
+    Smallest labels spread over edges and labels jump to the labels of their labels, so rounds
+    grow with the logarithm of the longest path.  Minima combine map-side; each round's labels
+    are written to the shared checkpoint folder, which cuts their lineage.
+    """
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
+    both = keep(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    files = both.count() // ROWS_A_FILE + 1
+    first = both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("root"))
+    labels = stash(first.coalesce(files), "labels")
+    for turn in count():
+        near = both.join(labels, both["y"] == labels["v"]).groupBy("x").agg(F.min("root").alias("m"))
+        spread = labels.join(near, labels["v"] == near["x"]).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        jump = labels.select(F.col("v").alias("p"), F.col("root").alias("up"))
+        seen = Observation(f"round {turn}")
+        after = spread.join(jump, spread["root"] == jump["p"]).select("v", "old", F.least("root", "up").alias("root"))
+        after = after.observe(seen, F.count_if(F.col("old") != F.col("root")).alias("changed"))
+        labels = stash(after.drop("old").coalesce(files), "labels")
+        if not seen.get["changed"]:
+            both.unpersist()
+            return labels

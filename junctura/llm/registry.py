@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that some of them can be held against."""
 
-from . import exact, licenses, mixing, tokencount, urls
+from . import exact, licenses, mixing, neardup, tokencount, urls
 
-MODULES = (exact, licenses, mixing, tokencount, urls)
+MODULES = (exact, licenses, mixing, neardup, tokencount, urls)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

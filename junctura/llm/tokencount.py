@@ -88,7 +88,10 @@ class Counting:
         return tokens, total
 
 
-_counting = cache(lambda handle: Counting(handle.value))
+@cache
+def _counting(handle) -> Counting:
+    """One a worker: workers are used again for the next task."""
+    return Counting(handle.value)
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
