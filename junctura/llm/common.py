@@ -26,6 +26,9 @@ SPACE_SEP = np.zeros(256, bool)
 SPACE_SEP[[0x20, *range(0x09, 0x0E)]] = True
 ALNUM_SEP = np.zeros(256, bool)
 ALNUM_SEP[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
+#: The same class for bytes that are not lower-cased yet.
+LETTER_SEP = ALNUM_SEP.copy()
+LETTER_SEP[0x41:0x5B] = False
 LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[0x41:0x5B] += 0x20
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ALNUM_SEP, read, slices, spans
+from .common import LETTER_SEP, read, slices, spans
 
 #: Fixed by contract.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -147,7 +147,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, key: st
         automata = compiled(templates)
         likely = re.compile(b"|".join(re.escape(w) for w in {a.key for _, a in automata} | {p[-1] for p, _ in cut}))
         for rows, data, offsets in slices(batches, 1):
-            counts = np.diff(spans(data, offsets, _SEP)[2])
+            counts = np.diff(spans(data, offsets, LETTER_SEP)[2])
             raw = data.tobytes().lower()
             out = []
             for i, doc in enumerate(rows.column(0).to_pylist()):
@@ -159,11 +159,6 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, key: st
     return docs.selectExpr(f"cast({key} as bigint) doc_id", f"cast({text} as binary) body").mapInArrow(run, SCHEMA)
 
 
-#: A-Z are separators in the class once lower-cased text is meant, so they must count as letters here.
-_SEP = ALNUM_SEP.copy()
-_SEP[0x41:0x5B] = False
-
-
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
