@@ -62,6 +62,33 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+FILTER_WORDS = 1 << 17
+
+
+def flagged(rows: DataFrame, keys: list[str], wanted: DataFrame, flag: str = "__jx_maybe") -> DataFrame:
+    """`rows` with a flag that is true wherever its keys are among `wanted`, and seldom elsewhere.
+
+    The keys' bitmap, at most FILTER_WORDS rows of 64 bits, is broadcast.  It saves shuffling
+    texts that a join would not find; where it is full, all rows are flagged.
+    """
+    word, bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_WORDS)).cast("int"), F.expr(f"cast(pmod(xxhash64({', '.join(keys)}, 1), 64) as int)")
+    mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}, 1), 64) as int))")
+    bits = wanted.groupBy(word.alias("__jx_word")).agg(F.bit_or(mask).alias("__jx_bits"))
+    found = rows.withColumns({"__jx_word": word, "__jx_bit": bit}).join(F.broadcast(bits), "__jx_word", "left")
+    return found.withColumn(flag, F.coalesce(F.expr("getbit(__jx_bits, __jx_bit)") == 1, F.lit(False))).drop("__jx_word", "__jx_bits", "__jx_bit")
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not among `dropped` (one column of the same name); null keys stay.
+
+    Only rows that the keys' bitmap flags are shuffled.
+    """
+    dropped = keep(dropped.select(key).filter(F.col(key).isNotNull()).distinct())
+    marked = flagged(rows, [key], dropped)
+    sure = marked.filter(~F.col("__jx_maybe")).select(rows.columns)
+    return sure.unionByName(marked.filter("__jx_maybe").join(dropped, key, "left_anti").select(rows.columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches so that a slice holds about `limit` bytes of text, or one long row.
 

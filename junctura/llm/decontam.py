@@ -213,19 +213,21 @@ def _runs(doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item, with all columns and without a shuffle."""
     for items in seeded(docs, benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(items))(F.col("text").cast("binary")))
+    return docs
 
-        @F.arrow_udf("boolean")
-        def leaks(bodies: Iterator[pa.Array], sent=sent) -> Iterator[pa.Array]:
-            for body in bodies:
-                flags: list[bool] = []
-                for _, n, found in _aligned(iter([pa.RecordBatch.from_arrays([body], names=["body"])]), 0, sent.value):
-                    hit = {d for d, _ in found}
-                    flags += [d in hit for d in range(n)]
-                yield pa.array(flags, pa.bool_())
 
-        docs = docs.filter(~leaks(F.col("text").cast("binary")))
-    return docs
+def _leaks(sent):
+    @F.arrow_udf("boolean")
+    def leaks(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for body in bodies:
+            flags: list[bool] = []
+            for _, n, found in _aligned(iter([pa.RecordBatch.from_arrays([body], names=["body"])]), 0, sent.value):
+                hit = {d for d, _ in found}
+                flags += [d in hit for d in range(n)]
+            yield pa.array(flags, pa.bool_())
+
+    return leaks
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,12 @@ hash, the length and the salt, which spreads a group that holds a third of all r
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read
+from .common import SPACES, flagged, keep, read
 
 SALTS = 64
 #: A rank orders texts by code points, then by smaller doc_id; a decimal stays in hash aggregates.
@@ -57,11 +58,19 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all columns; of rows that repeat key and text, one."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__jx_id"), F.col("text_sha256").alias("__jx_sha")).distinct()
-    marked = docs.withColumn("__jx_sha", F.sha2(normalised(F.col("text")), 256))
-    joined = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__jx_id"]) & (marked["__jx_sha"] == kept["__jx_sha"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__jx_sha"]).select(docs.columns)
+    """The rows of `docs` that stay, with all columns; of rows that repeat key and text, one.
+
+    Only rows that go or repeat, as told by a bitmap, are shuffled with their texts.
+    """
+    named = ["__jx_id", "__jx_sha"]
+    groups = exact_groups(docs).select(F.col("doc_id").alias("__jx_id"), F.col("text_sha256").alias("__jx_sha"), "kept")
+    odd = keep(groups.groupBy(*named).agg(F.bool_or("kept").alias("__jx_kept"), F.count("*").alias("n")).filter("not __jx_kept or n > 1").drop("n"))
+    marked = flagged(docs.withColumns({"__jx_id": F.col("doc_id").cast("bigint"), "__jx_sha": F.sha2(normalised(F.col("text")), 256)}), named, odd)
+    maybe = marked.filter("__jx_maybe").alias("m")
+    told = odd.select(F.col("__jx_id").alias("o_id"), F.col("__jx_sha").alias("o_sha"), "__jx_kept")
+    maybe = maybe.join(told, F.col("__jx_id").eqNullSafe(F.col("o_id")) & (F.col("__jx_sha") == F.col("o_sha")), "left")
+    parts = [marked.filter("not __jx_maybe"), maybe.filter("__jx_kept is null"), maybe.filter("__jx_kept").dropDuplicates(named)]
+    return reduce(DataFrame.unionByName, (part.select(docs.columns) for part in parts))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
