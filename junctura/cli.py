@@ -22,6 +22,7 @@ from .sinks import tables as S
 from .sources import alignments as A
 from .sources import annotation as G
 from .sources import tool_tables as T
+from .stages import written
 
 
 def sample_name(path: str) -> str:
@@ -153,7 +154,7 @@ def cmd_compare(a, spark) -> None:
     everything = tables[0]
     for t in tables[1:]:
         everything = everything.unionByName(t)
-    everything = everything.persist()
+    everything = written(everything, "tools")
     S.write_tsv(C.concordance(everything), f"{a.output_dir}/concordance.tsv")
     S.write_tsv(C.exclusive_intersections(everything, 15), f"{a.output_dir}/intersections.tsv")
     S.write_tsv(C.jaccard_matrix(everything), f"{a.output_dir}/jaccard.tsv")
@@ -167,7 +168,7 @@ def cmd_sashimi(a, spark) -> None:
     """Depth and arcs of the top events' genes, by group, as Parquet for drawing."""
     labels = parse_labels(len(a.bam), a.group1, a.group2)
     groups = spark.createDataFrame(sorted(labels.items()), "sample_idx int, label int")
-    reads = load_reads(spark, a.bam).persist()
+    reads = written(load_reads(spark, a.bam), "reads")
     genes, _ = G.read_gtf(spark, a.gtf, None)
     top = T.read_tsv(spark, a.results).withColumn("fdr", F.col("fdr").cast("double")).orderBy("fdr", "module_id").limit(a.n_top).select("module_id", F.col("gene_id").alias("wanted_id"))
     for row in G.find_gene(top, genes).collect():  # at most n_top
@@ -178,7 +179,7 @@ def cmd_sashimi(a, spark) -> None:
 
 
 def cmd_evaluate(a, spark) -> None:
-    metrics = C.evaluate(T.own_results(spark, a.results), T.truth_table(T.read_tsv(spark, a.truth)), a.fdr).persist()
+    metrics = written(C.evaluate(T.own_results(spark, a.results), T.truth_table(T.read_tsv(spark, a.truth)), a.fdr), "metrics")
     S.write_tsv(metrics, f"{a.output_dir}/metrics.tsv")
     published = T.read_tsv(spark, a.published) if a.published else None
     S.write_tsv(C.rank_tools(metrics, published), f"{a.output_dir}/ranking.tsv")

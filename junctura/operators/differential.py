@@ -96,6 +96,8 @@ def heterogeneous(shares: DataFrame, labels: Mapping[int, int], min_samples: int
         return pd.DataFrame([[group["module_id"].iloc[0], len(x), row.tolist(), hypothesis.welch(a, b), hypothesis.mann_whitney(a, b), within, top, float(np.mean(within) / (top + 1e-8)), max(hypothesis.bimodality(a), hypothesis.bimodality(b)), outliers]], columns=[c.split()[0] for c in HET.split(", ")])
 
     tested = shares.select("module_id", "j_idx", "sample_idx", "psi").groupBy("module_id").applyInPandas(run, HET)
+    nan = lambda c: F.coalesce(c, F.lit(float("nan"))).alias(c)  # pandas gives NaN as null
+    tested = tested.select(*(nan(c) if c.endswith("_pvalue") else c for c in tested.columns))
     return benjamini_hochberg(tested, "ttest_pvalue")
 
 

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..stages import written
 from .junctions import KEY
 
 ROWS_A_FILE = 1_000_000
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/junctura-checkpoints").rstrip("/")
-    path = f"{shared}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root): each vertex with the smallest it is connected to, of any type that has an order.
 
@@ -31,7 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().persist()
     files = both.count() // ROWS_A_FILE + 1
-    labels = _written(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("root")).coalesce(files))
+    labels = written(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("root")).coalesce(files))
     for turn in count():
         near = both.join(labels, both["y"] == labels["v"]).groupBy("x").agg(F.min("root").alias("m"))
         spread = labels.join(near, labels["v"] == near["x"]).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
@@ -39,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = Observation(f"components {turn}")
         after = spread.join(jump, spread["root"] == jump["p"]).select("v", "old", F.least("root", "up").alias("root"))
         after = after.observe(seen, F.count_if(F.col("old") != F.col("root")).alias("changed"))
-        labels = _written(after.drop("old").coalesce(files))
+        labels = written(after.drop("old").coalesce(files))
         if not seen.get["changed"]:
             both.unpersist()
             return labels

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cigar as C
 
@@ -144,7 +145,7 @@ def pair_counts(reads: DataFrame, min_anchor: int = 6, min_mapq: int = 0) -> Dat
     return found.groupBy("chrom", "strand", "start1", "end1", "start2", "end2", "sample_idx").agg(F.count("*").alias("n"))
 
 
-@F.arrow_udf("struct<first:bigint,last:bigint>")
+@F.arrow_udf(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 def aligned_span(cigars: pa.Array, pos: pa.Array) -> pa.Array:
     """First and last aligned base (half-open) of each read; null without blocks."""
     row, start, end = C.blocks(cigars, pos.to_numpy(zero_copy_only=False))

@@ -1,7 +1,8 @@
 """The whole analysis: reads and gene models in, tables of tested modules out.
 
-One lazy plan keyed by place; the barriers are the rounds of connected components and the
-false-discovery rate.  Counts, evidence and replicates are held, as several results use them.
+Plans are keyed by place; the barriers are the rounds of connected components and the
+false-discovery rate.  What several results use is written to the shared folder between stages,
+so plans stay short and a lost executor costs part of a stage.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .operators import modules as M
 from .operators import nmd as N
 from .operators import psi as P
 from .operators import reads as R
+from .stages import written
 
 
 @dataclass
@@ -71,7 +73,7 @@ def _paths(reads: DataFrame, junctions: DataFrame, s: Settings) -> tuple[DataFra
     """Exclusive pairs and coordinated groups, if types are to depend on them."""
     if not s.exclusive_types:
         return None, None
-    edges = G.cooccurrence(R.pair_counts(reads, s.min_anchor, s.min_mapq), junctions).persist()
+    edges = written(G.cooccurrence(R.pair_counts(reads, s.min_anchor, s.min_mapq), junctions), "edges")
     return G.exclusive_pairs(junctions, edges), G.coordinated_groups(junctions, edges)
 
 
@@ -80,21 +82,21 @@ def analyse(reads: DataFrame, genes: DataFrame, exons: DataFrame, labels: Mappin
     s = settings or Settings()
     n = max(labels) + 1
     known = J.known_junctions(exons)
-    counts = R.junction_counts(reads, s.min_anchor, s.min_mapq).persist()
-    evidence = score(counts, known, n, tiles).persist()
+    counts = written(R.junction_counts(reads, s.min_anchor, s.min_mapq), "counts")
+    evidence = written(score(counts, known, n, tiles), "evidence")
     if not s.novel:
         evidence = evidence.filter("is_annotated")
     strong = J.with_enough_reads(counts, s.min_cluster_reads).join(evidence.select(*J.KEY), J.KEY, "left_semi")
     members = G.cluster_junctions(strong, s.max_intron)
     modules, junctions = M.build_modules(G.clusters(members), members, genes)
-    junctions = junctions.persist()
-    cells = M.evidence(junctions, J.per_sample(counts), n, evidence.select(*J.KEY, "composite_score", "is_annotated"), s.read_length).persist()
-    boot = P.bootstrap(cells, s.replicates, s.seed).persist()
+    modules, junctions = written(modules, "modules"), written(junctions, "module-junctions")
+    cells = written(M.evidence(junctions, J.per_sample(counts), n, evidence.select(*J.KEY, "composite_score", "is_annotated"), s.read_length), "cells")
+    boot = written(P.bootstrap(cells, s.replicates, s.seed), "bootstrap")
     shares = P.with_psi(cells)
     tested = T.differential(cells, labels, boot, covariates, df_mode=s.df_mode)
-    kinds = E.classify(junctions, *_paths(reads, junctions, s))
+    kinds = written(E.classify(junctions, *_paths(reads, junctions, s)), "events")
     names = modules.select("module_id", "gene_id", "gene_name", "chrom", "strand", "start", "end")
-    diff = tested.join(kinds.select("module_id", "event_type"), "module_id").join(names, "module_id").persist()
+    diff = written(tested.join(kinds.select("module_id", "event_type"), "module_id").join(names, "module_id"), "diff")
     figures = D.quality(cells).join(D.bootstrap_cv(boot), "module_id").join(diff.select("module_id", "null_converged", "full_converged", "null_refit_used"), "module_id")
     het = None
     if s.het:
@@ -102,4 +104,4 @@ def analyse(reads: DataFrame, genes: DataFrame, exons: DataFrame, labels: Mappin
     nmd = None
     if s.nmd and tiles is not None:
         nmd = N.classify_nmd(junctions.filter("gene_id <> ''"), N.transcripts(exons), tiles)
-    return Results(evidence, modules, junctions, cells, shares, boot, kinds, diff, D.diagnose(figures), het, nmd)
+    return Results(evidence, modules, junctions, cells, shares, boot, kinds, diff, written(D.diagnose(figures), "diagnostics"), het, nmd)

@@ -34,7 +34,7 @@ def read_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
     f = F.split("value", "\t")
     tag = lambda t: F.regexp_extract("value", rf"\t{t}:i:(-?\d+)", 1).try_cast("int")
     rows = lines.filter(~F.col("value").startswith("@") & (F.size(f) >= 11)).join(F.broadcast(names), "path")
-    return rows.select("sample_idx", f[0].alias("qname"), f[1].cast("int").alias("flag"), F.nullif(f[2], F.lit("*")).alias("chrom"), (f[3].cast("bigint") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), tag("NH").alias("nh"), tag("AS").alias("as_score"))
+    return rows.select("sample_idx", F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(1)).cast("int").alias("flag"), F.nullif(F.get(f, F.lit(2)), F.lit("*")).alias("chrom"), (F.get(f, F.lit(3)).cast("bigint") - 1).alias("pos"), F.get(f, F.lit(4)).cast("int").alias("mapq"), F.get(f, F.lit(5)).alias("cigar"), tag("NH").alias("nh"), tag("AS").alias("as_score"))
 
 
 def _inflate(stream, chunk: int = 1 << 20) -> Iterator[bytes]:

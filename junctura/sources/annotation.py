@@ -12,9 +12,9 @@ def gtf_rows(lines: DataFrame) -> DataFrame:
     """Fields of GTF lines, with 0-based half-open bounds and attributes as a map."""
     f = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("#") & (F.size(f) >= 9))
-    a = attributes(f[8])
+    a = attributes(F.get(f, F.lit(8)))
     get = lambda k: F.try_element_at("a", F.lit(k))
-    rows = rows.select(f[0].alias("chrom"), f[2].alias("feature"), (f[3].cast("bigint") - 1).alias("start"), f[4].cast("bigint").alias("end"), f[6].alias("strand"), a.alias("a"))
+    rows = rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(2)).alias("feature"), (F.get(f, F.lit(3)).cast("bigint") - 1).alias("start"), F.get(f, F.lit(4)).cast("bigint").alias("end"), F.get(f, F.lit(6)).alias("strand"), a.alias("a"))
     kind = F.coalesce(get("gene_type"), get("gene_biotype"))
     return rows.select("chrom", "feature", "start", "end", "strand", get("gene_id").alias("gene_id"), F.coalesce(get("gene_name"), get("gene_id")).alias("gene_name"), get("transcript_id").alias("transcript_id"), kind.alias("gene_type"))
 

@@ -99,7 +99,7 @@ def _suppa2(df: DataFrame) -> DataFrame:
     fields = F.coalesce(F.split(F.try_element_at(parts, F.lit(2)), ":"), F.array().cast("array<string>"))
     last = lambda test, d: F.coalesce(F.try_element_at(F.filter(fields, test), F.lit(-1)), F.lit(d))
     return df.select(
-        parts[0].alias("gene_id"), parts[0].alias("gene_name"), last(lambda x: x.startswith("chr"), "").alias("chrom"), last(lambda x: x.isin("+", "-"), "+").alias("strand"),
+        F.get(parts, F.lit(0)).alias("gene_id"), F.get(parts, F.lit(0)).alias("gene_name"), last(lambda x: x.startswith("chr"), "").alias("chrom"), last(lambda x: x.isin("+", "-"), "+").alias("strand"),
         F.coalesce(F.try_element_at(fields, F.lit(1)), F.lit("Unknown")).alias("event_type"), "delta_psi", "p_value", F.col("p_value").alias("fdr"), (F.col("p_value") < ALPHA).alias("significant"), F.lit("SUPPA2").alias("tool"),
     )
 
