@@ -13,6 +13,7 @@ landmark falls short of it by more than MISSING characters have no part in the k
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ DENSE = 0.01  # share of words from which a landmark is dense in a text
 EVER = 3.0  # weight of a word that is found at all
 WIDTH = 24  # words are read in windows of so many characters
 CODES = 0x250  # characters beyond share a code that matches nothing
-TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 6000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 4000
 REJECT = 0.7
 SEEN_WORDS = 1_500_000
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -133,33 +134,42 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.slope * margin + self.offset, -40, 40)))
 
 
-def choose_landmarks(words: list[Counter[str]], toxic: np.ndarray, most: int = LANDMARKS) -> list[tuple[str, bool]]:
+def choose_landmarks(vocabulary: list[str], docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, most: int = LANDMARKS) -> list[tuple[str, bool]]:
     """Word beginnings of ORDER to 9 characters found, or dense, in toxic texts and hardly in clean ones.
 
     Each next one covers most of the toxic texts that are least covered so far; of beginnings
     that cover the same texts it is the longest.
     """
     lengths = range(ORDER, 10)
-    where: dict[tuple[str, bool], list[int]] = defaultdict(list)
-    clean: Counter[tuple[str, bool]] = Counter()
-    for d, counts in sorted(enumerate(words), key=lambda x: not toxic[x[0]]):
+
+    def beginnings(d: int, wanted) -> Counter[str]:
         found: Counter[str] = Counter()
-        for w, n in counts.items():
-            w = "^" + w
+        for k, n in zip(docs[d][0].tolist(), docs[d][1].tolist()):
+            w = "^" + vocabulary[k]
             for size in lengths:
                 if size > len(w):
                     break
-                if toxic[d] or (w[:size], False) in where:
+                if wanted is None or w[:size] in wanted:
                     found[w[:size]] += n
-        need = max(2.0, DENSE * sum(counts.values()))
-        for p, n in found.items():
+        return found
+
+    least = max(3, 0.01 * toxic.sum())
+    seen: Counter[str] = Counter()
+    for d in np.flatnonzero(toxic).tolist():
+        seen.update(beginnings(d, None).keys())
+    wanted = {p for p, n in seen.items() if n >= least}
+    del seen
+    where: dict[tuple[str, bool], list[int]] = defaultdict(list)
+    clean: Counter[tuple[str, bool]] = Counter()
+    for d in range(len(docs)):
+        need = max(2.0, DENSE * docs[d][1].sum())
+        for p, n in beginnings(d, wanted).items():
             for key in ((p, False), (p, True)) if n >= need else ((p, False),):
                 if toxic[d]:
                     where[key].append(d)
-                elif key in where:
+                else:
                     clean[key] += 1
     weight = toxic.sum() / max(1, (~toxic).sum())
-    least = max(3, 0.01 * toxic.sum())
     good = {k: ds for k, ds in where.items() if len(ds) >= least and len(ds) > 4 * weight * clean[k]}
     chosen: list[tuple[str, bool]] = []
     covered: Counter[int] = Counter()
@@ -211,11 +221,18 @@ def calibrate(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Model | None:
-    """None where either class is missing or nothing tells them apart."""
+    """None where either class is missing or nothing tells them apart.  Empties `texts`."""
     if not len(toxic) or toxic.all() or not toxic.any():
         return None
-    words = [normal_words(t) for t in texts]
-    chosen = choose_landmarks(words, toxic)
+    index: dict[str, int] = {}
+    docs = []
+    while texts:  # texts go as their words are numbered, which takes far less room
+        counts = normal_words(texts.pop())
+        docs.append((np.array([index.setdefault(w, len(index)) for w in counts], np.int32), np.array(list(counts.values()), np.int32)))
+    docs.reverse()
+    vocabulary = list(index)
+    del index
+    chosen = choose_landmarks(vocabulary, docs, toxic)
     if not chosen:
         return None
     marks = [m for m, _ in chosen]
@@ -226,16 +243,20 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     model = Model(marks, np.array([e for _, e in chosen]), self_kernel, whiten, np.zeros(2 * len(marks) + 2), 0.0, -1.0, 0.0)
-    distinct = sorted(set().union(*words))
-    index = {w: i for i, w in enumerate(distinct)}
-    each = model.features(distinct)
-    some = each.any(1)
-    pooled, total = np.zeros((len(words), len(marks))), np.zeros((len(words), len(marks)))
-    for d, counts in enumerate(words):
-        if hit := [(index[w], n) for w, n in counts.items() if some[index[w]]]:
-            rows, n = each[[i for i, _ in hit]], np.array([n for _, n in hit])
-            pooled[d], total[d] = rows.max(0), n @ rows
-    z = model.whitened(pooled, total, np.array([sum(c.values()) for c in words]))
+    place, values = np.full(len(vocabulary), -1), [np.zeros((0, len(marks)), np.float32)]
+    for k in range(0, len(vocabulary), 20_000):
+        got = model.features(vocabulary[k : k + 20_000])
+        some = np.flatnonzero(got.any(1))
+        place[k + some] = sum(map(len, values)) + np.arange(len(some))
+        values.append(got[some])
+    each = np.vstack(values)
+    pooled, total = np.zeros((len(docs), len(marks))), np.zeros((len(docs), len(marks)))
+    for d, (ids, n) in enumerate(docs):
+        hit = place[ids] >= 0
+        if hit.any():
+            rows = each[place[ids[hit]]]
+            pooled[d], total[d] = rows.max(0), n[hit] @ rows
+    z = model.whitened(pooled, total, np.array([n.sum() for _, n in docs]))
     model.weights, model.bias = fit_svm(z, np.where(toxic, 1.0, -1.0))
     model.slope, model.offset = calibrate(z @ model.weights + model.bias, toxic)
     return model
@@ -329,8 +350,8 @@ def _score(batches: Iterator[pa.RecordBatch], body: int, model: Model | None) ->
         yield rows, model.scores(*scorer.pool(data, offsets)) if scorer else np.zeros(rows.num_rows)
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Labelled training texts, at most so many of each class, chosen by a hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> DataFrame:
+    """Labelled training texts (doc_id, body, toxic), at most so many of each class, chosen by a hash of doc_id.
 
     Rows of the held-out third are never learnt from; of contradicting labels the toxic holds.
     """
@@ -340,8 +361,22 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
         some = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = some if ids is None else ids.unionByName(some)
     ids = docs.sparkSession.createDataFrame(ids.toArrow())  # at most toxic + clean rows
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * (toxic + clean)).toArrow()
-    return [t or "" for t in got.column(1).to_pylist()], np.array(got.column(2).to_pylist(), bool)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "body").limit(2 * (toxic + clean))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Train on the bounded sample, in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b or b"", y) for batch in batches for b, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        rows.sort()
+        toxic = np.array([y for _, y in rows], bool)
+        texts = [b.decode(errors="replace") for b, _ in rows]
+        rows.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, toxic))], pa.binary())], names=["model"])
+
+    trained = sample(docs, labels).select("body", "toxic").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(trained.model) if trained else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,7 +386,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     null; repeated rows are scored each.  Without labels of both classes all scores are 0.
     Empty tables give no rows; other columns are ignored.
     """
-    model = train(*sample(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels))
+    model = fit(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, scores in _score(batches, 1, model):
@@ -363,7 +398,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not rejected, with all columns and without a shuffle."""
-    model = train(*sample(docs, labels))
+    model = fit(docs, labels)
 
     @F.arrow_udf("double")
     def score(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
