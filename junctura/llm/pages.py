@@ -110,7 +110,8 @@ def blocks(page: str) -> list[Block]:
             end = _closing(tag).search(page, at)
             if end or tag in RAW:
                 at = end.end() if end else len(page)
-                flush() if tag not in HIDDEN else None
+                if tag in RAW and tag not in ("script", "style"):
+                    flush()
             continue
         if tag in INLINE:
             if tag == "a":
