@@ -51,7 +51,8 @@ def module_seed(module_id: str, seed: int | None = None) -> int:
 
 
 def matrix(group: pd.DataFrame, column: str) -> np.ndarray:
-    return group.pivot(index="j_idx", columns="sample_idx", values=column).sort_index().sort_index(axis=1).to_numpy()
+    """Junctions by samples; cells that are not there count 0."""
+    return group.pivot(index="j_idx", columns="sample_idx", values=column).sort_index().sort_index(axis=1).fillna(0).to_numpy()
 
 
 def bootstrap(cells: DataFrame, n: int = REPLICATES, seed: int | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def bootstrap(cells: DataFrame, n: int = REPLICATES, seed: int | None = None) ->
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        counts, lengths = matrix(group, "count"), matrix(group, "eff_len")[:, 0]
+        counts, lengths = matrix(group, "count"), matrix(group, "eff_len").max(1)
         got = replicate_psi(multinomial_replicates(counts, n, module_seed(group["module_id"].iloc[0], seed)), lengths)
         low, high = intervals(got)
         j, s = np.meshgrid(range(counts.shape[0]), range(counts.shape[1]), indexing="ij")

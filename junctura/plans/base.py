@@ -26,8 +26,10 @@ js AS (
 jf AS (SELECT * FROM js WHERE la >= 6 AND ra >= 6)"""
 )
 INTERVALS_SQL = """iv AS (SELECT 'c' || l_suppkey AS chrom, l_orderkey * 100 AS s, l_orderkey * 100 + CAST(l_quantity AS BIGINT) * 40 AS e, CASE WHEN l_linestatus = 'F' THEN '+' ELSE '-' END AS strand, l_linenumber FROM lineitem)"""
-CELLS_SQL = """cells AS (
-  SELECT p_brand AS module_id, p_type AS j, l_suppkey % 6 AS sample_idx, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+CELLS_SQL = """seen AS (
+  SELECT p_brand AS module_id, p_type AS j, l_suppkey % 6 AS sample_idx, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+cells AS (
+  SELECT k.module_id, k.j, k.i AS sample_idx, coalesce(n, 0) AS n FROM (SELECT DISTINCT module_id, j, i FROM seen, range(6) t(i)) k LEFT JOIN seen ON seen.module_id = k.module_id AND seen.j = k.j AND seen.sample_idx = k.i)"""
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,9 +55,11 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """(module_id, j, sample_idx, n): brands as modules, types as junctions, suppliers as samples."""
+    """(module_id, j, sample_idx, n): brands as modules, types as junctions, suppliers as samples, zero-filled."""
     joined = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("p_brand").alias("module_id"), F.col("p_type").alias("j"), (F.col("l_suppkey") % 6).cast("int").alias("sample_idx")).agg(F.count("*").alias("n"))
+    seen = joined.groupBy(F.col("p_brand").alias("module_id"), F.col("p_type").alias("j"), (F.col("l_suppkey") % 6).cast("int").alias("sample_idx")).agg(F.count("*").alias("n"))
+    every = seen.select("module_id", "j").distinct().withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1))))
+    return every.join(seen, ["module_id", "j", "sample_idx"], "left").fillna(0, ["n"])
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:

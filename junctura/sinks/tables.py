@@ -87,11 +87,12 @@ def summary_table(diff: DataFrame, diagnostics: DataFrame) -> DataFrame:
     totals = diff.agg(F.array(row(0, F.lit("Total events"), F.count("*")), row(2, F.lit("Significant (FDR < 0.05)"), F.count_if(F.col("fdr") < 0.05)), row(3, F.lit("Significant (FDR < 0.01)"), F.count_if(F.col("fdr") < 0.01))).alias("r"))
     types = diff.groupBy("event_type").agg(F.count("*").alias("n")).select(F.array(row(1, F.col("event_type"), F.col("n"))).alias("r"))
     tiers = diagnostics.groupBy("confidence_tier").agg(F.count("*").alias("n")).select(F.array(row(4, F.concat(F.lit("Confidence "), "confidence_tier"), F.col("n"))).alias("r"))
-    mean = lambda c, p: F.format_string(p, F.avg(c))  # noqa: E731  an average is hardly ever a tie
     of = lambda c: F.concat(F.count_if(c).cast("string"), F.lit("/"), F.count("*").cast("string"))
-    means = diagnostics.agg(F.array(
-        row(5, F.lit("Mean MAPQ (average)"), mean("mean_mapq", "%.2f")), row(6, F.lit("Mean junction confidence (average)"), mean("mean_junction_confidence", "%.4f")), row(7, F.lit("Mean bootstrap CV (average)"), mean("bootstrap_cv", "%.4f")),
-        row(8, F.lit("Null model converged"), of("null_converged")), row(9, F.lit("Full model converged"), of("full_converged")),
+    names = ("mean_mapq", "mean_junction_confidence", "bootstrap_cv")
+    figures = diagnostics.agg(*(F.avg(c).alias(c) for c in names), of("null_converged").alias("null"), of("full_converged").alias("full"))
+    means = figures.select(F.array(
+        row(5, F.lit("Mean MAPQ (average)"), number("%.2f", F.col(names[0]))), row(6, F.lit("Mean junction confidence (average)"), number("%.4f", F.col(names[1]))), row(7, F.lit("Mean bootstrap CV (average)"), number("%.4f", F.col(names[2]))),
+        row(8, F.lit("Null model converged"), F.col("null")), row(9, F.lit("Full model converged"), F.col("full")),
     ).alias("r"))
     return totals.unionByName(types).unionByName(tiers).unionByName(means).select(F.explode("r").alias("x")).select("x.*").orderBy("ord", "Metric")
 
