@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Scores of splice motifs, best first.
+#: Scores of the motifs at intron ends, best first.
 MOTIF_SCORES = {"GT/AG": 1.0, "GC/AG": 0.8, "AT/AC": 0.6, "non-canonical": 0.2}
 STOP_CODONS = ("TAA", "TAG", "TGA")
 TILE = 1 << 16
