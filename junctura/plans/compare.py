@@ -136,7 +136,7 @@ def diff(spark, sf) -> DataFrame:
     rows = B.table(spark, sf, "part").select(
         F.concat(F.lit("M"), F.lpad(k.cast("string"), 6, "0")).alias("module_id"), F.col("p_brand").alias("gene_id"), F.col("p_name").alias("gene_name"), F.concat(F.lit("chr"), z % 5 + 1).alias("chrom"), strand.alias("strand"), F.element_at(F.array(*map(F.lit, ("SE", "A3SS", "RI", "Complex"))), (k % 4 + 1).cast("int")).alias("event_type"),
         F.lit(3).alias("n_junctions"), F.array(coord(s, s + 40), coord(s + 50, e), coord(s, e)).alias("junction_coords"), g1.alias("psi_group1"), g2.alias("psi_group2"), (k % 1000 / 4096.0).alias("p_value"), (k % 1000 / 2048.0).alias("fdr"),
-        (-1.5 * z).alias("log_likelihood_null"), (-1.25 * z).alias("log_likelihood_full"), F.lit(1).alias("degrees_of_freedom"), (k % 11 > 0).alias("null_converged"), (k % 13 > 0).alias("full_converged"),
+        (-1.5 * z).alias("log_likelihood_null"), (-1.25 * z).alias("log_likelihood_full"), F.lit(1).alias("degrees_of_freedom"), (k % 11 > 0).alias("null_converged"), (k % 13 > 0).alias("full_converged"), (k % 17 == 0).alias("null_refit_used"),
     )
     rows = rows.withColumn("delta_psi", F.zip_with("psi_group1", "psi_group2", lambda a, b: b - a))
     return rows.withColumns({"max_abs_delta_psi": F.array_max(F.transform("delta_psi", lambda d: F.abs(d))), "delta_psi_ci_low": F.transform("delta_psi", lambda d: d - 0.05), "delta_psi_ci_high": F.transform("delta_psi", lambda d: d + 0.05)})
@@ -243,6 +243,30 @@ def sheet(spark, sf):
     return H.sheet_results(diff(spark, sf), _diagnosed(spark, sf)).select("module_id", F.round("fdr", 9).alias("fdr"), "fill")
 
 
+@query(
+    "report_workbook_summary",
+    f"""WITH {_DIFF_SQL}, g AS (SELECT *, ['HIGH', 'MEDIUM', 'LOW'][p_size % 3 + 1] AS tier FROM part), f AS (SELECT count(*) AS n, count_if(fdr < 0.05) AS s5, count_if(fdr < 0.01) AS s1 FROM d4), c AS (SELECT count_if(p_partkey % 11 > 0) || '/' || count(*) AS a, count_if(p_partkey % 13 > 0) || '/' || count(*) AS b, count_if(p_partkey % 17 = 0) || '/' || count(*) AS r FROM part)
+SELECT 0 AS ord, 'Significance' AS section, 'Total modules tested' AS label, n::VARCHAR AS value FROM f UNION ALL SELECT 1, 'Significance', 'Significant (FDR < 0.05)', s5::VARCHAR FROM f UNION ALL SELECT 2, 'Significance', 'Significant (FDR < 0.01)', s1::VARCHAR FROM f UNION ALL SELECT 3, 'Significance', 'Significance rate (FDR < 0.05)', printf('%.1f', s5::DOUBLE / n * 100) || '%' FROM f
+UNION ALL SELECT 4, 'Event Types', event_type, count(*)::VARCHAR FROM d4 GROUP BY event_type UNION ALL SELECT 5, 'Convergence', 'Null model converged', a FROM c UNION ALL SELECT 6, 'Convergence', 'Full model converged', b FROM c UNION ALL SELECT 7, 'Convergence', 'Null-refit applied', r FROM c
+UNION ALL SELECT 8, 'Confidence Tiers', tier, count(*)::VARCHAR FROM g GROUP BY tier UNION ALL SELECT 9, 'Quality Metrics', 'Mean MAPQ (across events)', printf('%.1f', avg(p_size)) FROM part UNION ALL SELECT 10, 'Quality Metrics', 'Median MAPQ (across events)', printf('%.1f', quantile_cont(p_size, 0.5)) FROM part""",
+)
+def workbook_summary(spark, sf):
+    return H.sheet_summary(diff(spark, sf), _diagnosed(spark, sf))
+
+
+@query(
+    "report_workbook_junctions",
+    f"""WITH {B.JUNCTIONS_SQL}, c AS (SELECT chrom, s, e, strand, sample_idx, count(*) AS n FROM jf GROUP BY ALL), v AS (SELECT chrom, s, e, strand, sum(n)::BIGINT AS total, count(*) AS k FROM c GROUP BY ALL)
+SELECT chrom || ':' || s || '-' || e || ':' || strand AS junction_id, chrom, s AS start, e AS "end", strand, CASE WHEN s % 20 = 0 THEN 'True' ELSE 'False' END AS is_annotated, 'NA' AS motif, '0.0000' AS motif_score, printf('%.4f', (e % 8) / 8.0::DOUBLE) AS confidence_score, total AS total_reads, k AS n_samples_detected, printf('%.4f', k / 6.0::DOUBLE) AS cross_sample_recurrence FROM v""",
+)
+def workbook_junctions(spark, sf):
+    from ..operators.junctions import vectors
+    from ..operators.reads import junction_counts
+
+    rows = vectors(junction_counts(B.reads(spark, sf)), B.N_SAMPLES)
+    return H.sheet_junctions(rows.withColumns({"is_annotated": F.col("start") % 20 == 0, "motif": F.lit("NA"), "motif_score": F.lit(0.0), "composite_score": F.col("end") % 8 / 8.0}))
+
+
 @query("report_group_junctions", f"""WITH {B.JUNCTIONS_SQL}, c AS (SELECT CASE WHEN sample_idx < 3 THEN 0 ELSE 1 END AS label, s, e, count(*) // 3 AS n FROM jf WHERE chrom = 'chr1' AND e >= 0 AND s <= 5000 GROUP BY ALL) SELECT label, s AS start, e AS "end", n, round(ln(1 + n) / ln(1 + (SELECT max(n) FROM c)), 9) AS height FROM c WHERE n > 0""")
 def group_junctions(spark, sf):
     from ..operators.differential import label_frame

@@ -7,7 +7,7 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import at_largest
+from .tables import at_largest, boolean, number
 
 TIERS = ("HIGH", "MEDIUM", "LOW", "FAIL")
 
@@ -120,3 +120,36 @@ def html_report(diff: DataFrame, diagnosed: DataFrame, evidence: DataFrame | Non
         sections.append(("Coding consequences", html_table(nmd.groupBy("classification").agg(F.count("*").alias("n")))))
     body = "".join(f"<h2>{name}</h2>{content}" for name, content in sections)
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Junction usage report</title></head><body><h1>Junction usage report</h1>{body}</body></html>'
+
+
+def sheet_junctions(evidence: DataFrame) -> DataFrame:
+    """Rows of the workbook's sheet on junctions."""
+    total = F.aggregate(F.col("sample_counts").cast("array<bigint>"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return evidence.select(
+        F.format_string("%s:%d-%d:%s", "chrom", F.col("start").cast("bigint"), F.col("end").cast("bigint"), "strand").alias("junction_id"), "chrom", "start", "end", "strand", boolean(F.col("is_annotated")).alias("is_annotated"), "motif", number("%.4f", F.col("motif_score")).alias("motif_score"),
+        number("%.4f", F.coalesce("composite_score", F.lit(0.0))).alias("confidence_score"), total.alias("total_reads"), "n_samples_detected", number("%.4f", F.col("recurrence")).alias("cross_sample_recurrence"),
+    )
+
+
+def sheet_summary(diff: DataFrame, diagnosed: DataFrame) -> DataFrame:
+    """(ord, section, label, value) of the workbook's summary; quality is over modules with any mapq."""
+    row = lambda o, s, m, v: F.struct(F.lit(o).alias("ord"), F.lit(s).alias("section"), m.alias("label"), v.cast("string").alias("value"))
+    sig = lambda t: F.count_if(F.col("fdr") < t)
+    of = lambda c: F.concat(F.count_if(c).cast("string"), F.lit("/"), F.count("*").cast("string"))
+    figures = diff.agg(F.count("*").alias("n"), sig(0.05).alias("s5"), sig(0.01).alias("s1"), of("null_converged").alias("null"), of("full_converged").alias("full"), of("null_refit_used").alias("refit"))
+    rate = F.when(F.col("n") > 0, F.concat(number("%.1f", F.col("s5") / F.col("n") * 100), F.lit("%"))).otherwise("0%")
+    tested = figures.select(F.array(
+        row(0, "Significance", F.lit("Total modules tested"), F.col("n")), row(1, "Significance", F.lit("Significant (FDR < 0.05)"), F.col("s5")), row(2, "Significance", F.lit("Significant (FDR < 0.01)"), F.col("s1")), row(3, "Significance", F.lit("Significance rate (FDR < 0.05)"), rate),
+        row(5, "Convergence", F.lit("Null model converged"), F.col("null")), row(6, "Convergence", F.lit("Full model converged"), F.col("full")), row(7, "Convergence", F.lit("Null-refit applied"), F.col("refit")),
+    ).alias("r"))
+    types = diff.groupBy("event_type").agg(F.count("*").alias("n")).select(F.array(row(4, "Event Types", F.col("event_type"), F.col("n"))).alias("r"))
+    tiers = diagnosed.groupBy("confidence_tier").agg(F.count("*").alias("n")).select(F.array(row(8, "Confidence Tiers", F.col("confidence_tier"), F.col("n"))).alias("r"))
+    quality = diagnosed.filter("mean_mapq > 0").agg(F.avg("mean_mapq").alias("a"), F.median("mean_mapq").alias("m")).filter("a is not null")
+    quality = quality.select(F.array(row(9, "Quality Metrics", F.lit("Mean MAPQ (across events)"), number("%.1f", F.col("a"))), row(10, "Quality Metrics", F.lit("Median MAPQ (across events)"), number("%.1f", F.col("m")))).alias("r"))
+    return tested.unionByName(types).unionByName(tiers).unionByName(quality).select(F.explode("r").alias("x")).select("x.*").orderBy("ord", "label")
+
+
+def title_rows(spark, samples: dict | None = None, parameters: dict | None = None) -> DataFrame:
+    """(section, key, value) of a report's first page."""
+    rows = [(s, str(k), str(v)) for s, d in (("Samples", samples or {}), ("Parameters", parameters or {})) for k, v in d.items()]
+    return spark.createDataFrame(rows, "section string, key string, value string")

@@ -188,3 +188,17 @@ def default_chromosomes(names: list[str], annotated: set[str] | None = None) ->
 
 def standard_chromosomes(sex: bool = True) -> list[str]:
     return [f"chr{k}" for k in range(1, 23)] + (["chrX", "chrY"] if sex else [])
+
+
+def discover(folder: str) -> dict[str, object]:
+    """Inputs in a benchmark folder: BAM files in order, the first four against the next four, annotation and genome.
+
+    Groups are empty where there are fewer than eight files, paths empty where nothing is found.
+    """
+    import os
+
+    first = lambda *names: next((p for n in names if os.path.exists(p := os.path.join(folder, n))), "")
+    inside = next((d for d in (os.path.join(folder, "bam"), os.path.join(folder, "data"), folder) if os.path.isdir(d) and any(f.endswith(".bam") for f in os.listdir(d))), None)
+    bams = sorted(os.path.join(inside, f) for f in os.listdir(inside) if f.endswith(".bam")) if inside else []
+    enough = len(bams) >= 8
+    return {"group1": bams[:4] if enough else [], "group2": bams[4:8] if enough else [], "gtf": first("data/annotation.gtf", "annotation.gtf"), "genome": first("data/genome.fa", "genome.fa")}

@@ -160,3 +160,24 @@ def test_beta_posterior(spark):
 def test_too_few_samples(spark):
     shares = spark.createDataFrame([("m", 0, 0, 0.5)], "module_id string, j_idx int, sample_idx int, psi double")
     assert differential.heterogeneous(shares, {0: 0, 1: 0, 2: 1}).count() == 0
+
+
+def test_by_chromosome_and_discovery(spark, tmp_path):
+    from junctura.operators.by_chromosome import by_chromosome
+    from junctura.sources.alignments import discover, standard_chromosomes
+
+    rows = spark.createDataFrame([("chr1", 1), ("chr1", 5), ("chr2", 7)], "chrom string, x int")
+    got = by_chromosome(rows, lambda g: g.groupby("chrom", as_index=False).x.sum(), "chrom string, x bigint")
+    assert sorted(map(tuple, got.collect())) == [("chr1", 6), ("chr2", 7)]
+    for k in range(8):
+        (tmp_path / f"s{k}.bam").write_bytes(b"")
+    (tmp_path / "annotation.gtf").write_text("")
+    found = discover(str(tmp_path))
+    assert [p[-6:] for p in found["group2"]] == ["s4.bam", "s5.bam", "s6.bam", "s7.bam"] and found["gtf"].endswith("annotation.gtf") and found["genome"] == ""
+    assert len(standard_chromosomes()) == 24 and len(standard_chromosomes(False)) == 22
+
+
+def test_report_title(spark):
+    from junctura.sinks.report import title_rows
+
+    assert title_rows(spark, {"a": 1}, {"b": 2}).count() == 2 and title_rows(spark).count() == 0
