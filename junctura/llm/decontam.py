@@ -6,6 +6,8 @@
 3. Documents that hold a seed are aligned with the item, word by word, around the seeds.  Before
    that, a window must hold half the item's words, without which no alignment reaches THRESHOLD.
 
+Words are compared in lower case, of all alphabets.
+
 The benchmark is sent to the documents in blocks of at most BLOCK_BYTES, so documents are never
 shuffled and a passage that is everywhere is no hot key.
 """
@@ -147,7 +149,7 @@ def _count_grams(bodies: DataFrame, items: Items) -> tuple[dict[int, int], int]:
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of about BLOCK_BYTES; items without an id or words are left out."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.lower("text").alias("text")).filter("item_id is not null and text is not null").distinct()
     n = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
@@ -160,7 +162,7 @@ def seeded(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> list[It
     found = []
     for block in blocks_of(benchmark):
         items = Items(block)
-        items.pick(*_count_grams(docs.selectExpr(f"cast({text} as binary) body"), items))
+        items.pick(*_count_grams(docs.selectExpr(f"cast(lower({text}) as binary) body"), items))
         found.append(items)
     return found
 
@@ -173,7 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     first_word and end_word enclose the passage.  Null and empty texts, an empty benchmark and
     empty tables give no rows; null keys stay null; repeated rows are reported each.
     """
-    bodies = docs.selectExpr(f"cast({key} as bigint) doc_id", f"cast({text} as binary) body")
+    bodies = docs.selectExpr(f"cast({key} as bigint) doc_id", f"cast(lower({text}) as binary) body")
     out = None
     for items in seeded(docs, benchmark, text):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -213,7 +215,7 @@ def _runs(doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item, with all columns and without a shuffle."""
     for items in seeded(docs, benchmark):
-        docs = docs.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(items))(F.col("text").cast("binary")))
+        docs = docs.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(items))(F.lower("text").cast("binary")))
     return docs
 
 
