@@ -154,12 +154,13 @@ def _features(text: str, linked: float, stack, tags: Counter, groups: Counter, s
     home = tags["article"] > 0 or tags["main"] > 0
     out.append(f"home:{home},{bad}")
     out.append(f"named:{'main' in here},{bad}")
+    out.append(f"head:{tags['header'] > 0 or 'head' in here},{home or 'main' in here}")
     words = text.count(" ") + 1
     out.append("words:" + ("1" if words == 1 else "4" if words < 5 else "9" if words < 10 else "24" if words < 25 else "more"))
     out.append("linked:" + ("no" if linked <= 0.05 else "some" if linked < 0.5 else "all"))
     out.append(f"end:{text[-1] in '.!?:;…'}")
     out.append(f"long:{words >= 10},{linked < 0.5},{bad}")
-    if "©" in text or "(c)" in text.lower():
+    if "©" in text or "(c)" in (lower := text[:200].lower()) or lower.startswith("copyright"):
         out.append("copyright")
     out.append(f"title:{bool(seen_h1)}")
     return out
@@ -198,10 +199,14 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[list[t
             kind = rng.randint(5)
             if group == "menu" or kind == 0:
                 body.append(links(mark))
+            elif group == "head" and kind == 2:
+                body.append(f"<h1>{words(0, 6, mark, '')}</h1>")
             elif kind == 1:
                 body.append(f"<{(h := pick(['h2', 'h3', 'h4', 'h1' if group == 'head' else 'h3']))}>{words(0, 6, mark, '')}</{h}>")
             elif kind == 2:
                 body.append(words(1, 24, mark))
+            elif group == "comments" and kind == 3:
+                body.append(f'<article class="{pick(["comment", "comment-body", "reply"])}"><p>{words(2, 60, mark)}</p></article>')
             else:
                 body.append(f"<p>{words(2, 60 if group in ('comments', 'side', 'notice', 'advert') else 25, mark)}</p>")
         if group == "form":
@@ -212,7 +217,8 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[list[t
         return f"{open_}{''.join(body)}</{close}>"
 
     def article(mark: str = "A") -> str:
-        body = [f"<h1>{words(1, 12, mark, '')}</h1>"] if rng.rand() < 0.85 else []
+        title = f"<h1>{words(1, 12, mark, '')}</h1>"
+        body = [f"<header>{title}</header>" if rng.rand() < 0.25 else title] if rng.rand() < 0.85 else []
         for _ in range(rng.randint(1, 12)):
             kind = rng.rand()
             if kind < 0.68:
@@ -241,9 +247,16 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[list[t
             return f"<main><article {named('main')}>{inner}</article></main>"
         return f"<div {named('main')}>{inner}</div>"
 
+    def bare(mark: str = "R") -> str:
+        """Links and notices of rights without a telling name."""
+        some = "".join(f"<td><a href=/{k}>{words(0, 2, mark, '')}</a></td>" for k in range(rng.randint(1, 7)))
+        return pick([f"<table><tr>{some}</tr></table>", f"<div>{some.replace('td>', 'span>')}</div>", f"<div>{links(mark)}</div>", f"<p>{pick(['&copy;', 'Copyright', '(c)'])} 2020 {words(0, 6, mark)}</p>"])
+
     for _ in range(n):
         before = [junk(pick(["menu", "head", "advert", "notice", "menu"])) for _ in range(rng.randint(0, 5))]
         after = [junk(pick(["comments", "side", "foot", "advert", "form", "share", "foot", "notice", "comments"])) for _ in range(rng.randint(0, 6))]
+        before += [bare()] if rng.rand() < 0.15 else []
+        after += [bare()] if rng.rand() < 0.25 else []
         body = "".join([*before, article(), *after])
         if rng.rand() < 0.25:
             body = f'<div {pick(["class", "id"])}="{pick(["wrapper", "container", "page", "layout", "outer"])}">{body}</div>'
