@@ -82,6 +82,23 @@ def test_near_duplicates(spark, texts, monkeypatch, threshold, rows, shingles, h
     assert got == brute_components(more, threshold)
 
 
+def test_copies_that_only_resemble_one_original(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP_SHINGLES", 4000)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = {1: " ".join(base)}
+    for k in range(2, 90):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 85).collect()}
+    want = brute_components(texts, 85)
+    assert len({c for _, c in want.values()}) < 5 and got == want
+
+
 def test_forest_spans_components():
     rng = np.random.RandomState(3)
     m = 60
@@ -210,7 +227,7 @@ def test_token_ties_keep_the_earlier_start():
 
 def test_leaks_edited_and_everywhere(spark):
     rng = random.Random(2)
-    vocabulary = [f"v{i}" for i in range(400)]
+    vocabulary = [f"vé{i}" for i in range(400)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = {i: text(40) for i in range(12)}
     rows, want = [], set()
@@ -232,6 +249,8 @@ def test_leaks_edited_and_everywhere(spark):
         rows.append((d, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    rows = [(d, t.upper() if d % 7 == 0 else t) for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = decontam.find_leaks(docs, benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert all(r.score > 0.999 for r in got if r.item_id == 0)
