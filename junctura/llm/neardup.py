@@ -10,7 +10,8 @@ path of tokens selected for the tree; documents that meet in a node are candidat
   a spanning forest is emitted, never all pairs.
 * The sketch's components are compared exhaustively on the full sets.  Components too large
   for a task are compared in blocks of the trees' nodes, once a tree, and each block holds
-  the component's most typical documents besides.
+  the component's most typical documents besides.  That links most of them; the rest is exact:
+  documents not yet linked that share a shingle of their prefixes (see `prefixes`) are compared.
 
 Trees are repeated until a pair at the threshold meets with probability RECALL.
 """
@@ -40,6 +41,8 @@ GROUP_SHINGLES = 4_000_000
 BLOCK_ROWS = 64
 HUBS = 16
 SALTS = 64
+COMMON = 1 << 19  # shingles whose counts order the prefixes of large components
+ORDER_DOCS = 20_000  # documents that these counts are taken from
 _SEEDS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -245,12 +248,94 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
         dealt = dealt.select(F.col("v").alias("doc"), "root", F.xxhash64("root", "tree", "node", "block").alias("grp"))
         hubs = dealt.select("root", "grp").distinct().join(_hubs(known), "root").select("doc", "grp")
         groups = groups.unionByName(dealt.select("doc", "grp").unionByName(hubs).distinct())
-    likely = flagged(texts, ["doc"], groups).filter("__jx_maybe").drop("__jx_maybe")
-    links = components(set_edges(likely.join(groups, "doc"), threshold))
+    edges = set_edges(_with_texts(texts, groups), threshold)
+    if not large.isEmpty():
+        edges = keep(edges)
+        linked = large.join(components(edges).select("v", F.col("root").alias("linked")), "v", "left")
+        linked = keep(linked.select(F.col("v").alias("doc"), F.col("root").alias("grp"), F.coalesce("linked", "v").alias("linked"), "n"))
+        edges = edges.unionByName(set_edges(_with_texts(texts, _unlinked(texts, linked, threshold)), threshold))
+    links = components(edges)
     found = members.join(links, members["rep"] == links["v"], "left").withColumn("component_id", F.coalesce("root", "rep"))
     return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _with_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    return flagged(texts, ["doc"], groups).filter("__jx_maybe").drop("__jx_maybe").join(groups, "doc")
+
+
+def prefixes(rows: DataFrame, threshold: int) -> DataFrame:
+    """(grp, doc, linked, n, lead): the groups of rows (grp, doc, linked, n, body) by each shingle of their prefixes.
+
+    Shingles are in one order, the rare first.  Two sets of similarity t share at least t of the
+    larger and 2t / (1 + t) of the smaller set, so the first shingle they share is among the
+    first 1 - t of the larger and the first 1 - 2t / (1 + t), the lead, of the smaller one.
+    That holds in any order, so counts from some documents only make the groups small.
+    """
+    every = F.lit(rows.count() // ORDER_DOCS + 1)
+
+    def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in slices(batches, 0):
+            all_, offs = shingles(data, offsets)
+            found = [np.unique(all_[i:j]) for i, j in zip(offs, offs[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    some = rows.filter(F.pmod(F.xxhash64("doc", F.lit(1)), every) == 0).select(F.col("body").cast("binary").alias("body"))
+    counts = some.mapInArrow(all_shingles, "shingle bigint").groupBy("shingle").count().filter("count > 1")
+    got = counts.orderBy(F.desc("count")).limit(COMMON).toArrow()
+    common, often = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(common)
+    sent = rows.sparkSession.sparkContext.broadcast((common[order], often[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = sent.value
+        for got, data, offsets in slices(batches, 4):
+            all_, offs = shingles(data, offsets)
+            parts, lead, sizes = [], [], []
+            for i, j in zip(offs, offs[1:]):
+                one = np.unique(all_[i:j])
+                n = len(one)
+                known = np.zeros(n, np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, one), len(common) - 1)
+                    known = np.where(common[at] == one, often[at], 0)
+                size = n + threshold * n // -100 + 1 if n else 0
+                parts.append(one[np.lexsort((one, known))[:size]])
+                lead.append(np.arange(size) <= n + 2 * threshold * n // -(100 + threshold))
+                sizes.append(size)
+            of = np.repeat(np.arange(got.num_rows), sizes)
+            grp = mix64(got.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[of] ^ np.concatenate(parts))
+            cols = [got.column(c).take(pa.array(of)) for c in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), *cols, pa.array(np.concatenate(lead), pa.bool_())], names=["grp", "doc", "linked", "n", "lead"])
+
+    columns = rows.select("grp", "doc", "linked", "n", F.col("body").cast("binary").alias("body"))
+    return columns.mapInArrow(run, "grp bigint, doc bigint, linked bigint, n bigint, lead boolean")
+
+
+def _unlinked(texts: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
+    """Groups (doc, grp) in which all pairs at the threshold, in a group of (doc, grp, linked, n) and not linked yet, meet."""
+    found = keep(prefixes(_with_texts(texts, linked), threshold))
+    name = [F.expr(f"bit_xor(xxhash64(doc, {k}))").alias(f"h{k}") for k in range(2)]
+    keys = found.groupBy("grp").agg(F.count("*").alias("docs"), F.bool_or("lead").alias("lead"), F.min("linked").alias("l"), F.max("linked").alias("m"), *name)
+    # near copies share many shingles: the same documents are one group
+    keys = keys.filter("lead and l < m").groupBy("docs", "h0", "h1").agg(F.min("grp").alias("grp")).select("grp")
+    return crossed(found.join(keys, "grp"), GROUP_SHINGLES, []).select("doc", "grp")
+
+
+def crossed(rows: DataFrame, most: int, columns: list[str]) -> DataFrame:
+    """Rows (grp, doc, linked, n, *columns) dealt to new groups of `most` n or so, in which all that differ in `linked` meet.
+
+    A group is cut into blocks of half the size, and each two blocks are a new group.  What is linked in the
+    largest part of a group needs no comparing, so its blocks meet the others only.
+    """
+    parts = rows.groupBy("grp", "linked").agg(F.sum("n").alias("n"))
+    parts = parts.groupBy("grp").agg(F.max_by("linked", F.struct("n", "linked")).alias("bulk"), F.max("n").alias("b"), F.sum("n").alias("r")).filter("b < r")
+    parts = parts.select("grp", "bulk", F.ceil(F.col("b") * 2 / most).alias("b"), F.ceil((F.col("r") - F.col("b")) * 2 / most).alias("r"))
+    block = "if(linked = bulk, -1 - pmod(xxhash64(doc), b), pmod(xxhash64(doc), r))"
+    met = "if(linked = bulk, sequence(0L, r - 1), concat(sequence(-b, -1L), array_remove(sequence(0L, r - 1), own)))"
+    dealt = rows.join(parts, "grp").withColumn("own", F.expr(block)).withColumn("other", F.explode(F.expr(met)))
+    return dealt.select(F.expr("xxhash64(grp, least(own, other), greatest(own, other))").alias("grp"), "doc", *columns)
+
+
 def _hubs(known: DataFrame) -> DataFrame:
     """(root, doc): up to HUBS documents of each large group that agree most with its commonest tokens.
 

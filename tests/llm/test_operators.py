@@ -99,6 +99,24 @@ def test_copies_that_only_resemble_one_original(spark, monkeypatch):
     assert len({c for _, c in want.values()}) < 5 and got == want
 
 
+@pytest.mark.parametrize("shared", [160, 180])
+def test_templated_pages_beyond_a_task(spark, monkeypatch, shared):
+    monkeypatch.setattr(neardup, "GROUP_SHINGLES", 3000)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(shared)]
+    own = lambda m: [f"x{rng.randrange(10**9)}" for _ in range(m)]
+    texts = {}
+    for k in range(0, 300, 2):  # each pair is alike, and no two pairs are
+        mine = own(200 - shared)
+        last = 200 - shared if k % 3 == 0 else (13 if shared == 160 else 15)
+        texts[k], texts[k + 1] = " ".join(base + mine), " ".join(base + mine[: len(mine) - last] + own(last))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 85).collect()}
+    want = brute_components(texts, 85)
+    assert 150 < len({c for _, c in want.values()}) < 250 and got == want
+
+
 def test_forest_spans_components():
     rng = np.random.RandomState(3)
     m = 60
