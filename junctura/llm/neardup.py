@@ -4,10 +4,12 @@ Sets are embedded by 64 minwise tokens, so that two sets agree on a token with p
 equal to their Jaccard similarity.  In each of several independent trees a document walks the
 path of tokens selected for the tree; documents that meet in a node are candidates.
 
-* Nodes that stay large branch on: documents follow BRANCHES paths of further tokens, and what
-  is still large is dealt in blocks, differently in each tree.
 * Nodes are compared exhaustively on the minwise sketch, but only until they hang together:
   a spanning forest is emitted, never all pairs.
+* Nodes of more than NODE_ROWS are compared in blocks first, dealt differently in each tree.
+  Documents that this leaves apart are then compared block by block, every one with every other;
+  where that takes many copies of a row, nodes first branch on further tokens, on so many
+  paths that a pair at the threshold meets on one with probability RECALL.
 * The sketch's components are compared exhaustively on the full sets.  Components too large
   for a task are compared in blocks of the trees' nodes, once a tree, and each block holds
   the component's most typical documents besides.  That links most of them; the rest is exact:
@@ -34,9 +36,8 @@ THRESHOLD = 80  # percent
 RECALL = 0.9999
 TOKENS = 64
 DEPTH = 2
-BRANCHES = 3
 NODE_ROWS = 2048
-HOT_NODES = 5000
+HOT_NODES = 5000  # no longer used: large nodes do not depend on the size of the table
 GROUP_SHINGLES = 4_000_000
 BLOCK_ROWS = 64
 HUBS = 16
@@ -105,8 +106,8 @@ def features(docs: DataFrame, trees: int, key: str, text: str) -> DataFrame:
     return docs.selectExpr(f"cast({key} as bigint) doc_id", f"cast({text} as binary) body").mapInArrow(run, FEATURES)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
-    """Runs of rows with equal first column, of two rows or more, in at most `most` rows at a time."""
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal first column, of two rows or more."""
     held: list[pa.RecordBatch] = []
     held_key, held_rows = None, 0
     for batch in batches:
@@ -121,13 +122,8 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Itera
                 held, held_rows = [], 0
             if 0 < k < len(cuts) - 2 and j - i == 1:
                 continue  # the usual case: alone
-            while most and held_rows + j - i > most:
-                step = most - held_rows
-                yield pa.Table.from_batches([*held, batch.slice(i, step)])
-                held, held_rows, i = [], 0, i + step
-            if j > i:
-                held.append(batch.slice(i, j - i))
-                held_key, held_rows = keys[i], held_rows + j - i
+            held.append(batch.slice(i, j - i))
+            held_key, held_rows = keys[i], held_rows + j - i
     if held_rows > 1:
         yield pa.Table.from_batches(held)
 
@@ -158,15 +154,14 @@ def sketch_edges(rows: DataFrame, cutoff: float) -> DataFrame:
     need = math.ceil(cutoff * TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, NODE_ROWS):
+        for group in grouped(batches):
             docs = group.column(1).to_numpy()
             s = np.frombuffer(b"".join(group.column(2).to_pylist()), np.uint16).reshape(-1, TOKENS)
             pairs = [(int(docs[x]), int(docs[y])) for x, y in forest(len(docs), lambda x, rest: (s[rest] == s[x]).sum(1) >= need)]  # noqa: B023
             if pairs:
                 yield _edges(pairs)
 
-    # sorted by sketch, what is cut at NODE_ROWS is cut where further tokens differ
-    return rows.repartition("node").sortWithinPartitions("node", "sketch").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
 def set_edges(rows: DataFrame, threshold: int) -> DataFrame:
@@ -226,20 +221,29 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
     members = keep(feats.select("doc_id", *same).join(sets, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     reps = feats.join(sets, same).filter("doc_id = rep")
     rows = reps.select(F.explode("nodes").alias("node"), F.col("doc_id").alias("doc"), "sketch")
-    total = feats.count() * trees
     sizes = reps.select(F.explode("nodes").alias("node")).groupBy("node").count()
-    hot = keep(sizes.filter(F.col("count") > max(NODE_ROWS, total // HOT_NODES)))  # at most HOT_NODES rows
-    if not hot.isEmpty():
-        cool = rows.join(F.broadcast(hot), "node", "left_anti")
-        rows = cool.unionByName(_branched(rows.join(F.broadcast(hot.select("node")), "node", "left_semi")))
-    near = components(sketch_edges(rows, cutoff))
+    hot = stash(sizes.filter(F.col("count") > NODE_ROWS), "hot")
+    many = hot.count()
+    if many:
+        block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("count") / NODE_ROWS))
+        dealt = rows.join(hot, "node", "left").withColumn("node", F.when(F.col("count").isNull(), F.col("node")).otherwise(F.xxhash64("node", block)))
+        edges = keep(sketch_edges(dealt.select("node", "doc", "sketch"), cutoff))
+        linked = components(edges).select(F.col("v").alias("doc"), F.col("root").alias("linked"))
+        wide = rows.join(hot, "node", "left_semi").join(linked, "doc", "left")
+        wide = wide.select(F.col("node").alias("grp"), "doc", F.coalesce("linked", "doc").alias("linked"), F.lit(1).alias("n"), "sketch")
+        wide = stash(wide, "nodes")
+        met = crossed(_branched(wide, t, recall), NODE_ROWS, ["sketch"]).withColumnRenamed("grp", "node")
+        near = components(edges.unionByName(sketch_edges(met, cutoff)))
+    else:
+        near = components(sketch_edges(rows, cutoff))
     sized = near.join(members.groupBy("rep").agg(F.max("n").alias("n")), near["v"] == F.col("rep")).select("v", "root", "n")
     size = sized.groupBy("root").agg(F.sum("n").alias("all_n"))
     placed = keep(sized.join(size, "root"))
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("body"))
     groups = placed.filter(F.col("all_n") <= GROUP_SHINGLES).select(F.col("v").alias("doc"), F.col("root").alias("grp"))
     large = placed.filter(F.col("all_n") > GROUP_SHINGLES)
-    if not large.isEmpty():
+    many = large.count()  # of all partitions: adaptive execution may take a table that is held in part for empty
+    if many:
         known = keep(large.join(feats.select(F.col("doc_id").alias("v"), "nodes", "sketch").dropDuplicates(["v"]), "v"))
         split = known.select("v", "root", "n", F.posexplode("nodes").alias("tree", "node"))
         counts = split.groupBy("root", "tree", "node").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
@@ -249,7 +253,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
         hubs = dealt.select("root", "grp").distinct().join(_hubs(known), "root").select("doc", "grp")
         groups = groups.unionByName(dealt.select("doc", "grp").unionByName(hubs).distinct())
     edges = set_edges(_with_texts(texts, groups), threshold)
-    if not large.isEmpty():
+    if many:
         edges = keep(edges)
         linked = large.join(components(edges).select("v", F.col("root").alias("linked")), "v", "left")
         linked = keep(linked.select(F.col("v").alias("doc"), F.col("root").alias("grp"), F.coalesce("linked", "v").alias("linked"), "n"))
@@ -321,18 +325,26 @@ def _unlinked(texts: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
     return crossed(found.join(keys, "grp"), GROUP_SHINGLES, []).select("doc", "grp")
 
 
+def _parts(rows: DataFrame, most: int) -> DataFrame:
+    """(grp, bulk, b, r, all_n, dealt_n) of groups of (grp, doc, linked, n) that are not all linked.
+
+    bulk is what the largest part is linked as; b and r are the blocks of most / 2 of it and of the rest.
+    """
+    parts = rows.groupBy("grp", "linked").agg(F.sum("n").alias("n"))
+    parts = parts.groupBy("grp").agg(F.max_by("linked", F.struct("n", "linked")).alias("bulk"), F.max("n").alias("b_n"), F.sum("n").alias("all_n")).filter("b_n < all_n")
+    parts = parts.withColumns({"b": F.ceil(F.col("b_n") * 2 / most), "r": F.ceil((F.col("all_n") - F.col("b_n")) * 2 / most)})
+    return parts.select("grp", "bulk", "b", "r", "all_n", F.expr("b_n * r + (all_n - b_n) * (b + r - 1)").alias("dealt_n"))
+
+
 def crossed(rows: DataFrame, most: int, columns: list[str]) -> DataFrame:
     """Rows (grp, doc, linked, n, *columns) dealt to new groups of `most` n or so, in which all that differ in `linked` meet.
 
     A group is cut into blocks of half the size, and each two blocks are a new group.  What is linked in the
     largest part of a group needs no comparing, so its blocks meet the others only.
     """
-    parts = rows.groupBy("grp", "linked").agg(F.sum("n").alias("n"))
-    parts = parts.groupBy("grp").agg(F.max_by("linked", F.struct("n", "linked")).alias("bulk"), F.max("n").alias("b"), F.sum("n").alias("r")).filter("b < r")
-    parts = parts.select("grp", "bulk", F.ceil(F.col("b") * 2 / most).alias("b"), F.ceil((F.col("r") - F.col("b")) * 2 / most).alias("r"))
     block = "if(linked = bulk, -1 - pmod(xxhash64(doc), b), pmod(xxhash64(doc), r))"
     met = "if(linked = bulk, sequence(0L, r - 1), concat(sequence(-b, -1L), array_remove(sequence(0L, r - 1), own)))"
-    dealt = rows.join(parts, "grp").withColumn("own", F.expr(block)).withColumn("other", F.explode(F.expr(met)))
+    dealt = rows.join(_parts(rows, most).drop("all_n", "dealt_n"), "grp").withColumn("own", F.expr(block)).withColumn("other", F.explode(F.expr(met)))
     return dealt.select(F.expr("xxhash64(grp, least(own, other), greatest(own, other))").alias("grp"), "doc", *columns)
 
 
@@ -351,14 +363,23 @@ def _hubs(known: DataFrame) -> DataFrame:
     return scored.groupBy("root", "slot").agg(F.max_by("v", F.struct("agree", "v")).alias("doc")).select("root", "doc")
 
 
-def _branched(rows: DataFrame) -> DataFrame:
-    """Large nodes branch: four further tokens on each of BRANCHES paths, then blocks of NODE_ROWS."""
-    start = F.pmod(F.xxhash64("node"), F.lit(TOKENS // 4)).cast("int")
-    paths = F.array(*(F.xxhash64("node", F.lit(j), F.expr(f"substring(sketch, 1 + 8 * pmod(__s + {5 * j}, {TOKENS // 4}), 8)")) for j in range(BRANCHES)))
-    further = rows.withColumn("__s", start).select(F.explode(paths).alias("node"), "doc", "sketch")
-    sizes = further.groupBy("node").count()
-    dealt = further.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("count") / NODE_ROWS)))
-    return dealt.select(F.xxhash64("node", "block").alias("node"), "doc", "sketch")
+def _branched(rows: DataFrame, t: float, recall: float) -> DataFrame:
+    """Rows (grp, doc, linked, n, sketch) in which groups that `crossed` would copy more often than that branch on further tokens.
+
+    The sketch is cut in paths of as many tokens as let a pair of similarity t agree on one of them with
+    probability `recall`; a second time, into paths across the first ones.
+    """
+    size = max((k for k in range(1, 5) if (1 - t**k) ** (TOKENS // k) <= 1 - recall), default=0)
+    if not size:
+        return rows
+    paths = TOKENS // size
+    for tokens in ([[g * size + i for i in range(size)] for g in range(paths)], [[g + i * paths for i in range(size)] for g in range(paths)]):
+        wide = stash(_parts(rows, NODE_ROWS).filter(F.col("dealt_n") > paths * F.col("all_n")).select("grp", F.lit(True).alias("wide")), "wide")
+        if wide.isEmpty():
+            break
+        path = F.array(*(F.xxhash64("grp", F.lit(g), *(F.expr(f"substring(sketch, {2 * i + 1}, 2)") for i in path)) for g, path in enumerate(tokens)))
+        rows = rows.join(wide, "grp", "left").withColumn("grp", F.explode(F.when(F.col("wide"), path).otherwise(F.array("grp")))).drop("wide")
+    return rows
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:

@@ -117,6 +117,34 @@ def test_templated_pages_beyond_a_task(spark, monkeypatch, shared):
     assert 150 < len({c for _, c in want.values()}) < 250 and got == want
 
 
+@pytest.mark.parametrize("hot", [1, 5000])
+def test_short_documents_of_one_boilerplate(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "NODE_ROWS", 8)
+    monkeypatch.setattr(neardup, "HOT_NODES", hot)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(30)]
+    own = lambda m: [f"x{rng.randrange(10**9)}" for _ in range(m)]
+    texts = {}
+    for k in range(0, 800, 2):  # each pair is alike, others share about half
+        mine = own(22)
+        texts[k], texts[k + 1] = " ".join(base + mine), " ".join(base + mine[:-3] + own(3))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 85).collect()}
+    assert got == brute_components(texts, 85)
+
+
+def test_large_nodes_meet_whole(spark):
+    rng = random.Random(13)
+    linked = {d: (0 if d < 60 else rng.randrange(60, 90)) for d in range(200)}
+    rows = spark.createDataFrame([(g, d, r, 1) for g in (1, 2) for d, r in linked.items()], "grp bigint, doc bigint, linked bigint, n int")
+    met = defaultdict(set)
+    for r in neardup.crossed(rows, 16, []).collect():
+        met[r.grp].add(r.doc)
+    assert max(map(len, met.values())) < 60 and len(met) > 100
+    pairs = {(a, b) for m in met.values() for a in m for b in m}
+    assert all((a, b) in pairs for a in linked for b in linked if linked[a] != linked[b])
+
+
 def test_forest_spans_components():
     rng = np.random.RandomState(3)
     m = 60
