@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, confirmed by Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, confirmed by Smith-Waterman alignment.
 
-1. How many documents hold each of the benchmark's word n-grams is counted over all documents.
-2. An item's seeds are its n-grams found in at most RARE of the documents, and the rarer half of
-   them in any case, so that an item that leaked everywhere is still found.
-3. Documents that hold a seed are aligned with the item, word by word, around the seeds.  Before
+1. An item's seeds are all its word n-grams, however common, so that an edited copy is found by
+   whichever of them it kept.
+2. Documents that hold a seed are aligned with the item, word by word, around the seeds.  Before
    that, a window must hold half the item's words, without which no alignment reaches THRESHOLD.
 
 Words are compared in lower case, of all alphabets.
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import LETTER_SEP, read, slices, spans, windows, word_hashes
 
 SEED_WORDS = 3
-RARE = 0.001
 THRESHOLD = 0.5
 SHORT_ITEM = 8
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -70,21 +68,6 @@ class Items:
         self.counts = [Counter(w.tolist()) for w in self.words]
         self.most_words = max(map(len, self.words), default=0)
 
-    def pick(self, found: dict[int, int], docs: int) -> None:
-        """Keep as seeds the rare grams of each item and the rarer half in any case."""
-        each: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for g, ks in enumerate(self.holders):
-            for k in ks:
-                each[k].append((found.get(g, 0), g))
-        seeds: dict[int, list[int]] = defaultdict(list)
-        for k, grams in each.items():
-            grams.sort()
-            for rank, (n, g) in enumerate(grams):
-                if n <= RARE * docs or rank <= len(grams) // 2 or n == grams[len(grams) // 2][0]:
-                    seeds[g].append(k)
-        keep = sorted(seeds)
-        self.grams, self.holders = self.grams[keep], [seeds[g] for g in keep]
-
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, word and gram of every place where a gram stands."""
         runs = windows(hashes, SEED_WORDS)
@@ -126,27 +109,6 @@ class Items:
                 yield self.ids[k], best / (MATCH * m), len(seeds), max(span[0], span[1] - reach), span[1]
 
 
-def _count_grams(bodies: DataFrame, items: Items) -> tuple[dict[int, int], int]:
-    """In how many documents each gram stands, and how many documents there are."""
-    sent = bodies.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, docs = sent.value, 0
-        counts = np.zeros(len(here.grams) + 1, np.int64)
-        for rows, data, offsets in slices(batches, 0):
-            starts, ends, first = spans(data, offsets, LETTER_SEP)
-            doc, _, gram = here.hits(word_hashes(data, starts, ends), first)
-            counts += np.bincount(np.unique(doc * len(counts) + gram) % len(counts), minlength=len(counts))
-            docs += rows.num_rows
-        counts[-1] = docs
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["gram", "n"])
-
-    got = bodies.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row a gram of the block
-    found = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
-    return found, found.pop(len(items.grams), 0)
-
-
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of about BLOCK_BYTES; items without an id or words are left out."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.lower("text").alias("text")).filter("item_id is not null and text is not null").distinct()
@@ -157,16 +119,6 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
             yield sorted((r.item_id, r.text) for r in block)
 
 
-def seeded(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> list[Items]:
-    """The benchmark's blocks with seeds chosen by their counts over all of `docs`."""
-    found = []
-    for block in blocks_of(benchmark):
-        items = Items(block)
-        items.pick(*_count_grams(docs.selectExpr(f"cast(lower({text}) as binary) body"), items))
-        found.append(items)
-    return found
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, score, n_seeds, first_word, end_word) of each document that holds an item.
 
@@ -177,7 +129,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     bodies = docs.selectExpr(f"cast({key} as bigint) doc_id", f"cast(lower({text}) as binary) body")
     out = None
-    for items in seeded(docs, benchmark, text):
+    for block in blocks_of(benchmark):
+        items = Items(block)
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -214,8 +167,8 @@ def _runs(doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item, with all columns and without a shuffle."""
-    for items in seeded(docs, benchmark):
-        docs = docs.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(items))(F.lower("text").cast("binary")))
+    for block in blocks_of(benchmark):
+        docs = docs.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(Items(block)))(F.lower("text").cast("binary")))
     return docs
 
 

@@ -271,6 +271,17 @@ def test_token_ties_keep_the_earlier_start():
 # decontamination
 
 
+def test_repeated_copy_with_most_grams_broken(spark):
+    item = [f"q{k}" for k in range(20)]
+    copy = [f"z{k}" if k in (3, 6, 9, 12, 15) else w for k, w in enumerate(item)]
+    texts = {d: " ".join([f"a{d}", "b", *copy, "c"]) if d < 20 else f"other text {d} of no item" for d in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = decontam.find_leaks(docs, benchmark).collect()
+    assert sorted(r.doc_id for r in got) == list(range(20)) and {r.score for r in got} == {25 / 40}
+    assert decontam.drop_leaks(docs, benchmark).count() == 380
+
+
 def test_leaks_edited_and_everywhere(spark):
     rng = random.Random(2)
     vocabulary = [f"vé{i}" for i in range(400)]
