@@ -10,6 +10,7 @@ import numpy as np
 
 from .special import chi2_sf, digamma, gammaln
 
+TOP = 16.0  # largest logarithm of a concentration: beyond it differences of log-gammas lose all digits, and the model is multinomial
 FLOOR = 1e-10
 
 
@@ -113,15 +114,15 @@ def fit_glm(counts: np.ndarray, design: np.ndarray, max_iter: int = 500, start:
     total = counts.sum(1)
 
     def f(x: np.ndarray) -> tuple[float, np.ndarray]:
-        c = max(1e-6, math.exp(min(x[-1], 60.0)))
+        c = max(1e-6, math.exp(min(x[-1], TOP)))
         q = softmax(design @ x[:-1].reshape(p, k))
         alpha = np.maximum(q * c, FLOOR)
         g = digamma(alpha + counts) - digamma(alpha) + (digamma(np.full(1, c)) - digamma(c + total))[:, None]
         inner = c * q * (g - (q * g).sum(1, keepdims=True))
-        return -log_likelihood(counts, alpha), -np.append((design.T @ inner).ravel(), (alpha * g).sum())
+        return -log_likelihood(counts, alpha), -np.append((design.T @ inner).ravel(), (alpha * g).sum() if x[-1] < TOP else 0.0)
 
     got = minimise(f, np.append(beta.ravel(), math.log(c)), max_iter)
-    c = max(1e-6, math.exp(min(got.x[-1], 60.0)))
+    c = max(1e-6, math.exp(min(got.x[-1], TOP)))
     alpha = softmax(design @ got.x[:-1].reshape(p, k)) * c
     return Fit(alpha, c, log_likelihood(counts, alpha), got.converged, got.iterations, got.gradient_norm)
 
@@ -133,13 +134,13 @@ def fit_free(counts: np.ndarray, max_iter: int = 200) -> Fit:
     total = counts.sum(1)
 
     def f(x: np.ndarray) -> tuple[float, np.ndarray]:
-        alpha = np.maximum(np.exp(np.minimum(x, 60.0)), 1e-6)
+        alpha = np.maximum(np.exp(np.minimum(x, TOP)), 1e-6)
         a = alpha.sum()
         g = (digamma(alpha + counts) - digamma(alpha)).sum(0) + (digamma(np.full(1, a)) - digamma(a + total)).sum()
-        return -log_likelihood(counts, alpha), -g * alpha
+        return -log_likelihood(counts, alpha), np.where(x < TOP, -g * alpha, 0.0)
 
     got = minimise(f, np.log(np.maximum(mean * c, 1e-6)), max_iter)
-    alpha = np.maximum(np.exp(np.minimum(got.x, 60.0)), 1e-6)
+    alpha = np.maximum(np.exp(np.minimum(got.x, TOP)), 1e-6)
     return Fit(alpha, float(alpha.sum()), -got.value, got.converged, got.iterations, got.gradient_norm)
 
 
