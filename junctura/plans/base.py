@@ -49,6 +49,30 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Reads of 40 genes, each with one donor and three acceptors; in every fourth gene the second group never uses the middle one.
+LOCI_SQL = """loci AS (
+  SELECT l_partkey % 40 AS locus, l_suppkey % 6 AS sample_idx, (l_partkey % 40) * 5000 + 1030 AS s,
+    (l_partkey % 40) * 5000 + 1230 + 100 * CASE WHEN l_partkey % 4 = 0 AND l_suppkey % 6 >= 3 AND l_linenumber % 3 = 1 THEN 0 ELSE l_linenumber % 3 END AS e
+  FROM lineitem)"""
+
+
+def loci(spark: SparkSession, sf: str) -> DataFrame:
+    """The reads of LOCI_SQL."""
+    locus, sample = F.col("l_partkey") % 40, (F.col("l_suppkey") % 6).cast("int")
+    way = F.when((F.col("l_partkey") % 4 == 0) & (sample >= 3) & (F.col("l_linenumber") % 3 == 1), 0).otherwise(F.col("l_linenumber") % 3).cast("int")
+    return table(spark, sf, "lineitem").select(
+        sample.alias("sample_idx"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("qname"), (locus % 2 * 16).cast("int").alias("flag"), F.concat(F.lit("chr"), locus % 3 + 1).alias("chrom"), (locus * 5000 + 1000).alias("pos"),
+        (20 + F.col("l_partkey") % 40).cast("int").alias("mapq"), F.format_string("30M%dN30M", 200 + 100 * way).alias("cigar"), F.lit(1).alias("nh"), F.lit(None).cast("int").alias("as_score"),
+    )
+
+
+def loci_genes(spark: SparkSession, sf: str) -> DataFrame:
+    locus = F.col("locus")
+    rows = table(spark, sf, "part").select((F.col("p_partkey") % 40).alias("locus")).distinct()
+    name = F.concat(F.lit("g"), locus)
+    return rows.select(name.alias("gene_id"), name.alias("gene_name"), F.concat(F.lit("chr"), locus % 3 + 1).alias("chrom"), (locus * 5000).alias("start"), (locus * 5000 + 4000).alias("end"), F.when(locus % 2 == 0, "+").otherwise("-").alias("strand"))
+
+
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
     start = F.col("l_orderkey") * 100
     return table(spark, sf, "lineitem").select(F.concat(F.lit("c"), "l_suppkey").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("bigint") * 40).alias("end"), F.when(F.col("l_linestatus") == "F", "+").otherwise("-").alias("strand"), "l_linenumber")

@@ -183,7 +183,7 @@ def _diagnosed(spark, sf) -> DataFrame:
 
 @query(
     "sink_results_table",
-    f"""WITH {_DIFF_SQL} SELECT module_id, gene_id, gene_name, chrom, strand, event_type, '3' AS n_junctions, printf('%.6f', top) AS max_abs_delta_psi, printf('%.6f', g1[w]) AS psi_group1_mean, printf('%.6f', g2[w]) AS psi_group2_mean, printf('%.6f', -1.5::DOUBLE * p_size) AS log_likelihood_null, printf('%.6f', -1.25::DOUBLE * p_size) AS log_likelihood_full, '1' AS degrees_of_freedom, printf('%.6e', p_value) AS p_value, printf('%.6e', fdr) AS fdr, ['HIGH', 'MEDIUM', 'LOW'][p_size % 3 + 1] AS confidence_tier,
+    f"""WITH {_DIFF_SQL} SELECT module_id, gene_id, gene_name, chrom, strand, event_type, '3' AS n_junctions, printf('%.6f', top) AS max_abs_delta_psi, printf('%.6f', g1[w]) AS psi_group1_max_effect_junction, printf('%.6f', g2[w]) AS psi_group2_max_effect_junction, printf('%.6f', -1.5::DOUBLE * p_size) AS log_likelihood_null, printf('%.6f', -1.25::DOUBLE * p_size) AS log_likelihood_full, '1' AS degrees_of_freedom, printf('%.6e', p_value) AS p_value, printf('%.6e', fdr) AS fdr, ['HIGH', 'MEDIUM', 'LOW'][p_size % 3 + 1] AS confidence_tier,
 CASE WHEN p_partkey % 11 > 0 THEN 'True' ELSE 'False' END AS null_converged, CASE WHEN p_partkey % 13 > 0 THEN 'True' ELSE 'False' END AS full_converged, printf('%.2f', p_size::DOUBLE) AS mean_mapq, printf('%.4f', p_size % 8 / 8.0::DOUBLE) AS frac_high_mapq, printf('%.1f', (p_partkey % 60)::DOUBLE) AS min_group_total_reads, printf('%.2f', (p_partkey % 29)::DOUBLE) AS effective_n_min, printf('%.4f', p_size % 16 / 16.0::DOUBLE) AS mean_junction_confidence, printf('%.4f', p_partkey % 8 / 16.0::DOUBLE) AS bootstrap_cv,
 CASE WHEN p_partkey % 2 = 0 THEN 'True' ELSE 'False' END AS has_novel_junctions, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN 'True' ELSE 'False' END AS has_convergence_issue, 'as is' AS reason FROM d4 JOIN part ON module_id = 'M' || lpad(p_partkey::VARCHAR, 6, '0')""",
 )

@@ -268,17 +268,33 @@ def softmax(spark, sf):
     return e.select("module_id", "j_idx", "sample_idx", F.round(F.col("e") / F.sum("e").over(w), 9).alias("p"))
 
 
+def _analysed(spark, sf, **settings):
+    genes = B.loci_genes(spark, sf)
+    start = F.col("start")
+    exon = lambda a, b: genes.select("gene_id", F.concat("gene_id", F.lit(".1")).alias("transcript_id"), "chrom", "strand", (start + a).alias("start"), (start + b).alias("end"))
+    return analyse(B.loci(spark, sf), genes, exon(900, 1030).unionByName(exon(1230, 1400)), B.LABELS, settings=Settings(min_cluster_reads=4, het=False, **settings))
+
+
 @query("whole_analysis")
 def whole_analysis(spark, sf):
-    """Reads to tested modules in one plan, on the reads view; tests run it on a set with known outcome."""
-    reads = B.reads(spark, sf).withColumn("pos", F.expr("pos % 400"))
-    k = F.col("s_suppkey")
-    genes = B.table(spark, sf, "supplier").select(k.cast("string").alias("gene_id"), k.cast("string").alias("gene_name"), F.concat(F.lit("chr"), k % 3 + 1).alias("chrom"), (k * 173 % 600).alias("start"), (k * 173 % 600 + 400).alias("end"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"))
-    exons = genes.select("gene_id", F.col("gene_id").alias("transcript_id"), "chrom", "strand", "start", "end")
-    res = analyse(reads, genes, exons, B.LABELS, settings=Settings(min_cluster_reads=4, max_intron=160, het=False))
+    """Reads to tested modules in one plan; the tests hold it against the genes that are known to change."""
+    res = _analysed(spark, sf)
     return res.diff.join(res.diagnostics.select("module_id", "confidence_tier"), "module_id").select("module_id", "event_type", "n_junctions", "max_abs_delta_psi", "p_value", "fdr", "confidence_tier")
 
 
+@query(
+    "whole_analysis_usage",
+    f"""WITH {B.LOCI_SQL}, c AS (SELECT locus, sample_idx, s, e, count(*) AS n FROM loci GROUP BY ALL),
+k AS (SELECT a.locus, a.s, a.e, i AS sample_idx, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT locus, s, e FROM c) a CROSS JOIN range(6) t(i) LEFT JOIN c ON c.locus = a.locus AND c.e = a.e AND c.sample_idx = i),
+u AS (SELECT *, CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w::DOUBLE ELSE 0 END AS psi FROM k WINDOW w AS (PARTITION BY locus, sample_idx)),
+g AS (SELECT locus, s, e, sum(n) AS reads, avg(psi) FILTER (sample_idx >= 3) - avg(psi) FILTER (sample_idx < 3) AS d FROM u GROUP BY ALL)
+SELECT 'g' || locus || ':chr' || (locus % 3 + 1) || ':' || CASE locus % 2 WHEN 0 THEN '+' ELSE '-' END || ':' || min(s) || '-' || max(e) AS module_id, count(*) AS n_junctions, round(max(abs(d)), 9) AS max_abs_delta_psi FROM g GROUP BY locus""",
+)
+def whole_analysis_usage(spark, sf):
+    """The whole analysis again, by the columns that SQL can say."""
+    return _analysed(spark, sf, replicates=5).diff.select("module_id", F.col("n_junctions").cast("bigint").alias("n_junctions"), F.round("max_abs_delta_psi", 9).alias("max_abs_delta_psi"))
+
+
 @query(
     "flagship",
     f"""WITH {B.EVIDENCE_SQL}, {_MEANS}, t AS (SELECT module_id, label, sum(count) AS s FROM ev GROUP BY ALL), k AS (SELECT module_id FROM t GROUP BY module_id HAVING bool_and(s >= 10)),

@@ -50,12 +50,12 @@ def min_mapq(spark, sf):
 
 @query(
     "reads_evidence_expressions",
-    f"""WITH {B.JUNCTIONS_SQL}, x AS (SELECT * FROM good WHERE sample_idx = 2 AND chrom = 'chr3')
-SELECT form, count(*) AS reads, sum(CASE form WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 3 END)::BIGINT AS blocks, sum((a >= 6 AND c >= 6)::INT + (form > 0 AND c >= 6)::INT)::BIGINT AS junctions, sum((form > 0 AND a >= 6 AND c >= 6)::INT)::BIGINT AS pairs, sum(coalesce(nh, 1))::BIGINT AS nh FROM x GROUP BY form""",
+    f"""WITH {B.JUNCTIONS_SQL}
+SELECT form, count(*) AS reads, sum(CASE form WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 3 END)::BIGINT AS blocks, sum((a >= 6 AND c >= 6)::INT + (form > 0 AND c >= 6)::INT)::BIGINT AS junctions, sum((form > 0 AND a >= 6 AND c >= 6)::INT)::BIGINT AS pairs, sum(coalesce(nh, 1))::BIGINT AS nh FROM good GROUP BY form""",
 )
 def evidence_expressions(spark, sf):
     """The same parsing as columns, with arrays of blocks, junctions and pairs."""
-    rows = R.with_evidence(B.reads(spark, sf).filter("sample_idx = 2 and chrom = 'chr3'"))
+    rows = R.with_evidence(B.reads(spark, sf).repartition("qname"))
     form = F.when(F.col("cigar").startswith("5S"), 2).when(F.col("cigar").contains("D"), 1).otherwise(0)
     return rows.groupBy(form.alias("form")).agg(F.count("*").alias("reads"), F.sum(F.size("blocks")).alias("blocks"), F.sum(F.size("junctions")).alias("junctions"), F.sum(F.size("pairs")).alias("pairs"), F.sum("nh").alias("nh"))
 
@@ -195,11 +195,12 @@ def known(spark, sf):
 
 @query(
     "junction_annotate",
-    f"""WITH {B.JUNCTIONS_SQL}, k AS (SELECT DISTINCT chrom, s, e, strand FROM jf WHERE s % 20 = 0) SELECT j.chrom, j.s AS start, j.e AS "end", j.strand, k.s IS NOT NULL AS is_annotated FROM (SELECT DISTINCT chrom, s, e, strand FROM jf) j LEFT JOIN k USING (chrom, s, e, strand)""",
+    f"""WITH {B.JUNCTIONS_SQL}, k AS (SELECT chrom, s, e, strand FROM jf GROUP BY ALL HAVING count(DISTINCT sample_idx) >= 3) SELECT j.chrom, j.s AS start, j.e AS "end", j.strand, k.s IS NOT NULL AS is_annotated FROM (SELECT DISTINCT chrom, s, e, strand FROM jf) j LEFT JOIN k USING (chrom, s, e, strand)""",
 )
 def annotate(spark, sf):
-    found = R.junction_counts(B.reads(spark, sf)).select(*J.KEY).distinct()
-    return J.annotate(found, found.filter("start % 20 = 0"))
+    """Known are the junctions that three samples or more have."""
+    found = R.junction_counts(B.reads(spark, sf)).groupBy(*J.KEY).agg(F.count("*").alias("samples"))
+    return J.annotate(found.select(*J.KEY), found.filter("samples >= 3").select(*J.KEY))
 
 
 @query(
@@ -226,41 +227,47 @@ def confidence(spark, sf):
     return J.confident(scored).select(*J.KEY, "composite_score")
 
 
-_EDGES = "e0 AS (SELECT DISTINCT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem WHERE l_orderkey % 397 = 0), e2 AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"
+def spread_sql(edges: str) -> str:
+    """l (v, root): the smallest vertex each vertex of the symmetric `edges` (a, b) is connected to."""
+    return f"""l(v, root) USING KEY (v) AS (
+  SELECT DISTINCT a, a FROM {edges} UNION (SELECT {edges}.b, min(l.root) FROM l JOIN {edges} ON l.v = {edges}.a JOIN recurring.l AS o ON o.v = {edges}.b WHERE l.root < o.root GROUP BY {edges}.b))"""
+
+
+_EDGES = """e0 AS (SELECT DISTINCT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem UNION SELECT 10000000 + o_custkey, 100000000 + o_orderkey FROM orders),
+e2 AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"""
 
 
-@query("graph_components", f"WITH RECURSIVE {_EDGES}, r AS (SELECT a AS v, a AS m FROM e2 UNION SELECT e2.b, r.m FROM r JOIN e2 ON r.v = e2.a WHERE r.m < e2.b) SELECT v, min(m) AS root FROM r GROUP BY v")
+@query("graph_components", f"WITH RECURSIVE {_EDGES}, {spread_sql('e2')} SELECT v, root FROM l")
 def components(spark, sf):
-    edges = B.table(spark, sf, "lineitem").filter("l_orderkey % 397 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100_000).alias("b")).distinct()
-    return G.components(edges)
+    """Suppliers hang together by their parts, which is one large component; each customer with their orders is a small one."""
+    large = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100_000).alias("b"))
+    small = B.table(spark, sf, "orders").select((F.col("o_custkey") + 10_000_000).alias("a"), (F.col("o_orderkey") + 100_000_000).alias("b"))
+    return G.components(large.unionByName(small).distinct())
 
 
-_SITES = "jx AS (SELECT DISTINCT chrom, s, e, strand FROM jf WHERE e - s <= 160 AND s % 7 = 0 AND e - s > 3)"
+_SITES = """jx AS (SELECT DISTINCT chrom, s, e, strand FROM jf WHERE e - s <= 160),
+sx AS (SELECT DISTINCT 'S:' || chrom || ':' || strand || ':' || s AS a, 'S:' || chrom || ':' || strand || ':' || e AS b FROM jx), e2 AS (SELECT a, b FROM sx UNION SELECT b, a FROM sx)"""
 
 
-def _some_junctions(spark, sf):
-    return R.junction_counts(B.reads(spark, sf)).filter("start % 7 = 0 and end - start > 3").select(*J.KEY).distinct()
+def _all_junctions(spark, sf):
+    return R.junction_counts(B.reads(spark, sf)).select(*J.KEY).distinct()
 
 
 @query(
     "junction_clusters",
-    f"""WITH RECURSIVE {B.JUNCTIONS_SQL}, {_SITES},
-sx AS (SELECT DISTINCT 'S:' || chrom || ':' || strand || ':' || s AS a, 'S:' || chrom || ':' || strand || ':' || e AS b FROM jx), e2 AS (SELECT a, b FROM sx UNION SELECT b, a FROM sx),
-r AS (SELECT a AS v, a AS m FROM e2 UNION SELECT e2.b, r.m FROM r JOIN e2 ON r.v = e2.a WHERE r.m < e2.b), l AS (SELECT v, min(m) AS root FROM r GROUP BY v)
+    f"""WITH RECURSIVE {B.JUNCTIONS_SQL}, {_SITES}, {spread_sql('e2')}
 SELECT 'cluster:' || root AS cluster_id, jx.chrom, jx.strand, min(jx.s) AS start, max(jx.e) AS "end", count(*) AS size FROM jx JOIN l ON l.v = 'S:' || chrom || ':' || strand || ':' || s GROUP BY root, jx.chrom, jx.strand HAVING count(*) >= 2""",
 )
 def clusters(spark, sf):
-    return G.clusters(G.cluster_junctions(_some_junctions(spark, sf), max_intron=160))
+    return G.clusters(G.cluster_junctions(_all_junctions(spark, sf), max_intron=160))
 
 
-_GENES = "genes AS (SELECT s_suppkey::VARCHAR AS gene_id, 'chr' || (s_suppkey % 3 + 1) AS chrom, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, s_suppkey * 173 % 5000 AS s, s_suppkey * 173 % 5000 + 700 AS e FROM supplier WHERE s_suppkey % 3 < 2)"
+_GENES = "genes AS (SELECT s_suppkey::VARCHAR AS gene_id, 'chr' || (s_suppkey // 2 % 2 + 1) AS chrom, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, s_suppkey * 173 % 5000 AS s, s_suppkey * 173 % 5000 + 700 AS e FROM supplier)"
 
 
 @query(
     "module_builder",
-    f"""WITH RECURSIVE {B.JUNCTIONS_SQL}, {_SITES}, {_GENES},
-sx AS (SELECT DISTINCT 'S:' || chrom || ':' || strand || ':' || s AS a, 'S:' || chrom || ':' || strand || ':' || e AS b FROM jx), e2 AS (SELECT a, b FROM sx UNION SELECT b, a FROM sx),
-r AS (SELECT a AS v, a AS m FROM e2 UNION SELECT e2.b, r.m FROM r JOIN e2 ON r.v = e2.a WHERE r.m < e2.b), l AS (SELECT v, min(m) AS root FROM r GROUP BY v),
+    f"""WITH RECURSIVE {B.JUNCTIONS_SQL}, {_SITES}, {_GENES}, {spread_sql('e2')},
 mem AS (SELECT root, jx.* FROM jx JOIN l ON l.v = 'S:' || chrom || ':' || strand || ':' || s),
 cl AS (SELECT root, chrom, strand, min(s) AS s, max(e) AS e FROM mem GROUP BY root, chrom, strand HAVING count(*) >= 2),
 gc AS (SELECT gene_id, cl.* FROM cl JOIN genes g ON g.chrom = cl.chrom AND g.strand = cl.strand AND cl.s < g.e AND cl.e > g.s),
@@ -272,18 +279,18 @@ j AS (SELECT DISTINCT u.gene_id, u.chrom, u.strand, u.island, mem.s, mem.e FROM
 SELECT (CASE WHEN gene_id = '' THEN 'intergenic' ELSE gene_id END) || ':' || chrom || ':' || strand || ':' || min(s) || '-' || max(e) AS module_id, gene_id, chrom, strand, min(s) AS start, max(e) AS "end", count(*) AS n_connections, count(*) = 2 AS is_binary FROM j GROUP BY gene_id, chrom, strand, island""",
 )
 def modules(spark, sf):
-    members = G.cluster_junctions(_some_junctions(spark, sf), max_intron=160)
+    members = G.cluster_junctions(_all_junctions(spark, sf), max_intron=160)
     k = F.col("s_suppkey")
-    genes = B.table(spark, sf, "supplier").filter("s_suppkey % 3 < 2").select(k.cast("string").alias("gene_id"), k.cast("string").alias("gene_name"), F.concat(F.lit("chr"), k % 3 + 1).alias("chrom"), (k * 173 % 5000).alias("start"), (k * 173 % 5000 + 700).alias("end"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"))
+    genes = B.table(spark, sf, "supplier").select(k.cast("string").alias("gene_id"), k.cast("string").alias("gene_name"), F.concat(F.lit("chr"), F.expr("s_suppkey div 2 % 2 + 1")).alias("chrom"), (k * 173 % 5000).alias("start"), (k * 173 % 5000 + 700).alias("end"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"))
     return M.build_modules(G.clusters(members), members, genes)[0].drop("gene_name")
 
 
-_CO = "mem AS (SELECT DISTINCT p_brand AS module_id, l_suppkey AS j FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey <= 9), ed AS (SELECT x.module_id, x.l_suppkey AS i, y.l_suppkey AS j, count(*) AS n FROM (SELECT p_brand AS module_id, * FROM lineitem JOIN part ON l_partkey = p_partkey) x JOIN (SELECT p_brand AS module_id, * FROM lineitem JOIN part ON l_partkey = p_partkey) y ON x.module_id = y.module_id AND x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey WHERE x.l_suppkey <= 9 AND y.l_suppkey <= 9 GROUP BY ALL)"
+_CO = "mem AS (SELECT DISTINCT p_brand AS module_id, l_suppkey AS j FROM lineitem JOIN part ON l_partkey = p_partkey), ed AS (SELECT x.module_id, x.l_suppkey AS i, y.l_suppkey AS j, count(*) AS n FROM (SELECT p_brand AS module_id, * FROM lineitem JOIN part ON l_partkey = p_partkey) x JOIN (SELECT p_brand AS module_id, * FROM lineitem JOIN part ON l_partkey = p_partkey) y ON x.module_id = y.module_id AND x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY ALL)"
 
 
 def _network(spark, sf):
     """Suppliers as a brand's junctions; those that share an order with the brand occur together."""
-    rows = B.table(spark, sf, "lineitem").filter("l_suppkey <= 9").join(B.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("module_id"), "l_orderkey", F.col("l_suppkey").alias("k"))
+    rows = B.table(spark, sf, "lineitem").join(B.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("module_id"), "l_orderkey", F.col("l_suppkey").alias("k"))
     edges = rows.withColumnRenamed("k", "i").join(rows.withColumnRenamed("k", "j"), ["module_id", "l_orderkey"]).filter("i < j").groupBy("module_id", "i", "j").agg(F.count("*").alias("n"))
     return rows.select("module_id", F.col("k").alias("j_idx")).distinct(), edges
 
@@ -300,9 +307,8 @@ def exclusive(spark, sf):
 
 @query(
     "graph_coordinated_groups",
-    f"""WITH RECURSIVE {_CO}, st AS (SELECT module_id, i, j FROM ed WHERE n >= 2), e2 AS (SELECT * FROM st UNION SELECT module_id, j, i FROM st),
-r AS (SELECT module_id, i AS v, i AS m FROM e2 UNION SELECT e2.module_id, e2.j, r.m FROM r JOIN e2 ON r.module_id = e2.module_id AND r.v = e2.i WHERE r.m < e2.j), l AS (SELECT module_id, v, min(m) AS root FROM r GROUP BY module_id, v)
-SELECT mem.module_id, mem.j AS j_idx, coalesce(root, mem.j) AS "group" FROM mem LEFT JOIN l ON l.module_id = mem.module_id AND l.v = mem.j""",
+    f"""WITH RECURSIVE {_CO}, st AS (SELECT module_id, i, j FROM ed WHERE n >= 2), e2 AS (SELECT (module_id, i) AS a, (module_id, j) AS b FROM st UNION SELECT (module_id, j), (module_id, i) FROM st), {spread_sql('e2')}
+SELECT mem.module_id, mem.j AS j_idx, coalesce(root[2], mem.j) AS "group" FROM mem LEFT JOIN l ON l.v = (mem.module_id, mem.j)""",
 )
 def coordinated(spark, sf):
     return G.coordinated_groups(*_network(spark, sf), least=2)
@@ -336,24 +342,24 @@ def cooccurrence(spark, sf):
 
 @query(
     "frame_graph",
-    f"""WITH {_TX}, x AS (SELECT DISTINCT s, e FROM t WHERE g % 50 = 0), w AS (SELECT DISTINCT e AS s, lead(s) OVER (PARTITION BY g, tx ORDER BY s, e) AS e FROM t WHERE g % 50 = 0)
+    f"""WITH {_TX}, x AS (SELECT DISTINCT s, e FROM t), w AS (SELECT DISTINCT e AS s, lead(s) OVER (PARTITION BY g, tx ORDER BY s, e) AS e FROM t)
 SELECT u.s AS up_start, u.e AS up_end, f AS frame, d.s AS down_start, d.e AS down_end, (f + w.e - w.s) % 3 AS next_frame FROM w JOIN x u ON u.e = w.s JOIN x d ON d.s = w.e, range(3) t(f) WHERE w.e > w.s""",
 )
 def frame_graph(spark, sf):
-    some = exons(spark, sf).filter("cast(gene_id as bigint) % 50 = 0")
+    some = exons(spark, sf)
     return N.frame_graph(some.select("start", "end").distinct(), J.known_junctions(some).select("start", "end").distinct())
 
 
 @query(
     "junction_site_match",
-    f"""WITH {_TX}, k AS (SELECT g, tx, s, e, row_number() OVER (PARTITION BY g, tx ORDER BY s, e) AS i, e AS donor, lead(s) OVER (PARTITION BY g, tx ORDER BY s, e) AS acc FROM t WHERE g % 50 = 1),
+    f"""WITH {_TX}, k AS (SELECT g, tx, s, e, row_number() OVER (PARTITION BY g, tx ORDER BY s, e) AS i, e AS donor, lead(s) OVER (PARTITION BY g, tx ORDER BY s, e) AS acc FROM t),
 jn AS (SELECT DISTINCT g, donor AS s, acc + 10 AS e FROM k WHERE acc IS NOT NULL)
 SELECT jn.g::VARCHAR AS gene_id, jn.s AS start, jn.e AS "end", tx::VARCHAR AS transcript_id, min(i) - 1 AS first_match FROM jn JOIN k ON k.g = jn.g AND acc IS NOT NULL AND (donor = jn.s OR acc = jn.e) GROUP BY ALL""",
 )
 def site_match(spark, sf):
     from pyspark.sql import Window
 
-    some = exons(spark, sf).filter("cast(gene_id as bigint) % 50 = 1")
+    some = exons(spark, sf)
     w = Window.partitionBy("gene_id", "transcript_id").orderBy("start", "end")
     sites = some.select("gene_id", "transcript_id", (F.row_number().over(w) - 1).alias("i"), F.col("end").alias("donor"), F.lead("start").over(w).alias("acceptor")).filter("acceptor is not null")
     js = sites.select("gene_id", F.col("donor").alias("start"), (F.col("acceptor") + 10).alias("end")).distinct()

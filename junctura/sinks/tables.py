@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The header lines that other programs read.
 RESULTS = [
-    "module_id", "gene_id", "gene_name", "chrom", "strand", "event_type", "n_junctions", "max_abs_delta_psi", "psi_group1_mean", "psi_group2_mean", "log_likelihood_null", "log_likelihood_full", "degrees_of_freedom", "p_value", "fdr", "confidence_tier",
+    "module_id", "gene_id", "gene_name", "chrom", "strand", "event_type", "n_junctions", "max_abs_delta_psi", "psi_group1_max_effect_junction", "psi_group2_max_effect_junction", "log_likelihood_null", "log_likelihood_full", "degrees_of_freedom", "p_value", "fdr", "confidence_tier",
     "null_converged", "full_converged", "mean_mapq", "frac_high_mapq", "min_group_total_reads", "effective_n_min", "mean_junction_confidence", "bootstrap_cv", "has_novel_junctions", "has_convergence_issue", "reason",
 ]
 DETAILS = ["junction_id", "chrom", "start", "end", "strand", "gene_id", "gene_name", "is_annotated", "motif", "motif_score", "confidence_score", "nmd_class", "nmd_confidence", "n_productive_paths", "n_unproductive_paths", "total_reads", "mean_mapq", "cross_sample_recurrence", "sample_counts"]
@@ -50,8 +51,8 @@ def results_table(diff: DataFrame, diagnostics: DataFrame) -> DataFrame:
     flags = {"null_converged", "full_converged", "has_novel_junctions", "has_convergence_issue"}
     out = []
     for c in RESULTS:
-        if c in ("psi_group1_mean", "psi_group2_mean"):
-            value = number(six, at_largest(c.removesuffix("_mean")))
+        if c.endswith("_max_effect_junction"):
+            value = number(six, at_largest(c.removesuffix("_max_effect_junction")))
         elif c in formats:
             value = number(formats[c], F.col(c).cast("double"))
         else:
