@@ -1,27 +1,31 @@
 """Near-duplicate documents: a chosen-path similarity join on sets of word shingles.
 
 Sets are embedded by 64 minwise tokens, so that two sets agree on a token with probability
-equal to their Jaccard similarity.  In each of several independent trees a document walks the
-path of tokens selected for the tree; documents that meet in a node are candidates.
-
-* Nodes are compared exhaustively on the minwise sketch, but only until they hang together:
-  a spanning forest is emitted, never all pairs.
-* Nodes of more than NODE_ROWS are compared in blocks first, dealt differently in each tree.
-  Documents that this leaves apart are then compared block by block, every one with every other;
-  where that takes many copies of a row, nodes first branch on further tokens, on so many
-  paths that a pair at the threshold meets on one with probability RECALL.
-* The sketch's components are compared exhaustively on the full sets.  Components too large
-  for a task are compared in blocks of the trees' nodes, once a tree, and each block holds
-  the component's most typical documents besides.  That links most of them; the rest is exact:
-  documents not yet linked that share a shingle of their prefixes (see `prefixes`) are compared.
-
-Trees are repeated until a pair at the threshold meets with probability RECALL.
+equal to their Jaccard similarity.  In each of several independent trees a node chooses some of
+the tokens by its own hash, and its documents branch by their values there:
+
+* A node of at most NODE_ROWS documents is compared exhaustively, on the sketch of all tokens.
+* A larger one branches, on BRANCHES tokens, as often as that is needed, at every table size.
+* Where branching would not thin out the pairs, as among documents that share most of their
+  text, the node is compared exhaustively too, in blocks that each meet every other.
+
+A pair at the threshold loses all of its paths in a tree with the extinction probability of a
+branching process (`lost`), whatever the depth; trees are repeated until that is 1 - RECALL.
+Comparing emits a spanning forest, never all pairs.
+
+The sketch's components are candidates; links are confirmed on the full sets.  A component
+within the bounds of a task is compared exhaustively.  A larger one is dealt into blocks twice,
+each joined by the component's most typical documents, which links most copies; the rest is
+exact: documents not yet linked that share a shingle of their prefixes (see `prefixes`) are
+compared.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +39,13 @@ WORDS = 5
 THRESHOLD = 80  # percent
 RECALL = 0.9999
 TOKENS = 64
-DEPTH = 2
 NODE_ROWS = 2048
-HOT_NODES = 5000  # no longer used: large nodes do not depend on the size of the table
+POOL = 8  # tokens that a node below the root chooses from
+LEVELS = 7
+DENSE = 0.7  # a node branches if its children have at most this share of its pairs
 GROUP_SHINGLES = 4_000_000
-BLOCK_ROWS = 64
+GROUP_DOCS = 512
+DEALS = 2
 HUBS = 16
 SALTS = 64
 COMMON = 1 << 19  # shingles whose counts order the prefixes of large components
@@ -47,8 +53,21 @@ ORDER_DOCS = 20_000  # documents that these counts are taken from
 _SEEDS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def branches_for(threshold: int) -> int:
+    """Tokens that a node branches on: a pair at the threshold then meets on more than one of them on average."""
+    return min(POOL, max(2, math.ceil(150 / threshold)))
+
+
+def lost(threshold: int) -> float:
+    """The probability that a pair at the threshold is parted on all paths of a tree of any depth."""
+    t, b, q = threshold / 100, branches_for(threshold), 0.0
+    for _ in range(1000):
+        q = (1 - t + t * q) ** b
+    return q
+
+
 def trees_for(threshold: int, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (threshold / 100) ** DEPTH))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(max(lost(threshold), 1e-12))))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -71,41 +90,72 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.
     return out, offs
 
 
-FEATURES = "doc_id bigint, n bigint, hi bigint, lo bigint, nodes array<bigint>, sketch binary"
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary())])
+FEATURES = "doc_id bigint, n bigint, hi bigint, lo bigint, sketch binary"
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.binary())])
 
 
-def features(docs: DataFrame, trees: int, key: str, text: str) -> DataFrame:
-    """Per row: set size, a digest of the set, the node of each tree, and the sketch."""
-    rng = np.random.RandomState(7)
-    paths = np.array([rng.choice(TOKENS, DEPTH, replace=False) for _ in range(trees)])
+def features(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: set size, a cryptographic digest of the whole set, and the sketch of two bytes a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, 1):
             all_, offs = shingles(data, offsets)
             m = rows.num_rows
-            n, hi, lo = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+            n, digest = np.zeros(m, np.int64), np.zeros((m, 2), np.int64)
             for d in range(m):
                 one = np.unique(all_[offs[d] : offs[d + 1]])
-                n[d], hi[d], lo[d] = len(one), np.sum(mix64(one)), np.sum(mix64(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+                n[d], digest[d] = len(one), np.frombuffer(blake2b(one.tobytes(), digest_size=16).digest(), np.int64)
             full = np.flatnonzero(n)
             least = np.zeros((m, TOKENS), np.uint64)
             if len(full):
                 for t in range(TOKENS):
                     least[full, t] = np.minimum.reduceat(all_ * _SEEDS[t], offs[:-1][full])
-            nodes = np.zeros((m, trees), np.uint64)
-            for r, path in enumerate(paths):
-                h = np.full(m, r + 1, np.uint64)
-                for t in path:
-                    h = mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ least[:, t])
-                nodes[:, r] = h
             sketch = mix64(least).astype(np.uint16)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * trees, pa.int32()), pa.array(nodes.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), lists, pa.array([s.tobytes() for s in sketch], pa.binary())], schema=_FEATURES)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([s.tobytes() for s in sketch], pa.binary())], schema=_FEATURES)
 
     return docs.selectExpr(f"cast({key} as bigint) doc_id", f"cast({text} as binary) body").mapInArrow(run, FEATURES)
 
 
+_CHILD = "xxhash64(node, pos, substring(sketch, 2 * pos + 1, 2))"
+
+
+def walk(reps: DataFrame, threshold: int, recall: float) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes of all trees of (doc, sketch): (node, doc, sketch) of those to compare at once, and of the dense ones with their count.
+
+    The driver learns how many large nodes a level has, and no more.
+    """
+    trees, b = trees_for(threshold, recall), branches_for(threshold)
+    order = [np.random.RandomState(7 + r).permutation(TOKENS).tolist() for r in range(trees)]
+    roots = [(r, (r * b + j) % TOKENS) for r in range(trees) for j in range(b)]
+    pools = [[t for t in order[r] if (r, t) not in roots] for r in range(trees)]
+    rows = reps.withColumn("root", F.explode(F.array(*(F.struct(F.lit(r).alias("tree"), F.lit(p).alias("pos")) for r, p in roots))))
+    rows = rows.select("root.tree", F.expr(_CHILD.replace("node, pos", "root.tree, root.pos").replace("* pos", "* root.pos")).alias("node"), "doc", "sketch")
+    small, dense = [], []
+    hot = stash(rows.groupBy("node").agg(F.count("*").alias("m")).filter(F.col("m") > NODE_ROWS), "hot")
+    level = 0
+    while many := hot.count():
+        marked = rows.join(hot, "node", "left")
+        small.append(marked.filter("m is null").select("node", "doc", "sketch"))
+        large = stash(marked.filter("m is not null"), "large")
+        if level == LEVELS:
+            dense.append(large.select("node", "doc", "sketch", "m"))
+            break
+        pool = F.element_at(F.array(*(F.array(*map(F.lit, pools[r][level * POOL : (level + 1) * POOL])) for r in range(trees))), F.col("tree") + 1)
+        first, step = F.pmod(F.xxhash64("node"), F.lit(POOL)), 1 + 2 * F.pmod(F.xxhash64("node", F.lit(1)), F.lit(POOL // 2))
+        chosen = F.array(*(F.element_at(pool, (1 + (first + j * step) % POOL).cast("int")) for j in range(b)))
+        children = large.withColumn("pos", F.explode(chosen)).select("tree", F.col("node").alias("parent"), "m", F.expr(_CHILD).alias("node"), "doc", "sketch")
+        sizes = stash(children.groupBy("parent", "m", "node").agg(F.count("*").alias("n")), "children")
+        thins = sizes.groupBy("parent", "m").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).filter(F.col("pairs") <= DENSE * F.col("m").cast("double") * F.col("m")).select("parent")
+        thins = stash(thins, "branching")
+        dense.append(large.join(thins, large["node"] == thins["parent"], "left_anti").select("node", "doc", "sketch", "m"))
+        rows = children.join(thins, "parent", "left_semi").select("tree", "node", "doc", "sketch")
+        hot = stash(sizes.join(thins, "parent", "left_semi").filter(F.col("n") > NODE_ROWS).select("node", F.col("n").alias("m")), "hot")
+        level += 1
+    if not many:
+        small.append(rows.select("node", "doc", "sketch"))
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense) if dense else None
+
+
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of rows with equal first column, of two rows or more."""
     held: list[pa.RecordBatch] = []
@@ -209,60 +259,58 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
     a key are one document.  Rows without a key are returned with null component, kept true,
     and link nothing.  Empty tables give no rows; other columns are ignored.
     """
-    trees = trees_for(threshold, recall)
     t = threshold / 100
     cutoff = max(0.0, t - 5 * math.sqrt(t * (1 - t) / TOKENS))
-    feats = stash(features(docs, trees, key, text), "features")
+    feats = stash(features(docs, key, text), "features")
+    salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    live = feats.filter("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     same = ["hi", "lo", "n"]
-    feats = feats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    salted = feats.filter("doc_id is not null and n > 0").groupBy(*same, "salt").agg(F.min("doc_id").alias("rep"))
+    salted = live.groupBy(*same, "salt").agg(F.min("doc_id").alias("rep"))
     sets = salted.groupBy(*same).agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salt")).withColumn("salt", F.explode("salt"))
     same = [*same, "salt"]
-    members = keep(feats.select("doc_id", *same).join(sets, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = feats.join(sets, same).filter("doc_id = rep")
-    rows = reps.select(F.explode("nodes").alias("node"), F.col("doc_id").alias("doc"), "sketch")
-    sizes = reps.select(F.explode("nodes").alias("node")).groupBy("node").count()
-    hot = stash(sizes.filter(F.col("count") > NODE_ROWS), "hot")
-    many = hot.count()
-    if many:
-        block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("count") / NODE_ROWS))
-        dealt = rows.join(hot, "node", "left").withColumn("node", F.when(F.col("count").isNull(), F.col("node")).otherwise(F.xxhash64("node", block)))
-        edges = keep(sketch_edges(dealt.select("node", "doc", "sketch"), cutoff))
-        linked = components(edges).select(F.col("v").alias("doc"), F.col("root").alias("linked"))
-        wide = rows.join(hot, "node", "left_semi").join(linked, "doc", "left")
-        wide = wide.select(F.col("node").alias("grp"), "doc", F.coalesce("linked", "doc").alias("linked"), F.lit(1).alias("n"), "sketch")
-        wide = stash(wide, "nodes")
-        met = crossed(_branched(wide, t, recall), NODE_ROWS, ["sketch"]).withColumnRenamed("grp", "node")
-        near = components(edges.unionByName(sketch_edges(met, cutoff)))
-    else:
-        near = components(sketch_edges(rows, cutoff))
+    members = keep(live.select("doc_id", *same).join(sets, same).select("doc_id", "n", "rep"))
+    reps = live.join(sets, same).filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"])
+    small, dense = walk(stash(reps, "sets"), threshold, recall)
+    near = components(_sketch_links(small, dense, cutoff))
     sized = near.join(members.groupBy("rep").agg(F.max("n").alias("n")), near["v"] == F.col("rep")).select("v", "root", "n")
-    size = sized.groupBy("root").agg(F.sum("n").alias("all_n"))
+    size = sized.groupBy("root").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
     placed = keep(sized.join(size, "root"))
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("body"))
-    groups = placed.filter(F.col("all_n") <= GROUP_SHINGLES).select(F.col("v").alias("doc"), F.col("root").alias("grp"))
-    large = placed.filter(F.col("all_n") > GROUP_SHINGLES)
+    fits = (F.col("all_n") <= GROUP_SHINGLES) & (F.col("docs") <= GROUP_DOCS)
+    edges = set_edges(_with_texts(texts, placed.filter(fits).select(F.col("v").alias("doc"), F.col("root").alias("grp"))), threshold)
+    large = placed.filter(~fits)
     many = large.count()  # of all partitions: adaptive execution may take a table that is held in part for empty
     if many:
-        known = keep(large.join(feats.select(F.col("doc_id").alias("v"), "nodes", "sketch").dropDuplicates(["v"]), "v"))
-        split = known.select("v", "root", "n", F.posexplode("nodes").alias("tree", "node"))
-        counts = split.groupBy("root", "tree", "node").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
-        blocks = F.greatest(F.lit(1), F.least(F.ceil(F.col("all_n") / (GROUP_SHINGLES / 2)), F.ceil(F.col("docs") / BLOCK_ROWS)))
-        dealt = split.join(counts.filter("docs > 1"), ["root", "tree", "node"]).withColumn("block", F.pmod(F.xxhash64("v", "tree"), blocks))
-        dealt = dealt.select(F.col("v").alias("doc"), "root", F.xxhash64("root", "tree", "node", "block").alias("grp"))
+        blocks = F.ceil(F.greatest(F.col("all_n") * 2 / GROUP_SHINGLES, F.col("docs") * 2 / GROUP_DOCS))
+        dealt = large.withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS)))).select(F.col("v").alias("doc"), "root", F.xxhash64("root", "deal", F.pmod(F.xxhash64("v", "deal"), blocks)).alias("grp"))
+        known = keep(large.join(feats.select(F.col("doc_id").alias("v"), "sketch").dropDuplicates(["v"]), "v"))
         hubs = dealt.select("root", "grp").distinct().join(_hubs(known), "root").select("doc", "grp")
-        groups = groups.unionByName(dealt.select("doc", "grp").unionByName(hubs).distinct())
-    edges = set_edges(_with_texts(texts, groups), threshold)
-    if many:
-        edges = keep(edges)
+        edges = keep(edges.unionByName(set_edges(_with_texts(texts, dealt.select("doc", "grp").unionByName(hubs).distinct()), threshold)))
         linked = large.join(components(edges).select("v", F.col("root").alias("linked")), "v", "left")
         linked = keep(linked.select(F.col("v").alias("doc"), F.col("root").alias("grp"), F.coalesce("linked", "v").alias("linked"), "n"))
-        edges = edges.unionByName(set_edges(_with_texts(texts, _unlinked(texts, linked, threshold)), threshold))
+        apart = linked.groupBy("grp").agg(F.min("linked").alias("l"), F.max("linked").alias("m")).filter("l < m").select("grp")
+        linked = stash(linked.join(apart, "grp", "left_semi"), "apart")
+        if not linked.isEmpty():
+            edges = edges.unionByName(set_edges(_with_texts(texts, _unlinked(texts, linked, threshold)), threshold))
     links = components(edges)
-    found = members.join(links, members["rep"] == links["v"], "left").withColumn("component_id", F.coalesce("root", "rep"))
+    found = members.join(links, members["rep"] == links["v"], "left").withColumn("component_id", F.coalesce("root", "rep")).select("doc_id", "n", "component_id")
+    found = found.unionByName(feats.filter("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _sketch_links(small: DataFrame, dense: DataFrame | None, cutoff: float) -> DataFrame:
+    """Spanning forests of all nodes.  Dense ones are first dealt into blocks, differently in each; documents still apart then meet block by block."""
+    if dense is None:
+        return sketch_edges(small, cutoff)
+    dense = stash(dense, "dense")
+    block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("m") / NODE_ROWS))
+    edges = keep(sketch_edges(small.unionByName(dense.select(F.xxhash64("node", block).alias("node"), "doc", "sketch")), cutoff))
+    linked = components(edges).select(F.col("v").alias("doc"), F.col("root").alias("linked"))
+    wide = dense.join(linked, "doc", "left").select(F.col("node").alias("grp"), "doc", F.coalesce("linked", "doc").alias("linked"), F.lit(1).alias("n"), "sketch")
+    met = crossed(stash(wide, "nodes"), NODE_ROWS, ["sketch"], 32 * NODE_ROWS).withColumnRenamed("grp", "node")
+    return edges.unionByName(sketch_edges(met, cutoff))
+
+
 def _with_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
     return flagged(texts, ["doc"], groups).filter("__jx_maybe").drop("__jx_maybe").join(groups, "doc")
 
@@ -325,26 +373,27 @@ def _unlinked(texts: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
     return crossed(found.join(keys, "grp"), GROUP_SHINGLES, []).select("doc", "grp")
 
 
-def _parts(rows: DataFrame, most: int) -> DataFrame:
-    """(grp, bulk, b, r, all_n, dealt_n) of groups of (grp, doc, linked, n) that are not all linked.
+def _parts(rows: DataFrame, most: int, top: int) -> DataFrame:
+    """(grp, bulk, b, r) of groups of (grp, doc, linked, n) that are not all linked.
 
-    bulk is what the largest part is linked as; b and r are the blocks of most / 2 of it and of the rest.
+    bulk is what the largest part is linked as; b and r are the numbers of blocks of it and of the rest.
     """
     parts = rows.groupBy("grp", "linked").agg(F.sum("n").alias("n"))
     parts = parts.groupBy("grp").agg(F.max_by("linked", F.struct("n", "linked")).alias("bulk"), F.max("n").alias("b_n"), F.sum("n").alias("all_n")).filter("b_n < all_n")
-    parts = parts.withColumns({"b": F.ceil(F.col("b_n") * 2 / most), "r": F.ceil((F.col("all_n") - F.col("b_n")) * 2 / most)})
-    return parts.select("grp", "bulk", "b", "r", "all_n", F.expr("b_n * r + (all_n - b_n) * (b + r - 1)").alias("dealt_n"))
+    half = F.greatest(F.lit(most), F.least(F.lit(top), F.col("all_n") / 32)) / 2
+    return parts.select("grp", "bulk", F.ceil(F.col("b_n") / half).alias("b"), F.ceil((F.col("all_n") - F.col("b_n")) / half).alias("r"))
 
 
-def crossed(rows: DataFrame, most: int, columns: list[str]) -> DataFrame:
+def crossed(rows: DataFrame, most: int, columns: list[str], top: int | None = None) -> DataFrame:
     """Rows (grp, doc, linked, n, *columns) dealt to new groups of `most` n or so, in which all that differ in `linked` meet.
 
     A group is cut into blocks of half the size, and each two blocks are a new group.  What is linked in the
-    largest part of a group needs no comparing, so its blocks meet the others only.
+    largest part of a group needs no comparing, so its blocks meet the others only.  Of a large group the blocks
+    may grow up to `top`, which keeps the copies of a row few.
     """
     block = "if(linked = bulk, -1 - pmod(xxhash64(doc), b), pmod(xxhash64(doc), r))"
     met = "if(linked = bulk, sequence(0L, r - 1), concat(sequence(-b, -1L), array_remove(sequence(0L, r - 1), own)))"
-    dealt = rows.join(_parts(rows, most).drop("all_n", "dealt_n"), "grp").withColumn("own", F.expr(block)).withColumn("other", F.explode(F.expr(met)))
+    dealt = rows.join(_parts(rows, most, top or most), "grp").withColumn("own", F.expr(block)).withColumn("other", F.explode(F.expr(met)))
     return dealt.select(F.expr("xxhash64(grp, least(own, other), greatest(own, other))").alias("grp"), "doc", *columns)
 
 
@@ -363,27 +412,12 @@ def _hubs(known: DataFrame) -> DataFrame:
     return scored.groupBy("root", "slot").agg(F.max_by("v", F.struct("agree", "v")).alias("doc")).select("root", "doc")
 
 
-def _branched(rows: DataFrame, t: float, recall: float) -> DataFrame:
-    """Rows (grp, doc, linked, n, sketch) in which groups that `crossed` would copy more often than that branch on further tokens.
+def drop_near(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that stay, with all columns: one document of each component.
 
-    The sketch is cut in paths of as many tokens as let a pair of similarity t agree on one of them with
-    probability `recall`; a second time, into paths across the first ones.
+    Rows without a key and texts without words stay; empty tables give no rows; extra columns
+    are carried, whatever their names.
     """
-    size = max((k for k in range(1, 5) if (1 - t**k) ** (TOKENS // k) <= 1 - recall), default=0)
-    if not size:
-        return rows
-    paths = TOKENS // size
-    for tokens in ([[g * size + i for i in range(size)] for g in range(paths)], [[g + i * paths for i in range(size)] for g in range(paths)]):
-        wide = stash(_parts(rows, NODE_ROWS).filter(F.col("dealt_n") > paths * F.col("all_n")).select("grp", F.lit(True).alias("wide")), "wide")
-        if wide.isEmpty():
-            break
-        path = F.array(*(F.xxhash64("grp", F.lit(g), *(F.expr(f"substring(sketch, {2 * i + 1}, 2)") for i in path)) for g, path in enumerate(tokens)))
-        rows = rows.join(wide, "grp", "left").withColumn("grp", F.explode(F.when(F.col("wide"), path).otherwise(F.array("grp")))).drop("wide")
-    return rows
-
-
-def drop_near(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, with all columns: one document of each component."""
     return without(docs, "doc_id", near_duplicates(docs, **options).filter("not kept"))
 
 

@@ -64,8 +64,8 @@ def brute_components(texts, threshold):
     return {k: (len(s), root(k)) for k, s in sets.items()}
 
 
-@pytest.mark.parametrize(("threshold", "rows", "shingles", "hot"), [(85, 2048, 4_000_000, 5000), (80, 4, 1000, 10**9)])
-def test_near_duplicates(spark, texts, monkeypatch, threshold, rows, shingles, hot):
+@pytest.mark.parametrize(("threshold", "rows", "shingles"), [(85, 2048, 4_000_000), (80, 4, 1000)])
+def test_near_duplicates(spark, texts, monkeypatch, threshold, rows, shingles):
     rng = random.Random(5)
     more = dict(texts)
     base = [f"w{rng.randrange(3000)}" for _ in range(300)]
@@ -76,7 +76,6 @@ def test_near_duplicates(spark, texts, monkeypatch, threshold, rows, shingles, h
         more[10_000 + k] = " ".join(copy)
     monkeypatch.setattr(neardup, "NODE_ROWS", rows)
     monkeypatch.setattr(neardup, "GROUP_SHINGLES", shingles)
-    monkeypatch.setattr(neardup, "HOT_NODES", hot)
     docs = spark.createDataFrame(list(more.items()), "doc_id bigint, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, threshold).collect()}
     assert got == brute_components(more, threshold)
@@ -84,7 +83,7 @@ def test_near_duplicates(spark, texts, monkeypatch, threshold, rows, shingles, h
 
 def test_copies_that_only_resemble_one_original(spark, monkeypatch):
     monkeypatch.setattr(neardup, "GROUP_SHINGLES", 4000)
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neardup, "GROUP_DOCS", 16)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(200)]
     texts = {1: " ".join(base)}
@@ -102,7 +101,7 @@ def test_copies_that_only_resemble_one_original(spark, monkeypatch):
 @pytest.mark.parametrize("shared", [160, 180])
 def test_templated_pages_beyond_a_task(spark, monkeypatch, shared):
     monkeypatch.setattr(neardup, "GROUP_SHINGLES", 3000)
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neardup, "GROUP_DOCS", 16)
     rng = random.Random(11)
     base = [f"w{k}" for k in range(shared)]
     own = lambda m: [f"x{rng.randrange(10**9)}" for _ in range(m)]
@@ -117,10 +116,8 @@ def test_templated_pages_beyond_a_task(spark, monkeypatch, shared):
     assert 150 < len({c for _, c in want.values()}) < 250 and got == want
 
 
-@pytest.mark.parametrize("hot", [1, 5000])
-def test_short_documents_of_one_boilerplate(spark, monkeypatch, hot):
+def test_short_documents_of_one_boilerplate(spark, monkeypatch):
     monkeypatch.setattr(neardup, "NODE_ROWS", 8)
-    monkeypatch.setattr(neardup, "HOT_NODES", hot)
     rng = random.Random(12)
     base = [f"w{k}" for k in range(30)]
     own = lambda m: [f"x{rng.randrange(10**9)}" for _ in range(m)]
@@ -133,6 +130,38 @@ def test_short_documents_of_one_boilerplate(spark, monkeypatch, hot):
     assert got == brute_components(texts, 85)
 
 
+@pytest.mark.parametrize("shared", [20, 79])
+def test_a_large_family_with_the_constants_as_they_are(spark, shared):
+    """20,000 documents that all share a boilerplate (resemblance 0.1 and 0.64), in pairs that differ by one word at an end or have nothing else in common."""
+    rng = random.Random(shared)
+    base = [f"w{k}" for k in range(shared)]
+    texts, want = {}, {}
+    for k in range(0, 20_000, 2):
+        mine = [f"x{rng.randrange(10**12)}" for _ in range(100 - shared)]
+        alike = k % 4 == 0
+        other = [*mine[:-7], *(f"y{rng.randrange(10**12)}" for _ in range(7))] if alike else [f"x{rng.randrange(10**12)}" for _ in range(100 - shared)]
+        texts[k], texts[k + 1] = " ".join(base + mine), " ".join(base + other)
+        want[k], want[k + 1] = k, k if alike else k + 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 85).collect()}
+    found = sum(got[k + 1] == k for k in range(0, 20_000, 4))
+    assert found >= 0.999 * 5000 and all(got[k] == want[k] for k in got if want[k] == k)
+
+
+def test_recall_of_the_trees():
+    """Pairs whose tokens agree independently with the threshold's probability, in trees that branch to the last level."""
+    rng = np.random.RandomState(4)
+    for threshold in (80, 85):
+        b, trees, n = neardup.branches_for(threshold), neardup.trees_for(threshold), 20_000
+        missed = np.ones(n, bool)
+        for _ in range(trees):
+            paths = np.ones(n, np.int64)
+            for _ in range(neardup.LEVELS + 1):
+                paths = rng.binomial(b * paths, threshold / 100)
+            missed &= paths == 0
+        assert missed.mean() <= 3e-4
+
+
 def test_large_nodes_meet_whole(spark):
     rng = random.Random(13)
     linked = {d: (0 if d < 60 else rng.randrange(60, 90)) for d in range(200)}
