@@ -32,12 +32,12 @@ _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: Their content is no text, to the end of the page if they are not closed.
-RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
-#: Their content is no text if they are closed.
-HIDDEN = frozenset("noscript template svg math select button canvas object audio video datalist".split())
+RAW = frozenset("script style iframe textarea title noembed noframes".split())
+#: Their content is no text if they are closed: inert markup, drawings and the controls of forms.
+HIDDEN = frozenset("template svg select button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: These do not part blocks.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math menclose mfrac mi mn mo mover mpadded mroot mrow mspace msqrt mstyle msub msubsup msup mtext munder munderover q semantics rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: These end what is open of themselves.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 #: What names in class, id and role speak of.
@@ -66,7 +66,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, with decoded text and white space as single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # tag, what its names speak of, and those of the nearest that has any
+    unclosed: set[str] = set()
     tags: Counter[str] = Counter()
     groups: Counter[str] = Counter()
     parts: list[str] = []
@@ -91,10 +92,12 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(tag: str) -> None:
         while stack:
-            name, names = stack.pop()
-            tags[name] -= 1
-            for g in names:
-                groups[g] -= 1
+            name, names, _ = stack.pop()
+            for counts, of in ((tags, (name,)), (groups, names)):
+                for g in of:
+                    counts[g] -= 1
+                    if not counts[g]:
+                        del counts[g]
             if name == tag:
                 return
 
@@ -107,7 +110,9 @@ def blocks(page: str) -> list[Block]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if not closing and (tag in RAW or tag in HIDDEN):
-            end = _closing(tag).search(page, at)
+            end = None if tag in unclosed else _closing(tag).search(page, at)
+            if not end:
+                unclosed.add(tag)
             if end or tag in RAW:
                 at = end.end() if end else len(page)
                 if tag in RAW and tag not in ("script", "style"):
@@ -128,7 +133,7 @@ def blocks(page: str) -> list[Block]:
         if tag in SELF_CLOSING and stack and stack[-1][0] == tag or tags["p"] > 0 and stack[-1][0] == "p":
             pop_to(stack[-1][0])
         names = tuple({_GROUP[n] for a in _ATTRIBUTE.findall(attributes) for n in _NAME.findall("".join(a).lower()) if n in _GROUP}) if "=" in attributes else ()
-        stack.append((tag, names))
+        stack.append((tag, names, names or (stack[-1][2] if stack else ())))
         tags[tag] += 1
         groups.update(names)
     add(page[at:])
@@ -146,8 +151,7 @@ def _features(text: str, linked: float, stack, tags: Counter, groups: Counter, s
     out += [f"in:{t}" for t, n in tags.items() if n > 0 and t in _TAGS]
     here = [g for g, n in groups.items() if n > 0]
     out += [f"of:{g}" for g in here]
-    inner = next((names for _, names in reversed(stack[-8:]) if names), ())
-    out += [f"inner:{g}" for g in inner]
+    out += [f"inner:{g}" for g in (stack[-1][2] if stack else ())]
     out.append(f"tag:{stack[-1][0] if stack and stack[-1][0] in _TAGS else '-'}")
     rest = [t for t in ("nav", "header", "footer", "aside", "form") if tags[t] > 0]
     bad = bool(rest) or any(g != "main" for g in here)
@@ -160,8 +164,8 @@ def _features(text: str, linked: float, stack, tags: Counter, groups: Counter, s
     out.append("linked:" + ("no" if linked <= 0.05 else "some" if linked < 0.5 else "all"))
     out.append(f"end:{text[-1] in '.!?:;…'}")
     out.append(f"long:{words >= 10},{linked < 0.5},{bad}")
-    if "©" in text or "(c)" in (lower := text[:200].lower()) or lower.startswith("copyright"):
-        out.append("copyright")
+    if "©" in text or "(c)" in (lower := text.lower()) or lower.startswith("copyright"):
+        out.append(f"copyright:{words < 25}")
     out.append(f"title:{bool(seen_h1)}")
     return out
 
@@ -345,9 +349,10 @@ def main_text(page: str | None, field: Field) -> str:
 def extract_text(pages: DataFrame, field: Field | None = None, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row (key, url, text, n_chars) for each row of `pages`, from the whole html.
 
-    Null and empty html give an empty text, as does a page without an article; html is read
-    leniently, with unclosed and unknown tags.  Null keys and urls stay null; repeated rows are
-    extracted each; empty tables give no rows; other columns are ignored.
+    Null and empty html give an empty text, as does a page without an article; html of any length
+    is read whole, in time linear in it, leniently, with unclosed and unknown tags.  Null keys and
+    urls stay null; repeated rows are extracted each; empty tables give no rows; other columns,
+    whatever their names, are ignored.
     """
     field = field or train()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
