@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import SPACE_SEP, flagged, keep, mix64, read, slices, spans, stash, windows, without, word_hashes
+from .common import SPACE_SEP, flagged, mix64, read, slices, spans, stash, windows, without, word_hashes
 
 WORDS = 5
 THRESHOLD = 80  # percent
@@ -119,23 +119,26 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
 _CHILD = "xxhash64(node, pos, substring(sketch, 2 * pos + 1, 2))"
 
 
-def walk(reps: DataFrame, threshold: int, recall: float) -> tuple[DataFrame, DataFrame | None]:
-    """The nodes of all trees of (doc, sketch): (node, doc, sketch) of those to compare at once, and of the dense ones with their count.
+def sketch_links(reps: DataFrame, threshold: int, recall: float) -> DataFrame:
+    """Spanning forests of the nodes of all trees of (doc, sketch), by agreement of sketches.
 
-    The driver learns how many large nodes a level has, and no more.
+    The driver learns how many large nodes a level has, and no more.  Tables between levels are
+    written, which keeps plans short.
     """
+    t = threshold / 100
+    cutoff = max(0.0, t - 5 * math.sqrt(t * (1 - t) / TOKENS))
     trees, b = trees_for(threshold, recall), branches_for(threshold)
     order = [np.random.RandomState(7 + r).permutation(TOKENS).tolist() for r in range(trees)]
     roots = [(r, (r * b + j) % TOKENS) for r in range(trees) for j in range(b)]
     pools = [[t for t in order[r] if (r, t) not in roots] for r in range(trees)]
     rows = reps.withColumn("root", F.explode(F.array(*(F.struct(F.lit(r).alias("tree"), F.lit(p).alias("pos")) for r, p in roots))))
     rows = rows.select("root.tree", F.expr(_CHILD.replace("node, pos", "root.tree, root.pos").replace("* pos", "* root.pos")).alias("node"), "doc", "sketch")
-    small, dense = [], []
+    edges, dense = [], []
     hot = stash(rows.groupBy("node").agg(F.count("*").alias("m")).filter(F.col("m") > NODE_ROWS), "hot")
     level = 0
     while many := hot.count():
         marked = rows.join(hot, "node", "left")
-        small.append(marked.filter("m is null").select("node", "doc", "sketch"))
+        edges.append(stash(sketch_edges(marked.filter("m is null").select("node", "doc", "sketch"), cutoff), "edges"))
         large = stash(marked.filter("m is not null"), "large")
         if level == LEVELS:
             dense.append(large.select("node", "doc", "sketch", "m"))
@@ -147,13 +150,23 @@ def walk(reps: DataFrame, threshold: int, recall: float) -> tuple[DataFrame, Dat
         sizes = stash(children.groupBy("parent", "m", "node").agg(F.count("*").alias("n")), "children")
         thins = sizes.groupBy("parent", "m").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).filter(F.col("pairs") <= DENSE * F.col("m").cast("double") * F.col("m")).select("parent")
         thins = stash(thins, "branching")
-        dense.append(large.join(thins, large["node"] == thins["parent"], "left_anti").select("node", "doc", "sketch", "m"))
+        dense.append(stash(large.join(thins, large["node"] == thins["parent"], "left_anti").select("node", "doc", "sketch", "m"), "dense"))
         rows = children.join(thins, "parent", "left_semi").select("tree", "node", "doc", "sketch")
         hot = stash(sizes.join(thins, "parent", "left_semi").filter(F.col("n") > NODE_ROWS).select("node", F.col("n").alias("m")), "hot")
         level += 1
     if not many:
-        small.append(rows.select("node", "doc", "sketch"))
-    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense) if dense else None
+        edges.append(stash(sketch_edges(rows.select("node", "doc", "sketch"), cutoff), "edges"))
+    found = reduce(DataFrame.unionByName, edges)
+    if not dense:
+        return found
+    # dealt into blocks first, differently in each node; documents still apart then meet block by block
+    wide = reduce(DataFrame.unionByName, dense)
+    block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("m") / NODE_ROWS))
+    found = found.unionByName(stash(sketch_edges(wide.select(F.xxhash64("node", block).alias("node"), "doc", "sketch"), cutoff), "edges"))
+    linked = components(found).select(F.col("v").alias("doc"), F.col("root").alias("linked"))
+    wide = stash(wide.join(linked, "doc", "left").select(F.col("node").alias("grp"), "doc", F.coalesce("linked", "doc").alias("linked"), F.lit(1).alias("n"), "sketch"), "dense")
+    met = crossed(wide, NODE_ROWS, ["sketch"], 32 * NODE_ROWS).withColumnRenamed("grp", "node")
+    return found.unionByName(stash(sketch_edges(met, cutoff), "edges"))
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -259,8 +272,6 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
     a key are one document.  Rows without a key are returned with null component, kept true,
     and link nothing.  Empty tables give no rows; other columns are ignored.
     """
-    t = threshold / 100
-    cutoff = max(0.0, t - 5 * math.sqrt(t * (1 - t) / TOKENS))
     feats = stash(features(docs, key, text), "features")
     salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     live = feats.filter("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
@@ -268,49 +279,35 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
     salted = live.groupBy(*same, "salt").agg(F.min("doc_id").alias("rep"))
     sets = salted.groupBy(*same).agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salt")).withColumn("salt", F.explode("salt"))
     same = [*same, "salt"]
-    members = keep(live.select("doc_id", *same).join(sets, same).select("doc_id", "n", "rep"))
+    members = stash(live.select("doc_id", *same).join(sets, same).select("doc_id", "n", "rep"), "members")
     reps = live.join(sets, same).filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"])
-    small, dense = walk(stash(reps, "sets"), threshold, recall)
-    near = components(_sketch_links(small, dense, cutoff))
+    near = components(sketch_links(stash(reps, "sets"), threshold, recall))
     sized = near.join(members.groupBy("rep").agg(F.max("n").alias("n")), near["v"] == F.col("rep")).select("v", "root", "n")
     size = sized.groupBy("root").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
-    placed = keep(sized.join(size, "root"))
+    placed = stash(sized.join(size, "root"), "candidates")
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("body"))
     fits = (F.col("all_n") <= GROUP_SHINGLES) & (F.col("docs") <= GROUP_DOCS)
-    edges = set_edges(_with_texts(texts, placed.filter(fits).select(F.col("v").alias("doc"), F.col("root").alias("grp"))), threshold)
+    edges = stash(set_edges(_with_texts(texts, placed.filter(fits).select(F.col("v").alias("doc"), F.col("root").alias("grp"))), threshold), "links")
     large = placed.filter(~fits)
-    many = large.count()  # of all partitions: adaptive execution may take a table that is held in part for empty
-    if many:
+    if not large.isEmpty():
         blocks = F.ceil(F.greatest(F.col("all_n") * 2 / GROUP_SHINGLES, F.col("docs") * 2 / GROUP_DOCS))
         dealt = large.withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS)))).select(F.col("v").alias("doc"), "root", F.xxhash64("root", "deal", F.pmod(F.xxhash64("v", "deal"), blocks)).alias("grp"))
-        known = keep(large.join(feats.select(F.col("doc_id").alias("v"), "sketch").dropDuplicates(["v"]), "v"))
+        known = stash(large.join(feats.select(F.col("doc_id").alias("v"), "sketch").dropDuplicates(["v"]), "v"), "known")
         hubs = dealt.select("root", "grp").distinct().join(_hubs(known), "root").select("doc", "grp")
-        edges = keep(edges.unionByName(set_edges(_with_texts(texts, dealt.select("doc", "grp").unionByName(hubs).distinct()), threshold)))
+        dealt = stash(dealt.select("doc", "grp").unionByName(hubs).distinct(), "dealt")
+        edges = edges.unionByName(stash(set_edges(_with_texts(texts, dealt), threshold), "links"))
         linked = large.join(components(edges).select("v", F.col("root").alias("linked")), "v", "left")
-        linked = keep(linked.select(F.col("v").alias("doc"), F.col("root").alias("grp"), F.coalesce("linked", "v").alias("linked"), "n"))
+        linked = stash(linked.select(F.col("v").alias("doc"), F.col("root").alias("grp"), F.coalesce("linked", "v").alias("linked"), "n"), "linked")
         apart = linked.groupBy("grp").agg(F.min("linked").alias("l"), F.max("linked").alias("m")).filter("l < m").select("grp")
         linked = stash(linked.join(apart, "grp", "left_semi"), "apart")
         if not linked.isEmpty():
-            edges = edges.unionByName(set_edges(_with_texts(texts, _unlinked(texts, linked, threshold)), threshold))
+            edges = edges.unionByName(stash(set_edges(_with_texts(texts, _unlinked(texts, linked, threshold)), threshold), "links"))
     links = components(edges)
     found = members.join(links, members["rep"] == links["v"], "left").withColumn("component_id", F.coalesce("root", "rep")).select("doc_id", "n", "component_id")
     found = found.unionByName(feats.filter("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _sketch_links(small: DataFrame, dense: DataFrame | None, cutoff: float) -> DataFrame:
-    """Spanning forests of all nodes.  Dense ones are first dealt into blocks, differently in each; documents still apart then meet block by block."""
-    if dense is None:
-        return sketch_edges(small, cutoff)
-    dense = stash(dense, "dense")
-    block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("m") / NODE_ROWS))
-    edges = keep(sketch_edges(small.unionByName(dense.select(F.xxhash64("node", block).alias("node"), "doc", "sketch")), cutoff))
-    linked = components(edges).select(F.col("v").alias("doc"), F.col("root").alias("linked"))
-    wide = dense.join(linked, "doc", "left").select(F.col("node").alias("grp"), "doc", F.coalesce("linked", "doc").alias("linked"), F.lit(1).alias("n"), "sketch")
-    met = crossed(stash(wide, "nodes"), NODE_ROWS, ["sketch"], 32 * NODE_ROWS).withColumnRenamed("grp", "node")
-    return edges.unionByName(sketch_edges(met, cutoff))
-
-
 def _with_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
     return flagged(texts, ["doc"], groups).filter("__jx_maybe").drop("__jx_maybe").join(groups, "doc")
 
@@ -365,12 +362,12 @@ def prefixes(rows: DataFrame, threshold: int) -> DataFrame:
 
 def _unlinked(texts: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
     """Groups (doc, grp) in which all pairs at the threshold, in a group of (doc, grp, linked, n) and not linked yet, meet."""
-    found = keep(prefixes(_with_texts(texts, linked), threshold))
+    found = stash(prefixes(_with_texts(texts, linked), threshold), "prefixes")
     name = [F.expr(f"bit_xor(xxhash64(doc, {k}))").alias(f"h{k}") for k in range(2)]
     keys = found.groupBy("grp").agg(F.count("*").alias("docs"), F.bool_or("lead").alias("lead"), F.min("linked").alias("l"), F.max("linked").alias("m"), *name)
     # near copies share many shingles: the same documents are one group
     keys = keys.filter("lead and l < m").groupBy("docs", "h0", "h1").agg(F.min("grp").alias("grp")).select("grp")
-    return crossed(found.join(keys, "grp"), GROUP_SHINGLES, []).select("doc", "grp")
+    return stash(crossed(found.join(keys, "grp"), GROUP_SHINGLES, []).select("doc", "grp"), "meeting")
 
 
 def _parts(rows: DataFrame, most: int, top: int) -> DataFrame:
