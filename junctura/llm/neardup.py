@@ -120,7 +120,7 @@ _CHILD = "xxhash64(node, pos, substring(sketch, 2 * pos + 1, 2))"
 
 
 def sketch_links(reps: DataFrame, threshold: int, recall: float) -> DataFrame:
-    """Spanning forests of the nodes of all trees of (doc, sketch), by agreement of sketches.
+    """(v, root): components of the nodes of all trees of (doc, sketch), by agreement of sketches.
 
     The driver learns how many large nodes a level has, and no more.  Tables between levels are
     written, which keeps plans short.
@@ -158,15 +158,23 @@ def sketch_links(reps: DataFrame, threshold: int, recall: float) -> DataFrame:
         edges.append(stash(sketch_edges(rows.select("node", "doc", "sketch"), cutoff), "edges"))
     found = reduce(DataFrame.unionByName, edges)
     if not dense:
-        return found
+        return components(found)
     # dealt into blocks first, differently in each node; documents still apart then meet block by block
     wide = reduce(DataFrame.unionByName, dense)
     block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("m") / NODE_ROWS))
     found = found.unionByName(stash(sketch_edges(wide.select(F.xxhash64("node", block).alias("node"), "doc", "sketch"), cutoff), "edges"))
-    linked = components(found).select(F.col("v").alias("doc"), F.col("root").alias("linked"))
-    wide = stash(wide.join(linked, "doc", "left").select(F.col("node").alias("grp"), "doc", F.coalesce("linked", "doc").alias("linked"), F.lit(1).alias("n"), "sketch"), "dense")
+    linked = components(found)
+    own = linked.select(F.col("v").alias("doc"), F.col("root").alias("linked"))
+    wide = stash(wide.join(own, "doc", "left").select(F.col("node").alias("grp"), "doc", F.coalesce("linked", "doc").alias("linked"), F.lit(1).alias("n"), "sketch"), "dense")
     met = crossed(wide, NODE_ROWS, ["sketch"], 32 * NODE_ROWS).withColumnRenamed("grp", "node")
-    return found.unionByName(stash(sketch_edges(met, cutoff), "edges"))
+    return joined_up(linked, stash(sketch_edges(met, cutoff), "edges"))
+
+
+def joined_up(linked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (v, root) with further edges (a, b)."""
+    if edges.isEmpty():
+        return linked
+    return components(linked.filter("v <> root").select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(edges))
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -212,15 +220,29 @@ def forest(m: int, linked) -> Iterator[tuple[int, int]]:
             rest = rest[~hit]
 
 
+def stars(docs: np.ndarray, edges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The components of a forest on places of `docs` as (smallest, other): nodes that hold the same documents then say the same."""
+    first: dict[int, int] = {}
+    members: dict[int, list[int]] = {}
+    for x, y in edges:
+        r = first[y] = first.get(x, x)
+        members.setdefault(r, [r]).append(y)
+    out = []
+    for places in members.values():
+        ids = sorted(docs[places].tolist())
+        out += [(ids[0], i) for i in ids[1:]]
+    return out
+
+
 def sketch_edges(rows: DataFrame, cutoff: float) -> DataFrame:
-    """Spanning forests of the nodes of (node, doc, sketch), by agreement of sketches."""
+    """Spanning stars of the nodes of (node, doc, sketch), by agreement of sketches."""
     need = math.ceil(cutoff * TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
             docs = group.column(1).to_numpy()
             s = np.frombuffer(b"".join(group.column(2).to_pylist()), np.uint16).reshape(-1, TOKENS)
-            pairs = [(int(docs[x]), int(docs[y])) for x, y in forest(len(docs), lambda x, rest: (s[rest] == s[x]).sum(1) >= need)]  # noqa: B023
+            pairs = stars(docs, forest(len(docs), lambda x, rest: (s[rest] == s[x]).sum(1) >= need))  # noqa: B023
             if pairs:
                 yield _edges(pairs)
 
@@ -228,13 +250,7 @@ def sketch_edges(rows: DataFrame, cutoff: float) -> DataFrame:
 
 
 def set_edges(rows: DataFrame, threshold: int) -> DataFrame:
-    """Spanning forests of the groups of (grp, doc, body), confirmed on the full sets."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, data, offsets in slices(batches, 2):
-            all_, offs = shingles(data, offsets)
-            packed = [np.unique(all_[i:j]).tobytes() for i, j in zip(offs, offs[1:])]
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(packed, pa.binary())], names=["grp", "doc", "body"])
+    """Spanning stars of the groups of (grp, doc, shingles), confirmed on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
@@ -255,12 +271,11 @@ def set_edges(rows: DataFrame, threshold: int) -> DataFrame:
                 flag[mine] = False  # noqa: B023
                 return 100 * both >= threshold * (sizes[x] + sizes[rest] - both)  # noqa: B023
 
-            pairs = [(int(docs[x]), int(docs[y])) for x, y in forest(len(docs), linked)]
+            pairs = stars(docs, forest(len(docs), linked))
             if pairs:
                 yield _edges(pairs)
 
-    packed = rows.select("grp", "doc", F.col("body").cast("binary").alias("body")).mapInArrow(sets, "grp bigint, doc bigint, body binary")
-    return packed.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("grp", "doc", "shingles").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,39 +296,49 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
     same = [*same, "salt"]
     members = stash(live.select("doc_id", *same).join(sets, same).select("doc_id", "n", "rep"), "members")
     reps = live.join(sets, same).filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"])
-    near = components(sketch_links(stash(reps, "sets"), threshold, recall))
+    near = sketch_links(stash(reps, "sets"), threshold, recall)
     sized = near.join(members.groupBy("rep").agg(F.max("n").alias("n")), near["v"] == F.col("rep")).select("v", "root", "n")
     size = sized.groupBy("root").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
     placed = stash(sized.join(size, "root"), "candidates")
-    texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("body"))
     fits = (F.col("all_n") <= GROUP_SHINGLES) & (F.col("docs") <= GROUP_DOCS)
-    edges = stash(set_edges(_with_texts(texts, placed.filter(fits).select(F.col("v").alias("doc"), F.col("root").alias("grp"))), threshold), "links")
+    sets = stash(shingle_sets(docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("binary").alias("body")), placed.select(F.col("v").alias("doc"), "root", fits.alias("fits"))), "sets")
+    links = components(stash(set_edges(sets.filter("fits").withColumnRenamed("root", "grp"), threshold), "links"))
     large = placed.filter(~fits)
     if not large.isEmpty():
+        sets = sets.filter("not fits").select("doc", "shingles")
         blocks = F.ceil(F.greatest(F.col("all_n") * 2 / GROUP_SHINGLES, F.col("docs") * 2 / GROUP_DOCS))
         dealt = large.withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS)))).select(F.col("v").alias("doc"), "root", F.xxhash64("root", "deal", F.pmod(F.xxhash64("v", "deal"), blocks)).alias("grp"))
         known = stash(large.join(feats.select(F.col("doc_id").alias("v"), "sketch").dropDuplicates(["v"]), "v"), "known")
         hubs = dealt.select("root", "grp").distinct().join(_hubs(known), "root").select("doc", "grp")
         dealt = stash(dealt.select("doc", "grp").unionByName(hubs).distinct(), "dealt")
-        edges = edges.unionByName(stash(set_edges(_with_texts(texts, dealt), threshold), "links"))
-        linked = large.join(components(edges).select("v", F.col("root").alias("linked")), "v", "left")
+        found = components(stash(set_edges(sets.join(dealt, "doc"), threshold), "links"))
+        linked = large.join(found.select("v", F.col("root").alias("linked")), "v", "left")
         linked = stash(linked.select(F.col("v").alias("doc"), F.col("root").alias("grp"), F.coalesce("linked", "v").alias("linked"), "n"), "linked")
         apart = linked.groupBy("grp").agg(F.min("linked").alias("l"), F.max("linked").alias("m")).filter("l < m").select("grp")
         linked = stash(linked.join(apart, "grp", "left_semi"), "apart")
         if not linked.isEmpty():
-            edges = edges.unionByName(stash(set_edges(_with_texts(texts, _unlinked(texts, linked, threshold)), threshold), "links"))
-    links = components(edges)
+            found = joined_up(found, stash(set_edges(sets.join(_unlinked(sets.join(linked, "doc"), threshold), "doc"), threshold), "links"))
+        links = links.unionByName(found)
     found = members.join(links, members["rep"] == links["v"], "left").withColumn("component_id", F.coalesce("root", "rep")).select("doc_id", "n", "component_id")
     found = found.unionByName(feats.filter("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _with_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    return flagged(texts, ["doc"], groups).filter("__jx_maybe").drop("__jx_maybe").join(groups, "doc")
+def shingle_sets(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows (doc, root, fits) of `groups` with their sets of shingles, sorted 64-bit hashes; other texts are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in slices(batches, 3):
+            all_, offs = shingles(data, offsets)
+            packed = [np.unique(all_[i:j]).tobytes() for i, j in zip(offs, offs[1:])]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(packed, pa.binary())], names=["doc", "root", "fits", "shingles"])
+
+    found = flagged(texts, ["doc"], groups).filter("__jx_maybe").select("doc", "body").join(groups, "doc")
+    return found.select("doc", "root", "fits", "body").mapInArrow(run, "doc bigint, root bigint, fits boolean, shingles binary")
 
 
 def prefixes(rows: DataFrame, threshold: int) -> DataFrame:
-    """(grp, doc, linked, n, lead): the groups of rows (grp, doc, linked, n, body) by each shingle of their prefixes.
+    """(grp, doc, linked, n, lead): the groups of rows (grp, doc, linked, n, shingles) by each shingle of their prefixes.
 
     Shingles are in one order, the rare first.  Two sets of similarity t share at least t of the
     larger and 2t / (1 + t) of the smaller set, so the first shingle they share is among the
@@ -323,12 +348,11 @@ def prefixes(rows: DataFrame, threshold: int) -> DataFrame:
     every = F.lit(rows.count() // ORDER_DOCS + 1)
 
     def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in slices(batches, 0):
-            all_, offs = shingles(data, offsets)
-            found = [np.unique(all_[i:j]) for i, j in zip(offs, offs[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed, np.int64))], names=["shingle"])
 
-    some = rows.filter(F.pmod(F.xxhash64("doc", F.lit(1)), every) == 0).select(F.col("body").cast("binary").alias("body"))
+    some = rows.filter(F.pmod(F.xxhash64("doc", F.lit(1)), every) == 0).select("shingles")
     counts = some.mapInArrow(all_shingles, "shingle bigint").groupBy("shingle").count().filter("count > 1")
     got = counts.orderBy(F.desc("count")).limit(COMMON).toArrow()
     common, often = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
@@ -337,11 +361,12 @@ def prefixes(rows: DataFrame, threshold: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = sent.value
-        for got, data, offsets in slices(batches, 4):
-            all_, offs = shingles(data, offsets)
+        for got in batches:
+            if not got.num_rows:
+                continue
             parts, lead, sizes = [], [], []
-            for i, j in zip(offs, offs[1:]):
-                one = np.unique(all_[i:j])
+            for packed in got.column(4).to_pylist():
+                one = np.frombuffer(packed, np.uint64)
                 n = len(one)
                 known = np.zeros(n, np.int64)
                 if len(common):
@@ -356,13 +381,12 @@ def prefixes(rows: DataFrame, threshold: int) -> DataFrame:
             cols = [got.column(c).take(pa.array(of)) for c in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), *cols, pa.array(np.concatenate(lead), pa.bool_())], names=["grp", "doc", "linked", "n", "lead"])
 
-    columns = rows.select("grp", "doc", "linked", "n", F.col("body").cast("binary").alias("body"))
-    return columns.mapInArrow(run, "grp bigint, doc bigint, linked bigint, n bigint, lead boolean")
+    return rows.select("grp", "doc", "linked", "n", "shingles").mapInArrow(run, "grp bigint, doc bigint, linked bigint, n bigint, lead boolean")
 
 
-def _unlinked(texts: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
-    """Groups (doc, grp) in which all pairs at the threshold, in a group of (doc, grp, linked, n) and not linked yet, meet."""
-    found = stash(prefixes(_with_texts(texts, linked), threshold), "prefixes")
+def _unlinked(rows: DataFrame, threshold: int) -> DataFrame:
+    """Groups (doc, grp) in which all pairs at the threshold, in a group of (doc, grp, linked, n, shingles) and not linked yet, meet."""
+    found = stash(prefixes(rows, threshold).withColumn("n", F.greatest(F.col("n"), F.lit(GROUP_SHINGLES // GROUP_DOCS))), "prefixes")
     name = [F.expr(f"bit_xor(xxhash64(doc, {k}))").alias(f"h{k}") for k in range(2)]
     keys = found.groupBy("grp").agg(F.count("*").alias("docs"), F.bool_or("lead").alias("lead"), F.min("linked").alias("l"), F.max("linked").alias("m"), *name)
     # near copies share many shingles: the same documents are one group

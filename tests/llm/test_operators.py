@@ -186,6 +186,9 @@ def test_forest_spans_components():
     components = {tuple(r) for r in reach}
     assert len(edges) == m - len(components) and all(adjacent[a, b] for a, b in edges)
     assert len(set(itertools.chain(*edges))) <= m
+    ids = 1000 - np.arange(m)
+    joined = {(min(ids[list(np.flatnonzero(r))]), ids[i]) for i, r in enumerate(reach)}
+    assert set(neardup.stars(ids, iter(edges))) == {(a, b) for a, b in joined if a != b}
 
 
 # language model
