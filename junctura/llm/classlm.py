@@ -1,13 +1,19 @@
 """Language-model scores by Brown classes.
 
-P(word | before) = P(class | class before) * P(symbol | class) * P(word | symbol).  The most
-frequent words are symbols of their own; other words share a symbol by their ending.  The
-exchange algorithm moves symbols between classes while the mutual information of neighbouring
-classes grows.  All counts are over all training documents: words and pairs of symbols.
-
-Frequent words' counts, at most KNOWN_WORDS of them, are sent to executors; rarer words meet
-their counts in an equi join, which has no hot key because frequent words take no part.
-A word is named by a 64-bit hash.
+P(word | before) = P(class | class before) * P(word | class).  Every training word has a class:
+
+1. The exchange algorithm moves the most frequent words, and endings of the others, between
+   classes while the mutual information of neighbouring classes grows.
+2. Every other word then makes the exchange's best move, from the counts of the classes that
+   stand beside it in all training texts: a distributed step over the whole vocabulary.
+
+The number of classes grows with the vocabulary.  Words that training has not seen have the
+class of their ending and share one place in it.  All counts are over all training documents.
+
+Frequent words' counts and classes, at most KNOWN_WORDS of them, are sent to executors; rarer
+words meet theirs in an equi join, which has no hot key because frequent words take no part.
+Rare words that stand together are brought together again by document, as each one's class
+tells what the next one costs.  A word is named by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -20,34 +26,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTE, SPACE_SEP, keep, mix64, read, slices, spans, word_hashes
+from .common import LOWER_BYTE, SPACE_SEP, keep, mix64, read, slices, spans, stash, word_hashes
 
 OWN_SYMBOLS = 1500
 ENDINGS = 384
-CLASSES = 56
 ROUNDS = 12
 KNOWN_WORDS = 1 << 18
+HELD_PAIRS = 1 << 20  # neighbour counts that a task combines before it sends them
 ADD = 0.1
 STEPS = 32
 PULL = 4.0  # weight of the class's overall share in its transitions
+STAY = 3.0  # what a word must gain, in nats, to leave the class of its ending
 END = 0  # the end token's symbol and class
-_END_HASH = 1
 
 
 @dataclass
 class Model:
-    """What executors need to score texts; bounded by the constants above."""
+    """What executors need to score texts; bounded by the constants above and the square of the classes."""
 
     words: np.ndarray  # hashes of known frequent words, sorted
     counts: np.ndarray
-    own: np.ndarray  # their symbol, or -1 where the ending's symbol holds
+    classes: np.ndarray  # their classes
     total: int
     distinct: int
     end_count: int
-    classes: np.ndarray  # of symbols
+    endings: np.ndarray  # class of unknown words by ending
     transitions: np.ndarray  # log10 P(class | class before)
-    emissions: np.ndarray  # log10 P(symbol | class)
-    rest: np.ndarray  # log10 denominator of P(word | ending)
+    rest: np.ndarray  # log10 denominator of P(word | class); class 0 holds the end token alone
+
+
+def classes_for(distinct: int) -> int:
+    return 8 + round(2 * max(1, distinct) ** 0.25)
 
 
 def endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: int = ENDINGS) -> np.ndarray:
@@ -120,7 +129,7 @@ def symbols_of(own: np.ndarray, ending: np.ndarray, n_own: int) -> np.ndarray:
     return np.where(own >= 0, own + 1, ending + 1 + n_own)
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each symbol.  Class 0 is the end token's alone."""
     size = len(pairs)
     classes = min(classes, size)
@@ -151,7 +160,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             rows, cols = m.sum(1), m.sum(0)
             lm = log(m)
             # what each class gains by taking s
-            gain = (log(m + o[None, :]) - lm).sum(1) + (log(m + i[:, None]) - lm).sum(0)
+            some, other = np.flatnonzero(o), np.flatnonzero(i)
+            gain = (log(m[:, some] + o[some]) - lm[:, some]).sum(1) + (log(m[other] + i[other, None]) - lm[other]).sum(0)
             d = np.arange(classes)
             gain += log(m[d, d] + o + i + self_) - log(m[d, d] + o) - log(m[d, d] + i) + lm[d, d]
             gain -= log(rows + o.sum() + self_) - log(rows) + log(cols + i.sum() + self_) - log(cols)
@@ -191,116 +201,261 @@ def frequent_from(vocabulary: DataFrame, most: int | None = None) -> float:
     return least
 
 
+_BESIDE = pa.schema([("hash", pa.int64()), ("old", pa.int32()), ("code", pa.int32()), ("n", pa.int64())])
+
+
+def beside(bodies: DataFrame, own: np.ndarray, of: np.ndarray) -> DataFrame:
+    """(hash, old, code, n): how often a class stands beside each word that is not its own symbol.
+
+    old is the class of the word's ending.  With C classes, code is the class before it, C + the
+    class after it where that is an own symbol's or the end's, or 2 C + the class after it else.
+    """
+    sent = bodies.sparkSession.sparkContext.broadcast((own, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = sent.value
+        n_class, held, rows = int(of.max()) + 1, [], 0
+
+        def combined() -> pa.RecordBatch:
+            h, key, n = (np.concatenate([part[k] for part in held]) for k in range(3))
+            order = np.lexsort((key, h))
+            h, key, n = h[order], key[order], n[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]))))
+            h, key, n = h[new], key[new], np.add.reduceat(n, new)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((key // (3 * n_class)).astype(np.int32)), pa.array((key % (3 * n_class)).astype(np.int32)), pa.array(n)], schema=_BESIDE)
+
+        for _, data, offsets in slices(batches, 0):
+            starts, ends, first = spans(data, offsets, SPACE_SEP)
+            hashes = word_hashes(data, starts, ends)
+            symbols, _ = with_ends(symbols_of(lookup(own, hashes), endings(data, starts, ends), len(own)), first, END)
+            words, _ = with_ends(hashes, first, 0)
+            cls = of[symbols]
+            at = np.flatnonzero(symbols > len(own))
+            if not len(at):
+                continue
+            after = cls[at + 1] + np.where(symbols[at + 1] > len(own), 2 * n_class, n_class)
+            key = np.concatenate((np.where(at > 0, cls[at - 1], END), after)) + np.tile(cls[at], 2) * 3 * n_class
+            held.append((np.tile(words[at], 2), key, np.ones(len(key), np.int64)))
+            rows += len(key)
+            if rows > HELD_PAIRS:
+                yield combined()
+                rows = 0
+        if held:
+            yield combined()
+
+    return bodies.mapInArrow(run, "hash bigint, old int, code int, n bigint")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut where it changes."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        keys = table.column(0).to_numpy()
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None:
+        yield held
+
+
+def best_classes(rows: DataFrame, transitions: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """(hash, cls, n) of each word of `beside`, and rows with a null hash that count n moves, numbered by cls, between classes.
+
+    A word goes where its neighbours are likeliest and words are fewest: the exchange's best move
+    while all others stay.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((np.log(10) * transitions, np.log(np.maximum(sizes, 1.0))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, size = sent.value
+        n_class = len(size)
+        after = logs.T  # of the class after, by the class chosen
+        gain_of = np.vstack([logs, after, after])
+        moves = np.zeros((n_class, n_class), np.int64)
+        for table in whole_groups(batches):
+            h, old, code, n = (table.column(k).to_numpy() for k in range(4))
+            new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            left = np.add.reduceat(np.where(code < n_class, n, 0), new)
+            chosen = np.empty(len(new), np.int64)
+            for i in range(0, len(new), 2048):
+                lo, hi = new[i], new[i + 2048] if i + 2048 < len(new) else len(h)
+                gain = np.add.reduceat(gain_of[code[lo:hi]] * n[lo:hi, None], new[i : i + 2048] - lo) - left[i : i + 2048, None] * size
+                gain[:, END] = -np.inf
+                gain[np.arange(len(gain)), old[new[i : i + 2048]]] += STAY
+                chosen[i : i + 2048] = gain.argmax(1)
+            each = np.repeat(chosen, np.diff(np.append(new, len(h))))
+            before, beyond = code < n_class, (code >= n_class) & (code < 2 * n_class)
+            np.add.at(moves, (code[before], each[before]), n[before])
+            np.add.at(moves, (each[beyond], code[beyond] - n_class), n[beyond])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(chosen.astype(np.int32)), pa.array(left)], names=["hash", "cls", "n"])
+        found = np.flatnonzero(moves)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.array(found.astype(np.int32)), pa.array(moves.ravel()[found])], names=["hash", "cls", "n"])
+
+    return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "hash bigint, cls int, n bigint")
+
+
+def log_transitions(m: np.ndarray) -> np.ndarray:
+    share = (m.sum(0) + 0.5) / (m.sum() + 0.5 * len(m))
+    return np.log10((m + PULL * share) / (m.sum(1, keepdims=True) + PULL))
+
+
 def train(bodies: DataFrame, end_count: int) -> tuple[Model, DataFrame]:
-    """The model, and all training words' counts as (hash, ending, n)."""
+    """The model, and the counts and classes of training words that it does not hold, as (hash, cls, n)."""
     vocabulary = keep(count_words(bodies))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocabulary.filter(F.col("n") >= frequent_from(vocabulary)).toArrow()  # at most KNOWN_WORDS rows
-    top = top.take(np.lexsort((top.column(0).to_numpy(), -top.column(2).to_numpy())))
-    words, counts = top.column(0).to_numpy().view(np.uint64), top.column(2).to_numpy()
-    n_own = min(OWN_SYMBOLS, len(words))
-    own_words = np.sort(words[:n_own])
-    pairs = count_pairs(bodies, own_words)
-    of = np.unique(exchange(pairs), return_inverse=True)[1]  # without classes that nothing is left in
-    n_class = of.max() + 1
-    onehot = np.eye(n_class)[of]
+    least = frequent_from(vocabulary)
+    top = vocabulary.filter(F.col("n") >= max(least, frequent_from(vocabulary, OWN_SYMBOLS))).toArrow()  # at most OWN_SYMBOLS rows
+    order = np.argsort(top.column(0).to_numpy().view(np.uint64))
+    own, own_counts = top.column(0).to_numpy().view(np.uint64)[order], top.column(2).to_numpy()[order]
+    vocabulary.unpersist()
+    pairs = count_pairs(bodies, own)
+    of = np.unique(exchange(pairs, classes_for(distinct)), return_inverse=True)[1]  # without classes that nothing is left in
+    onehot = np.eye(of.max() + 1)[of]
+    n_class = onehot.shape[1]
     m = onehot.T @ pairs @ onehot
-    share = (m.sum(0) + 0.5) / (m.sum() + 0.5 * n_class)
-    transitions = np.log10((m + PULL * share) / (m.sum(1, keepdims=True) + PULL))
-    seen = pairs.sum(0).astype(np.float64)
-    per_class = np.bincount(of, weights=seen + ADD, minlength=n_class)
-    emissions = np.log10((seen + ADD) / per_class[of])
-    rare = np.zeros((2, ENDINGS))
-    for ending, n, v in vocabulary.groupBy("ending").agg(F.sum("n"), F.count("*")).collect():
-        rare[:, ending] = n, v
-    np.subtract.at(rare[0], top.column(1).to_numpy()[:n_own], counts[:n_own])
-    np.subtract.at(rare[1], top.column(1).to_numpy()[:n_own], 1)
-    rest = np.log10(rare[0] + ADD * (rare[1] + 1))
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    model = Model(words, counts, lookup(own_words, words), int(total) + end_count, int(distinct) + (end_count > 0), end_count, of, transitions, emissions, rest)
-    return model, vocabulary
-
-
-_PARTS = "doc_id bigint, uid bigint, rows bigint, n_tokens bigint, n_known bigint, base double, model double, hash bigint, times bigint"
-_PARTS_ARROW = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("rows", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("hash", pa.int64()), ("times", pa.int64())])
+    others = stash(best_classes(beside(bodies, own, of), log_transitions(m), m.sum(0)), "classes")
+    words = others.filter("hash is not null")
+    # transitions between own symbols as counted, all others with the classes chosen
+    core = np.zeros(len(pairs), bool)
+    core[: len(own) + 1] = True
+    m = onehot[core].T @ pairs[np.ix_(core, core)] @ onehot[core]
+    for r in others.filter("hash is null").groupBy("cls").agg(F.sum("n").alias("n")).collect():  # at most a row a pair of classes
+        m[r.cls // n_class, r.cls % n_class] += r.n
+    own_class = of[1 : len(own) + 1]
+    tokens, types = np.bincount(own_class, own_counts, n_class), np.bincount(own_class, minlength=n_class).astype(float)
+    for r in words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row a class
+        tokens[r.cls], types[r.cls] = tokens[r.cls] + r.n, types[r.cls] + r.v
+    known = words.filter(F.col("n") >= least).toArrow()  # at most KNOWN_WORDS rows
+    every = np.concatenate((own, known.column(0).to_numpy().view(np.uint64)))
+    order = np.argsort(every)
+    counts, classes = np.concatenate((own_counts, known.column(2).to_numpy())), np.concatenate((own_class, known.column(1).to_numpy()))
+    model = Model(every[order], counts[order], classes[order].astype(np.int64), int(total) + end_count, int(distinct) + (end_count > 0), end_count, of[len(own) + 1 :], log_transitions(m), np.log10(tokens + ADD * (types + 1)))
+    return model, words.filter(F.col("n") < least)
+
+
+_PARTS = "doc_id bigint, uid bigint, run bigint, idx bigint, n_tokens bigint, n_known bigint, base double, model double, hash bigint, before int, after int, other int, times bigint"
+_PARTS_ARROW = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("run", pa.int64()), ("idx", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("hash", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("other", pa.int32()), ("times", pa.int64())])
 
 
 def score_parts(bodies: DataFrame, model: Model) -> DataFrame:
-    """A row for each document with what frequent words and classes give, and one for each of its rarer words."""
+    """A row for each document, run -1, with what frequent words give, and rows for its rarer words.
+
+    A rare word has the classes before and after it, -1 where that is a rare word too, and the
+    class of its ending for the case that training has not seen it.  Rare words in a row have the
+    same run; single ones between the same classes are one row with their number.
+    """
     sent = bodies.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mo = sent.value
-        n_own = len(mo.emissions) - 1 - ENDINGS
         denominator = np.log10(mo.total + ADD * (mo.distinct + 1)) if mo.total else 0.0
         known_logs, end_log = np.log10(mo.counts + ADD), np.log10(mo.end_count + ADD)
+        word_logs = known_logs - mo.rest[mo.classes]
         for rows, data, offsets in slices(batches, 1):
             starts, ends, first = spans(data, offsets, SPACE_SEP)
-            hashes, ending = word_hashes(data, starts, ends), endings(data, starts, ends)
+            hashes = word_hashes(data, starts, ends)
             at = lookup(mo.words, hashes)
-            known = at >= 0
-            own = np.where(known, mo.own[at], -1) if len(mo.own) else np.full(len(at), -1)
-            seq, begin = with_ends(symbols_of(own, ending, n_own), first, END)
-            cls = mo.classes[seq]
-            before = np.concatenate(([0], cls[:-1]))
-            logs = mo.transitions[before, cls] + mo.emissions[seq]
-            count_log = np.where(known, known_logs[at], 0.0) if len(mo.counts) else np.zeros(len(at))
-            shared = own < 0  # words that share a symbol also have their share in it
-            word_logs = np.where(shared, count_log - mo.rest[ending], 0.0)
-            docs = len(first) - 1
+            docs, known = len(first) - 1, at >= 0
             of_word = np.repeat(np.arange(docs), np.diff(first))
+            cls, begin = with_ends(np.where(known, mo.classes[at], -1) if len(mo.words) else np.full(len(at), -1), first, END)
+            before = np.concatenate(([END], cls[:-1]))
+            both = (cls >= 0) & (before >= 0)
+            logs = np.where(both, mo.transitions[before, cls], 0.0)
+            count_log = np.where(known, known_logs[at], 0.0) if len(mo.words) else np.zeros(len(at))
             base = np.bincount(of_word, count_log, docs) + end_log - denominator * (np.diff(first) + 1)
-            score = np.add.reduceat(logs, begin[:-1]) + np.bincount(of_word, word_logs, docs)
+            score = np.add.reduceat(logs, begin[:-1]) + (np.bincount(of_word[known], word_logs[at[known]], docs) if len(mo.words) else 0.0)
             n_known = np.bincount(of_word, known, docs).astype(np.int64) + (mo.end_count > 0)
             ids = rows.column(0).to_numpy(zero_copy_only=False)
             id_bits = np.nan_to_num(ids.astype(np.float64)).astype(np.int64) if rows.column(0).null_count else ids
             text = np.zeros(docs, np.uint64)
             np.add.at(text, of_word, mix64(hashes + np.arange(len(hashes), dtype=np.uint64) - first[of_word].astype(np.uint64)))
             uid = mix64(text ^ id_bits.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(uid), pa.array(np.ones(docs, np.int64)), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(base), pa.array(score), pa.array(uid), pa.array(np.zeros(docs, np.int64))], schema=_PARTS_ARROW)
-            if len(rare := np.flatnonzero(~known)):
-                by = np.lexsort((hashes[rare], of_word[rare]))
-                d, h = of_word[rare][by], hashes[rare][by]
-                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]))))
-                times = np.diff(np.append(new, len(d)))
-                d, none = d[new], np.zeros(len(new), np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(d)), pa.array(uid[d]), pa.array(none), pa.array(none), pa.array(none), pa.array(none.astype(np.float64)), pa.array(none.astype(np.float64)), pa.array(h[new].view(np.int64)), pa.array(times)], schema=_PARTS_ARROW)
+            none, small = np.zeros(docs, np.int64), np.zeros(docs, np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, (uid, none - 1, none, np.diff(first) + 1, n_known, base, score, uid, small, small, small, none))], schema=_PARTS_ARROW)
+            rare = np.flatnonzero(~known)
+            if not len(rare):
+                continue
+            d = of_word[rare]
+            place = rare + d  # in the sequence with ends
+            left, right = before[place], cls[place + 1]
+            other = mo.endings[endings(data, starts[rare], ends[rare])]
+            single = (left >= 0) & (right >= 0)
+            by = np.lexsort((right, left, hashes[rare], d, ~single))
+            d, place, left, right, other, single, h = (x[by] for x in (d, place, left, right, other, single, hashes[rare]))
+            same = np.concatenate(([False], single[1:] & single[:-1] & (d[1:] == d[:-1]) & (h[1:] == h[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])))
+            new = np.flatnonzero(~same)
+            times = np.diff(np.append(new, len(d)))
+            d, place, left, right, other, single, h = (x[new] for x in (d, place, left, right, other, single, h))
+            # within a run of several, places follow each other: sorted by place, a run begins where a known class stands before
+            order = np.argsort(place, kind="stable")
+            d, place, left, right, other, h, times = (x[order] for x in (d, place, left, right, other, h, times))
+            head = np.maximum.accumulate(np.where(left >= 0, place, 0))
+            none = np.zeros(len(d), np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(d)), *map(pa.array, (uid[d], head - begin[d], place - head, none, none, none.astype(np.float64), none.astype(np.float64), h.view(np.int64), left.astype(np.int32), right.astype(np.int32), other.astype(np.int32), times))], schema=_PARTS_ARROW)
 
     return bodies.mapInArrow(run, _PARTS)
 
 
+_SCORES = "doc_id bigint, rows bigint, n_tokens bigint, n_known bigint, base double, model double"
+_SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("rows", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+
+
+def summed(parts: DataFrame, model: Model) -> DataFrame:
+    """A row for each document and the number of equal ones, from its parts with `cls` and `n` of their words, null where unknown."""
+    sent = parts.sparkSession.sparkContext.broadcast((model.transitions, model.rest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves, rest = sent.value
+        for table in whole_groups(batches):
+            uid, run_, idx, times = (table.column(c).to_numpy() for c in ("uid", "run", "idx", "times"))
+            again = np.concatenate(([False], (uid[1:] == uid[:-1]) & (run_[1:] == run_[:-1]) & (idx[1:] == idx[:-1])))
+            doc = run_ == -1
+            new = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
+            rows = np.add.reduceat(doc.astype(np.int64), new)
+            keep_ = np.flatnonzero(~again)  # equal documents have their parts once
+            part = table.take(pa.array(keep_))
+            uid, run_, idx, times, doc = uid[keep_], run_[keep_], idx[keep_], times[keep_], doc[keep_]
+            n = part.column("n").fill_null(0).to_numpy()
+            c = np.where(part.column("cls").is_null().to_numpy(), part.column("other").to_numpy(), part.column("cls").fill_null(0).to_numpy())
+            left, right = part.column("before").to_numpy(), part.column("after").to_numpy()
+            follows = np.concatenate(([False], (uid[1:] == uid[:-1]) & (run_[1:] == run_[:-1]) & (idx[1:] == idx[:-1] + 1) & ~doc[1:]))
+            step = np.where(left >= 0, moves[left, c], np.where(follows, moves[np.roll(c, 1), c], 0.0)) + np.where(right >= 0, moves[c, right], 0.0)
+            count_log = np.log10(n + ADD)
+            start = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
+            total = lambda x: np.add.reduceat(x, start)  # noqa: B023, E731
+            of = lambda name: part.column(name).to_numpy()  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id").take(pa.array(start)).combine_chunks(), pa.array(rows), pa.array(total(of("n_tokens"))), pa.array(total(of("n_known") + np.where(n > 0, times, 0))),
+                pa.array(total(of("base") + np.where(doc, 0.0, times * count_log))), pa.array(total(of("model") + np.where(doc, 0.0, times * (count_log - rest[c] + step)))),
+            ], schema=_SCORES_ARROW)
+
+    return parts.repartition("uid").sortWithinPartitions("uid", "run", "idx").mapInArrow(run, _SCORES)
+
+
 def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `docs`: tokens, known tokens, the unigram base and the class model.
+    """One row for each row of `docs`: tokens, known tokens, the unigram base, the class model and its perplexity.
 
     Learns from the rows where `held_out` is not true.  Null and empty texts are one end token;
-    rows that repeat key and text are returned as often; null keys stay null; without training
-    rows every token is unknown.  Empty tables give no rows; other columns are ignored.
+    texts are read whole, however long; rows that repeat key and text are returned as often; null
+    keys stay null; without training rows every token is unknown.  Empty tables give no rows;
+    other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("body"), F.coalesce(held_out, F.lit(False)).alias("held"))
     training = rows.filter(~F.col("held")).select("body")
-    model, vocabulary = train(training, training.count())
+    model, rare = train(training, training.count())
     parts = score_parts(rows.select("doc_id", "body"), model)
-    counts = vocabulary.select(F.col("hash").alias("v_hash"), F.col("n").alias("c"))
-    joined = parts.join(counts, parts["hash"] == counts["v_hash"], "left")
-    tail = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))
-    summed = joined.groupBy("doc_id", "uid").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + tail).alias("base"),
-        F.sum(F.col("model") + tail).alias("model"),
-    )
-    # equal rows have one sum between them
-    return summed.select(
-        F.col("doc_id").alias(key),
-        (F.col("n_tokens") / F.col("rows")).cast("bigint").alias("n_tokens"),
-        (F.col("n_known") / F.col("rows")).cast("bigint").alias("n_known"),
-        F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"),
-        (F.col("model") / F.col("rows")).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"),
-    ).drop("copy")
+    parts = parts.join(rare.withColumnRenamed("hash", "v_hash"), F.col("hash") == F.col("v_hash"), "left").drop("v_hash", "hash")
+    found = summed(parts.select("uid", *(c for c in parts.columns if c != "uid")), model)
+    return found.select(
+        F.col("doc_id").alias(key), "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
+        F.pow(F.lit(10.0), -F.col("model") / F.col("n_tokens")).alias("perplexity"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"),
+    ).drop("copy")
 
 
 def fold(key: str, parts: int) -> Column:
@@ -310,7 +465,7 @@ def fold(key: str, parts: int) -> Column:
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 10) == 0
     scored = score_texts(read(spark, sf_dir, "documents"), held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 SQL: dict[str, str] = {}

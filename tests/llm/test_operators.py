@@ -209,16 +209,70 @@ def test_base_scores_and_counts(spark, documents, texts, monkeypatch):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_model_is_a_distribution(spark):
+def _classes(model, rare):
+    """{hash: (class, count)} of all training words."""
+    known = {int(h): (int(c), int(n)) for h, c, n in zip(model.words, model.classes, model.counts)}
+    return known | {r.hash % 2**64: (r.cls, r.n) for r in rare.collect()}
+
+
+def test_model_is_a_distribution(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "OWN_SYMBOLS", 4)
     rng = random.Random(1)
     rows = [(k, " ".join(rng.choice(["a", "b", "cc", "dd", "eee", "fff"]) for _ in range(30))) for k in range(50)]
     bodies = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("cast(text as binary) body")
-    model, _ = classlm.train(bodies, 50)
-    n_own = len(model.emissions) - 1 - classlm.ENDINGS
-    for before in range(model.classes.max() + 1):
-        symbols = np.exp((model.transitions[before, model.classes] + model.emissions) * np.log(10))
-        assert symbols.sum() == pytest.approx(1, abs=1e-9)
-    assert n_own == 6
+    model, rare = classlm.train(bodies, 50)
+    assert np.allclose((10**model.transitions).sum(1), 1)
+    words = _classes(model, rare)
+    assert len(words) == 6 and sum(n for _, n in words.values()) == 1500
+    for c in range(1, len(model.rest)):  # the words of a class and one place for those never seen
+        assert sum(n + classlm.ADD for k, n in words.values() if k == c) + classlm.ADD == pytest.approx(10 ** model.rest[c])
+
+
+def test_class_scores_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "KNOWN_WORDS", 60)
+    monkeypatch.setattr(classlm, "OWN_SYMBOLS", 40)
+    monkeypatch.setattr(classlm, "HELD_PAIRS", 500)
+    rng = random.Random(2)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 5000}"
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(0, 60)))) for k in range(300)]
+    rows += [rows[7], rows[10], (None, rows[10][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = classlm.fold("doc_id", 10) == 0
+    bodies = docs.filter(~held).selectExpr("cast(text as binary) body")
+    model, rare = classlm.train(bodies, bodies.count())
+    lexicon = _classes(model, rare)
+    c = Counter(w for k, t in rows if zlib.crc32(str("" if k is None else k).encode()) % 10 for w in words(t))
+    assert {common.hash_word(w): n for w, n in c.items()} == {h: n for h, (_, n) in lexicon.items()}
+
+    def score(t):
+        before, total = classlm.END, 0.0
+        for w in words(t):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            ending = int(classlm.endings(raw, np.array([0]), np.array([len(raw)]))[0])
+            cls, n = lexicon.get(common.hash_word(w), (int(model.endings[ending]), 0))
+            total += model.transitions[before, cls] + np.log10(n + classlm.ADD) - model.rest[cls]
+            before = cls
+        return total + model.transitions[before, classlm.END]
+
+    got = sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6), round(r.perplexity, 4)) for r in classlm.score_texts(docs, held).collect())
+    want = sorted((-1 if k is None else k, round(float(score(t)), 6), round(10 ** (-score(t) / (len(words(t)) + 1)), 4)) for k, t in rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1:] for g in got], [w[1:] for w in want], rtol=1e-5)
+
+
+def test_words_go_to_the_class_their_neighbours_tell(spark):
+    """The distributed step against the gain of every class, word by word."""
+    rng = np.random.RandomState(5)
+    moves = np.log10(rng.dirichlet(np.ones(5), 5))
+    sizes = np.array([10.0, 50, 20, 80, 30])
+    rows = [(w, int(w % 4) + 1, int(code), int(n)) for w in range(200) for code, n in zip(rng.randint(0, 15, 6), rng.randint(1, 9, 6))]
+    table = spark.createDataFrame(rows, "hash bigint, old int, code int, n bigint")
+    got = classlm.best_classes(table, moves, sizes).collect()
+    for w in range(200):
+        mine = [r for r in rows if r[0] == w]
+        left = sum(n for *_, code, n in mine if code < 5)
+        gain = [sum(n * np.log(10) * (moves[code, b] if code < 5 else moves[b, code % 5]) for *_, code, n in mine) - left * np.log(sizes[b]) + classlm.STAY * (b == mine[0][1]) for b in range(5)]
+        assert [(r.cls, r.n) for r in got if r.hash == w] == [(1 + int(np.argmax(gain[1:])), left)]
+    assert sum(r.n for r in got if r.hash is None) == sum(n for *_, code, n in rows if code < 10)
 
 
 def test_exchange_ends_where_no_move_helps():
