@@ -205,10 +205,10 @@ _BESIDE = pa.schema([("hash", pa.int64()), ("old", pa.int32()), ("code", pa.int3
 
 
 def beside(bodies: DataFrame, own: np.ndarray, of: np.ndarray) -> DataFrame:
-    """(hash, old, code, n): how often a class stands beside each word that is not its own symbol.
+    """(hash, old, code, n): how often two classes stand around each word that is not its own symbol.
 
-    old is the class of the word's ending.  With C classes, code is the class before it, C + the
-    class after it where that is an own symbol's or the end's, or 2 C + the class after it else.
+    old is the class of the word's ending.  With C classes, code is 2 C times the class before
+    and the class after, plus C where what follows is not its own symbol either.
     """
     sent = bodies.sparkSession.sparkContext.broadcast((own, of))
 
@@ -223,7 +223,7 @@ def beside(bodies: DataFrame, own: np.ndarray, of: np.ndarray) -> DataFrame:
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]))))
             h, key, n = h[new], key[new], np.add.reduceat(n, new)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((key // (3 * n_class)).astype(np.int32)), pa.array((key % (3 * n_class)).astype(np.int32)), pa.array(n)], schema=_BESIDE)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((key // (2 * n_class**2)).astype(np.int32)), pa.array((key % (2 * n_class**2)).astype(np.int32)), pa.array(n)], schema=_BESIDE)
 
         for _, data, offsets in slices(batches, 0):
             starts, ends, first = spans(data, offsets, SPACE_SEP)
@@ -234,9 +234,9 @@ def beside(bodies: DataFrame, own: np.ndarray, of: np.ndarray) -> DataFrame:
             at = np.flatnonzero(symbols > len(own))
             if not len(at):
                 continue
-            after = cls[at + 1] + np.where(symbols[at + 1] > len(own), 2 * n_class, n_class)
-            key = np.concatenate((np.where(at > 0, cls[at - 1], END), after)) + np.tile(cls[at], 2) * 3 * n_class
-            held.append((np.tile(words[at], 2), key, np.ones(len(key), np.int64)))
+            after = cls[at + 1] + np.where(symbols[at + 1] > len(own), n_class, 0)
+            key = (cls[at] * n_class + np.where(at > 0, cls[at - 1], END)) * 2 * n_class + after
+            held.append((words[at], key, np.ones(len(key), np.int64)))
             rows += len(key)
             if rows > HELD_PAIRS:
                 yield combined()
@@ -275,27 +275,30 @@ def best_classes(rows: DataFrame, transitions: np.ndarray, sizes: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, size = sent.value
         n_class = len(size)
-        after = logs.T  # of the class after, by the class chosen
-        gain_of = np.vstack([logs, after, after])
-        moves = np.zeros((n_class, n_class), np.int64)
+        moves = np.zeros(n_class * n_class, np.int64)
         for table in whole_groups(batches):
             h, old, code, n = (table.column(k).to_numpy() for k in range(4))
+            before, after = code // (2 * n_class), code % (2 * n_class)
+            beyond = after < n_class  # what follows is its own symbol, so the pair is not counted from there
+            after = after % n_class
             new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            left = np.add.reduceat(np.where(code < n_class, n, 0), new)
+            total, word = np.add.reduceat(n, new), np.repeat(np.arange(len(new)), np.diff(np.append(new, len(h))))
             chosen = np.empty(len(new), np.int64)
             for i in range(0, len(new), 2048):
-                lo, hi = new[i], new[i + 2048] if i + 2048 < len(new) else len(h)
-                gain = np.add.reduceat(gain_of[code[lo:hi]] * n[lo:hi, None], new[i : i + 2048] - lo) - left[i : i + 2048, None] * size
+                j = min(i + 2048, len(new))
+                lo, hi = new[i], new[j] if j < len(new) else len(h)
+                at, size_ = (word[lo:hi] - i) * n_class, (j - i) * n_class
+                counts = [np.bincount(at + side[lo:hi], n[lo:hi], size_).reshape(-1, n_class) for side in (before, after)]
+                gain = counts[0] @ logs + counts[1] @ logs.T - total[i:j, None] * size
                 gain[:, END] = -np.inf
-                gain[np.arange(len(gain)), old[new[i : i + 2048]]] += STAY
-                chosen[i : i + 2048] = gain.argmax(1)
-            each = np.repeat(chosen, np.diff(np.append(new, len(h))))
-            before, beyond = code < n_class, (code >= n_class) & (code < 2 * n_class)
-            np.add.at(moves, (code[before], each[before]), n[before])
-            np.add.at(moves, (each[beyond], code[beyond] - n_class), n[beyond])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(chosen.astype(np.int32)), pa.array(left)], names=["hash", "cls", "n"])
+                gain[np.arange(j - i), old[new[i:j]]] += STAY
+                chosen[i:j] = gain.argmax(1)
+            each = chosen[word]
+            moves += np.bincount(before * n_class + each, n, len(moves)).astype(np.int64)
+            moves += np.bincount((each * n_class + after)[beyond], n[beyond], len(moves)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(chosen.astype(np.int32)), pa.array(total)], names=["hash", "cls", "n"])
         found = np.flatnonzero(moves)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.array(found.astype(np.int32)), pa.array(moves.ravel()[found])], names=["hash", "cls", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.array(found.astype(np.int32)), pa.array(moves[found])], names=["hash", "cls", "n"])
 
     return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "hash bigint, cls int, n bigint")
 

@@ -264,37 +264,16 @@ def test_words_go_to_the_class_their_neighbours_tell(spark):
     rng = np.random.RandomState(5)
     moves = np.log10(rng.dirichlet(np.ones(5), 5))
     sizes = np.array([10.0, 50, 20, 80, 30])
-    rows = [(w, int(w % 4) + 1, int(code), int(n)) for w in range(200) for code, n in zip(rng.randint(0, 15, 6), rng.randint(1, 9, 6))]
+    rows = [(w, int(w % 4) + 1, int(code), int(n)) for w in range(200) for code, n in zip(rng.choice(50, 6, False), rng.randint(1, 9, 6))]
     table = spark.createDataFrame(rows, "hash bigint, old int, code int, n bigint")
     got = classlm.best_classes(table, moves, sizes).collect()
+    logs = np.log(10) * moves
     for w in range(200):
-        mine = [r for r in rows if r[0] == w]
-        left = sum(n for *_, code, n in mine if code < 5)
-        gain = [sum(n * np.log(10) * (moves[code, b] if code < 5 else moves[b, code % 5]) for *_, code, n in mine) - left * np.log(sizes[b]) + classlm.STAY * (b == mine[0][1]) for b in range(5)]
-        assert [(r.cls, r.n) for r in got if r.hash == w] == [(1 + int(np.argmax(gain[1:])), left)]
-    assert sum(r.n for r in got if r.hash is None) == sum(n for *_, code, n in rows if code < 10)
-
-
-def test_exchange_ends_where_no_move_helps():
-    rng = np.random.RandomState(2)
-    side = np.array([0, 1, 1, 1, 1, 2, 2, 2, 2])
-    pairs = rng.poisson(np.where(side[:, None] == side[None, :], 3, 40))
-
-    def information(of):
-        hot = np.eye(4)[of]
-        m = hot.T @ pairs @ hot
-        x = lambda v: (v * np.log(np.maximum(v, 1e-300))).sum()
-        return x(m) - x(m.sum(0)) - x(m.sum(1))
-
-    of = classlm.exchange(pairs, 4, 50)
-    assert of[0] == 0 and (of[1:] > 0).all()
-    best = information(of)
-    assert best > information(np.array([0, *(1 + np.arange(8) % 3)]))
-    for s in range(1, 9):
-        for c in range(1, 4):
-            other = of.copy()
-            other[s] = c
-            assert information(other) <= best + 1e-6
+        mine = [(code // 10, code % 5, n) for word, _, code, n in rows if word == w]
+        count = sum(n for *_, n in mine)
+        gain = [sum(n * (logs[a, k] + logs[k, c]) for a, c, n in mine) - count * np.log(sizes[k]) + classlm.STAY * (k == w % 4 + 1) for k in range(5)]
+        assert [(r.cls, r.n) for r in got if r.hash == w] == [(1 + int(np.argmax(gain[1:])), count)]
+    assert sum(r.n for r in got if r.hash is None) == sum(n * (1 + (code % 10 < 5)) for *_, code, n in rows)
 
 
 # licenses
