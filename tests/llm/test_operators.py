@@ -276,6 +276,28 @@ def test_words_go_to_the_class_their_neighbours_tell(spark):
     assert sum(r.n for r in got if r.hash is None) == sum(n * (1 + (code % 10 < 5)) for *_, code, n in rows)
 
 
+def test_exchange_ends_where_no_move_helps():
+    rng = np.random.RandomState(2)
+    side = np.array([0, 1, 1, 1, 1, 2, 2, 2, 2])
+    pairs = rng.poisson(np.where(side[:, None] == side[None, :], 3, 40))
+
+    def information(of):
+        hot = np.eye(4)[of]
+        m = hot.T @ pairs @ hot
+        x = lambda v: (v * np.log(np.maximum(v, 1e-300))).sum()
+        return x(m) - x(m.sum(0)) - x(m.sum(1))
+
+    of = classlm.exchange(pairs, 4, 50)
+    assert of[0] == 0 and (of[1:] > 0).all()
+    best = information(of)
+    assert best > information(np.array([0, *(1 + np.arange(8) % 3)]))
+    for s in range(1, 9):
+        for c in range(1, 4):
+            other = of.copy()
+            other[s] = c
+            assert information(other) <= best + 1e-6
+
+
 # licenses
 
 
