@@ -1,22 +1,27 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 The kernel of two strings sums LAMBDA ** (spans) over their common subsequences of ORDER
-characters, so inserted characters and gaps only weaken a match.  Landmarks are word beginnings
-("^" marks the edge) that tell toxic training texts from clean ones.  A text is, for each
-landmark, the largest kernel value of its words, squared, and their share of the text, whitened
-by the landmarks' own kernel matrix, and the largest of either over the landmarks; on that a
-linear support vector machine is trained, and its margins are calibrated to probabilities.
-
-Marks are left out, and runs of single characters ("x y z") count as one word.  Words whose common subsequence with a
-landmark falls short of it by more than MISSING characters have no part in the kernel with it.
+characters, of any script, so inserted characters and gaps only weaken a match.  Landmarks are
+word beginnings ("^" marks the edge) that tell toxic training texts from clean ones.  A text is,
+for each landmark, the largest kernel value of its words, squared, and their share of the text,
+whitened by the landmarks' own kernel matrix, and the largest of either over the landmarks; on
+that a linear support vector machine is trained, and its margins are calibrated to probabilities.
+Toxic training texts are shown a second time with values as misspelt words have them.
+
+Marks are left out, runs of single characters ("x y z") count as one word, and so do words that
+continue each other to a landmark ("gru mbl").  An ideograph counts as two characters, and a
+word begins at each of them.  Words may lack a third of a landmark; for each landmark the clean
+training texts tell from which kernel value on a word counts.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +32,17 @@ from .classlm import fold
 from .common import SPACE_SEP, read, slices, spans, word_hashes
 
 ORDER = 4
-LAMBDA = 0.6
-MISSING = 1
+LAMBDA = 0.75
+LACK = 3  # a word may lack one in so many characters of a landmark at most
+MARGIN = 1.9  # by so much a word must come nearer to a landmark than those of any clean training text
+NEAREST = 0.99
+LOWEST = 0.2  # kernel values below count for no landmark
+WORN = 0.6  # kernel values of misspelt words, relative to those of the words
 LANDMARKS = 48
 DENSE = 0.01  # share of words from which a landmark is dense in a text
 EVER = 3.0  # weight of a word that is found at all
 WIDTH = 24  # words are read in windows of so many characters
-CODES = 0x250  # characters beyond share a code that matches nothing
+IDEOGRAPHS = 4  # characters of words in scripts without spaces
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 4000
 REJECT = 0.7
 SEEN_WORDS = 1_500_000
@@ -41,10 +50,24 @@ _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _NO_MARKS = str.maketrans("", "", _MARKS)
 
 
+_IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def parts(word: str) -> list[str]:
+    """The words that begin in a run of characters: itself, or one at each ideograph, which is written twice."""
+    if not _IDEOGRAPH.search(word):
+        return [word]
+    found = [word[i : i + IDEOGRAPHS] for i in range(len(word)) if i == 0 or _IDEOGRAPH.match(word[i])]
+    return [_IDEOGRAPH.sub(lambda m: 2 * m[0], w) for w in found]
+
+
 def normal_words(text: str) -> Counter[str]:
     """Words as the kernel sees them, and how often."""
     raw = text.lower().translate(_NO_MARKS).split()
-    out = Counter(raw)
+    out: Counter[str] = Counter()
+    for w, n in Counter(raw).items():
+        for part in parts(w):
+            out[part] += n
     run: list[str] = []
     for c in [*raw, "  "]:
         if len(c) == 1:
@@ -56,7 +79,12 @@ def normal_words(text: str) -> Counter[str]:
     return out
 
 
-def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def letters_of(strings: list[str]) -> np.ndarray:
+    """The characters that codes are given to, in order; all others share code 1, which matches nothing."""
+    return np.unique(np.array([ord(c) for c in "^" + "".join(strings)], np.uint32))
+
+
+def coded(words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character codes of the windows of "^word", and which word each window is from."""
     rows, of = [], []
     for k, w in enumerate(words):
@@ -64,16 +92,16 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, max(1, len(w) - WIDTH // 2), WIDTH // 2):
             rows.append(w[at : at + WIDTH].ljust(WIDTH, "\0"))
             of.append(k)
-    got = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32).reshape(-1, WIDTH)
-    return np.where(got < CODES, got, 1).astype(np.int32), np.array(of, np.int64)
+    got = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(np.searchsorted(letters, got), len(letters) - 1)
+    return np.where(letters[at] == got, at + 2, got > 0).astype(np.int32).reshape(-1, WIDTH), np.array(of, np.int64)
 
 
-def common_length(codes: np.ndarray, landmark: str) -> np.ndarray:
-    """Length of the longest common subsequence with a landmark of at most 15 characters, by bit vectors."""
-    masks = np.zeros(CODES, np.uint16)
-    for k, c in enumerate(landmark):
-        if ord(c) < CODES:
-            masks[ord(c)] |= np.uint16(1 << k)
+def common_length(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence with a landmark of at most 15 codes, by bit vectors."""
+    masks = np.zeros(max(int(codes.max(initial=0)), int(landmark.max())) + 1, np.uint16)
+    for k, c in enumerate(landmark.tolist()):
+        masks[c] |= np.uint16(1 << k)
     v = np.full(len(codes), 0xFFFF, np.uint16)
     for j in range(codes.shape[1]):
         m = masks[codes[:, j]]
@@ -83,11 +111,11 @@ def common_length(codes: np.ndarray, landmark: str) -> np.ndarray:
     return np.bitwise_count(low).astype(np.int64)
 
 
-def kernel(codes: np.ndarray, landmark: str, order: int = ORDER, decay: float = LAMBDA) -> np.ndarray:
-    """Subsequence kernel of each row with a landmark."""
+def kernel(codes: np.ndarray, landmark: np.ndarray, order: int = ORDER, decay: float = LAMBDA) -> np.ndarray:
+    """Subsequence kernel of each row of codes with a landmark's."""
     n, width = codes.shape
     m = len(landmark)
-    same = np.stack([codes == ord(c) for c in landmark], 2)  # row, position, landmark position
+    same = codes[:, :, None] == landmark  # row, position, landmark position
     prime = np.ones((n, width + 1, m + 1))
     for _ in range(order - 1):
         new = np.zeros_like(prime)
@@ -100,9 +128,15 @@ def kernel(codes: np.ndarray, landmark: str, order: int = ORDER, decay: float =
     return decay * decay * np.where(same, prime[:, :-1, :-1], 0.0).sum((1, 2))
 
 
+def code_of(landmark: str, letters: np.ndarray) -> np.ndarray:
+    return coded([landmark[1:]], letters)[0][0, : len(landmark)]
+
+
 @dataclass
 class Model:
     landmarks: list[str]
+    letters: np.ndarray
+    floor: np.ndarray  # kernel values below count as none
     ever: np.ndarray  # found at all, not only where dense, in hardly any clean text
     self_kernel: np.ndarray
     whiten: np.ndarray
@@ -112,14 +146,24 @@ class Model:
     offset: float
 
     def features(self, words: list[str]) -> np.ndarray:
-        """Kernel of each word with each landmark, in units of the landmark's own and at most 1."""
+        """Kernel of each word with each landmark, in units of the landmark's own: 1 for words that begin with it, at most NEAREST for others."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         if words:
-            codes, of = coded(words)
+            split = [parts(w) for w in words]
+            owner = np.repeat(np.arange(len(words)), [len(p) for p in split])
+            codes, of = coded([w for p in split for w in p], self.letters)
+            of = owner[of]
             for j, mark in enumerate(self.landmarks):
-                near = np.flatnonzero(common_length(codes, mark) >= len(mark) - MISSING)
+                mark = code_of(mark, self.letters)
+                length = common_length(codes, mark)
+                near = np.flatnonzero(length >= max(ORDER, len(mark) - len(mark) // LACK))
                 if len(near):
-                    np.maximum.at(out[:, j], of[near], np.minimum(kernel(codes[near], mark) / self.self_kernel[j], 1).astype(np.float32))
+                    whole = (codes[near, : len(mark)] == mark).all(1)
+                    # letters that repeat match several times, so a value is bounded by the landmark's subsequences that the word can have
+                    most = np.array([comb(n, ORDER) for n in range(len(mark) + 1)]) / comb(len(mark), ORDER)
+                    value = np.minimum(kernel(codes[near], mark) / self.self_kernel[j], np.minimum(most, NEAREST)[length[near]])
+                    np.maximum.at(out[:, j], of[near], np.where(whole, 1, value).astype(np.float32))
+            out[out < self.floor] = 0
         return out
 
     def whitened(self, most: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -153,7 +197,7 @@ def choose_landmarks(vocabulary: list[str], docs: list[tuple[np.ndarray, np.ndar
                     found[w[:size]] += n
         return found
 
-    least = max(3, 0.01 * toxic.sum())
+    least = max(5, 0.01 * toxic.sum())
     seen: Counter[str] = Counter()
     for d in np.flatnonzero(toxic).tolist():
         seen.update(beginnings(d, None).keys())
@@ -176,14 +220,25 @@ def choose_landmarks(vocabulary: list[str], docs: list[tuple[np.ndarray, np.ndar
     while good and len(chosen) < most:
         value = {k: sum(0.6 ** covered[d] for d in ds) - 3 * weight * clean[k] for k, ds in good.items()}
         best = max(good, key=lambda k: (round(value[k], 6), len(k[0]), k))
-        if value[best] < 1:
+        if value[best] < least:
             break
         chosen.append((best[0], not best[1] and len(good[best]) > 40 * weight * max(1, clean[best])))
         covered.update(good.pop(best))
-        good = {k: ds for k, ds in good.items() if value[k] >= 1 and not (k[1] == best[1] and (k[0].startswith(best[0]) or best[0].startswith(k[0])))}
+        good = {k: ds for k, ds in good.items() if value[k] >= least and not (k[1] == best[1] and (k[0].startswith(best[0]) or best[0].startswith(k[0])))}
     return chosen
 
 
+def floors(each: np.ndarray, place: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
+    """The kernel value from which a word counts for each landmark: no clean text comes near it, but by the landmark itself."""
+    near = np.where(each > NEAREST + 1e-3, 0, each)
+    top = np.zeros(((~toxic).sum(), each.shape[1]), np.float32)
+    for row, d in zip(top, np.flatnonzero(~toxic).tolist()):
+        at = place[docs[d][0]]
+        if (at >= 0).any():
+            near[at[at >= 0]].max(0, out=row)
+    return np.clip(MARGIN * top.max(0, initial=0.0), LOWEST, NEAREST + 1e-3)
+
+
 def fit_svm(z: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine by Newton steps; classes weigh the same."""
     x = np.hstack([z, np.ones((len(z), 1))])
@@ -236,13 +291,14 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     if not chosen:
         return None
     marks = [m for m, _ in chosen]
-    codes, _ = coded([m[1:] for m in marks])
-    own = np.stack([kernel(codes, m) for m in marks], 1)
+    letters = letters_of(marks)
+    codes, _ = coded([m[1:] for m in marks], letters)
+    own = np.stack([kernel(codes, code_of(m, letters)) for m in marks], 1)
     self_kernel = np.maximum(np.diag(own), 1e-12)
     gram = own / np.sqrt(np.outer(self_kernel, self_kernel))
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    model = Model(marks, np.array([e for _, e in chosen]), self_kernel, whiten, np.zeros(2 * len(marks) + 2), 0.0, -1.0, 0.0)
+    model = Model(marks, letters, np.zeros(len(marks)), np.array([e for _, e in chosen]), self_kernel, whiten, np.zeros(2 * len(marks) + 2), 0.0, -1.0, 0.0)
     place, values = np.full(len(vocabulary), -1), [np.zeros((0, len(marks)), np.float32)]
     for k in range(0, len(vocabulary), 20_000):
         got = model.features(vocabulary[k : k + 20_000])
@@ -250,13 +306,20 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
         place[k + some] = sum(map(len, values)) + np.arange(len(some))
         values.append(got[some])
     each = np.vstack(values)
+    model.floor = floors(each, place, docs, toxic)
+    each[each < model.floor] = 0
     pooled, total = np.zeros((len(docs), len(marks))), np.zeros((len(docs), len(marks)))
     for d, (ids, n) in enumerate(docs):
         hit = place[ids] >= 0
         if hit.any():
             rows = each[place[ids[hit]]]
             pooled[d], total[d] = rows.max(0), n[hit] @ rows
-    z = model.whitened(pooled, total, np.array([n.sum() for _, n in docs]))
+    sizes = np.array([n.sum() for _, n in docs])
+    worn = (WORN * pooled >= model.floor) & toxic[:, None]
+    again = np.flatnonzero(worn.any(1))
+    pooled, total = (np.vstack([x, np.where(worn, WORN * x, 0)[again]]) for x in (pooled, total))
+    z = model.whitened(pooled, total, np.concatenate([sizes, sizes[again]]))
+    toxic = np.concatenate([toxic, toxic[again]])
     model.weights, model.bias = fit_svm(z, np.where(toxic, 1.0, -1.0))
     model.slope, model.offset = calibrate(z @ model.weights + model.bias, toxic)
     return model
@@ -267,6 +330,10 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.texts = [m[1:] for m in model.landmarks if m[0] == "^"]
+        self.begins = {t[:n].encode() for t in self.texts for n in range(2, len(t))}
+        self.first = np.zeros(256, bool)
+        self.first[[b[0] for b in self.begins]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -308,7 +375,7 @@ class Scorer:
         of = np.repeat(np.arange(docs), np.diff(first))
         np.maximum.at(most, of[hit], self.values[row[hit]])
         np.add.at(total, of[hit], self.values[row[hit]])
-        runs = list(self._runs(data, raw, starts, ends, of))
+        runs = [*self._runs(data, raw, starts, ends, of), *self._continued(raw, starts, ends, of)]
         for (d, _), value in zip(runs, self.model.features([w for _, w in runs])):
             most[d], total[d] = np.maximum(most[d], value), total[d] + value
         return most, total, np.diff(first)
@@ -325,6 +392,23 @@ class Scorer:
             yield int(of[i]), "".join(raw[starts[k] : ends[k]].decode(errors="replace").lower().translate(_NO_MARKS) for k in range(i, i + n))
 
 
+    def _continued(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Words of a text that together begin as a landmark does and alone end before it."""
+        low = raw.lower()
+        n = ends - starts
+        for i in np.flatnonzero((n >= 2) & (n < 4 * WIDTH) & self.first[np.frombuffer(low, np.uint8)[starts]]).tolist():
+            word = low[starts[i] : ends[i]]
+            if word in self.begins:
+                joined, j = word, i + 1
+                while j < len(of) and of[j] == of[i] and joined in self.begins and len(joined) < 4 * WIDTH:
+                    more = low[starts[j] : ends[j]]
+                    if not any(t.startswith((joined + more[:1]).decode(errors="replace")) for t in self.texts):
+                        break
+                    joined, j = joined + more, j + 1
+                if j > i + 1:
+                    yield int(of[i]), joined.decode(errors="replace").lower().translate(_NO_MARKS)
+
+
 #: Bytes that begin a character that is neither white space nor a mark.
 _LETTER = np.zeros(256, np.int64)
 _LETTER[[c for c in range(0x21, 0x80) if chr(c) not in _MARKS and c != 0x7F]] = 1
@@ -401,7 +485,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not rejected, with all columns and without a shuffle."""
+    """The rows of `docs` that are not rejected, with all columns, whatever their names, and without a shuffle.
+
+    Null and empty texts, and all texts where labels of a class are missing, stay; empty tables
+    give no rows.
+    """
     model = fit(docs, labels)
 
     @F.arrow_udf("double")

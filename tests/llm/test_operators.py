@@ -446,14 +446,16 @@ def naive_kernel(s, t, n, decay):
 
 def test_kernel_and_common_length_against_definition():
     for w, mark in (("idiom", "^idiot"), ("xidixotx", "^idiot"), ("banana", "^anan"), ("q", "^idiot")):
-        codes, _ = toxicity.coded([w])
-        assert toxicity.kernel(codes, mark)[0] == pytest.approx(naive_kernel("^" + w, mark, toxicity.ORDER, toxicity.LAMBDA))
+        letters = toxicity.letters_of([mark])
+        codes, _ = toxicity.coded([w], letters)
+        code = toxicity.code_of(mark, letters)
+        assert toxicity.kernel(codes, code)[0] == pytest.approx(naive_kernel("^" + w, mark, toxicity.ORDER, toxicity.LAMBDA))
         s = "^" + w
         best = [[0] * (len(mark) + 1) for _ in range(len(s) + 1)]
         for i, x in enumerate(s):
             for j, y in enumerate(mark):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert toxicity.common_length(codes, mark)[0] == best[-1][-1]
+        assert toxicity.common_length(codes, code)[0] == best[-1][-1]
 
 
 def test_toxicity_learns_and_tolerates_spelling(spark):
@@ -469,7 +471,7 @@ def test_toxicity_learns_and_tolerates_spelling(spark):
                 w[rng.randrange(40)] = rng.choice(bad)
         rows.append((k, " ".join(w)))
         labels.append((k, 1, int(toxic)))
-    extra = {1001: "g r u m b l o r k", 1002: "snaffxwit", 1003: "plonk-head"}
+    extra = dict(enumerate(["g r u m b l o r k", "plonk-head", "snaffxwit", "grumxblork", "gxrumxblxork", "gxruxmbxlxork", "grmblork", "grum blork", "pl onk head"], 1001))
     rows += [(k, " ".join(rng.choice(clean) for _ in range(20)) + f" {t} " + rng.choice(clean)) for k, t in extra.items()]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
@@ -477,10 +479,31 @@ def test_toxicity_learns_and_tolerates_spelling(spark):
     truth = {k: t for k, _, t in labels}
     held = [k for k in truth if got[k].held_out]
     assert all(got[k].predicted == truth[k] for k in held) and len(held) > 150
-    assert all(got[k].score > 0.5 for k in (1001, 1003)) and got[1002].score > max(got[k].score for k in held if not truth[k])
+    assert all(got[k].predicted for k in extra)
     assert toxicity.drop_toxic(docs.filter("doc_id < 600"), table).count() == 480
 
 
+@pytest.mark.parametrize(
+    ("bad", "clean"),
+    [
+        (["дурацкий", "болванище"], "дом река город ветер книга дорога солнце письмо вечер окно".split()),
+        (["笨蛋", "傻瓜"], ["今天天气", "我们学习", "城市公园", "朋友来了", "看书写字", "中午吃饭"]),
+    ],
+)
+def test_toxicity_in_other_scripts(bad, clean):
+    rng = random.Random(3)
+    texts, toxic = [], np.arange(400) % 5 == 0
+    for k in range(400):
+        w = [rng.choice(clean) for _ in range(40)]
+        if toxic[k]:
+            w[rng.randrange(40)] += rng.choice(["", " "]) + rng.choice(bad) if len(bad[0]) == 2 else " " + rng.choice(bad)
+        texts.append(" ".join(w))
+    model = toxicity.train(texts[:], toxic.copy())
+    raw = [t.encode() for t in texts]
+    got = model.scores(*toxicity.Scorer(model).pool(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))))
+    assert ((got >= toxicity.REJECT) == toxic).all()
+
+
 # pages
 
 
