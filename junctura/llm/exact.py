@@ -6,7 +6,8 @@
 
 The normalised text itself is a grouping key at every stage, so equality is equality of
 content, never of digests alone.  Members then find their group by SHA-256, a second 64-bit
-hash, the length and the salt, which spreads a group that holds a third of all rows.
+hash, the length and the salt, which spreads a group that holds a third of all rows.  Rows
+without a key are dealt at random and find their group at every salt.
 """
 
 from __future__ import annotations
@@ -48,10 +49,12 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     tables give no rows; other columns are ignored.  `digest` can be replaced in tests.
     """
     digest = digest or (lambda t: F.sha2(t, 256))
+    salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = F.when(F.col("k").isNull(), F.floor(F.rand(2) * salts)).otherwise(F.pmod(F.xxhash64("k", "n"), F.lit(salts))).cast("int")
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"), normalised(F.col(text)).alias("norm"))
-    rows = rows.withColumns({"digest": digest(F.col("norm")), "check": F.xxhash64("norm"), "size": F.length("norm"), "salt": F.pmod(F.xxhash64("k", "n"), F.lit(SALTS)).cast("int")})
-    salted = rows.groupBy("digest", "check", "size", "salt", "norm").agg(F.max(_rank(F.col("n"), F.col("k"))).alias("rank"), F.count("*").alias("rows"))
-    whole = salted.groupBy("digest", "check", "size", "norm").agg(F.max("rank").alias("rank"), F.sum("rows").alias("group_size"), F.collect_list("salt").alias("salts"))
+    rows = rows.withColumns({"digest": digest(F.col("norm")), "check": F.xxhash64("norm"), "size": F.length("norm"), "salt": dealt})
+    salted = rows.groupBy("digest", "check", "size", "salt", "norm").agg(F.max(_rank(F.col("n"), F.col("k"))).alias("rank"), F.count("*").alias("rows"), F.bool_or(F.col("k").isNull()).alias("nameless"))
+    whole = salted.groupBy("digest", "check", "size", "norm").agg(F.max("rank").alias("rank"), F.sum("rows").alias("group_size"), F.when(F.bool_or("nameless"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.collect_list("salt")).alias("salts"))
     groups = whole.select("digest", "check", "size", F.explode("salts").alias("salt"), _doc_of(F.col("rank")).alias("keep_id"), "group_size", F.sha2("norm", 256).alias("text_sha256"))
     found = rows.drop("norm").join(groups, ["digest", "check", "size", "salt"])
     return found.select(F.col("k").alias(key), "keep_id", "group_size", F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -2,7 +2,8 @@
 
 A template is license wording with markup: `<<beginOptional>>..<<endOptional>>` may be left
 out, `<<var;min;max>>` stands for min to max arbitrary words.  Templates are compiled into
-automata over words; a text is accepted where all mandatory wording follows exactly.
+automata over words; a text is accepted where all mandatory wording follows exactly, unless
+the word before it denies it ("not licensed under ...").
 Plain phrases (the base rules) are found beside that and always keep their labels.
 """
 
@@ -26,7 +27,9 @@ holders be liable for any claim damages or other liability whether in an action
 or in connection with the software or the use or other dealings in the software"""
 #: Public license wording; the markup is ours.
 TEMPLATES = (
-    ("mit-notice", "<<beginOptional>>this <<var;1;4>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the mit license"),
+    ("mit-notice", "licensed under the <<beginOptional>>terms of the<<endOptional>> mit license"),
+    ("mit-notice", "released under the <<beginOptional>>terms of the<<endOptional>> mit license"),
+    ("mit-notice", "this <<var;1;4>> is <<beginOptional>>available<<endOptional>> under the mit license"),
     ("apache-2.0", "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 0 <<beginOptional>>the license<<endOptional>>"),
     ("gpl-notice", "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu <<beginOptional>>lesser<<endOptional>> general public license <<beginOptional>>as published by the free software foundation either<<endOptional>> version <<var;1;1>> <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>"),
     ("cc-by", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by <<beginOptional>>nc<<endOptional>> <<beginOptional>>nd<<endOptional>> <<beginOptional>>sa<<endOptional>> <<var;1;1>> 0 <<beginOptional>>international license<<endOptional>>"),
@@ -37,13 +40,29 @@ subject to the following conditions the above copyright notice and this permissi
 shall be included in all copies or substantial portions of the software {_WARRANTY}"""),
     ("isc-text", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that
 the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;1;6>> disclaims all warranties with regard
-to this software including all implied warranties of merchantability and fitness"""),
+to this software including all implied warranties of merchantability and fitness in no event shall <<var;1;6>> be liable for any special direct indirect or
+consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action
+arising out of or in connection with the use or performance of this software"""),
     ("bsd-text", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
 documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;1;12>> nor the names of its contributors
-may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>> this software is provided by <<var;1;10>> as is"""),
+may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>> this software is provided by <<var;1;10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and
+fitness for a particular purpose are disclaimed in no event shall <<var;1;12>> be liable for any direct indirect incidental special exemplary or consequential damages
+including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of
+liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+possibility of such damage"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
+either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
+    ("zlib-text", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of
+this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to
+the following restrictions <<beginOptional>>1<<endOptional>> the origin of this software must not be misrepresented you must not claim that you wrote the original software
+if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<beginOptional>>2<<endOptional>> altered
+source versions must be plainly marked as such and must not be misrepresented as being the original software <<beginOptional>>3<<endOptional>> this notice may not be
+removed or altered from any source distribution"""),
+    ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var;1;8>>"),
 )
+DENIALS = frozenset((b"not", b"never", b"no", b"nor", b"neither", b"isn", b"cannot"))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;\d+;\d+)>>")
 
@@ -106,7 +125,7 @@ class Automaton:
         if self.key not in words:
             return
         for i, w in enumerate(words):
-            if (w in self.first or None in self.first) and (end := self.match(words, i)) is not None:
+            if (w in self.first or None in self.first) and (i == 0 or words[i - 1] not in DENIALS) and (end := self.match(words, i)) is not None:
                 yield i, end
 
 
@@ -139,7 +158,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, key: st
 
     score is 1 where a template's whole mandatory wording was accepted, 0.5 where only a phrase
     was found, else 0.  Null texts count as empty (0 words, null places, "" labels); null keys
-    stay null; repeated rows are scanned each; whole texts are read; other columns are ignored.
+    stay null; repeated rows are scanned each; texts are read whole, however long; empty tables
+    give no rows; other columns, whatever their names, are ignored.
     """
     cut = [(tuple(_WORD.findall(p.lower().encode())), label) for p, label in phrases]
 

@@ -46,8 +46,10 @@ def plan_mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """`docs` with the struct column __jx_mix (size, source_size, target, copies).
 
     Null texts have size 0, null sources form a source of their own, null doc_ids draw as "".
-    Rows that repeat a doc_id draw the same number.  The rates meet the documents in an equi
-    join whose key is salted, as one source may hold a third of the rows.
+    Rows that repeat a doc_id draw the same number; texts are read whole; empty tables give no
+    rows.  The rates meet the documents in an equi join whose key is salted at random, as one
+    source may hold a third of the rows; every rate is at every salt, so results do not depend
+    on the salt.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     rates = source_rates(docs.select("source", size.alias("size")), **options)
@@ -58,7 +60,7 @@ def plan_mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
         "__jx_size": size,
         "__jx_u": drawn,
         "__jx_src": F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")),
-        "__jx_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"),
+        "__jx_salt": F.floor(F.rand(6) * SALTS).cast("int"),
     })
     joined = marked.join(rates, ["__jx_src", "__jx_salt"])
     rate = F.col("__jx_rate.rate")
@@ -68,7 +70,10 @@ def plan_mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of `docs`, each row as often as it is taken."""
+    """The mix itself: the columns of `docs`, whatever their names, each row as often as it is taken.
+
+    Nulls, repeated rows and empty tables as in `plan_mix`.
+    """
     planned = plan_mix(docs, **options).filter("__jx_mix.copies > 0")
     return planned.withColumn("__jx_copy", F.explode(F.sequence(F.lit(1), F.col("__jx_mix.copies").cast("int")))).select(docs.columns)
 
