@@ -46,8 +46,11 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where spark.checkpoint.dir is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/junctura-checkpoints").rstrip("/")
+    """The cluster's shared folder; a local one only where spark.checkpoint.dir is unset and all runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or f"{tempfile.gettempdir()}/junctura-checkpoints").rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

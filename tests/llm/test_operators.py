@@ -430,6 +430,48 @@ def test_leaks_edited_and_everywhere(spark):
     assert {r.doc_id for r in decontam.drop_leaks(docs, benchmark).collect()} == set(range(300)) - {d for d, _ in want}
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every item is aligned with every whole text, without seeds or windows."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.choice([4, 7, 12, 25]))] for i in range(15)}
+    texts = {}
+    for d in range(120):
+        t = [rng.choice(vocabulary) for _ in range(rng.randrange(10, 120))]
+        if d % 2:
+            copy = list(items[d % 15])
+            for _ in range(rng.randrange(0, 1 + len(copy) // 3)):
+                k = rng.randrange(len(copy))
+                copy[k : k + 1] = rng.choice([["zz"], [], ["zz", copy[k]]])
+                copy = copy or ["zz"]
+            at = rng.randrange(len(t))
+            t[at:at] = copy
+        texts[d] = t
+
+    def local(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(0, row[j] + (decontam.MATCH if x == y else decontam.MISMATCH), row[j + 1] - decontam.GAP, new[j] - decontam.GAP))
+            row, best = new, max(best, *new)
+        return best
+
+    want = {}
+    for d, t in texts.items():
+        grams = {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+        for i, w in items.items():
+            score = local(w, t)
+            if score >= (len(w) if len(w) >= decontam.SHORT_ITEM else 2 * len(w)) and any(tuple(w[k : k + 3]) in grams for k in range(len(w) - 2)):
+                want[d, i] = score / (2 * len(w))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    rows = decontam.find_leaks(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == pytest.approx(want) and len(want) > 25
+    for r in rows:  # the passage alone has the whole score
+        assert local(items[r.item_id], texts[r.doc_id][r.first_word : r.end_word]) / (2 * len(items[r.item_id])) == pytest.approx(r.score)
+
+
 def test_alignment_against_plain_recurrence():
     rng = np.random.RandomState(0)
     for _ in range(30):
