@@ -13,22 +13,27 @@ from junctura.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go.  Null and empty texts stay, all stay without labels of both classes; empty tables stay empty; extra columns are carried."""
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays, the longest, then the smallest doc_id; null counts as empty, rows without a doc_id stay; extra columns are carried."""
     return drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, at 80 percent; texts without words and rows without a doc_id stay; extra columns are carried."""
     return drop_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; null and empty texts stay, all stay if the benchmark is empty; extra columns are carried."""
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target has it; null texts have no words, null sources are one source; an empty table stays empty."""
     return mix(docs)
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/junctura-checkpoints").rstrip("/")
+    """spark.checkpoint.dir; a local folder only where that is unset and all runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or f"{tempfile.gettempdir()}/junctura-checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
