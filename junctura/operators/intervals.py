@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +33,39 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 1 << 14) -> Dat
     return joined.drop("__bin", "__r_bin")
 
 
-def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "strand"), touching: bool = True, carry: list[Column] | None = None, bin_width: int | None = None) -> DataFrame:
+def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their bin; keys may be null."""
+    named = bins.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in bins.columns if c not in keys))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return rows.join(named, on).drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "strand"), touching: bool = True, carry: list[Column] | None = None, bin_width: int | None = 1 << 16) -> DataFrame:
     """Islands of overlapping intervals with their bounds and number; touching ones merge or stay apart.
 
-    A running maximum of ends tells where an island begins.  `carry` adds aggregates.
+    A running maximum of ends tells where an island begins.  Rows are swept within bins of
+    `bin_width` by start; what earlier bins reach and how many islands they begin is carried over
+    in a table of a row a bin, so no task holds a chromosome.  None is for keys that have few
+    intervals each, which are swept whole.  `carry` adds aggregates.
     """
-    order = Window.partitionBy(*keys).orderBy("start", "end")
+    place = [*keys] if bin_width is None else [*keys, "__bin"]
+    rows = intervals if bin_width is None else intervals.withColumn("__bin", F.floor(F.col("start") / bin_width))
+    order = Window.partitionBy(*place).orderBy("start", "end")
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = (F.col("start") > reach) if touching else (F.col("start") >= reach)
-    flagged = intervals.withColumn("__new", F.when(reach.isNull() | apart, 1).otherwise(0))
-    islands = flagged.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    number = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    if bin_width is not None:
+        tops = rows.groupBy(*place).agg(F.max("end").alias("__top"))
+        rows = _with_bins(rows, tops.select(*place, F.max("__top").over(earlier).alias("__reach")), place)
+        reach = F.greatest("__reach", reach)
+    flagged = rows.withColumn("__before", reach)
+    apart = (F.col("start") > F.col("__before")) if touching else (F.col("start") >= F.col("__before"))
+    flagged = flagged.withColumn("__new", F.when(F.col("__before").isNull() | apart, 1).otherwise(0))
+    if bin_width is not None:
+        begun = flagged.groupBy(*place).agg(F.sum("__new").alias("__begun"))
+        flagged = _with_bins(flagged, begun.select(*place, F.coalesce(F.sum("__begun").over(earlier), F.lit(0)).alias("__islands")), place)
+        number = F.col("__islands") + number
+    islands = flagged.withColumn("island", number)
     return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *(carry or []))
 
 

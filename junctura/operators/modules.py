@@ -25,7 +25,7 @@ def build_modules(clusters: DataFrame, members: DataFrame, genes: DataFrame) ->
     lone = slim.join(regions, ["chrom", "strand"], "left_anti").withColumns({"gene_id": F.lit(""), "gene_name": F.lit("")})
     keys = ("gene_id", "gene_name", "chrom", "strand")
     ids = F.collect_list("cluster_id").alias("cluster_ids")
-    merged = merge_intervals(genic, keys, touching=False, carry=[ids]).select(*keys, "cluster_ids")
+    merged = merge_intervals(genic, keys, touching=False, carry=[ids], bin_width=None).select(*keys, "cluster_ids")
     alone = lone.select(*keys, F.array("cluster_id").alias("cluster_ids"))
     first = merged.unionByName(alone).withColumn("lead", F.array_min("cluster_ids"))
     held = first.withColumn("cluster_id", F.explode("cluster_ids")).drop("cluster_ids")

@@ -181,3 +181,49 @@ def test_report_title(spark):
     from junctura.sinks.report import title_rows
 
     assert title_rows(spark, {"a": 1}, {"b": 2}).count() == 2 and title_rows(spark).count() == 0
+
+
+def test_rates_against_the_definition(spark):
+    """Benjamini-Hochberg over tiny, tied, large and missing p-values."""
+    import math
+    import random
+
+    from junctura.operators.fdr import benjamini_hochberg
+
+    rng = random.Random(1)
+    ps = [rng.choice([rng.random(), rng.random() * 1e-3, 10.0 ** -rng.randrange(320), 0.25, 1.0, 0.0, float("nan")]) for _ in range(500)]
+    rows = [(f"m{k}", p) for k, p in enumerate(ps)] + [("none", None)]
+    got = {r.module_id: r.fdr for r in benjamini_hochberg(spark.createDataFrame(rows, "module_id string, p_value double")).collect()}
+    order = sorted(range(500), key=lambda k: (math.isnan(ps[k]), ps[k]))
+    best, want = 1.0, {}
+    for rank in range(500, 0, -1):
+        k = order[rank - 1]
+        if not math.isnan(ps[k]):
+            best = min(best, ps[k] * 500 / rank)
+        want[f"m{k}"] = float("nan") if math.isnan(ps[k]) else best
+    assert got.pop("none") is None
+    assert all((math.isnan(got[m]) and math.isnan(q)) or math.isclose(got[m], q, rel_tol=1e-12) for m, q in want.items())
+
+
+def test_islands_over_bins(spark):
+    """Intervals that span many bins, nested and touching ones, and keys that are null."""
+    import random
+
+    from junctura.operators.intervals import merge_intervals
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), s, s + rng.choice([1, 5, 40, 700])) for s in (rng.randrange(20_000) for _ in range(150))]
+    table = spark.createDataFrame(rows, "chrom string, start bigint, end bigint")
+    for touching in (True, False):
+        want = []
+        for c in ("a", "b", None):
+            reach = None
+            for _, s, e in sorted(r for r in rows if r[0] == c) if c else sorted((r for r in rows if r[0] is None), key=lambda r: r[1:]):
+                if reach is None or (s > reach if touching else s >= reach):
+                    want.append([c, s, e, 0])
+                reach = max(e, reach or e)
+                want[-1][2:] = reach, want[-1][3] + 1
+        for width in (None, 16, 1000):
+            got = merge_intervals(table, ("chrom",), touching, bin_width=width).select("chrom", "start", "end", "n", "island").collect()
+            assert sorted(map(str, ([*r][:4] for r in got))) == sorted(map(str, want))
+            assert len({(r.chrom, r.island) for r in got}) == len(got)
