@@ -1,8 +1,10 @@
 """Aligned reads from SAM text and BAM files.
 
-BAM is a Python data source: `spark.read.format("bam").load(paths)`.  A file is a partition, read
-through zlib's stream of BGZF blocks, and yields Arrow batches of the columns that junction
-counting needs; sequences and qualities are skipped.  Filters on chrom are pushed to the reader.
+BAM is a Python data source: `spark.read.format("bam").load(paths)`.  A file is cut into splits of
+some 64 MB of BGZF blocks; a split owns the records that begin in its blocks and finds the first
+one by its form.  With a filter on chrom, which is pushed to the reader, and an index beside the
+file only the chromosomes' blocks are read, from exact places.  Fixed fields are decoded with
+NumPy, sequences and qualities are skipped.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +27,10 @@ _ARROW = pa.schema([("sample_idx", pa.int32()), ("qname", pa.string()), ("flag",
 _OPS = "MIDNSHP=X"
 _TAG_SIZE = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 _TAG_CODE = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I"}
-BATCH = 20_000
+SPLIT_BYTES = 64 << 20
+CHUNK_BYTES = 8 << 20
+CHAIN = 8  # records in a row that must look like records where a split begins
+PSEUDO_BIN = 37450  # of an index: figures, not places
 
 
 def read_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -51,7 +58,7 @@ def _inflate(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 class _Bytes:
     def __init__(self, parts: Iterator[bytes]):
-        self.parts, self.buffer, self.at = parts, b"", 0
+        self.parts, self.buffer, self.at, self.taken = parts, b"", 0, 0
 
     def take(self, n: int) -> bytes:
         while len(self.buffer) - self.at < n:
@@ -60,20 +67,204 @@ class _Bytes:
                 return b""
             self.buffer, self.at = self.buffer[self.at :] + more, 0
         out = self.buffer[self.at : self.at + n]
-        self.at += n
+        self.at, self.taken = self.at + n, self.taken + n
         return out
 
 
-def header(source: _Bytes) -> list[str]:
-    """Reference names, in order."""
+def references(source: _Bytes) -> list[tuple[str, int]]:
+    """Reference names and lengths, in order."""
     if source.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     source.take(struct.unpack("<i", source.take(4))[0])
-    names = []
+    found = []
     for _ in range(struct.unpack("<i", source.take(4))[0]):
-        names.append(source.take(struct.unpack("<i", source.take(4))[0])[:-1].decode())
-        source.take(4)
-    return names
+        name = source.take(struct.unpack("<i", source.take(4))[0])[:-1].decode()
+        found.append((name, struct.unpack("<i", source.take(4))[0]))
+    return found
+
+
+def header(source: _Bytes) -> list[str]:
+    """Reference names, in order."""
+    return [name for name, _ in references(source)]
+
+
+def _block_size(data: bytes, at: int) -> tuple[int, int] | None:
+    """Size of the BGZF block that begins here and of its header, or None."""
+    if data[at : at + 4] != b"\x1f\x8b\x08\x04" or len(data) < at + 18:
+        return None
+    extra = struct.unpack_from("<H", data, at + 10)[0]
+    p, end = at + 12, min(at + 12 + extra, len(data))
+    while p + 4 <= end:
+        size = struct.unpack_from("<H", data, p + 2)[0]
+        if data[p : p + 2] == b"BC" and size == 2 and p + 6 <= end:
+            return struct.unpack_from("<H", data, p + 4)[0] + 1, 12 + extra
+        p += 4 + size
+    return None
+
+
+def is_blocked(stream) -> bool:
+    stream.seek(0)
+    return _block_size(stream.read(1 << 16), 0) is not None
+
+
+def first_block(stream, at: int) -> int | None:
+    """Place of the first BGZF block that begins at `at` or later; the next one must follow it."""
+    stream.seek(at)
+    data = stream.read(1 << 18)
+    p = data.find(b"\x1f\x8b\x08\x04")
+    while p >= 0:
+        got = _block_size(data, p)
+        if got and (p + got[0] >= len(data) or _block_size(data, p + got[0])):
+            return at + p
+        p = data.find(b"\x1f\x8b\x08\x04", p + 1)
+    return None
+
+
+def blocks(stream, at: int) -> Iterator[tuple[int, bytes]]:
+    """Places and contents of the BGZF blocks from `at` on."""
+    stream.seek(at)
+    data, p = b"", 0
+    while True:
+        if len(data) - p < 1 << 16:
+            data, p = data[p:] + stream.read(1 << 22), 0
+        if p >= len(data):
+            return
+        got = _block_size(data, p)
+        if got is None or p + got[0] > len(data):
+            raise ValueError(f"no BGZF block at {at}")
+        yield at, zlib.decompress(data[p + got[1] : p + got[0] - 8], -15)
+        p, at = p + got[0], at + got[0]
+
+
+def _is_record(data: bytes, at: int, lengths: list[int]) -> int | None:
+    """The end of what looks like a record at `at`, or None."""
+    if at + 36 > len(data):
+        return None
+    size, tid, pos, low, high, n_seq, next_tid, next_pos = struct.unpack_from("<iiiIIiii", data, at)
+    n_name, n_cigar = low & 0xFF, high & 0xFFFF
+    least = 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq
+    if n_name < 1 or n_seq < 0 or not least <= size < 1 << 27 or not -1 <= tid < len(lengths) or not -1 <= next_tid < len(lengths):
+        return None
+    if pos < -1 or next_pos < -1 or (tid >= 0 and pos > lengths[tid]) or (next_tid >= 0 and next_pos > lengths[next_tid]):
+        return None
+    name = data[at + 36 : at + 36 + n_name]
+    if len(name) == n_name and (name[-1] or not all(33 <= c <= 126 for c in name[:-1])):
+        return None
+    return at + 4 + size
+
+
+def first_record(data: bytes, limit: int, lengths: list[int]) -> int | None:
+    """The first place before `limit` from which CHAIN records follow each other, or as many as there are."""
+    for at in range(limit):
+        p: int | None = at
+        for _ in range(CHAIN):
+            p = _is_record(data, p, lengths)
+            if p is None or p + 36 > len(data):
+                break
+        if p is not None:
+            return at
+    return None
+
+
+def split_records(source: Iterator[tuple[int, bytes]], start: int | None, end: tuple[int, int], lengths: list[int]) -> Iterator[tuple[bytes, list[int]]]:
+    """Contents, and the places of whole records in them, of (place, content) of blocks.
+
+    `start` is the place of the first record in the contents, found where it is not known; records
+    that begin at `end`, a place of a block and one within it, or behind are left out.
+    """
+    data, base, total, at, limit, done = b"", 0, 0, start, None, False
+    while not done:
+        got, want = [data], total + (CHUNK_BYTES if at is not None else max(CHUNK_BYTES, 1 << 20))
+        for place, content in source:
+            if limit is None and place >= end[0]:
+                limit = total + (end[1] if place == end[0] else 0)
+            got.append(content)
+            total += len(content)
+            if total >= want or (limit is not None and at is not None and total >= limit + (1 << 16)):
+                break
+        else:
+            done = True
+        data = b"".join(got)
+        stop = min(total, total if limit is None else limit)
+        if at is None:
+            at = first_record(data, stop, lengths)
+            if at is None:
+                if limit is not None:
+                    return
+                continue
+        begins, p, n = [], at - base, len(data)
+        while p + base < stop and p + 4 <= n:
+            after = p + 4 + int.from_bytes(data[p : p + 4], "little")
+            if after > n:
+                break
+            begins.append(p)
+            p = after
+        if begins:
+            yield data, begins
+        at = base + p
+        if limit is not None and at >= limit:
+            return
+        data, base = data[p:], at
+
+
+def decoded(data: bytes, begins: list[int], sample: int, names: list[str], wanted: frozenset[str] | None) -> pa.RecordBatch:
+    """The records that begin at these places, of the chromosomes wanted."""
+    at = np.array(begins)
+    fixed = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(36)].copy().view("<i4")
+    if wanted is not None:
+        keep = np.isin(fixed[:, 1], [k for k, name in enumerate(names) if name in wanted])
+        at, fixed = at[keep], fixed[keep]
+    low, high = fixed[:, 3].view(np.uint32), fixed[:, 4].view(np.uint32)
+    qnames, cigars, tags, known, told = [], [], [], {}, {}
+    for o, size, n_name, n_cigar, n_seq in zip(at.tolist(), fixed[:, 0].tolist(), (low & 0xFF).tolist(), (high & 0xFFFF).tolist(), fixed[:, 5].tolist()):
+        a = o + 36 + n_name
+        b = a + 4 * n_cigar
+        qnames.append(data[o + 36 : a - 1])
+        raw = data[a:b]
+        cigar = known.get(raw)
+        if cigar is None:
+            cigar = known[raw] = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack(f"<{n_cigar}I", raw)) or "*"
+        cigars.append(cigar)
+        raw = data[b + (n_seq + 1) // 2 + n_seq : o + 4 + size]
+        pair = told.get(raw)
+        if pair is None:
+            pair = told[raw] = _tags(raw)
+        tags.append(pair)
+    tid = fixed[:, 1]
+    chroms = pa.DictionaryArray.from_arrays(pa.array(tid, pa.int32(), mask=tid < 0), pa.array(names, pa.string())).cast(pa.string())
+    nh, score = zip(*tags) if tags else ((), ())
+    mapq = (low >> np.uint32(8) & np.uint32(0xFF)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sample, np.int32)), pa.array(qnames, pa.binary()).cast(pa.string()), pa.array((high >> np.uint32(16)).astype(np.int32)), chroms, pa.array(fixed[:, 2].astype(np.int64)), pa.array(mapq), pa.array(cigars, pa.string()), pa.array(nh, pa.int32()), pa.array(score, pa.int32())], schema=_ARROW)
+
+
+def index_ranges(raw: bytes, names: list[str], wanted: frozenset[str], split: int = SPLIT_BYTES) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Ranges of places (block, within it) that hold the chromosomes' records, by a BAM index; all begin and end at records."""
+    if raw[:4] != b"BAI\1":
+        raise ValueError("not a BAM index")
+    p, out = 8, []
+    for k in range(struct.unpack_from("<i", raw, 4)[0]):
+        ends, marks = [], []
+        n_bin = struct.unpack_from("<i", raw, p)[0]
+        p += 4
+        for _ in range(n_bin):
+            name, n_chunk = struct.unpack_from("<Ii", raw, p)
+            p += 8
+            if name != PSEUDO_BIN and n_chunk:
+                chunks = struct.unpack_from(f"<{2 * n_chunk}Q", raw, p)
+                marks += chunks[::2]
+                ends += chunks[1::2]
+            p += 16 * n_chunk
+        n_line = struct.unpack_from("<i", raw, p)[0]
+        marks += [v for v in struct.unpack_from(f"<{n_line}Q", raw, p + 4) if v]
+        p += 4 + 8 * n_line
+        if ends and names[k] in wanted:
+            cuts = [min(marks)]
+            for v in sorted(set(marks)):
+                if (v >> 16) - (cuts[-1] >> 16) >= split and v < max(ends):
+                    cuts.append(v)
+            place = [(v >> 16, v & 0xFFFF) for v in [*cuts, max(ends)]]
+            out += zip(place, place[1:])
+    return out
 
 
 def _tags(raw: bytes) -> tuple[int | None, int | None]:
@@ -90,44 +281,47 @@ def _tags(raw: bytes) -> tuple[int | None, int | None]:
         else:
             if name in (b"NH", b"AS") and kind in _TAG_CODE:
                 found[name] = struct.unpack_from(_TAG_CODE[kind], raw, at)[0]
+                if len(found) == 2:
+                    break
             at += _TAG_SIZE[kind]
     return found.get(b"NH"), found.get(b"AS")
 
 
-def records(stream, sample: int, chroms: frozenset[str] | None = None) -> Iterator[tuple]:
-    source = _Bytes(_inflate(stream))
-    names = header(source)
-    while size := source.take(4):
-        body = source.take(struct.unpack("<i", size)[0])
-        tid, pos, bin_mq_nl, flag_nc, n_seq = struct.unpack_from("<iiIIi", body)
-        chrom = names[tid] if tid >= 0 else None
-        if chroms is not None and chrom not in chroms:
-            continue
-        n_name, mapq, n_cigar, flag = bin_mq_nl & 0xFF, bin_mq_nl >> 8 & 0xFF, flag_nc & 0xFFFF, flag_nc >> 16
-        at = 32 + n_name
-        ops = struct.unpack_from(f"<{n_cigar}I", body, at)
-        nh, score = _tags(body[at + 4 * n_cigar + (n_seq + 1) // 2 + n_seq :])
-        yield sample, body[32 : at - 1].decode(), flag, chrom, pos, mapq, "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*", nh, score
-
-
 def _opened(path: str):
-    """A stream of a file in any store pyarrow knows."""
+    """A file, to be read from any place, in any store pyarrow knows."""
     from pyarrow import fs
 
     if path.startswith("file:") or "://" not in path:
         return open(re.sub(r"^file:/*", "/", path), "rb")
     store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(inner)
+    return store.open_input_file(inner)
+
+
+def _size(stream) -> int:
+    size = stream.seek(0, 2)
+    return stream.tell() if size is None else size
+
+
+def _index(path: str) -> bytes | None:
+    for name in (f"{path}.bai", re.sub(r"\.bam$", ".bai", path)):
+        try:
+            with _opened(name) as stream:
+                return stream.read()
+        except FileNotFoundError:
+            continue
+    return None
+
 
+class _Split(InputPartition):
+    """Records from `start` (a place of a block and within it, None where that is to be found) to `end`; without either, all of a file that has no blocks."""
 
-class _File(InputPartition):
-    def __init__(self, path: str, sample: int):
-        self.path, self.sample = path, sample
+    def __init__(self, path: str, sample: int, start: tuple[int, int | None] | None, end: tuple[int, int] | None):
+        self.path, self.sample, self.start, self.end = path, sample, start, end
 
 
 class _BamReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths, self.chroms = paths, None
+    def __init__(self, paths: list[str], split: int):
+        self.paths, self.split, self.chroms = paths, split, None
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -138,26 +332,47 @@ class _BamReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        return [_File(p, i) for i, p in enumerate(self.paths)]
-
-    def read(self, partition: _File):
+        return [split for i, path in enumerate(self.paths) for split in self._splits(path, i)] or [_Split("", 0, None, None)]
+
+    def _splits(self, path: str, sample: int) -> Iterator[_Split]:
+        with _opened(path) as stream:
+            if not is_blocked(stream):
+                yield _Split(path, sample, None, None)
+                return
+            raw = _index(path) if self.chroms is not None else None
+            if raw is not None:
+                names = header(_Bytes(content for _, content in blocks(stream, 0)))
+                for start, end in index_ranges(raw, names, self.chroms, self.split):
+                    yield _Split(path, sample, start, end)
+                return
+            size = _size(stream)
+            for at in range(0, size, self.split):
+                yield _Split(path, sample, (at, None), (min(at + self.split, size), 0))
+
+    def read(self, partition: _Split):
+        if not partition.path:
+            return
         with _opened(partition.path) as stream:
-            rows = []
-            for row in records(stream, partition.sample, self.chroms):
-                rows.append(row)
-                if len(rows) == BATCH:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+            blocked = partition.start is not None
+            head = _Bytes((content for _, content in blocks(stream, 0)) if blocked else _inflate(stream))
+            known = references(head)
+            names, lengths = [n for n, _ in known], [n for _, n in known]
+            if not blocked:
+                rest = iter([(0, head.buffer[head.at :])])
+                found = split_records(chain(rest, enumerate(head.parts, 1)), 0, (1 << 62, 0), lengths)
+            elif partition.start[0] == 0:
+                found = split_records(blocks(stream, 0), head.taken if partition.start[1] is None else partition.start[1], partition.end, lengths)
+            else:
+                at = partition.start[0] if partition.start[1] is not None else first_block(stream, partition.start[0])
+                if at is None or at >= partition.end[0] and partition.start[1] is None:
+                    return
+                found = split_records(blocks(stream, at), partition.start[1], partition.end, lengths)
+            for data, begins in found:
+                yield decoded(data, begins, partition.sample, names, self.chroms)
 
 
 class BamSource(DataSource):
-    """Options: path, or paths joined by newlines; sample_idx is the place in the list."""
+    """Options: path, or paths joined by newlines; sample_idx is the place in the list.  splitBytes is the compressed size of a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -167,13 +382,13 @@ class BamSource(DataSource):
         return READS
 
     def reader(self, schema):
-        return _BamReader([p for p in (self.options.get("paths") or self.options["path"]).split("\n") if p])
+        return _BamReader([p for p in (self.options.get("paths") or self.options["path"]).split("\n") if p], int(self.options.get("splitBytes") or SPLIT_BYTES))
 
 
-def read_bam(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_bam(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("paths", "\n".join(paths)).load()
+    return spark.read.format("bam").option("paths", "\n".join(paths)).option("splitBytes", split_bytes).load()
 
 
 def bam_chromosomes(path: str) -> list[str]:
