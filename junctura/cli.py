@@ -6,6 +6,7 @@ import argparse
 import os
 import re
 import sys
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ from .operators import junctions as J
 from .operators import reads as R
 from .pipeline import Results, Settings, analyse
 from .session import session
+from .sinks import drawings as D
 from .sinks import exports as X
 from .sinks import report as H
 from .sinks import tables as S
+from .sinks.workbook import results_workbook
 from .sources import alignments as A
 from .sources import annotation as G
 from .sources import tool_tables as T
@@ -76,6 +79,8 @@ def write_results(res: Results, out: str, formats: set[str]) -> None:
     S.write_tsv(S.junction_details(res.evidence.join(genes, J.KEY, "left"), res.nmd).orderBy("junction_id"), f"{out}/junctions.tsv")
     S.write_tsv(S.summary_table(diff, diag).drop("ord"), f"{out}/summary.tsv")
     export(diff, res, out, formats)
+    if "xlsx" in formats:
+        results_workbook(f"{out}/results.xlsx", diff, diag, res.evidence)
     with open(f"{out}/report.html", "w") as f:
         f.write(H.html_report(diff, diag, res.evidence, res.het, res.nmd))
 
@@ -158,6 +163,12 @@ def cmd_compare(a, spark) -> None:
     S.write_tsv(C.concordance(everything), f"{a.output_dir}/concordance.tsv")
     S.write_tsv(C.exclusive_intersections(everything, 15), f"{a.output_dir}/intersections.tsv")
     S.write_tsv(C.jaccard_matrix(everything), f"{a.output_dir}/jaccard.tsv")
+    names = sorted(r.tool for r in everything.select("tool").distinct().collect())
+    likeness = {(r.tool_a, r.tool_b): r.jaccard for r in C.jaccard_matrix(everything).collect()}
+    shared = [(r.tools.split("&"), r.n) for r in C.exclusive_intersections(everything, 15).collect()]
+    for file, drawing in (("jaccard", D.heat_map(names, likeness)), ("intersections", D.intersections(names, shared))):
+        with open(f"{a.output_dir}/{file}.svg", "w") as f:
+            f.write(drawing)
     for t in tables[1:]:
         tool = t.first()
         if tool is not None:
@@ -165,17 +176,25 @@ def cmd_compare(a, spark) -> None:
 
 
 def cmd_sashimi(a, spark) -> None:
-    """Depth and arcs of the top events' genes, by group, as Parquet for drawing."""
+    """Depth and arcs of the top events' genes, by group: tables and a drawing."""
     labels = parse_labels(len(a.bam), a.group1, a.group2)
     groups = spark.createDataFrame(sorted(labels.items()), "sample_idx int, label int")
     reads = written(load_reads(spark, a.bam), "reads")
-    genes, _ = G.read_gtf(spark, a.gtf, None)
+    genes, exons = G.read_gtf(spark, a.gtf, None)
     top = T.read_tsv(spark, a.results).withColumn("fdr", F.col("fdr").cast("double")).orderBy("fdr", "module_id").limit(a.n_top).select("module_id", F.col("gene_id").alias("wanted_id"))
     for row in G.find_gene(top, genes).collect():  # at most n_top
         if row.gene is not None:
             name, lo, hi = re.sub(r"[^A-Za-z0-9]", "_", row.module_id), max(0, row.gene.start - 200), row.gene.end + 200
             S.save_stage(H.group_coverage(R.coverage(reads, row.gene.chrom, lo, hi), groups), f"{a.output_dir}/{name}/coverage")
             S.save_stage(H.arc_heights(H.group_junctions(R.region_junctions(reads, row.gene.chrom, lo, hi), groups)), f"{a.output_dir}/{name}/arcs")
+            depth, arcs = defaultdict(dict), defaultdict(list)
+            for r in S.load_stage(spark, f"{a.output_dir}/{name}/coverage").collect():  # a row a base of one gene
+                depth[r.label][r.pos] = r.depth
+            for r in S.load_stage(spark, f"{a.output_dir}/{name}/arcs").orderBy("start", "end").collect():
+                arcs[r.label].append((r.start, r.end, r.n, r.height))
+            models = sorted({(r.start, r.end) for r in exons.filter(F.col("gene_id") == row.gene.gene_id).select("start", "end").collect()})
+            with open(f"{a.output_dir}/{name}/sashimi.svg", "w") as f:
+                f.write(D.sashimi(row.module_id, lo, hi, models, depth, arcs))
 
 
 def cmd_evaluate(a, spark) -> None:
@@ -205,7 +224,7 @@ def parser() -> argparse.ArgumentParser:
     flag = lambda n: (n, {"action": "store_true"})
     command(
         "run", bam, ("--sample-names -n", {"action": "append"}), gtf, ("--genome -f", some), *groups, ("--covariates", some), out, count("--read-length -l", 101), count("--min-anchor", 6), count("--min-mapq", 0), count("--min-cluster-reads", 30), count("--max-intron-length", 100_000), count("--n-bootstraps", 30),
-        flag("--no-novel"), flag("--no-nmd"), flag("--no-het"), ("--export", {"action": "append", "choices": ["rmats", "leafcutter", "bed", "gtf", "majiq"]}), ("--checkpoint-dir", some), ("--seed", {"type": int, "default": None}), ("--df-mode", {"choices": ["groups", "k_minus_1"], "default": "groups"}), kind,
+        flag("--no-novel"), flag("--no-nmd"), flag("--no-het"), ("--export", {"action": "append", "choices": ["rmats", "leafcutter", "bed", "gtf", "majiq", "xlsx"]}), ("--checkpoint-dir", some), ("--seed", {"type": int, "default": None}), ("--df-mode", {"choices": ["groups", "k_minus_1"], "default": "groups"}), kind,
     )
     command("quantify", bam, gtf, kind, out)
     command("annotate", ("--evidence", need), gtf, kind, ("--genome -f", some), ("--output -o", need))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .drawings import scatter
 from .tables import at_largest, boolean, number
 
 TIERS = ("HIGH", "MEDIUM", "LOW", "FAIL")
@@ -91,28 +93,41 @@ def group_junctions(junctions: DataFrame, groups: DataFrame) -> DataFrame:
     return summed.select("label", "start", "end", F.expr("s div k").alias("n")).filter("n > 0")
 
 
-def html_table(df: DataFrame, most: int = 1000) -> str:
-    rows = df.limit(most).collect()
+def html_table(df: DataFrame) -> str:
+    """All rows of a summary, which has a row a type, tier or class."""
+    rows = df.collect()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(f'{v:.4g}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in rows)
     return f"<table><tr>{head}</tr>{body}</table>"
 
 
-def html_bars(df: DataFrame, label: str, value: str, most: int = 200) -> str:
-    """Bars as inline SVG."""
-    rows = [(str(r[label]), float(r[value])) for r in df.limit(most).collect()]
+def html_bars(df: DataFrame, label: str, value: str) -> str:
+    """Bars of all rows of a summary as inline SVG."""
+    rows = [(str(r[label]), float(r[value])) for r in df.collect()]
     top = max([v for _, v in rows], default=0) or 1
     bars = "".join(f'<text x="0" y="{18 * k + 13}">{html.escape(n)}</text><rect x="160" y="{18 * k}" width="{400 * v / top:.1f}" height="14"/>' for k, (n, v) in enumerate(rows))
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="600" height="{18 * len(rows) + 4}" font-size="12" fill="steelblue">{bars}</svg>'
 
 
+def volcano_chart(diff: DataFrame, cells: int = 120, threshold: float = 0.05) -> str:
+    """The volcano as SVG.  Modules that fall on the same of cells by cells places are one point, so a page stays small and shows all."""
+    points = volcano(diff).filter("delta is not null and significance is not null").withColumn("y", F.least("significance", F.lit(300.0)))
+    bounds = points.agg(F.max(F.abs("delta")).alias("x"), F.max("y").alias("y")).first()
+    if bounds.x is None:
+        return scatter([], "difference in usage", "-log10 FDR")
+    grid = lambda c, top: F.round(F.col(c) / ((top or 1.0) / cells)) * ((top or 1.0) / cells)
+    marked = F.col("significance") > -math.log10(threshold)
+    places = points.select(grid("delta", bounds.x).alias("x"), grid("y", bounds.y).alias("y"), marked.alias("m")).distinct()
+    return scatter(sorted((r.x, r.y, r.m) for r in places.collect()), "difference in usage", "-log10 FDR", [-math.log10(threshold)])
+
+
 def html_report(diff: DataFrame, diagnosed: DataFrame, evidence: DataFrame | None = None, het: DataFrame | None = None, nmd: DataFrame | None = None) -> str:
     """Sections on data, junctions, modules, tests, diagnostics and, where given, heterogeneity and consequences."""
     sections = [("Data", html_table(overview(diff, diagnosed)))]
     if evidence is not None:
         sections.append(("Junctions", html_table(junction_discovery(evidence)) + html_bars(motif_counts(evidence), "motif", "n")))
     sections.append(("Modules", html_table(type_shares(diff))))
-    sections.append(("Differential usage", html_bars(histogram(diff, "max_abs_delta_psi", 30, 0.0, 1.0), "from", "n") + html_bars(histogram(diff, "fdr", 30, 0.0, 1.0), "from", "n") + html_table(top_events(diff, diagnosed).select("module_id", "gene_name", "event_type", "max_abs_delta_psi", "fdr", "confidence_tier"))))
+    sections.append(("Differential usage", volcano_chart(diff) + html_bars(histogram(diff, "max_abs_delta_psi", 30, 0.0, 1.0), "from", "n") + html_bars(histogram(diff, "fdr", 30, 0.0, 1.0), "from", "n") + html_table(top_events(diff, diagnosed).select("module_id", "gene_name", "event_type", "max_abs_delta_psi", "fdr", "confidence_tier"))))
     sections.append(("Diagnostics", html_table(convergence(diagnosed)) + html_bars(tier_table(diagnosed), "confidence_tier", "n") + html_bars(histogram(diagnosed, "mean_mapq", 20), "from", "n")))
     if het is not None:
         sections.append(("Heterogeneity", html_bars(histogram(het, "heterogeneity_index", 20), "from", "n")))

@@ -167,7 +167,7 @@ def test_command_line(spark, tmp_path, results):
     (tmp_path / "g.fa").write_text(">chr1\n" + genome() + "\n")
     bams = [x for s in LABELS for x in ("--bam", str(tmp_path / f"{s}.sam"))]
     out = tmp_path / "out"
-    main(["run", *bams, "--gtf", str(tmp_path / "g.gtf"), "--genome", str(tmp_path / "g.fa"), "--group1", "0,1,2", "--group2", "3,4,5", "-o", str(out), "--read-length", "50", "--min-cluster-reads", "10", "--export", "bed", "--export", "majiq", "--checkpoint-dir", str(tmp_path / "cp")])
+    main(["run", *bams, "--gtf", str(tmp_path / "g.gtf"), "--genome", str(tmp_path / "g.fa"), "--group1", "0,1,2", "--group2", "3,4,5", "-o", str(out), "--read-length", "50", "--min-cluster-reads", "10", "--export", "bed", "--export", "majiq", "--export", "xlsx", "--checkpoint-dir", str(tmp_path / "cp")])
     table = spark.read.option("sep", "\t").option("header", True).csv(str(out / "results.tsv"))
     assert len(table.columns) == 27 and table.count() == 3
     assert "Junction usage report" in (out / "report.html").read_text()
