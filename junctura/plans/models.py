@@ -65,9 +65,16 @@ def _fixed_replicates(spark, sf):
 
 @query("bootstrap_interval", f"WITH {B.EVIDENCE_SQL}, {_BOOT} SELECT module_id, j_idx, sample_idx, round(quantile_cont(x, 0.025), 9) AS ci_low, round(quantile_cont(x, 0.975), 9) AS ci_high, round(avg(x), 9) AS boot_mean, round(stddev_pop(x), 9) AS boot_sd FROM bt GROUP BY ALL")
 def bootstrap_interval(spark, sf):
-    rows = _fixed_replicates(spark, sf).withColumn("x", F.explode("replicates")).groupBy("module_id", "j_idx", "sample_idx")
-    got = rows.agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    return got.select("module_id", "j_idx", "sample_idx", *(F.round(c, 9).alias(n) for c, n in ((F.col("q")[0], "ci_low"), (F.col("q")[1], "ci_high"), (F.col("m"), "boot_mean"), (F.col("s"), "boot_sd"))))
+    """Replicates that are known, through the function that summarises drawn ones."""
+
+    def run(frames):
+        for df in frames:
+            drawn = np.array(df["replicates"].to_list()).T
+            low, high = P.intervals(drawn)
+            yield df[["module_id", "j_idx", "sample_idx"]].assign(ci_low=low.round(9), ci_high=high.round(9), boot_mean=drawn.mean(0).round(9), boot_sd=drawn.std(0).round(9))
+
+    rows = _fixed_replicates(spark, sf).select("module_id", "j_idx", "sample_idx", "replicates")
+    return rows.mapInPandas(run, "module_id string, j_idx int, sample_idx int, ci_low double, ci_high double, boot_mean double, boot_sd double")
 
 
 @query("bootstrap_delta_interval", f"WITH {B.EVIDENCE_SQL}, {_BOOT}, d AS (SELECT module_id, j_idx, b, avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0) AS d FROM bt GROUP BY ALL) SELECT module_id, j_idx, round(quantile_cont(d, 0.025), 9) AS delta_psi_ci_low, round(quantile_cont(d, 0.975), 9) AS delta_psi_ci_high FROM d GROUP BY ALL")
@@ -252,27 +259,23 @@ def heterogeneity_variances(spark, sf):
     return rows.select("module_id", F.round("between_group_variance", 9).alias("between_group_variance"), F.round("heterogeneity_index", 4).alias("heterogeneity_index"))
 
 
-@query("covariate_z_scores", "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS z FROM customer")
+@query("covariate_z_scores", "SELECT c_custkey, CASE WHEN stddev_pop(c_acctbal) OVER w > 0 THEN round((c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w, 6) ELSE 0 END AS z FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment)")
 def z_scores(spark, sf):
-    rows = B.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    figures = rows.agg(F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("s"))
-    return rows.crossJoin(F.broadcast(figures)).select("c_custkey", F.round((F.col("c_acctbal") - F.col("m")) / F.col("s"), 6).alias("z"))
+    """Customers of a nation and segment as samples, their balance as covariate, through the design matrix."""
 
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        full, _, _ = dirichlet.design_matrices(np.zeros(len(g), int), g[["c_acctbal"]].to_numpy(float))
+        return pd.DataFrame({"c_custkey": g["c_custkey"], "z": full[:, -1].round(6)})
 
-@query("softmax", f"WITH {B.EVIDENCE_SQL}, m AS (SELECT *, max(norm) OVER (PARTITION BY module_id, sample_idx) AS top FROM ev) SELECT module_id, j_idx, sample_idx, round(exp(norm - top) / sum(exp(norm - top)) OVER (PARTITION BY module_id, sample_idx), 9) AS p FROM m")
-def softmax(spark, sf):
-    from pyspark.sql import Window
+    return B.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment").groupBy("c_nationkey", "c_mktsegment").applyInPandas(run, "c_custkey bigint, z double")
 
-    w = Window.partitionBy("module_id", "sample_idx")
-    e = B.evidence(spark, sf).withColumn("e", F.exp(F.col("norm") - F.max("norm").over(w)))
-    return e.select("module_id", "j_idx", "sample_idx", F.round(F.col("e") / F.sum("e").over(w), 9).alias("p"))
 
+@query("softmax", f"WITH {B.EVIDENCE_SQL}, m AS (SELECT *, max(norm) OVER (PARTITION BY module_id, sample_idx) AS top FROM ev) SELECT module_id, j_idx, sample_idx, round(exp(norm - top) / sum(exp(norm - top)) OVER (PARTITION BY module_id, sample_idx), 9) AS p FROM m")
+def softmax(spark, sf):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return g[["module_id", "j_idx", "sample_idx"]].assign(p=dirichlet.softmax(g["norm"].to_numpy()).round(9))
 
-def _analysed(spark, sf, **settings):
-    genes = B.loci_genes(spark, sf)
-    start = F.col("start")
-    exon = lambda a, b: genes.select("gene_id", F.concat("gene_id", F.lit(".1")).alias("transcript_id"), "chrom", "strand", (start + a).alias("start"), (start + b).alias("end"))
-    return analyse(B.loci(spark, sf), genes, exon(900, 1030).unionByName(exon(1230, 1400)), B.LABELS, settings=Settings(min_cluster_reads=4, het=False, **settings))
+    return B.evidence(spark, sf).select("module_id", "j_idx", "sample_idx", "norm").groupBy("module_id", "sample_idx").applyInPandas(run, "module_id string, j_idx int, sample_idx int, p double")
 
 
 @query("whole_analysis")
