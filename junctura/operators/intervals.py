@@ -40,7 +40,7 @@ def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, on).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
-def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "strand"), touching: bool = True, carry: list[Column] | None = None, bin_width: int | None = 1 << 16) -> DataFrame:
+def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "strand"), touching: bool = True, carry: list[Column] | None = None, bin_width: int | None = 1 << 20) -> DataFrame:
     """Islands of overlapping intervals with their bounds and number; touching ones merge or stay apart.
 
     A running maximum of ends tells where an island begins.  Rows are swept within bins of
