@@ -11,6 +11,7 @@ spaces, and distinct parts are decoded once.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MAX_PIECES = 1_000_000
+WINDOW = 1 << 16  # characters whose scores are held at once
+NO_MATCH = (-1, (0, 0.0))
 CACHED_PARTS, CACHED_CHARS = 500_000, 64
 SCHEMA = "doc_id bigint, n_chars bigint, n_tokens bigint, score double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
@@ -35,6 +38,8 @@ def load_vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
     """The ordinary pieces of a SentencePiece file and their scores, read on the driver."""
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary file at {path}; give its place as `path`")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
 
@@ -47,6 +52,7 @@ class Counting:
         for piece, score in vocabulary:
             self.trie.add_word(piece, (len(piece), score))
         self.trie.make_automaton()
+        self.longest = max(len(p) for p, _ in vocabulary)
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         if any(MARK in p.lstrip(MARK) for p, _ in vocabulary):
@@ -57,20 +63,23 @@ class Counting:
 
     def part(self, s: str) -> tuple[int, float]:
         """Pieces and score of the best path."""
-        n = len(s)
-        best, count = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.trie.iter(s):
-            ends[end].append(match)
-        for e in range(n):
+        best, count = [0.0], [0]
+        matches = self.trie.iter(s)
+        end, match = next(matches, NO_MATCH)
+        for e, character in enumerate(s):
             b, c = float("-inf"), 0
-            for size, score in sorted(ends[e], reverse=True):  # the earliest start first
-                if (v := best[e + 1 - size] + score) > b:
-                    b, c = v, count[e + 1 - size] + 1
-            if s[e] not in self.single and (v := best[e] + self.unknown) > b:
-                b, c = v, count[e] + len(s[e].encode())
-            best[e + 1], count[e + 1] = b, c
-        return count[n], best[n]
+            while end == e:  # the longest first, so the earliest start
+                size, score = match
+                if (v := best[-size] + score) > b:
+                    b, c = v, count[-size] + 1
+                end, match = next(matches, NO_MATCH)
+            if character not in self.single and (v := best[-1] + self.unknown) > b:
+                b, c = v, count[-1] + len(character.encode())
+            best.append(b)
+            count.append(c)
+            if len(best) > WINDOW + self.longest:  # no piece reaches further back
+                del best[: -self.longest], count[: -self.longest]
+        return count[-1], best[-1]
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:

@@ -1,5 +1,6 @@
 """Operators against brute force, exact tokenizers, planted cases and held-out data."""
 
+import itertools
 import random
 import re
 import zlib
@@ -180,7 +181,6 @@ def test_forest_spans_components():
     adjacent = rng.rand(m, m) < 0.03
     adjacent |= adjacent.T
     edges = list(neardup.forest(m, lambda x, rest: adjacent[x, rest]))
-    import itertools
 
     reach = np.linalg.matrix_power((adjacent | np.eye(m, dtype=bool)).astype(float), m) > 0
     components = {tuple(r) for r in reach}
@@ -384,6 +384,23 @@ def test_token_ties_keep_the_earlier_start():
     assert c.part("a")[0] == 1 and c.part("é")[0] == 2
 
 
+def test_token_windows_change_nothing(monkeypatch):
+    """Every segmentation of short strings, and the same counts with windows of three characters."""
+    pieces = {"a": -1.0, "b": -1.5, "ab": -2.5, "ba": -2.0, "aba": -3.5, "bb": -3.0, "abab": -4.5}
+    counting = tokencount.Counting(list(pieces.items()))
+
+    def best(s):
+        if not s:
+            return 0.0
+        return max([pieces[s[:k]] + best(s[k:]) for k in range(1, len(s) + 1) if s[:k] in pieces] + [counting.unknown + best(s[1:])] * (s[0] not in pieces))
+
+    texts = ["".join(t) for n in range(1, 8) for t in itertools.product("abc", repeat=n)]
+    whole = [counting.part(t) for t in texts]
+    assert [score for _, score in whole] == [best(t) for t in texts]
+    monkeypatch.setattr(tokencount, "WINDOW", 3)
+    assert [counting.part(t) for t in texts] == whole
+
+
 # decontamination
 
 
@@ -506,7 +523,6 @@ def test_mix_meets_targets(spark):
 
 
 def naive_kernel(s, t, n, decay):
-    import itertools
 
     spans = lambda x: [(tuple(x[i] for i in c), c[-1] - c[0] + 1) for c in itertools.combinations(range(len(x)), n)]
     a = defaultdict(float)
