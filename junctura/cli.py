@@ -21,6 +21,7 @@ from .sinks import drawings as D
 from .sinks import exports as X
 from .sinks import report as H
 from .sinks import tables as S
+from .sinks.pdf import pdf_report
 from .sinks.workbook import results_workbook
 from .sources import alignments as A
 from .sources import annotation as G
@@ -72,7 +73,7 @@ def load_reads(spark, paths: list[str]) -> DataFrame:
     return A.read_sam(spark, paths) if paths[0].endswith(".sam") else A.read_bam(spark, paths)
 
 
-def write_results(res: Results, out: str, formats: set[str]) -> None:
+def write_results(res: Results, out: str, formats: set[str], samples: dict | None = None, parameters: dict | None = None) -> None:
     diff, diag = res.diff, res.diagnostics
     S.write_tsv(S.results_table(diff, diag).orderBy("module_id"), f"{out}/results.tsv")
     genes = res.module_junctions.select(*J.KEY, "gene_id", "gene_name").dropDuplicates(J.KEY)
@@ -81,6 +82,8 @@ def write_results(res: Results, out: str, formats: set[str]) -> None:
     export(diff, res, out, formats)
     if "xlsx" in formats:
         results_workbook(f"{out}/results.xlsx", diff, diag, res.evidence)
+    if "pdf" in formats:
+        pdf_report(f"{out}/report.pdf", f"{out}/figures", diff, diag, samples, parameters)
     with open(f"{out}/report.html", "w") as f:
         f.write(H.html_report(diff, diag, res.evidence, res.het, res.nmd))
 
@@ -114,7 +117,7 @@ def cmd_run(a, spark) -> None:
             S.save_stage(reads, path)
         reads = S.load_stage(spark, path)
     res = analyse(reads, genes, exons, labels, tiles, covariates, settings)
-    write_results(res, a.output_dir, set(a.export or []))
+    write_results(res, a.output_dir, set(a.export or []), {n: f"group {labels[k] + 1}" for k, n in enumerate(names)}, vars(settings))
     S.save_stage(res.diff, f"{a.output_dir}/diff.parquet")
     S.save_stage(res.diagnostics, f"{a.output_dir}/diagnostics.parquet")
     S.save_evidence(res.evidence, f"{a.output_dir}/evidence.parquet")
@@ -224,7 +227,7 @@ def parser() -> argparse.ArgumentParser:
     flag = lambda n: (n, {"action": "store_true"})
     command(
         "run", bam, ("--sample-names -n", {"action": "append"}), gtf, ("--genome -f", some), *groups, ("--covariates", some), out, count("--read-length -l", 101), count("--min-anchor", 6), count("--min-mapq", 0), count("--min-cluster-reads", 30), count("--max-intron-length", 100_000), count("--n-bootstraps", 30),
-        flag("--no-novel"), flag("--no-nmd"), flag("--no-het"), ("--export", {"action": "append", "choices": ["rmats", "leafcutter", "bed", "gtf", "majiq", "xlsx"]}), ("--checkpoint-dir", some), ("--seed", {"type": int, "default": None}), ("--df-mode", {"choices": ["groups", "k_minus_1"], "default": "groups"}), kind,
+        flag("--no-novel"), flag("--no-exon-body"), flag("--no-nmd"), flag("--no-het"), ("--export", {"action": "append", "choices": ["rmats", "leafcutter", "bed", "gtf", "majiq", "xlsx", "pdf"]}), ("--checkpoint-dir", some), ("--seed", {"type": int, "default": None}), ("--df-mode", {"choices": ["groups", "k_minus_1"], "default": "groups"}), kind,
     )
     command("quantify", bam, gtf, kind, out)
     command("annotate", ("--evidence", need), gtf, kind, ("--genome -f", some), ("--output -o", need))

@@ -77,3 +77,12 @@ def intersections(names: Sequence[str], counts: Sequence[tuple[Sequence[str], in
         body.append(f'<rect x="{x - 8}" y="{140 - 120 * n / top:.1f}" width="16" height="{120 * n / top:.1f}" fill="{COLOURS[0]}"/>' + _text(x, 136 - 120 * n / top, str(n)))
         body += [f'<circle cx="{x}" cy="{166 + 18 * i}" r="5" fill="{"black" if name in who else "#dddddd"}"/>' for i, name in enumerate(names)]
     return _svg(130 + step * len(counts), 170 + 18 * len(names), "".join(body))
+
+
+def table(columns: Sequence[str], rows: Sequence[Sequence[str]]) -> str:
+    """Rows of text under a line, columns as wide as their longest entry."""
+    widths = [12 + 7 * max(map(len, column)) for column in zip(columns, *rows)]
+    lefts = [10 + sum(widths[:k]) for k in range(len(widths))]
+    body = [f'<path d="M10 24H{10 + sum(widths)}" stroke="black"/>']
+    body += [_text(x, 18 * n + 18, cell, "start") for n, row in enumerate([columns, *rows]) for x, cell in zip(lefts, row)]
+    return _svg(20 + sum(widths), 18 * len(rows) + 30, "".join(body))

@@ -109,16 +109,21 @@ def html_bars(df: DataFrame, label: str, value: str) -> str:
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="600" height="{18 * len(rows) + 4}" font-size="12" fill="steelblue">{bars}</svg>'
 
 
-def volcano_chart(diff: DataFrame, cells: int = 120, threshold: float = 0.05) -> str:
-    """The volcano as SVG.  Modules that fall on the same of cells by cells places are one point, so a page stays small and shows all."""
-    points = volcano(diff).filter("delta is not null and significance is not null").withColumn("y", F.least("significance", F.lit(300.0)))
+def volcano_places(diff: DataFrame, cells: int = 120, threshold: float = 0.05) -> list[tuple[float, float, bool]]:
+    """Points (x, y, marked) of the volcano.  Modules that fall on the same of cells by cells places are one point, so a page stays small and shows all."""
+    points = volcano(diff).filter("delta is not null and significance is not null and not isnan(delta) and not isnan(significance)").withColumn("y", F.least("significance", F.lit(300.0)))
     bounds = points.agg(F.max(F.abs("delta")).alias("x"), F.max("y").alias("y")).first()
     if bounds.x is None:
-        return scatter([], "difference in usage", "-log10 FDR")
+        return []
     grid = lambda c, top: F.round(F.col(c) / ((top or 1.0) / cells)) * ((top or 1.0) / cells)
     marked = F.col("significance") > -math.log10(threshold)
     places = points.select(grid("delta", bounds.x).alias("x"), grid("y", bounds.y).alias("y"), marked.alias("m")).distinct()
-    return scatter(sorted((r.x, r.y, r.m) for r in places.collect()), "difference in usage", "-log10 FDR", [-math.log10(threshold)])
+    return sorted((r.x, r.y, r.m) for r in places.collect())
+
+
+def volcano_chart(diff: DataFrame, cells: int = 120, threshold: float = 0.05) -> str:
+    """The volcano as SVG."""
+    return scatter(volcano_places(diff, cells, threshold), "difference in usage", "-log10 FDR", [-math.log10(threshold)])
 
 
 def html_report(diff: DataFrame, diagnosed: DataFrame, evidence: DataFrame | None = None, het: DataFrame | None = None, nmd: DataFrame | None = None) -> str:

@@ -1,11 +1,14 @@
 """The spreadsheet file and the charts, read back as XML."""
 
+import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 
 import pytest
 
 from junctura.sinks import drawings as D
+from junctura.sinks import pdf as P
 from junctura.sinks import workbook as W
 
 M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -46,3 +49,35 @@ def test_a_sheet_is_not_cut(monkeypatch):
     monkeypatch.setattr(W, "MOST_ROWS", 3)
     with pytest.raises(ValueError):
         W._sheet(["a"], [[1], [2], [3]], [""] * 3)
+
+
+def _pages(path):
+    """Contents of the pages, after the table of places has been followed."""
+    data = path.read_bytes()
+    start = int(re.search(rb"startxref\n(\d+)\n%%EOF", data)[1])
+    assert data.startswith(b"%PDF-1.4\n") and data[start:].startswith(b"xref\n0 ")
+    places = [int(p) for p in re.findall(rb"(\d{10}) 00000 n", data[start:])]
+    for n, p in enumerate(places, 1):
+        assert data[p:].startswith(f"{n} 0 obj\n".encode())
+    streams = [(int(m[1]), m.end()) for m in re.finditer(rb"/Length (\d+) /Filter /FlateDecode >>\nstream\n", data)]
+    assert len(streams) == int(re.search(rb"/Count (\d+)", data)[1])
+    return [zlib.decompress(data[at : at + n]).decode("cp1252") for n, at in streams]
+
+
+def test_pdf_report_holds_all(spark, tmp_path):
+    rows = [(f"m{k:02d}", f"gene({k})", "SE" if k % 3 else "A3SS", [0.4 - k / 50, 0.0], abs(0.4 - k / 50), 10.0 ** -(k % 5), "HIGH" if k % 2 else "FAIL", k % 2 == 0, True) for k in range(40)]
+    kinds = "module_id string, gene_name string, event_type string, delta_psi array<double>, max_abs_delta_psi double, fdr double, confidence_tier string, null_converged boolean, full_converged boolean"
+    table = spark.createDataFrame(rows, kinds)
+    diff, diagnosed = table.drop("confidence_tier", "null_converged", "full_converged"), table.select("module_id", "confidence_tier", "null_converged", "full_converged")
+    P.pdf_report(str(tmp_path / "a.pdf"), str(tmp_path / "figures"), diff, diagnosed, {"s1\\": "group 1"}, {"seed": None})
+    title, volcano, types, quality, top = _pages(tmp_path / "a.pdf")
+    assert "(s1\\\\: group 1)" in title and "(seed: None)" in title
+    assert volcano.count(" 1 J ") == len({(round(r[4], 3), r[0] >= "m20", r[5]) for r in rows})
+    assert "(A3SS)" in types and "(14)" in types and "(26)" in types
+    assert quality.count("(20)") == 2 and "(50)" in quality and "(100)" in quality
+    assert len(re.findall(r"\(m\d\d\)", top)) == 20 and r"(gene\(4\))" in top
+    assert sorted(f.name for f in (tmp_path / "figures").iterdir()) == ["diagnostics.svg", "event_types.svg", "top_events.svg", "volcano_plot.svg"]
+    for f in (tmp_path / "figures").iterdir():
+        ET.fromstring(f.read_text())
+    P.pdf_report(str(tmp_path / "b.pdf"), str(tmp_path / "none"), diff.limit(0), diagnosed.limit(0))
+    assert len(_pages(tmp_path / "b.pdf")) == 5
