@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import os
 import re
 import sys
@@ -26,7 +27,7 @@ from .sinks.workbook import results_workbook
 from .sources import alignments as A
 from .sources import annotation as G
 from .sources import tool_tables as T
-from .stages import written
+from .stages import resumed, written
 
 
 def sample_name(path: str) -> str:
@@ -111,12 +112,13 @@ def cmd_run(a, spark) -> None:
     settings = Settings(a.min_anchor, a.min_mapq, a.min_cluster_reads, a.max_intron_length, a.read_length, a.n_bootstraps, a.seed, a.df_mode, not a.no_novel, not a.no_het, not a.no_nmd)
     os.makedirs(a.output_dir, exist_ok=True)
     reads = load_reads(spark, a.bam)
+    stages = None
     if a.checkpoint_dir:
-        path = f"{a.checkpoint_dir}/reads"
-        if not T.exists(spark, f"{path}/_SUCCESS"):
-            S.save_stage(reads, path)
-        reads = S.load_stage(spark, path)
-    res = analyse(reads, genes, exons, labels, tiles, covariates, settings)
+        own = lambda *of: hashlib.sha256(repr(of).encode()).hexdigest()[:16]
+        source = reads
+        reads = resumed(spark, f"{a.checkpoint_dir}/reads-{own(a.bam)}", lambda: source)
+        stages = f"{a.checkpoint_dir}/analysis-{own(a.bam, a.gtf, a.genome, a.gene_type, labels, covariates, settings)}"
+    res = analyse(reads, genes, exons, labels, tiles, covariates, settings, stages)
     write_results(res, a.output_dir, set(a.export or []), {n: f"group {labels[k] + 1}" for k, n in enumerate(names)}, vars(settings))
     S.save_stage(res.diff, f"{a.output_dir}/diff.parquet")
     S.save_stage(res.diagnostics, f"{a.output_dir}/diagnostics.parquet")

@@ -7,7 +7,7 @@ so plans stay short and a lost executor costs part of a stage.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,7 +23,7 @@ from .operators import modules as M
 from .operators import nmd as N
 from .operators import psi as P
 from .operators import reads as R
-from .stages import written
+from .stages import resumed, written
 
 
 @dataclass
@@ -77,31 +77,51 @@ def _paths(reads: DataFrame, junctions: DataFrame, s: Settings) -> tuple[DataFra
     return G.exclusive_pairs(junctions, edges), G.coordinated_groups(junctions, edges)
 
 
-def analyse(reads: DataFrame, genes: DataFrame, exons: DataFrame, labels: Mapping[int, int], tiles: DataFrame | None = None, covariates: Mapping[int, Sequence[float]] | None = None, settings: Settings | None = None) -> Results:
-    """`labels` gives each sample's group, 0 or 1; samples are numbered from 0."""
+def analyse(reads: DataFrame, genes: DataFrame, exons: DataFrame, labels: Mapping[int, int], tiles: DataFrame | None = None, covariates: Mapping[int, Sequence[float]] | None = None, settings: Settings | None = None, checkpoint: str | None = None) -> Results:
+    """`labels` gives each sample's group, 0 or 1; samples are numbered from 0.
+
+    With `checkpoint`, a folder that belongs to these inputs and settings alone, stages that an
+    earlier run finished there are read and not made again.
+    """
     s = settings or Settings()
     n = max(labels) + 1
+
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return resumed(reads.sparkSession, f"{checkpoint}/{name}", make) if checkpoint else written(make(), name)
+
     known = J.known_junctions(exons)
-    counts = written(R.junction_counts(reads, s.min_anchor, s.min_mapq), "counts")
-    evidence = written(score(counts, known, n, tiles), "evidence")
+    counts = stage("counts", lambda: R.junction_counts(reads, s.min_anchor, s.min_mapq))
+    evidence = stage("evidence", lambda: score(counts, known, n, tiles))
     if not s.novel:
         evidence = evidence.filter("is_annotated")
-    strong = J.with_enough_reads(counts, s.min_cluster_reads).join(evidence.select(*J.KEY), J.KEY, "left_semi")
-    members = G.cluster_junctions(strong, s.max_intron)
-    modules, junctions = M.build_modules(G.clusters(members), members, genes)
-    modules, junctions = written(modules, "modules"), written(junctions, "module-junctions")
-    cells = written(M.evidence(junctions, J.per_sample(counts), n, evidence.select(*J.KEY, "composite_score", "is_annotated"), s.read_length), "cells")
-    boot = written(P.bootstrap(cells, s.replicates, s.seed), "bootstrap")
+
+    def clustered() -> DataFrame:
+        strong = J.with_enough_reads(counts, s.min_cluster_reads).join(evidence.select(*J.KEY), J.KEY, "left_semi")
+        return G.cluster_junctions(strong, s.max_intron)
+
+    members = stage("members", clustered) if checkpoint else clustered()
+    built = M.build_modules(G.clusters(members), members, genes)
+    modules, junctions = stage("modules", lambda: built[0]), stage("module-junctions", lambda: built[1])
+    cells = stage("cells", lambda: M.evidence(junctions, J.per_sample(counts), n, evidence.select(*J.KEY, "composite_score", "is_annotated"), s.read_length))
+    boot = stage("bootstrap", lambda: P.bootstrap(cells, s.replicates, s.seed))
     shares = P.with_psi(cells)
-    tested = T.differential(cells, labels, boot, covariates, df_mode=s.df_mode)
-    kinds = written(E.classify(junctions, *_paths(reads, junctions, s)), "events")
+    kinds = stage("events", lambda: E.classify(junctions, *_paths(reads, junctions, s)))
     names = modules.select("module_id", "gene_id", "gene_name", "chrom", "strand", "start", "end")
-    diff = written(tested.join(kinds.select("module_id", "event_type"), "module_id").join(names, "module_id"), "diff")
-    figures = D.quality(cells).join(D.bootstrap_cv(boot), "module_id").join(diff.select("module_id", "null_converged", "full_converged", "null_refit_used"), "module_id")
+
+    def tested() -> DataFrame:
+        rows = T.differential(cells, labels, boot, covariates, df_mode=s.df_mode)
+        return rows.join(kinds.select("module_id", "event_type"), "module_id").join(names, "module_id")
+
+    diff = stage("diff", tested)
+
+    def figures() -> DataFrame:
+        fits = diff.select("module_id", "null_converged", "full_converged", "null_refit_used")
+        return D.diagnose(D.quality(cells).join(D.bootstrap_cv(boot), "module_id").join(fits, "module_id"))
+
     het = None
     if s.het:
         het = T.heterogeneous(shares, labels).join(kinds.select("module_id", "event_type"), "module_id").join(names.select("module_id", "gene_id", "gene_name"), "module_id")
     nmd = None
     if s.nmd and tiles is not None:
         nmd = N.classify_nmd(junctions.filter("gene_id <> ''"), N.transcripts(exons), tiles)
-    return Results(evidence, modules, junctions, cells, shares, boot, kinds, diff, written(D.diagnose(figures), "diagnostics"), het, nmd)
+    return Results(evidence, modules, junctions, cells, shares, boot, kinds, diff, stage("diagnostics", figures), het, nmd)

@@ -167,7 +167,17 @@ def test_command_line(spark, tmp_path, results):
     (tmp_path / "g.fa").write_text(">chr1\n" + genome() + "\n")
     bams = [x for s in LABELS for x in ("--bam", str(tmp_path / f"{s}.sam"))]
     out = tmp_path / "out"
-    main(["run", *bams, "--gtf", str(tmp_path / "g.gtf"), "--genome", str(tmp_path / "g.fa"), "--group1", "0,1,2", "--group2", "3,4,5", "-o", str(out), "--read-length", "50", "--min-cluster-reads", "10", "--export", "bed", "--export", "majiq", "--export", "xlsx", "--checkpoint-dir", str(tmp_path / "cp")])
+    wanted = ["run", *bams, "--gtf", str(tmp_path / "g.gtf"), "--genome", str(tmp_path / "g.fa"), "--group1", "0,1,2", "--group2", "3,4,5", "--read-length", "50", "--min-cluster-reads", "10", "--checkpoint-dir", str(tmp_path / "cp")]
+    main([*wanted, "-o", str(out), "--export", "bed", "--export", "majiq", "--export", "xlsx", "--export", "pdf"])
+    assert (out / "report.pdf").read_bytes().startswith(b"%PDF") and len(os.listdir(out / "figures")) == 4
+    marks = {p: p.stat().st_mtime_ns for p in (tmp_path / "cp").rglob("_SUCCESS")}
+    assert {p.parent.name.split("-")[0] for p in marks} == {"reads", "counts", "evidence", "members", "modules", "module", "cells", "bootstrap", "events", "diff", "diagnostics"}
+    broken = next(p for p in marks if p.parent.name == "diagnostics")
+    broken.unlink()
+    main([*wanted, "-o", str(tmp_path / "again")])
+    assert {p for p in marks if p.stat().st_mtime_ns != marks[p]} == {broken}
+    lines = lambda folder: sorted(x for p in (folder / "results.tsv").glob("part-*") for x in p.read_text().splitlines())
+    assert lines(out) == lines(tmp_path / "again")
     table = spark.read.option("sep", "\t").option("header", True).csv(str(out / "results.tsv"))
     assert len(table.columns) == 27 and table.count() == 3
     assert "Junction usage report" in (out / "report.html").read_text()
