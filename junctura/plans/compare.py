@@ -267,6 +267,27 @@ def workbook_junctions(spark, sf):
     return H.sheet_junctions(rows.withColumns({"is_annotated": F.col("start") % 20 == 0, "motif": F.lit("NA"), "motif_score": F.lit(0.0), "composite_score": F.col("end") % 8 / 8.0}))
 
 
+@query(
+    "sink_junction_details",
+    f"""WITH {B.JUNCTIONS_SQL}, c AS (SELECT chrom, s, e, strand, sample_idx, count(*) AS n FROM jf GROUP BY ALL), v AS (SELECT chrom, s, e, strand, sum(n)::BIGINT AS total, count(*) AS k, {", ".join(f"coalesce(max(n) FILTER (sample_idx = {i}), 0) AS n{i}" for i in range(B.N_SAMPLES))} FROM c GROUP BY ALL)
+SELECT chrom || ':' || s || '-' || e || ':' || strand AS junction_id, chrom, s::VARCHAR AS start, e::VARCHAR AS "end", strand, CASE WHEN s % 7 = 0 THEN 'NA' ELSE 'G' || (s % 7) END AS gene_id, CASE WHEN s % 7 = 0 THEN 'NA' ELSE 'name' || (s % 7) END AS gene_name,
+CASE WHEN s % 20 = 0 THEN 'True' ELSE 'False' END AS is_annotated, CASE WHEN s % 5 = 0 THEN 'NA' ELSE 'GT/AG' END AS motif, printf('%.4f', (s % 8) / 8.0::DOUBLE) AS motif_score, printf('%.4f', (e % 8) / 8.0::DOUBLE) AS confidence_score,
+CASE WHEN s % 3 = 0 THEN 'PR' ELSE 'NA' END AS nmd_class, CASE WHEN s % 3 = 0 THEN printf('%.4f', (e % 4) / 4.0::DOUBLE) ELSE 'NA' END AS nmd_confidence, CASE WHEN s % 3 = 0 THEN (s % 4)::VARCHAR ELSE 'NA' END AS n_productive_paths, CASE WHEN s % 3 = 0 THEN (e % 5)::VARCHAR ELSE 'NA' END AS n_unproductive_paths,
+printf('%.1f', total::DOUBLE) AS total_reads, printf('%.2f', (s % 60) / 4.0::DOUBLE) AS mean_mapq, k::VARCHAR AS cross_sample_recurrence, concat_ws(',', {", ".join(f"n{i}" for i in range(B.N_SAMPLES))}) AS sample_counts FROM v""",
+)
+def junction_details(spark, sf):
+    from ..operators.junctions import KEY, vectors
+    from ..operators.reads import junction_counts
+    from ..sinks.tables import junction_details as details
+
+    rows = vectors(junction_counts(B.reads(spark, sf)), B.N_SAMPLES)
+    some = lambda c: F.when(F.col("start") % 7 != 0, F.concat(F.lit(c), (F.col("start") % 7).cast("string")))
+    rows = rows.withColumns({"gene_id": some("G"), "gene_name": some("name"), "is_annotated": F.col("start") % 20 == 0, "motif": F.when(F.col("start") % 5 != 0, "GT/AG"), "motif_score": F.col("start") % 8 / 8.0, "composite_score": F.col("end") % 8 / 8.0, "mean_mapq": F.col("start") % 60 / 4.0})
+    rows = rows.withColumn("total_reads", F.aggregate(F.col("sample_counts").cast("array<bigint>"), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    nmd = rows.filter("start % 3 = 0").select(*KEY, F.lit("PR").alias("classification"), (F.col("end") % 4 / 4.0).alias("confidence"), (F.col("start") % 4).alias("n_productive_paths"), (F.col("end") % 5).alias("n_unproductive_paths"))
+    return details(rows, nmd)
+
+
 @query("report_group_junctions", f"""WITH {B.JUNCTIONS_SQL}, c AS (SELECT CASE WHEN sample_idx < 3 THEN 0 ELSE 1 END AS label, s, e, count(*) // 3 AS n FROM jf WHERE chrom = 'chr1' AND e >= 0 AND s <= 5000 GROUP BY ALL) SELECT label, s AS start, e AS "end", n, round(ln(1 + n) / ln(1 + (SELECT max(n) FROM c)), 9) AS height FROM c WHERE n > 0""")
 def group_junctions(spark, sf):
     from ..operators.differential import label_frame
