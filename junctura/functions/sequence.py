@@ -63,9 +63,9 @@ def stop_codon(seq: Column, frame: Column) -> Column:
     return F.try_element_at(F.filter(places, lambda i: F.upper(F.substring(seq, i + 1, 3)).isin(*STOP_CODONS)), F.lit(1))
 
 
-def genome_tiles(genome: DataFrame, tile: int = TILE) -> DataFrame:
-    """(chrom, tile, seq) of (chrom, seq); a tile also holds the first base of the next, for dinucleotides across the border."""
-    cuts = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / tile).cast("int")), lambda k: F.substring("seq", k * tile + 1, F.lit(tile + 1)))).alias("tile", "seq")
+def genome_tiles(genome: DataFrame, tile: int = TILE, overhang: int = 1) -> DataFrame:
+    """(chrom, tile, seq) of (chrom, seq); a tile also holds the first `overhang` bases of the next, one for dinucleotides across the border."""
+    cuts = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / tile).cast("int")), lambda k: F.substring("seq", k * tile + 1, F.lit(tile + overhang)))).alias("tile", "seq")
     return genome.select("chrom", cuts)
 
 
