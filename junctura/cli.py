@@ -8,6 +8,7 @@ import os
 import re
 import sys
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +69,19 @@ def read_covariates(path: str, names: list[str]) -> dict[int, list[float]]:
     return out
 
 
-def load_reads(spark, paths: list[str]) -> DataFrame:
-    if all(p.endswith(".parquet") for p in paths):
-        return spark.read.schema(R.READS).parquet(*paths)
-    return A.read_sam(spark, paths) if paths[0].endswith(".sam") else A.read_bam(spark, paths)
+def _form(paths: list[str]) -> str:
+    return "parquet" if all(p.endswith(".parquet") for p in paths) else "sam" if paths[0].endswith(".sam") else "bam"
+
+
+def load_reads(spark, paths: list[str], regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """Reads of the files; with regions at least those that overlap one, and of an indexed BAM file no others are read."""
+    if _form(paths) == "bam":
+        return A.read_bam(spark, paths, regions=regions)
+    rows = spark.read.schema(R.READS).parquet(*paths) if _form(paths) == "parquet" else A.read_sam(spark, paths)
+    if regions is None:
+        return rows
+    before = [(F.col("chrom") == c) & (F.col("pos") < hi) for c, _, hi in regions]
+    return rows.filter(reduce(lambda a, b: a | b, before, F.lit(False)))
 
 
 def write_results(res: Results, out: str, formats: set[str], samples: dict | None = None, parameters: dict | None = None) -> None:
@@ -111,14 +121,15 @@ def cmd_run(a, spark) -> None:
     covariates = read_covariates(a.covariates, names) if a.covariates else None
     settings = Settings(a.min_anchor, a.min_mapq, a.min_cluster_reads, a.max_intron_length, a.read_length, a.n_bootstraps, a.seed, a.df_mode, not a.no_novel, not a.no_het, not a.no_nmd)
     os.makedirs(a.output_dir, exist_ok=True)
-    reads = load_reads(spark, a.bam)
-    stages = None
+    reads, stages = load_reads(spark, a.bam), None
     if a.checkpoint_dir:
         own = lambda *of: hashlib.sha256(repr(of).encode()).hexdigest()[:16]
-        source = reads
-        reads = resumed(spark, f"{a.checkpoint_dir}/reads-{own(a.bam)}", lambda: source)
+        if _form(a.bam) == "sam":  # text is parsed once
+            source = reads
+            reads = resumed(spark, f"{a.checkpoint_dir}/reads-{own(a.bam)}", lambda: source)
         stages = f"{a.checkpoint_dir}/analysis-{own(a.bam, a.gtf, a.genome, a.gene_type, labels, covariates, settings)}"
-    res = analyse(reads, genes, exons, labels, tiles, covariates, settings, stages)
+    counts = A.bam_junction_counts(spark, a.bam, settings.min_anchor, settings.min_mapq) if _form(a.bam) == "bam" else None
+    res = analyse(reads, genes, exons, labels, tiles, covariates, settings, stages, counts)
     write_results(res, a.output_dir, set(a.export or []), {n: f"group {labels[k] + 1}" for k, n in enumerate(names)}, vars(settings))
     S.save_stage(res.diff, f"{a.output_dir}/diff.parquet")
     S.save_stage(res.diagnostics, f"{a.output_dir}/diagnostics.parquet")
@@ -184,22 +195,23 @@ def cmd_sashimi(a, spark) -> None:
     """Depth and arcs of the top events' genes, by group: tables and a drawing."""
     labels = parse_labels(len(a.bam), a.group1, a.group2)
     groups = spark.createDataFrame(sorted(labels.items()), "sample_idx int, label int")
-    reads = written(load_reads(spark, a.bam), "reads")
     genes, exons = G.read_gtf(spark, a.gtf, None)
     top = T.read_tsv(spark, a.results).withColumn("fdr", F.col("fdr").cast("double")).orderBy("fdr", "module_id").limit(a.n_top).select("module_id", F.col("gene_id").alias("wanted_id"))
-    for row in G.find_gene(top, genes).collect():  # at most n_top
-        if row.gene is not None:
-            name, lo, hi = re.sub(r"[^A-Za-z0-9]", "_", row.module_id), max(0, row.gene.start - 200), row.gene.end + 200
-            S.save_stage(H.group_coverage(R.coverage(reads, row.gene.chrom, lo, hi), groups), f"{a.output_dir}/{name}/coverage")
-            S.save_stage(H.arc_heights(H.group_junctions(R.region_junctions(reads, row.gene.chrom, lo, hi), groups)), f"{a.output_dir}/{name}/arcs")
-            depth, arcs = defaultdict(dict), defaultdict(list)
-            for r in S.load_stage(spark, f"{a.output_dir}/{name}/coverage").collect():  # a row a base of one gene
-                depth[r.label][r.pos] = r.depth
-            for r in S.load_stage(spark, f"{a.output_dir}/{name}/arcs").orderBy("start", "end").collect():
-                arcs[r.label].append((r.start, r.end, r.n, r.height))
-            models = sorted({(r.start, r.end) for r in exons.filter(F.col("gene_id") == row.gene.gene_id).select("start", "end").collect()})
-            with open(f"{a.output_dir}/{name}/sashimi.svg", "w") as f:
-                f.write(D.sashimi(row.module_id, lo, hi, models, depth, arcs))
+    found = [r for r in G.find_gene(top, genes).collect() if r.gene is not None]  # at most n_top
+    around = {r.module_id: (r.gene.chrom, max(0, r.gene.start - 200), r.gene.end + 200) for r in found}
+    reads = written(load_reads(spark, a.bam, sorted(set(around.values()))), "reads")
+    for row in found:
+        name, (chrom, lo, hi) = re.sub(r"[^A-Za-z0-9]", "_", row.module_id), around[row.module_id]
+        S.save_stage(H.group_coverage(R.coverage(reads, chrom, lo, hi), groups), f"{a.output_dir}/{name}/coverage")
+        S.save_stage(H.arc_heights(H.group_junctions(R.region_junctions(reads, chrom, lo, hi), groups)), f"{a.output_dir}/{name}/arcs")
+        depth, arcs = defaultdict(dict), defaultdict(list)
+        for r in S.load_stage(spark, f"{a.output_dir}/{name}/coverage").collect():  # a row a base of one gene
+            depth[r.label][r.pos] = r.depth
+        for r in S.load_stage(spark, f"{a.output_dir}/{name}/arcs").orderBy("start", "end").collect():
+            arcs[r.label].append((r.start, r.end, r.n, r.height))
+        models = sorted({(r.start, r.end) for r in exons.filter(F.col("gene_id") == row.gene.gene_id).select("start", "end").collect()})
+        with open(f"{a.output_dir}/{name}/sashimi.svg", "w") as f:
+            f.write(D.sashimi(row.module_id, lo, hi, models, depth, arcs))
 
 
 def cmd_evaluate(a, spark) -> None:

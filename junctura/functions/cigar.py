@@ -14,8 +14,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _BLOCK = np.zeros(256, bool)
 _BLOCK[[ord(c) for c in "M=X"]] = True
-_MOVE = _BLOCK.copy()
-_MOVE[[ord(c) for c in "DN"]] = True
+MOVE = _BLOCK.copy()
+MOVE[[ord(c) for c in "DN"]] = True
 _SKIP_IN_BLOCK = ord("D")
 
 
@@ -36,12 +36,16 @@ def blocks(cigars: pa.Array, pos: np.ndarray, n_only: bool = False) -> tuple[np.
         there = at - k >= begin
         size[there] += (data[at[there] - k].astype(np.int64) - 48) * scale
         scale *= 10
-    op = data[at]
+    return placed(row, data[at], size, len(offs) - 1, pos, n_only)
+
+
+def placed(row: np.ndarray, op: np.ndarray, size: np.ndarray, n_rows: int, pos: np.ndarray, n_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of each aligned block of operations, letters and lengths, given by row in order."""
     if n_only:
         op = np.where(op == _SKIP_IN_BLOCK, ord("M"), op)
-    move = np.where(_MOVE[op], size, 0)
+    move = np.where(MOVE[op], size, 0)
     before = np.cumsum(move) - move
-    first = np.searchsorted(row, np.arange(len(offs) - 1))
+    first = np.searchsorted(row, np.arange(n_rows))
     base = pos[row] - (before[first[row]] if len(row) else 0)
     is_block = _BLOCK[op]
     start = (base + before)[is_block]

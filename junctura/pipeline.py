@@ -77,10 +77,11 @@ def _paths(reads: DataFrame, junctions: DataFrame, s: Settings) -> tuple[DataFra
     return G.exclusive_pairs(junctions, edges), G.coordinated_groups(junctions, edges)
 
 
-def analyse(reads: DataFrame, genes: DataFrame, exons: DataFrame, labels: Mapping[int, int], tiles: DataFrame | None = None, covariates: Mapping[int, Sequence[float]] | None = None, settings: Settings | None = None, checkpoint: str | None = None) -> Results:
+def analyse(reads: DataFrame, genes: DataFrame, exons: DataFrame, labels: Mapping[int, int], tiles: DataFrame | None = None, covariates: Mapping[int, Sequence[float]] | None = None, settings: Settings | None = None, checkpoint: str | None = None, counts: DataFrame | None = None) -> Results:
     """`labels` gives each sample's group, 0 or 1; samples are numbered from 0.
 
-    With `checkpoint`, a folder that belongs to these inputs and settings alone, stages that an
+    `counts` are the reads' junction counts where a source has made them (sources.alignments.bam_junction_counts);
+    the reads are then read for exclusive types only.  With `checkpoint`, a folder that belongs to these inputs and settings alone, stages that an
     earlier run finished there are read and not made again.
     """
     s = settings or Settings()
@@ -90,7 +91,8 @@ def analyse(reads: DataFrame, genes: DataFrame, exons: DataFrame, labels: Mappin
         return resumed(reads.sparkSession, f"{checkpoint}/{name}", make) if checkpoint else written(make(), name)
 
     known = J.known_junctions(exons)
-    counts = stage("counts", lambda: R.junction_counts(reads, s.min_anchor, s.min_mapq))
+    made = counts
+    counts = stage("counts", lambda: R.junction_counts(reads, s.min_anchor, s.min_mapq) if made is None else made)
     evidence = stage("evidence", lambda: score(counts, known, n, tiles))
     if not s.novel:
         evidence = evidence.filter("is_annotated")

@@ -9,27 +9,42 @@ NumPy, sequences and qualities are skipped.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..operators.reads import READS
+from ..functions import cigar as C
+from ..operators.reads import EXCLUDED_FLAGS, JUNCTION, READS, REVERSE
 
 _ARROW = pa.schema([("sample_idx", pa.int32()), ("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("nh", pa.int32()), ("as_score", pa.int32())])
 _OPS = "MIDNSHP=X"
-_TAG_SIZE = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
-_TAG_CODE = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I"}
+_LETTERS = np.frombuffer((_OPS + "?").encode(), np.uint8)
+#: Bytes of a tag's value by its kind, 0 for texts, arrays and kinds that are not known, and which kinds are whole numbers.
+_SIZES = np.zeros(256, np.int64)
+_WHOLE = np.zeros(256, bool)
+for _kinds, _bytes in (("AcC", 1), ("sS", 2), ("iIf", 4)):
+    _SIZES[[ord(c) for c in _kinds]] = _bytes
+    _WHOLE[[ord(c) for c in _kinds if c in "cCsSiI"]] = True
+NONE = -(1 << 40)
+COUNTS = "chrom string, start bigint, end bigint, strand string, sample_idx int, counts bigint, mapq_sum double, mapq_sq_sum double, nh_sum double, n bigint, max_anchor bigint"
+_COUNTS = [c.split()[0] for c in COUNTS.split(", ")]
 SPLIT_BYTES = 64 << 20
 CHUNK_BYTES = 8 << 20
+READ_BYTES = 1 << 22  # compressed, at a time
 CHAIN = 8  # records in a row that must look like records where a split begins
+NEAR_BYTES = 1 << 16  # chunks that lie no farther apart are read in one go
 PSEUDO_BIN = 37450  # of an index: figures, not places
 
 
@@ -126,7 +141,7 @@ def blocks(stream, at: int) -> Iterator[tuple[int, bytes]]:
     data, p = b"", 0
     while True:
         if len(data) - p < 1 << 16:
-            data, p = data[p:] + stream.read(1 << 22), 0
+            data, p = data[p:] + stream.read(READ_BYTES), 0
         if p >= len(data):
             return
         got = _block_size(data, p)
@@ -207,43 +222,180 @@ def split_records(source: Iterator[tuple[int, bytes]], start: int | None, end: t
         data, base = data[p:], at
 
 
-def decoded(data: bytes, begins: list[int], sample: int, names: list[str], wanted: frozenset[str] | None) -> pa.RecordBatch:
-    """The records that begin at these places, of the chromosomes wanted."""
-    at = np.array(begins)
-    fixed = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(36)].copy().view("<i4")
-    if wanted is not None:
-        keep = np.isin(fixed[:, 1], [k for k, name in enumerate(names) if name in wanted])
-        at, fixed = at[keep], fixed[keep]
-    low, high = fixed[:, 3].view(np.uint32), fixed[:, 4].view(np.uint32)
-    qnames, cigars, tags, known, told = [], [], [], {}, {}
-    for o, size, n_name, n_cigar, n_seq in zip(at.tolist(), fixed[:, 0].tolist(), (low & 0xFF).tolist(), (high & 0xFFFF).tolist(), fixed[:, 5].tolist()):
-        a = o + 36 + n_name
-        b = a + 4 * n_cigar
-        qnames.append(data[o + 36 : a - 1])
-        raw = data[a:b]
-        cigar = known.get(raw)
-        if cigar is None:
-            cigar = known[raw] = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack(f"<{n_cigar}I", raw)) or "*"
-        cigars.append(cigar)
-        raw = data[b + (n_seq + 1) // 2 + n_seq : o + 4 + size]
-        pair = told.get(raw)
-        if pair is None:
-            pair = told[raw] = _tags(raw)
-        tags.append(pair)
-    tid = fixed[:, 1]
-    chroms = pa.DictionaryArray.from_arrays(pa.array(tid, pa.int32(), mask=tid < 0), pa.array(names, pa.string())).cast(pa.string())
-    nh, score = zip(*tags) if tags else ((), ())
-    mapq = (low >> np.uint32(8) & np.uint32(0xFF)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sample, np.int32)), pa.array(qnames, pa.binary()).cast(pa.string()), pa.array((high >> np.uint32(16)).astype(np.int32)), chroms, pa.array(fixed[:, 2].astype(np.int64)), pa.array(mapq), pa.array(cigars, pa.string()), pa.array(nh, pa.int32()), pa.array(score, pa.int32())], schema=_ARROW)
-
-
-def index_ranges(raw: bytes, names: list[str], wanted: frozenset[str], split: int = SPLIT_BYTES) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Ranges of places (block, within it) that hold the chromosomes' records, by a BAM index; all begin and end at records."""
+class Fields(NamedTuple):
+    """Fixed fields of records and where their parts are in the content."""
+
+    tid: np.ndarray
+    pos: np.ndarray
+    mapq: np.ndarray
+    flag: np.ndarray
+    name: np.ndarray  # places: of the name, of CIGAR words, of tags, and the end
+    cigar: np.ndarray
+    n_cigar: np.ndarray
+    tags: np.ndarray
+    end: np.ndarray
+
+    def of(self, kept: np.ndarray) -> Fields:
+        return Fields(*(x[kept] for x in self))
+
+
+def fields(data: bytes, begins: list[int]) -> Fields:
+    at = np.array(begins, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(36)].copy().view("<i4").astype(np.int64)
+    low, high, n_seq = raw[:, 3] & 0xFFFFFFFF, raw[:, 4] & 0xFFFFFFFF, raw[:, 5]
+    cigar, n_cigar = at + 36 + (low & 0xFF), high & 0xFFFF
+    return Fields(raw[:, 1], raw[:, 2], low >> 8 & 0xFF, high >> 16, at + 36, cigar, n_cigar, cigar + 4 * n_cigar + (n_seq + 1) // 2 + n_seq, at + 4 + raw[:, 0])
+
+
+def _pieces(data: bytes, starts: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Stretches of bytes, in order and apart, as an array: they and the gaps between share one buffer, the gaps are left out."""
+    places = np.stack([starts, ends], 1).ravel().astype(np.int32)
+    if not len(places):
+        return pa.array([], kind)
+    both = pa.Array.from_buffers(kind, len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
+    return both.take(pa.array(np.arange(0, len(places) - 1, 2)))
+
+
+def cigar_words(data: bytes, starts: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, operation as a letter, length) of all operations of records, in order."""
+    row = np.repeat(np.arange(len(starts)), number)
+    at = np.repeat(starts - 4 * (np.cumsum(number) - number), number) + 4 * np.arange(len(row))
+    words = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(4)].copy().view("<u4").ravel().astype(np.int64)
+    return row, _LETTERS[np.minimum(words & 15, len(_OPS))], words >> 4
+
+
+def _cigars(data: bytes, rec: Fields) -> pa.Array:
+    """CIGAR strings, "*" without operations; each distinct one is written once."""
+    found = _pieces(data, rec.cigar, rec.cigar + 4 * rec.n_cigar, pa.binary()).dictionary_encode()
+    words = found.dictionary
+    offs = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    raw = words.buffers()[2].to_pybytes() if len(words) and words.buffers()[2] is not None else b""
+    _, op, size = cigar_words(raw, offs[:-1], np.diff(offs) // 4)
+    letters = pa.Array.from_buffers(pa.string(), len(op), [None, pa.py_buffer(np.arange(len(op) + 1, dtype=np.int32)), pa.py_buffer(op.tobytes())])
+    parts = pc.binary_join_element_wise(pa.array(size).cast(pa.string()), letters, "")
+    told = pc.binary_join(pa.ListArray.from_arrays(pa.array((offs // 4).astype(np.int32)), parts), "")
+    return pc.if_else(pc.equal(told, ""), "*", told).take(found.indices)
+
+
+def tag_values(data: bytes, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """NH and AS of records, NONE where they are missing: the tags of all records are gone through side by side."""
+    raw = np.frombuffer(data, np.uint8)
+    nul = np.flatnonzero(raw == 0)
+    out = {name: np.full(len(at), NONE, np.int64) for name in (b"NH", b"AS")}
+    row, at = np.arange(len(at)), at.copy()
+    whole = lambda p, n: sum(raw[np.minimum(p + k, len(raw) - 1)].astype(np.int64) << 8 * k for k in range(n))
+    while True:
+        left = at + 3 <= end[row]
+        row, at = row[left], at[left]
+        if not len(row):
+            return out[b"NH"], out[b"AS"]
+        kind, value = raw[at + 2], at + 3
+        size = _SIZES[kind]
+        for name, found in out.items():
+            mine = np.flatnonzero((raw[at] == name[0]) & (raw[at + 1] == name[1]) & _WHOLE[kind])
+            if len(mine):
+                bits, k = whole(value[mine], 4), kind[mine]
+                width = 8 * _SIZES[k]
+                bits &= (1 << width) - 1
+                signed = (k >= 97) & (bits >> (width - 1) > 0)
+                found[row[mine]] = np.where(signed, bits - (1 << width), bits)
+        text, many = (kind == 90) | (kind == 72), kind == 66
+        step = size.copy()
+        if text.any():
+            stop = np.searchsorted(nul, value[text])
+            step[text] = np.where(stop < len(nul), nul[np.minimum(stop, len(nul) - 1)], len(raw)) + 1 - value[text]
+        if many.any():
+            step[many] = 5 + _SIZES[raw[np.minimum(value[many], len(raw) - 1)]] * whole(value[many] + 1, 4)
+        at = np.where((step > 0) | text | many, value + step, end[row])  # behind a tag of no known kind nothing can be read
+
+
+def _tag_columns(data: bytes, rec: Fields) -> tuple[pa.Array, pa.Array]:
+    found = _pieces(data, rec.tags, rec.end, pa.binary()).dictionary_encode()
+    told = found.dictionary
+    offs = np.frombuffer(told.buffers()[1], np.int32, len(told) + 1, told.offset * 4).astype(np.int64) if len(told) else np.zeros(1, np.int64)
+    raw = told.buffers()[2].to_pybytes() if len(told) and told.buffers()[2] is not None else b""
+    return tuple(pa.array(v.astype(np.int32), mask=v == NONE).take(found.indices) for v in tag_values(raw, offs[:-1], offs[1:]))
+
+
+Regions = dict[str, list[tuple[int, int]] | None]  # by chromosome, half-open; None is all of it
+
+
+def merged(regions: list[tuple[str, int, int]]) -> Regions:
+    """Regions that lie apart, in order."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for chrom, lo, hi in sorted(regions):
+        own = out.setdefault(chrom, [])
+        if own and lo <= own[-1][1]:
+            own[-1] = own[-1][0], max(hi, own[-1][1])
+        else:
+            own.append((lo, hi))
+    return out
+
+
+def within(data: bytes, rec: Fields, names: list[str], wanted: Regions) -> Fields:
+    """The records that overlap a region; one without aligned bases takes the base of its place."""
+    rec = rec.of(np.isin(rec.tid, [k for k, name in enumerate(names) if name in wanted]))
+    if not any(wanted.values()):
+        return rec
+    row, op, size = cigar_words(data, rec.cigar, rec.n_cigar)
+    last = rec.pos + np.maximum(1, np.bincount(row, np.where(C.MOVE[op], size, 0), len(rec.pos)).astype(np.int64))
+    hit = np.zeros(len(rec.tid), bool)
+    for k in np.unique(rec.tid).tolist():
+        mine, places = rec.tid == k, wanted[names[k]]
+        if places is None:
+            hit[mine] = True
+            continue
+        lo, hi = np.array(places).reshape(-1, 2).T
+        before = np.searchsorted(lo, last[mine]) - 1
+        hit[mine] = (before >= 0) & (hi[np.maximum(before, 0)] > rec.pos[mine])
+    return rec.of(hit)
+
+
+def decoded(data: bytes, rec: Fields, sample: int, names: list[str]) -> pa.RecordBatch:
+    """Records as rows of READS."""
+    chroms = pa.DictionaryArray.from_arrays(pa.array(rec.tid.astype(np.int32), mask=rec.tid < 0), pa.array(names, pa.string())).cast(pa.string())
+    qnames = _pieces(data, rec.name, rec.cigar - 1, pa.string())
+    small = lambda x: pa.array(x.astype(np.int32))
+    return pa.RecordBatch.from_arrays([small(np.full(len(rec.tid), sample)), qnames, small(rec.flag), chroms, pa.array(rec.pos), small(rec.mapq), _cigars(data, rec), *_tag_columns(data, rec)], schema=_ARROW)
+
+
+def counted(data: bytes, rec: Fields, sample: int, names: list[str], min_anchor: int, min_mapq: int, n_only: bool) -> pa.RecordBatch | None:
+    """Junction counts of these records, as operators.reads.junction_counts() has them."""
+    rec = rec.of((rec.flag & EXCLUDED_FLAGS == 0) & (rec.mapq >= min_mapq) & (rec.n_cigar > 1))
+    row, start, end, anchor = C.junctions(*C.placed(*cigar_words(data, rec.cigar, rec.n_cigar), len(rec.tid), rec.pos, n_only), min_anchor)
+    if not len(row):
+        return None
+    used, back = np.unique(row, return_inverse=True)
+    few = rec.of(used)
+    nh = tag_values(data, few.tags, few.end)[0]
+    place = few.tid[back] * 2 + (few.flag[back] & REVERSE != 0)
+    order = np.lexsort((end, start, place))
+    place, start, end, anchor, back = place[order], start[order], end[order], anchor[order], back[order]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1])]))
+    total = lambda x: np.add.reduceat(x.astype(np.float64), first)
+    mapq, n = few.mapq[back], np.diff(np.append(first, len(place)))
+    chroms = pa.DictionaryArray.from_arrays(pa.array((place[first] >> 1).astype(np.int32), mask=place[first] < 0), pa.array(names, pa.string())).cast(pa.string())
+    strands = pa.DictionaryArray.from_arrays(pa.array((place[first] & 1).astype(np.int32)), pa.array(["+", "-"])).cast(pa.string())
+    values = [chroms, start[first], end[first], strands, np.full(len(first), sample, np.int32), n, total(mapq), total(mapq * mapq), total(np.where(nh == NONE, 1, nh)[back]), n, np.maximum.reduceat(anchor, first)]
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], names=_COUNTS)
+
+
+def _bins_over(lo: int, hi: int) -> list[range]:
+    """Bins of the index that can hold records over [lo, hi): six levels, each bin in eight of the next."""
+    return [range(((1 << 3 * k) - 1) // 7 + (lo >> 29 - 3 * k), ((1 << 3 * k) - 1) // 7 + (hi - 1 >> 29 - 3 * k) + 1) for k in range(6)]
+
+
+def index_ranges(raw: bytes, names: list[str], wanted: Regions, split: int = SPLIT_BYTES) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Ranges of places (block, within it) that hold the records of regions, by a BAM index; all begin and end at records.
+
+    A region's bins name the chunks that can hold its records; what ends before the first record
+    over the region's first window of 16,384 bases, as the linear index has it, holds none.
+    """
     if raw[:4] != b"BAI\1":
         raise ValueError("not a BAM index")
     p, out = 8, []
     for k in range(struct.unpack_from("<i", raw, 4)[0]):
-        ends, marks = [], []
+        bins: dict[int, list[tuple[int, int]]] = {}
         n_bin = struct.unpack_from("<i", raw, p)[0]
         p += 4
         for _ in range(n_bin):
@@ -251,42 +403,43 @@ def index_ranges(raw: bytes, names: list[str], wanted: frozenset[str], split: in
             p += 8
             if name != PSEUDO_BIN and n_chunk:
                 chunks = struct.unpack_from(f"<{2 * n_chunk}Q", raw, p)
-                marks += chunks[::2]
-                ends += chunks[1::2]
+                bins[name] = list(zip(chunks[::2], chunks[1::2]))
             p += 16 * n_chunk
         n_line = struct.unpack_from("<i", raw, p)[0]
-        marks += [v for v in struct.unpack_from(f"<{n_line}Q", raw, p + 4) if v]
+        line = struct.unpack_from(f"<{n_line}Q", raw, p + 4)
         p += 4 + 8 * n_line
-        if ends and names[k] in wanted:
-            cuts = [min(marks)]
-            for v in sorted(set(marks)):
-                if (v >> 16) - (cuts[-1] >> 16) >= split and v < max(ends):
+        if names[k] not in wanted or not bins:
+            continue
+        places = wanted[names[k]]
+        if places is None:
+            own = sorted(c for chunks in bins.values() for c in chunks)
+            own = [(min(own[0][0], *(v for v in line if v)) if any(line) else own[0][0], max(e for _, e in own))]
+        else:
+            own = []
+            for lo, hi in places:
+                lo, hi = max(lo, 0), min(hi, 1 << 29)
+                if lo < hi:
+                    least = next((v for v in line[lo >> 14 :] if v), None) if n_line > lo >> 14 else None
+                    if least is not None:
+                        own += [(max(a, least), b) for level in _bins_over(lo, hi) for name in (level if len(level) < len(bins) else [n for n in bins if n in level]) for a, b in bins.get(name, ()) if b > least]
+            own.sort()
+        marks = sorted({v for v in line if v} | {a for chunks in bins.values() for a, _ in chunks})
+        apart: list[list[int]] = []
+        for a, b in own:
+            if apart and (a >> 16) - (apart[-1][1] >> 16) <= NEAR_BYTES:
+                apart[-1][1] = max(b, apart[-1][1])
+            else:
+                apart.append([a, b])
+        for a, b in apart:
+            cuts = [a]
+            for v in marks[bisect_right(marks, a) : bisect_left(marks, b)]:
+                if (v >> 16) - (cuts[-1] >> 16) >= split:
                     cuts.append(v)
-            place = [(v >> 16, v & 0xFFFF) for v in [*cuts, max(ends)]]
+            place = [(v >> 16, v & 0xFFFF) for v in [*cuts, b]]
             out += zip(place, place[1:])
     return out
 
 
-def _tags(raw: bytes) -> tuple[int | None, int | None]:
-    """NH and AS."""
-    found: dict[bytes, int] = {}
-    at = 0
-    while at + 3 <= len(raw):
-        name, kind = raw[at : at + 2], raw[at + 2 : at + 3]
-        at += 3
-        if kind in b"ZH":
-            at = raw.index(b"\0", at) + 1
-        elif kind == b"B":
-            at += 5 + _TAG_SIZE[raw[at : at + 1]] * struct.unpack_from("<I", raw, at + 1)[0]
-        else:
-            if name in (b"NH", b"AS") and kind in _TAG_CODE:
-                found[name] = struct.unpack_from(_TAG_CODE[kind], raw, at)[0]
-                if len(found) == 2:
-                    break
-            at += _TAG_SIZE[kind]
-    return found.get(b"NH"), found.get(b"AS")
-
-
 def _opened(path: str):
     """A file, to be read from any place, in any store pyarrow knows."""
     from pyarrow import fs
@@ -320,29 +473,46 @@ class _Split(InputPartition):
 
 
 class _BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], split: int):
-        self.paths, self.split, self.chroms = paths, split, None
+    def __init__(self, paths: list[str], split: int, regions: Regions | None = None, counts: tuple[int, int, bool] | None = None):
+        self.paths, self.split, self.regions, self.counts = paths, split, regions, counts
+        self.chroms: frozenset[str] | None = None
+        self.lo, self.hi = 0, 1 << 40
 
     def pushFilters(self, filters: list[Filter]):
+        """Chromosomes and bounds of `pos` tell what to read; Spark filters the rows all the same."""
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("chrom",) and f.value is not None:
                 self.chroms = frozenset([f.value]) & (self.chroms if self.chroms is not None else {f.value})
             elif isinstance(f, In) and f.attribute == ("chrom",):
                 self.chroms = frozenset(f.value) & (self.chroms if self.chroms is not None else frozenset(f.value))
+            elif f.attribute == ("pos",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)) and f.value is not None:
+                self.lo = max(self.lo, f.value + isinstance(f, GreaterThan))
+            if f.attribute == ("pos",) and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)) and f.value is not None:
+                self.hi = min(self.hi, f.value + (not isinstance(f, LessThan)))
             yield f
 
+    def wanted(self) -> Regions | None:
+        """What is to be read, None for all."""
+        if self.regions is not None:
+            return self.regions if self.chroms is None else {c: r for c, r in self.regions.items() if c in self.chroms}
+        if self.chroms is None:
+            return None
+        bounded = self.lo > 0 or self.hi < 1 << 40
+        return dict.fromkeys(self.chroms, [(self.lo, max(self.lo, self.hi))] if bounded else None)
+
     def partitions(self):
         return [split for i, path in enumerate(self.paths) for split in self._splits(path, i)] or [_Split("", 0, None, None)]
 
     def _splits(self, path: str, sample: int) -> Iterator[_Split]:
+        wanted = self.wanted()
         with _opened(path) as stream:
             if not is_blocked(stream):
                 yield _Split(path, sample, None, None)
                 return
-            raw = _index(path) if self.chroms is not None else None
+            raw = _index(path) if wanted is not None else None
             if raw is not None:
                 names = header(_Bytes(content for _, content in blocks(stream, 0)))
-                for start, end in index_ranges(raw, names, self.chroms, self.split):
+                for start, end in index_ranges(raw, names, wanted, self.split):
                     yield _Split(path, sample, start, end)
                 return
             size = _size(stream)
@@ -352,6 +522,7 @@ class _BamReader(DataSourceReader):
     def read(self, partition: _Split):
         if not partition.path:
             return
+        wanted = self.wanted()
         with _opened(partition.path) as stream:
             blocked = partition.start is not None
             head = _Bytes((content for _, content in blocks(stream, 0)) if blocked else _inflate(stream))
@@ -368,11 +539,21 @@ class _BamReader(DataSourceReader):
                     return
                 found = split_records(blocks(stream, at), partition.start[1], partition.end, lengths)
             for data, begins in found:
-                yield decoded(data, begins, partition.sample, names, self.chroms)
+                rec = fields(data, begins)
+                if wanted is not None:
+                    rec = within(data, rec, names, wanted)
+                if self.counts is None:
+                    yield decoded(data, rec, partition.sample, names)
+                elif (batch := counted(data, rec, partition.sample, names, *self.counts)) is not None:
+                    yield batch
 
 
 class BamSource(DataSource):
-    """Options: path, or paths joined by newlines; sample_idx is the place in the list.  splitBytes is the compressed size of a task."""
+    """Options: path, or paths joined by newlines; sample_idx is the place in the list.
+
+    splitBytes is the compressed size of a task.  regions, JSON of [chrom, start, end], keeps the
+    reads that overlap any of them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -381,14 +562,48 @@ class BamSource(DataSource):
     def schema(self) -> str:
         return READS
 
+    def _reader(self, counts: tuple[int, int, bool] | None = None) -> _BamReader:
+        paths = [p for p in (self.options.get("paths") or self.options["path"]).split("\n") if p]
+        told = self.options.get("regions")
+        return _BamReader(paths, int(self.options.get("splitBytes") or SPLIT_BYTES), merged([(c, int(a), int(b)) for c, a, b in json.loads(told)]) if told else None, counts)
+
+    def reader(self, schema):
+        return self._reader()
+
+
+class BamCounts(BamSource):
+    """Junction counts of each stretch of a BAM file, to be summed; options minAnchor, minMapq and nOnly."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_junctions"
+
+    def schema(self) -> str:
+        return COUNTS
+
     def reader(self, schema):
-        return _BamReader([p for p in (self.options.get("paths") or self.options["path"]).split("\n") if p], int(self.options.get("splitBytes") or SPLIT_BYTES))
+        return self._reader((int(self.options["minAnchor"]), int(self.options["minMapq"]), self.options["nOnly"] == "true"))
+
+
+Places = list[tuple[str, int, int]]
 
 
-def read_bam(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def _bam(spark: SparkSession, source: type[BamSource], paths: list[str], split_bytes: int, regions: Places | None):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("paths", "\n".join(paths)).option("splitBytes", split_bytes).load()
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).option("paths", "\n".join(paths)).option("splitBytes", split_bytes)
+    return reader if regions is None else reader.option("regions", json.dumps(regions))
+
+
+def read_bam(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES, regions: Places | None = None) -> DataFrame:
+    """BAM files as reads; with regions (chrom, start, end; half-open), the reads that overlap one."""
+    return _bam(spark, BamSource, paths, split_bytes, regions).load()
+
+
+def bam_junction_counts(spark: SparkSession, paths: list[str], min_anchor: int = 6, min_mapq: int = 0, n_only: bool = False, split_bytes: int = SPLIT_BYTES, regions: Places | None = None) -> DataFrame:
+    """The same as junction_counts(read_bam(...)), counted where the records are decoded: no read becomes a row."""
+    parts = _bam(spark, BamCounts, paths, split_bytes, regions).option("minAnchor", min_anchor).option("minMapq", min_mapq).option("nOnly", str(n_only).lower()).load()
+    return parts.groupBy(*JUNCTION, "sample_idx").agg(*(F.sum(c).alias(c) for c in _COUNTS[5:10]), F.max("max_anchor").alias("max_anchor"))
 
 
 def bam_chromosomes(path: str) -> list[str]:
