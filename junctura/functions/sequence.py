@@ -70,13 +70,17 @@ def genome_tiles(genome: DataFrame, tile: int = TILE, overhang: int = 1) -> Data
 
 
 def genome_slices(places: DataFrame, tiles: DataFrame, name: str, tile: int = TILE) -> DataFrame:
-    """Adds the bases of [start, end) of rows (chrom, <name>_start, <name>_end), upper-cased, by joining tiles."""
-    keyed = places.withColumn("__row", F.struct(*places.columns))
+    """Adds the bases of [start, end) of rows (chrom, <name>_start, <name>_end), upper-cased; rows over no tile drop out.
+
+    Each distinct place is cut once, from the tiles it covers, and rows find their place's bases,
+    so rows that repeat a place, or are equal, keep their number.
+    """
+    key = ["chrom", f"{name}_start", f"{name}_end"]
     lo, hi = F.floor(F.col(f"{name}_start") / tile), F.floor((F.col(f"{name}_end") - 1) / tile)
-    spread = keyed.withColumn("tile", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+    spread = places.select(*key).distinct().withColumn("tile", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
     part = F.struct("tile", F.expr(f"substring(substring(seq, 1, {tile}), cast(greatest({name}_start - tile * {tile}, 0) as int) + 1, cast(least({name}_end - tile * {tile}, {tile}) - greatest({name}_start - tile * {tile}, 0) as int))").alias("s"))
-    got = spread.join(tiles, ["chrom", "tile"]).groupBy("__row").agg(F.upper(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["s"]), "")).alias(name))
-    return got.select("__row.*", name)
+    got = spread.join(tiles, ["chrom", "tile"]).groupBy(*key).agg(F.upper(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["s"]), "")).alias(name))
+    return places.join(got, key).select(*places.columns, name)
 
 
 def with_motif(junctions: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataFrame:

@@ -86,9 +86,17 @@ def classify_nmd(junctions: DataFrame, models: DataFrame, tiles: DataFrame, tile
 
 
 def frame_graph(exons: DataFrame, junctions: DataFrame) -> DataFrame:
-    """Edges (exon, frame) -> (exon, frame) over observed junctions; the frame moves by the intron's length modulo 3."""
-    up = exons.select(F.col("start").alias("up_start"), F.col("end").alias("up_end"))
-    down = exons.select(F.col("start").alias("down_start"), F.col("end").alias("down_end"))
-    met = junctions.join(up, junctions["start"] == up["up_end"]).join(down, junctions["end"] == down["down_start"])
+    """Edges (exon, frame) -> (exon, frame) over observed junctions; the frame moves by the intron's length modulo 3.
+
+    A graph a gene: `exons` has gene_id, chrom, strand, start and end, `junctions` chrom, strand,
+    start and end.  An exon ends where an intron begins on the same chromosome and strand, and
+    both exons are of one gene.
+    """
+    own = ["gene_id", "chrom", "strand"]
+    up = exons.select(*own, F.col("start").alias("up_start"), F.col("end").alias("up_end")).distinct()
+    down = exons.select(*own, F.col("start").alias("down_start"), F.col("end").alias("down_end")).distinct()
+    introns = junctions.select("chrom", "strand", F.col("start").alias("up_end"), F.col("end").alias("down_start")).distinct()
+    met = introns.join(up, ["chrom", "strand", "up_end"]).join(down, [*own, "down_start"])
     frame = F.explode(F.array(*map(F.lit, range(3)))).alias("frame")
-    return met.select("up_start", "up_end", frame, "down_start", "down_end", (F.col("end") - F.col("start")).alias("intron")).withColumn("next_frame", ((F.col("frame") + F.col("intron")) % 3).cast("int")).drop("intron")
+    edges = met.select(*own, "up_start", "up_end", frame, "down_start", "down_end")
+    return edges.withColumn("next_frame", ((F.col("frame") + F.col("down_start") - F.col("up_end")) % 3).cast("int"))

@@ -342,12 +342,14 @@ def cooccurrence(spark, sf):
 
 @query(
     "frame_graph",
-    f"""WITH {_TX}, x AS (SELECT DISTINCT s, e FROM t), w AS (SELECT DISTINCT e AS s, lead(s) OVER (PARTITION BY g, tx ORDER BY s, e) AS e FROM t)
-SELECT u.s AS up_start, u.e AS up_end, f AS frame, d.s AS down_start, d.e AS down_end, (f + w.e - w.s) % 3 AS next_frame FROM w JOIN x u ON u.e = w.s JOIN x d ON d.s = w.e, range(3) t(f) WHERE w.e > w.s""",
+    f"""WITH {_TX}, x AS (SELECT DISTINCT g, chrom, s, e FROM t), w AS (SELECT DISTINCT chrom, e AS s, lead(s) OVER (PARTITION BY g, tx ORDER BY s, e) AS e FROM t)
+SELECT u.g::VARCHAR AS gene_id, u.chrom, '+' AS strand, u.s AS up_start, u.e AS up_end, f AS frame, d.s AS down_start, d.e AS down_end, (f + w.e - w.s) % 3 AS next_frame
+FROM w JOIN x u ON u.chrom = w.chrom AND u.e = w.s JOIN x d ON d.g = u.g AND d.chrom = w.chrom AND d.s = w.e, range(3) t(f) WHERE w.e > w.s""",
 )
 def frame_graph(spark, sf):
+    """A gene's transcripts lie on three chromosomes, and its exons meet introns of other genes."""
     some = exons(spark, sf)
-    return N.frame_graph(some.select("start", "end").distinct(), J.known_junctions(some).select("start", "end").distinct())
+    return N.frame_graph(some, J.known_junctions(some))
 
 
 @query(

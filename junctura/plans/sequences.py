@@ -74,12 +74,13 @@ def motif_from_genome(spark, sf):
 
 @query(
     "genome_slices",
-    f"""WITH {_GENOME_SQL}, j AS (SELECT DISTINCT 'chr' || (l_suppkey % 3 + 1) AS chrom, l_partkey % 150 AS s, l_partkey % 150 + l_linenumber * 15 AS e FROM lineitem)
+    f"""WITH {_GENOME_SQL}, j AS (SELECT 'chr' || (l_suppkey % 3 + 1) AS chrom, l_partkey % 150 AS s, l_partkey % 150 + l_linenumber * 15 AS e FROM lineitem)
 SELECT chrom, s AS x_start, e AS x_end, substr(seq, s + 1, e - s) AS x FROM j JOIN gn USING (chrom)""",
 )
 def slices(spark, sf):
+    """A slice for each line item, repeated places and all."""
     s = F.col("l_partkey") % 150
-    places = B.table(spark, sf, "lineitem").select(F.concat(F.lit("chr"), F.col("l_suppkey") % 3 + 1).alias("chrom"), s.alias("x_start"), (s + F.col("l_linenumber") * 15).alias("x_end")).distinct()
+    places = B.table(spark, sf, "lineitem").select(F.concat(F.lit("chr"), F.col("l_suppkey") % 3 + 1).alias("chrom"), s.alias("x_start"), (s + F.col("l_linenumber") * 15).alias("x_end"))
     return Q.genome_slices(places, Q.genome_tiles(genome(spark, sf), 64), "x", 64)
 
 

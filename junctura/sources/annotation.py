@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import attributes, genome_tiles
+from ..functions.sequence import TILE, attributes, genome_tiles
+from .fasta import fasta_tiles
 
 
 def gtf_rows(lines: DataFrame) -> DataFrame:
@@ -49,9 +50,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(name.alias("chrom"), body.alias("seq"))
 
 
-def read_genome(spark: SparkSession, path: str, chromosomes: list[str] | None = None) -> DataFrame:
-    contigs = read_fasta(spark, path)
-    return genome_tiles(contigs if chromosomes is None else contigs.filter(F.col("chrom").isin(chromosomes)))
+def read_genome(spark: SparkSession, path: str, chromosomes: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """Tiles of a FASTA file, read by byte ranges; one whose lines differ in length is read a contig a record."""
+    tiles = fasta_tiles(spark, path, tile)
+    if tiles is None:
+        tiles = genome_tiles(read_fasta(spark, path), tile)
+    return tiles if chromosomes is None else tiles.filter(F.col("chrom").isin(chromosomes))
 
 
 def gene_exons(exons: DataFrame) -> DataFrame:
