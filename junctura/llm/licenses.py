@@ -25,14 +25,20 @@ _WARRANTY = """the software is provided as is without warranty of any kind expre
 the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright
 holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of
 or in connection with the software or the use or other dealings in the software"""
+_OPTIONAL = "<<beginOptional>>%s<<endOptional>>"
+_UNDER = f"licensed under {_OPTIONAL % 'the'} {_OPTIONAL % 'terms of the'}"
+#: Variants of the creative commons family and of the GNU one, by label.
+_CC = {"cc-by": ("by", "attribution"), "cc-by-sa": ("by sa", "attribution sharealike"), "cc-by-nc": ("by nc", "attribution noncommercial"), "cc-by-nd": ("by nd", "attribution noderivatives"), "cc-by-nc-sa": ("by nc sa", "attribution noncommercial sharealike"), "cc-by-nc-nd": ("by nc nd", "attribution noncommercial noderivatives")}
+_GNU = {"gpl-notice": "", "lgpl-notice": "lesser", "agpl-notice": "affero"}
 #: Public license wording; the markup is ours.
 TEMPLATES = (
-    ("mit-notice", "licensed under the <<beginOptional>>terms of the<<endOptional>> mit license"),
-    ("mit-notice", "released under the <<beginOptional>>terms of the<<endOptional>> mit license"),
+    ("mit-notice", f"{_UNDER} mit license"),
+    ("mit-notice", "released under <<beginOptional>>the<<endOptional>> <<beginOptional>>terms of the<<endOptional>> mit license"),
     ("mit-notice", "this <<var;1;4>> is <<beginOptional>>available<<endOptional>> under the mit license"),
-    ("apache-2.0", "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 0 <<beginOptional>>the license<<endOptional>>"),
-    ("gpl-notice", "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu <<beginOptional>>lesser<<endOptional>> general public license <<beginOptional>>as published by the free software foundation either<<endOptional>> version <<var;1;1>> <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>"),
-    ("cc-by", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by <<beginOptional>>nc<<endOptional>> <<beginOptional>>nd<<endOptional>> <<beginOptional>>sa<<endOptional>> <<var;1;1>> 0 <<beginOptional>>international license<<endOptional>>"),
+    ("apache-2.0", f"{_UNDER} apache license <<beginOptional>>version<<endOptional>> 2 0 <<beginOptional>>the license<<endOptional>>"),
+    *((label, f"{_UNDER} gnu {kind} general public license <<beginOptional>>as published by the free software foundation either<<endOptional>> version <<var;1;1>> <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>") for label, kind in _GNU.items()),
+    *((label, f"licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc {short} <<var;1;1>> 0 <<beginOptional>>international license<<endOptional>>") for label, (short, _) in _CC.items()),
+    *((label, f"licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>a<<endOptional>> creative commons {full} <<var;1;1>> 0 <<beginOptional>>international<<endOptional>> <<beginOptional>>license<<endOptional>>") for label, (_, full) in _CC.items()),
     ("mit-text", f"""<<beginOptional>>mit license<<endOptional>> <<beginOptional>>copyright <<var;0;24>><<endOptional>> permission is hereby granted free of charge to any person obtaining a copy
 of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights
 to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so
@@ -53,7 +59,10 @@ including but not limited to procurement of substitute goods or services loss of
 liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
 possibility of such damage"""),
     ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
-either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
+either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or
+authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law
+""" + _WARRANTY.replace("authors or copyright holders", "authors") + " <<beginOptional>>for more information please refer to <<var;1;4>><<endOptional>>"),
     ("zlib-text", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of
 this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to
 the following restrictions <<beginOptional>>1<<endOptional>> the origin of this software must not be misrepresented you must not claim that you wrote the original software
@@ -62,7 +71,12 @@ source versions must be plainly marked as such and must not be misrepresented as
 removed or altered from any source distribution"""),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var;1;8>>"),
 )
-DENIALS = frozenset((b"not", b"never", b"no", b"nor", b"neither", b"isn", b"cannot"))
+DENIALS = frozenset((b"not", b"never", b"no", b"nor", b"neither", b"cannot", b"without"))
+#: "not only licensed under" denies nothing; "isn't" is two words, or one where its mark is typographic.
+_AFFIRMED = frozenset((b"only", b"just", b"merely", b"least"))
+_NT = "n\u2019t".encode()
+LOOK_BACK = 6
+_BREAK = re.compile(rb"[.!?;:]|\n\s*\n")
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;\d+;\d+)>>")
 
@@ -122,19 +136,34 @@ class Automaton:
         return found
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Begin and end of all accepted places; a place may be denied all the same."""
         if self.key not in words:
             return
         for i, w in enumerate(words):
-            if (w in self.first or None in self.first) and (i == 0 or words[i - 1] not in DENIALS) and (end := self.match(words, i)) is not None:
+            if (w in self.first or None in self.first) and (end := self.match(words, i)) is not None:
                 yield i, end
 
 
+def denied(body: bytes, words: list[re.Match], at: int) -> bool:
+    """Whether one of the LOOK_BACK words before word `at`, in its sentence, denies what follows."""
+    for i in range(at - 1, max(-1, at - 1 - LOOK_BACK), -1):
+        if _BREAK.search(body, words[i].end(), words[i + 1].start()):
+            return False
+        word, after = words[i][0], words[i + 1][0]
+        before = words[i - 1] if i else None
+        short = word == b"t" and before is not None and before[0].endswith(b"n") and words[i].start() == before.end() + 1
+        if (word in DENIALS and after not in _AFFIRMED) or word.endswith(_NT) or short:
+            return True
+    return False
+
+
 def compiled(templates=TEMPLATES) -> list[tuple[str, Automaton]]:
     return [(label, Automaton(text)) for label, text in templates]
 
 
-def scan(words: list[bytes], automata, phrases) -> tuple[list[int], set[str], set[str]]:
-    """Starts of phrases, their labels, and labels of accepted templates."""
+def scan(body: bytes, automata, phrases) -> tuple[list[int], set[str], set[str]]:
+    """Starts of phrases, their labels, and labels of accepted templates, in lower-cased text."""
+    words = _WORD.findall(body)
     starts, base, more = [], set(), set()
     for phrase, label in phrases:
         n = len(phrase)
@@ -147,9 +176,15 @@ def scan(words: list[bytes], automata, phrases) -> tuple[list[int], set[str], se
             if i >= n - 1 and tuple(words[i - n + 1 : i + 1]) == phrase:
                 starts.append(i - n + 1)
                 base.add(label)
+    places = None
     for label, automaton in automata:
-        if label not in more and next(automaton.find(words), None) is not None:
-            more.add(label)
+        if label in more:
+            continue
+        for i, _ in automaton.find(words):
+            places = places or list(_WORD.finditer(body))
+            if not denied(body, places, i):
+                more.add(label)
+                break
     return starts, base, more
 
 
@@ -172,7 +207,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, key: st
             out = []
             for i, doc in enumerate(rows.column(0).to_pylist()):
                 body = raw[offsets[i] : offsets[i + 1]]
-                starts, base, more = scan(_WORD.findall(body), automata, cut) if likely.search(body) else ([], set(), set())
+                starts, base, more = scan(body, automata, cut) if likely.search(body) else ([], set(), set())
                 out.append((doc, int(counts[i]), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if more else 0.5 if base else 0.0))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW)
 
