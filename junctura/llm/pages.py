@@ -1,7 +1,10 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks.
 
 A page falls apart into leaf blocks, runs of text without a block tag between them.  A block's
-features are its ancestors' tags, what their class, id and role names speak of, and its text.
+features are its ancestors' tags, what their class, id and role names speak of, how much of the
+page's text and links they hold, and its own text.  A name that speaks of something else counts
+apart where its element holds the page: `<body class="has-sidebar">` is no side bar, and an
+article named "review" is no comment.
 The field has two labels, article and rest; weights and transitions are trained on labelled
 pages, which `training_pages` writes from a fixed seed, and pages are decoded by Viterbi.
 """
@@ -25,9 +28,10 @@ TRAINING_PAGES = 700
 EPOCHS = 60
 SEED = 20
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""", re.S
-)
+#: A tag as nearly all are, without < or > in its attributes; others are looked at one by one.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -54,7 +58,10 @@ GROUPS = {
     "main": "article content main post entry story body text page blog news",
 }
 _GROUP = {name: group for group, names in GROUPS.items() for name in names.split()}
+#: In a compound these tell of a page's state ("has-sidebar", "comments-open"), not of what the element is.
+STATES = frozenset("has no with without not is open closed enabled disabled free on off hide show hidden visible".split())
 _TAGS = frozenset("article main section nav header footer aside form div ul ol li dl table tr td blockquote pre p h1 h2 h3 h4 h5 h6 figure figcaption address details fieldset center body".split())
+_ASIDE = ("nav", "header", "footer", "aside", "form")
 
 
 @dataclass
@@ -63,13 +70,82 @@ class Block:
     features: list[str]
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", tag, attributes) of tags and comments, the latter without a tag; in time linear in the page.
+
+    What a search missed once is not searched for again behind that place: a page may hold any
+    number of tags and quotes that are never closed.
+    """
+    missing = dict.fromkeys("\"'>", len(page) + 1)  # from here on there is none
+
+    def find(c: str, at: int) -> int:
+        if at >= missing[c]:
+            return -1
+        found = page.find(c, at)
+        if found < 0:
+            missing[c] = at
+        return found
+
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        if m := _PLAIN.match(page, start):
+            yield start, m.end(), m[1], m[2].lower(), m[3]
+            at = m.end()
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", "", ""
+        elif page.startswith(("<!", "<?"), start):
+            end = find(">", start)
+            at = start + 1 if end < 0 else end + 1
+            if end >= 0:
+                yield start, at, "", "", ""
+        elif (m := _OPEN.match(page, start)) and (first := find(">", m.end())) >= 0:
+            end, p = -1, m.end()
+            while end < 0 and (stop := _STOP.search(page, p)):
+                if stop[0] == ">":
+                    end = stop.start()
+                elif (p := find(stop[0], stop.end()) + 1) == 0:
+                    break
+            end = first if end < 0 else end  # a quote that is not closed: the tag ends at the first >
+            at = end + 1
+            yield start, at, m[1], m[2].lower(), page[m.end() : end]
+        else:
+            at = start + 1
+
+
+def _names(attributes: str) -> tuple[str, ...]:
+    """What the names of an element speak of; compounds that tell of a state speak of nothing."""
+    found = set()
+    for value in _ATTRIBUTE.findall(attributes):
+        for name in "".join(value).lower().split():
+            parts = _NAME.findall(name)
+            if not STATES.intersection(parts):
+                found.update(_GROUP[n] for n in parts if n in _GROUP)
+    return tuple(found)
+
+
+@dataclass
+class Node:
+    """An element: where it is, what its names speak of, and after parsing what it holds."""
+
+    parent: int
+    tag: str
+    names: tuple[str, ...]
+    text: int = 0
+    linked: int = 0
+    titles: int = 0
+    homes: int = 0
+    remark: bool = False  # within an element named after readers' comments
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, with decoded text and white space as single spaces."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # tag, what its names speak of, and those of the nearest that has any
+    nodes = [Node(0, "", ())]
+    found: list[tuple[str, int, float, bool]] = []  # text, node, share of links, whether a title came before
+    stack = [0]
     unclosed: set[str] = set()
     tags: Counter[str] = Counter()
-    groups: Counter[str] = Counter()
     parts: list[str] = []
     linked = in_link = seen_h1 = 0
 
@@ -78,7 +154,10 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, _features(text, linked / max(1, sum(map(len, parts))), stack, tags, groups, seen_h1)))
+                node = nodes[stack[-1]]
+                node.text += len(text)
+                node.linked += min(linked, len(text))
+                found.append((text, stack[-1], linked / max(1, sum(map(len, parts))), bool(seen_h1)))
                 seen_h1 |= tags["h1"] > 0
             parts.clear()
         linked = 0
@@ -91,30 +170,26 @@ def blocks(page: str) -> list[Block]:
             linked += len(text) if in_link else 0
 
     def pop_to(tag: str) -> None:
-        while stack:
-            name, names, _ = stack.pop()
-            for counts, of in ((tags, (name,)), (groups, names)):
-                for g in of:
-                    counts[g] -= 1
-                    if not counts[g]:
-                        del counts[g]
+        while len(stack) > 1:
+            name = nodes[stack.pop()].tag
+            tags[name] -= 1
             if name == tag:
                 return
 
     at = 0
-    while (m := _TOKEN.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    for start, end, closing, tag, attributes in tokens(page):
+        if start < at:
+            continue
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if not closing and (tag in RAW or tag in HIDDEN):
-            end = None if tag in unclosed else _closing(tag).search(page, at)
-            if not end:
+            close = None if tag in unclosed else _closing(tag).search(page, at)
+            if not close:
                 unclosed.add(tag)
-            if end or tag in RAW:
-                at = end.end() if end else len(page)
+            if close or tag in RAW:
+                at = close.end() if close else len(page)
                 if tag in RAW and tag not in ("script", "style"):
                     flush()
             continue
@@ -126,19 +201,59 @@ def blocks(page: str) -> list[Block]:
         in_link = 0
         if tag in VOID:
             continue
+        top = nodes[stack[-1]].tag
         if closing:
             if tags[tag] > 0:
                 pop_to(tag)
             continue
-        if tag in SELF_CLOSING and stack and stack[-1][0] == tag or tags["p"] > 0 and stack[-1][0] == "p":
-            pop_to(stack[-1][0])
-        names = tuple({_GROUP[n] for a in _ATTRIBUTE.findall(attributes) for n in _NAME.findall("".join(a).lower()) if n in _GROUP}) if "=" in attributes else ()
-        stack.append((tag, names, names or (stack[-1][2] if stack else ())))
+        if tag in SELF_CLOSING and top == tag or tags["p"] > 0 and top == "p":
+            pop_to(top)
+        home, aside = tags["article"] + tags["main"] > 0, sum(tags[t] for t in _ASIDE if t != "header")
+        names = _names(attributes) if "=" in attributes else ()
+        remark = nodes[stack[-1]].remark or ("comments" in names and tag not in ("html", "body"))
+        nodes.append(Node(stack[-1], tag, names, titles=int(tag == "h1" and not aside and (home or not tags["header"])), homes=int(tag in ("article", "main") and not remark), remark=remark))
+        stack.append(len(nodes) - 1)
         tags[tag] += 1
-        groups.update(names)
     add(page[at:])
     flush()
-    return out
+    around = _surroundings(nodes)
+    return [Block(text, [*around[k], *_features(text, share, around[k], title)]) for text, k, share, title in found]
+
+
+def _surroundings(nodes: list[Node]) -> list[frozenset[str]]:
+    """What a block directly in each element has of its ancestors, as features; elements that add nothing share their parent's."""
+    for node in reversed(nodes[1:]):
+        up = nodes[node.parent]
+        up.text += node.text
+        up.linked += node.linked
+        up.titles += node.titles
+        up.homes += node.homes
+    whole, out, above, inner = nodes[0], [frozenset(["any"])], [0], [()]
+    for k, node in enumerate(nodes[1:], 1):
+        up = out[node.parent]
+        above.append(above[node.parent] + (node.tag in ("article", "main") and not node.remark))
+        share = node.text / max(1, whole.text)
+        elsewhere = whole.homes - node.homes - above[node.parent] > 0
+        holds = (
+            node.tag in ("html", "body")
+            or (node.tag in ("article", "main") and whole.homes == 1 and node.homes)
+            or (share >= 0.5 and whole.titles == node.titles and not elsewhere)
+            or (share >= 0.3 and node.titles > 0)
+        )
+        own = {"main"} & set(node.names) if holds else set(node.names)
+        wide = set(node.names) - own
+        inner.append(tuple(own) or inner[node.parent])
+        more = {f"of:{g}" for g in own} | {f"wide:{g}" for g in wide}
+        if node.tag in _TAGS:
+            more.add(f"in:{node.tag}")
+        out.append(up if more <= up else up | more)
+    final = []
+    for k, node in enumerate(nodes):
+        box = nodes[node.parent]
+        density, share = box.linked / max(1, box.text), box.text / max(1, whole.text)
+        place = {f"inner:{g}" for g in inner[k]} | {f"tag:{node.tag if node.tag in _TAGS else '-'}", f"box:{'most' if share >= 0.5 else 'some' if share >= 0.1 else 'few'}", f"links:{'no' if density <= 0.1 else 'some' if density < 0.5 else 'all'}"}
+        final.append(out[k] | place)
+    return final
 
 
 @cache
@@ -146,19 +261,12 @@ def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I)
 
 
-def _features(text: str, linked: float, stack, tags: Counter, groups: Counter, seen_h1: int) -> list[str]:
-    out = ["any"]
-    out += [f"in:{t}" for t, n in tags.items() if n > 0 and t in _TAGS]
-    here = [g for g, n in groups.items() if n > 0]
-    out += [f"of:{g}" for g in here]
-    out += [f"inner:{g}" for g in (stack[-1][2] if stack else ())]
-    out.append(f"tag:{stack[-1][0] if stack and stack[-1][0] in _TAGS else '-'}")
-    rest = [t for t in ("nav", "header", "footer", "aside", "form") if tags[t] > 0]
-    bad = bool(rest) or any(g != "main" for g in here)
-    home = tags["article"] > 0 or tags["main"] > 0
-    out.append(f"home:{home},{bad}")
-    out.append(f"named:{'main' in here},{bad}")
-    out.append(f"head:{tags['header'] > 0 or 'head' in here},{home or 'main' in here}")
+def _features(text: str, linked: float, around: frozenset[str], title: bool) -> list[str]:
+    """The features of a block that depend on its text."""
+    home = "in:article" in around or "in:main" in around
+    main = "of:main" in around
+    bad = any(f"in:{t}" in around for t in _ASIDE) or any(f"of:{g}" in around for g in GROUPS if g != "main")
+    out = [f"home:{home},{bad}", f"named:{main},{bad}", f"head:{'in:header' in around or 'of:head' in around},{home or main}"]
     words = text.count(" ") + 1
     out.append("words:" + ("1" if words == 1 else "4" if words < 5 else "9" if words < 10 else "24" if words < 25 else "more"))
     out.append("linked:" + ("no" if linked <= 0.05 else "some" if linked < 0.5 else "all"))
@@ -166,7 +274,7 @@ def _features(text: str, linked: float, stack, tags: Counter, groups: Counter, s
     out.append(f"long:{words >= 10},{linked < 0.5},{bad}")
     if "©" in text or "(c)" in (lower := text.lower()) or lower.startswith("copyright"):
         out.append(f"copyright:{words < 25}")
-    out.append(f"title:{bool(seen_h1)}")
+    out.append(f"title:{title}")
     return out
 
 
@@ -191,6 +299,12 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[list[t
         name = pick(names) if rng.rand() < 0.6 else f"{pick(names)}{pick(['-', '_', ' '])}{pick(['box', 'inner', 'wrap', 'item', 'list', 'block', pick(names)])}"
         return f'{pick(["class", "id", "class"])}="{name}"'
 
+    def state() -> str:
+        """Names of wrappers, of which no one tells what a block is."""
+        name = lambda: pick(GROUPS[pick(list(GROUPS))].split())
+        some = [pick([f"{pick(['has', 'no', 'with'])}-{name()}", f"{name()}-{pick(['open', 'closed', 'fixed', 'area'])}", name(), "single", "home"]) for _ in range(rng.randint(1, 4))]
+        return f'class="{" ".join(some)}"'
+
     def links(mark: str, lo: int = 2, hi: int = 9) -> str:
         return "<ul>" + "".join(f'<li><a href="/{k}">{words(0, 3, mark, "")}</a></li>' for k in range(rng.randint(lo, hi))) + "</ul>"
 
@@ -221,8 +335,9 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[list[t
         return f"{open_}{''.join(body)}</{close}>"
 
     def article(mark: str = "A") -> str:
-        title = f"<h1>{words(1, 12, mark, '')}</h1>"
-        body = [f"<header>{title}</header>" if rng.rand() < 0.25 else title] if rng.rand() < 0.85 else []
+        title, form = f"<h1>{words(1, 12, mark, '')}</h1>", rng.rand()
+        plain = 0.35 <= form < 0.45  # in no element that tells of an article, where a header would be the site's
+        body = [f"<header>{title}</header>" if not plain and rng.rand() < 0.25 else title] if rng.rand() < 0.85 else []
         for _ in range(rng.randint(1, 12)):
             kind = rng.rand()
             if kind < 0.68:
@@ -242,14 +357,18 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[list[t
         if rng.rand() < 0.2:
             body.append(junk(pick(["comments", "share", "foot"])))
         inner = "".join(body)
-        form = rng.rand()
+        other = f" {named(pick(list(GROUPS)))}" if rng.rand() < 0.25 else ""  # a name that speaks of something else
+        if form < 0.35:
+            return f"<article{other}>{inner}</article>"
+        if form < 0.42:
+            return f"<div>{inner}</div>"
         if form < 0.45:
-            return f"<article>{inner}</article>"
+            return f"<table><tr><td>{inner}</td></tr></table>"
         if form < 0.6:
             return f"<main>{inner}</main>"
         if form < 0.7:
             return f"<main><article {named('main')}>{inner}</article></main>"
-        return f"<div {named('main')}>{inner}</div>"
+        return f"<div {named('main')}>{inner}</div>" if rng.rand() < 0.85 else f"<div{other or ' class=main'}>{inner}</div>"
 
     def bare(mark: str = "R") -> str:
         """Links and notices of rights without a telling name."""
@@ -264,7 +383,9 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[list[t
         body = "".join([*before, article(), *after])
         if rng.rand() < 0.25:
             body = f'<div {pick(["class", "id"])}="{pick(["wrapper", "container", "page", "layout", "outer"])}">{body}</div>'
-        found = blocks(f"<html><head><title>R</title></head><body>{body}</body></html>")
+        elif rng.rand() < 0.3:
+            body = f"<div {state()}>{body}</div>"
+        found = blocks(f"<html><head><title>R</title></head><body{' ' + state() if rng.rand() < 0.4 else ''}>{body}</body></html>")
         if found:
             yield [(b.features, int("A" in b.text)) for b in found]
 
