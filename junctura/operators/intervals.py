@@ -8,29 +8,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlaps(a: str, b: str, any_strand: bool = True) -> Column:
-    """Overlap of struct or aliased columns a and b; "." matches any strand."""
-    c = lambda t, n: F.col(f"{t}.{n}")
-    hit = (c(a, "chrom") == c(b, "chrom")) & (c(a, "start") < c(b, "end")) & (c(a, "end") > c(b, "start"))
-    strand = c(a, "strand") == c(b, "strand")
-    return hit & ((strand | (c(a, "strand") == ".") | (c(b, "strand") == ".")) if any_strand else strand)
+#: Bins are of LEVELS widths, each SPAN of the one before; an interval of at most SPAN bins of a width is cut into those.
+WIDTH = 1 << 14
+LEVELS, SPAN = 4, 64
 
 
-def _binned(df: DataFrame, width: int, tag: str) -> DataFrame:
-    return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(f"{tag}start") / width), F.floor((F.greatest(F.col(f"{tag}end"), F.col(f"{tag}start") + 1) - 1) / width))))
+def _level(start: Column, end: Column, least: int) -> Column:
+    """The first width of which an interval covers few bins."""
+    out = F
+    for k in range(LEVELS - 1):
+        out = out.when(end - start <= least * SPAN ** (k + 1), k)
+    return out.otherwise(LEVELS - 1)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = 1 << 14) -> DataFrame:
+def _width(level: Column, least: int) -> Column:
+    return F.element_at(F.array(*(F.lit(least * SPAN**k).cast("bigint") for k in range(LEVELS))), level + 1)
+
+
+def _strands(strand: Column) -> Column:
+    """Keys by which a strand meets others: "." has all."""
+    return F.when(strand == ".", F.array(*map(F.lit, "+-?"))).when(strand.isNotNull(), F.array(F.when(strand.isin("+", "-"), strand).otherwise("?")))
+
+
+def _binned(rows: DataFrame, others: DataFrame, tag: str, any_strand: bool, least: int = WIDTH) -> DataFrame:
+    """Rows at the bins of their own level and of the higher ones that the other side has.
+
+    A row is in at most 65 bins of its own level and two of each other.
+    """
+    start, end = F.col(f"{tag}start"), F.col(f"{tag}end")
+    there = others.agg(F.collect_set(_level(F.col("start"), F.col("end"), least)).alias("__there"))  # one row of at most as many numbers as there are widths
+    rows = rows.withColumn(f"__{tag}own", _level(start, end, least)).crossJoin(F.broadcast(there))
+    rows = rows.withColumn("__level", F.explode(F.array_union(F.array(f"__{tag}own"), F.filter("__there", lambda x: x > F.col(f"__{tag}own"))))).drop("__there")
+    width = _width(F.col("__level"), least)
+    bins = F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width))
+    key = F.col(f"{tag}strand")
+    return rows.withColumn("__bin", F.explode(bins)).withColumn("__strand", F.explode(_strands(key)) if any_strand else key)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int = WIDTH, any_strand: bool = False) -> DataFrame:
     """Pairs that overlap on the same chrom and strand; right columns get the prefix r_.
 
-    Both sides are cut into bins of `width`, so the join's key is (chrom, strand, bin) and no
-    chromosome is a hot key; a pair is kept in the one bin where its overlap begins.
+    With `any_strand`, "." on either side matches any strand.  A null in chrom, bounds or strand matches nothing.  Both sides are cut into bins, so
+    the join's key is (chrom, strand, level, bin) and no chromosome is a hot key.  Long intervals
+    are cut into wider bins, and the short ones of the other side meet them there, if there are any
+    such.  A pair is kept at the longer one's level, in the one bin where its overlap begins, and
+    two "." in one of the strands they meet in.
     """
-    right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    a, b = _binned(left, width, ""), _binned(right, width, "r_").withColumnRenamed("__bin", "__r_bin")
-    on = (a["chrom"] == b["r_chrom"]) & (a["strand"] == b["r_strand"]) & (a["__bin"] == b["__r_bin"]) & (a["start"] < b["r_end"]) & (a["end"] > b["r_start"])
-    joined = a.join(b, on).filter(F.col("__bin") == F.floor(F.greatest("start", "r_start") / width))
-    return joined.drop("__bin", "__r_bin")
+    named = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    a = _binned(left, right, "", any_strand, width)
+    b = _binned(named, left, "r_", any_strand, width)
+    b = b.select(*named.columns, "__r_own", *(F.col(c).alias(f"__r{c}") for c in ("__level", "__bin", "__strand")))
+    on = (a["chrom"] == b["r_chrom"]) & (a["__strand"] == b["__r__strand"]) & (a["__level"] == b["__r__level"]) & (a["__bin"] == b["__r__bin"]) & (a["start"] < b["r_end"]) & (a["end"] > b["r_start"])
+    owned = (F.col("__level") == F.greatest("__own", "__r_own")) & (F.col("__bin") == F.floor(F.greatest("start", "r_start") / _width(F.col("__level"), width)))
+    if any_strand:
+        both = (F.col("strand") == ".") & (F.col("r_strand") == ".")
+        owned = owned & F.when(both, F.col("__strand") == "+").otherwise((F.col("strand") == F.col("r_strand")) | (F.col("strand") == ".") | (F.col("r_strand") == "."))
+    return a.join(b, on).filter(owned).select(*left.columns, *named.columns)
 
 
 def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:

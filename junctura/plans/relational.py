@@ -137,6 +137,21 @@ def overlap_join(spark, sf):
     return I.overlap_join(iv, iv).filter("start < r_start").select("chrom", "strand", "start", "end", "r_start", "r_end")
 
 
+_ANY_SQL = f"""{B.INTERVALS_SQL}, av AS (SELECT chrom, s, CASE WHEN s % 9700 = 0 THEN s + 3000000 + l_linenumber ELSE e END AS e, CASE WHEN l_linenumber IN (3, 5) THEN '.' ELSE strand END AS strand FROM iv)"""
+
+
+@query(
+    "interval_overlap_any_strand",
+    f"""WITH {_ANY_SQL} SELECT a.chrom, a.strand, a.s AS start, a.e AS "end", b.strand AS r_strand, b.s AS r_start, b.e AS r_end FROM av a JOIN av b ON a.chrom = b.chrom AND a.s < b.e AND a.e > b.s AND a.s < b.s WHERE a.strand = b.strand OR a.strand = '.' OR b.strand = '.'""",
+)
+def overlap_any_strand(spark, sf):
+    """A strand of "." matches any; some intervals are a thousand times as long as the others."""
+    iv = B.intervals(spark, sf)
+    end = F.when(F.col("start") % 9700 == 0, F.col("start") + 3_000_000 + F.col("l_linenumber")).otherwise(F.col("end"))
+    iv = iv.withColumns({"end": end, "strand": F.when(F.col("l_linenumber").isin(3, 5), ".").otherwise(F.col("strand"))}).drop("l_linenumber")
+    return I.overlap_join(iv, iv, any_strand=True).filter("start < r_start").select("chrom", "strand", "start", "end", "r_strand", "r_start", "r_end")
+
+
 @query(
     "interval_subtract",
     f"""WITH {B.INTERVALS_SQL}, p AS (SELECT *, s + 300 AS bs, s + 300 + l_linenumber * 150 AS be FROM iv),
