@@ -127,6 +127,143 @@ def fit_glm(counts: np.ndarray, design: np.ndarray, max_iter: int = 500, start:
     return Fit(alpha, c, log_likelihood(counts, alpha), got.converged, got.iterations, got.gradient_norm)
 
 
+def minimise_many(f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], x: np.ndarray, max_iter: int = 500, tol: float = 1e-9, memory: int = 10) -> list[Optimum]:
+    """minimise() for many problems side by side, a row of x each; f(rows of x, their numbers) gives values and gradients.
+
+    Every problem takes the steps that it would take alone, and leaves the stack when it is done.
+    """
+    n, d = x.shape
+    out: list[Optimum | None] = [None] * n
+    ids, x = np.arange(n), x.copy()
+    value, g = f(x, ids)
+    s_all, y_all, r_all = np.zeros((n, memory, d)), np.zeros((n, memory, d)), np.zeros((n, memory))
+    held = np.zeros(n, int)  # pairs of each problem; the newest is last
+    dot = lambda a, b: np.einsum("nd,nd->n", a, b)
+
+    def leave(gone: np.ndarray, converged: np.ndarray, turn: int) -> None:
+        nonlocal ids, x, value, g, s_all, y_all, r_all, held
+        for k in np.flatnonzero(gone).tolist():
+            out[ids[k]] = Optimum(x[k].copy(), float(value[k]), bool(converged[k]), turn, float(np.linalg.norm(g[k])))
+        stay = ~gone
+        ids, x, value, g, s_all, y_all, r_all, held = (v[stay] for v in (ids, x, value, g, s_all, y_all, r_all, held))
+
+    for turn in range(1, max_iter + 1):
+        flat = np.abs(g).max(1) < 1e-7
+        if flat.any():
+            leave(flat, flat, turn - 1)
+        if not len(ids):
+            break
+        q, used = g.copy(), np.zeros((len(ids), memory))
+        first = memory - int(held.max(initial=0))
+        for j in range(memory - 1, first - 1, -1):
+            has = memory - j <= held
+            a = np.where(has, r_all[:, j] * dot(s_all[:, j], q), 0.0)
+            q -= a[:, None] * y_all[:, j]
+            used[:, j] = a
+        any_ = held > 0
+        yy = dot(y_all[:, -1], y_all[:, -1])
+        q *= np.where(any_, dot(s_all[:, -1], y_all[:, -1]) / np.where(any_, yy, 1.0), 1 / np.maximum(1.0, np.abs(g).sum(1)))[:, None]
+        for j in range(first, memory):
+            has = memory - j <= held
+            q += np.where(has, used[:, j] - r_all[:, j] * dot(y_all[:, j], q), 0.0)[:, None] * s_all[:, j]
+        slope = -dot(g, q)
+        wrong = slope >= 0
+        if wrong.any():
+            scale = np.maximum(1.0, np.abs(g[wrong]).sum(1))
+            q[wrong], slope[wrong], held[wrong] = g[wrong] / scale[:, None], -dot(g[wrong], g[wrong]) / scale, 0
+        step, new, new_value, new_g = np.ones(len(ids)), x.copy(), value.copy(), g.copy()
+        trying = np.arange(len(ids))
+        stuck = np.zeros(len(ids), bool)
+        while len(trying):
+            at = x[trying] - step[trying, None] * q[trying]
+            v, h = f(at, ids[trying])
+            good = np.isfinite(v) & (v <= value[trying] + 1e-4 * step[trying] * slope[trying])
+            took = trying[good]
+            new[took], new_value[took], new_g[took] = at[good], v[good], h[good]
+            trying = trying[~good]
+            step[trying] /= 2
+            lost = step[trying] < 1e-12
+            stuck[trying[lost]] = True
+            trying = trying[~lost]
+        s, y = new - x, new_g - g
+        sy = dot(s, y)
+        fresh = (sy > 1e-12) & ~stuck
+        for stack, newest in ((s_all, s), (y_all, y)):
+            stack[fresh, :-1] = stack[fresh, 1:]
+            stack[fresh, -1] = newest[fresh]
+        r_all[fresh, :-1] = r_all[fresh, 1:]
+        r_all[fresh, -1] = 1 / sy[fresh]
+        held[fresh] = np.minimum(held[fresh] + 1, memory)
+        done = ~stuck & (value - new_value <= tol * np.maximum(1.0, np.maximum(np.abs(value), np.abs(new_value))))
+        near = np.abs(g).max(1) < 1e-3 * np.maximum(1.0, np.abs(value))
+        x, value, g = new, new_value, new_g
+        if (done | stuck).any():
+            leave(done | stuck, np.where(stuck, near, True), turn)
+    if len(ids):
+        leave(np.ones(len(ids), bool), np.zeros(len(ids), bool), max_iter)
+    return out
+
+
+def moments_many(counts: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """moments() of a stack of counts (module, sample, junction); `real` tells the junctions that are no padding."""
+    total = counts.sum(2, keepdims=True)
+    seen = total[..., 0] > 0
+    n, k = seen.sum(1), real.sum(1)
+    p = counts / np.maximum(total, 1)
+    mean = p.sum(1) / np.maximum(n, 1)[:, None]
+    var = (np.where(seen[..., None], p - mean[:, None], 0.0) ** 2).sum(1) / np.maximum(n, 1)[:, None]
+    spread = np.where(real, mean * (1 - mean) / np.maximum(var, 1e-6) - 1, 0.0)
+    # floors come first in moments(), so a junction without reads counts with its floor
+    low = np.where(n[:, None] > 0, np.maximum(mean, FLOOR), 1 / k[:, None])
+    return np.where(real, low, 0.0), np.where(n > 0, np.maximum(0.1, spread.sum(1) / k), 0.1)
+
+
+def fit_glm_many(counts: np.ndarray, real: np.ndarray, design: np.ndarray, max_iter: int = 500, start: list[Fit] | None = None) -> list[Fit]:
+    """fit_glm() of a stack of counts (module, sample, junction), padded with junctions that `real` tells apart.
+
+    All modules are optimised together; padding has share 0 and no part in value or gradient.
+    """
+    counts, design = np.asarray(counts, float), np.asarray(design, float)
+    b, _, k = counts.shape
+    p, sizes = design.shape[1], real.sum(1)
+    if start is None:
+        mean, c = moments_many(counts, real)
+    else:
+        mean, c = np.zeros((b, k)), np.empty(b)
+        for i, fit in enumerate(start):
+            one = fit.alpha.mean(0)
+            mean[i, : sizes[i]], c[i] = np.maximum(one / one.sum(), FLOOR), max(0.1, fit.concentration)
+    beta = np.zeros((b, p, k))
+    safe = np.where(real, mean, 1.0)
+    beta[:, 0] = np.where(real, np.log(safe / (mean.sum(1) / sizes)[:, None]), 0.0)
+    total = counts.sum(2)
+
+    def shares(x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        logits = np.einsum("sp,npk->nsk", design, x[:, :-1].reshape(-1, p, k))
+        q = softmax(np.where(mask[:, None], logits, -np.inf))
+        return q, np.maximum(1e-6, np.exp(np.minimum(x[:, -1], TOP)))
+
+    def likelihood(own: np.ndarray, alpha: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        a = np.where(mask[:, None], alpha, 0.0).sum(2)
+        return (gammaln(a) - gammaln(a + own.sum(2))).sum(1) + (gammaln(alpha + own) - gammaln(alpha)).sum((1, 2))
+
+    def f(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, mask = counts[ids], real[ids]
+        q, c = shares(x, mask)
+        alpha = np.maximum(q * c[:, None, None], FLOOR)
+        g = digamma(alpha + own) - digamma(alpha) + (digamma(c)[:, None] - digamma(c[:, None] + total[ids]))[..., None]
+        g = np.where(mask[:, None], g, 0.0)
+        inner = c[:, None, None] * q * (g - (q * g).sum(2, keepdims=True))
+        slope = np.where(x[:, -1] < TOP, (np.where(mask[:, None], alpha, 0.0) * g).sum((1, 2)), 0.0)
+        return -likelihood(own, alpha, mask), -np.concatenate([np.einsum("sp,nsk->npk", design, inner).reshape(len(x), -1), slope[:, None]], 1)
+
+    got = minimise_many(f, np.concatenate([beta.reshape(b, -1), np.log(c)[:, None]], 1), max_iter)
+    q, c = shares(np.array([o.x for o in got]).reshape(b, p * k + 1), real)
+    alpha = q * c[:, None, None]
+    values = likelihood(counts, np.maximum(alpha, FLOOR), real)
+    return [Fit(alpha[i, :, : sizes[i]], float(c[i]), float(values[i]), o.converged, o.iterations, o.gradient_norm) for i, o in enumerate(got)]
+
+
 def fit_free(counts: np.ndarray, max_iter: int = 200) -> Fit:
     """One concentration for each junction, shared by all samples."""
     counts = np.asarray(counts, float)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,35 +18,86 @@ from .modules import testable
 REFIT_BELOW = 0.001
 FITS = "module_id string, n_junctions int, log_likelihood_null double, log_likelihood_full double, degrees_of_freedom int, p_value double, null_converged boolean, full_converged boolean, null_refit_used boolean, null_iterations int, full_iterations int, null_gradient_norm double, full_gradient_norm double"
 
+_ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_FIT_TYPES = [_ARROW_TYPES[c.split()[1]] for c in FITS.split(", ")]
+STACK_CELLS = 1 << 20  # counts of modules that are fitted together; a stack takes some 500 bytes a count
+
 
 def label_frame(spark, labels: Mapping[int, int]) -> DataFrame:
     return spark.createDataFrame(sorted(labels.items()), "sample_idx int, label int")
 
 
+def stacked(batch: pa.RecordBatch, samples: np.ndarray, limit: int = STACK_CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, counts, real) of modules of about as many junctions: counts by module, sample and junction, padded.
+
+    A row of the batch is a module with its cells in order of junction and sample; what is missing counts 0.
+    """
+    cells = batch.column(1)
+    sizes, flat = np.diff(cells.offsets.to_numpy()), cells.flatten()
+    j, sample = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    count = np.nan_to_num(flat.field(2).to_numpy(zero_copy_only=False).astype(float))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (j[1:] != j[:-1])
+    number = np.cumsum(new) - 1
+    junctions = np.bincount(row[new], minlength=len(sizes))
+    number = number - (np.cumsum(junctions) - junctions)[row]
+    place = np.minimum(np.searchsorted(samples, sample), len(samples) - 1)
+    known = samples[place] == sample
+    order, at = np.argsort(junctions, kind="stable"), 0
+    while at < len(order):
+        # modules come by rising number of junctions: as many as fit at the last one's
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(samples) * junctions[order[end]] <= limit and junctions[order[end]] <= 2 * junctions[order[at]] + 2:
+            end += 1
+        mine = order[at:end]
+        where = np.full(len(sizes), -1)
+        where[mine] = np.arange(len(mine))
+        use = known & (where[row] >= 0)
+        counts = np.zeros((len(mine), len(samples), int(junctions[mine].max())))
+        np.add.at(counts, (where[row[use]], place[use], number[use]), count[use])
+        yield mine, counts, np.arange(counts.shape[2])[None] < junctions[mine][:, None]
+        at = end
+
+
 def fit_modules(cells: DataFrame, labels: Mapping[int, int], covariates: Mapping[int, Sequence[float]] | None = None, df_mode: str = "groups") -> DataFrame:
     """Null and full Dirichlet-multinomial regression of each module and their likelihood-ratio test.
 
     Below REFIT_BELOW the null model is fitted again from the full one and kept if better.
-    df_mode "k_minus_1" multiplies the degrees of freedom by junctions - 1.
+    df_mode "k_minus_1" multiplies the degrees of freedom by junctions - 1.  The modules of an
+    Arrow batch are fitted together in stacks of STACK_CELLS counts.
     """
     samples = sorted(labels)
     y = np.array([labels[s] for s in samples])
     extra = None if covariates is None else np.array([covariates[s] for s in samples], float)
     full_design, null_design, df0 = dirichlet.design_matrices(y, extra)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        counts = group.pivot(index="sample_idx", columns="j_idx", values="count").reindex(samples).fillna(0).sort_index(axis=1).to_numpy(float)
-        null, full = dirichlet.fit_glm(counts, null_design), dirichlet.fit_glm(counts, full_design)
-        df = df0 * max(1, counts.shape[1] - 1) if df_mode == "k_minus_1" else df0
-        p, refit = dirichlet.ratio_test(null.log_likelihood, full.log_likelihood, df), False
-        if p < REFIT_BELOW:
-            again = dirichlet.fit_glm(counts, null_design, start=full)
-            if again.log_likelihood > null.log_likelihood:
-                null, refit = again, True
-                p = dirichlet.ratio_test(null.log_likelihood, full.log_likelihood, df)
-        return pd.DataFrame([[group["module_id"].iloc[0], counts.shape[1], null.log_likelihood, full.log_likelihood, df, p, null.converged, full.converged, refit, null.iterations, full.iterations, null.gradient_norm, full.gradient_norm]], columns=[c.split()[0] for c in FITS.split(", ")])
-
-    return cells.select("module_id", "j_idx", "sample_idx", "count").groupBy("module_id").applyInPandas(run, FITS)
+    names = [c.split()[0] for c in FITS.split(", ")]
+
+    def tested(counts: np.ndarray, real: np.ndarray) -> Iterator[tuple]:
+        nulls, fulls = dirichlet.fit_glm_many(counts, real, null_design), dirichlet.fit_glm_many(counts, real, full_design)
+        sizes = real.sum(1).tolist()
+        dfs = [df0 * max(1, n - 1) if df_mode == "k_minus_1" else df0 for n in sizes]
+        ps = [dirichlet.ratio_test(a.log_likelihood, b.log_likelihood, df) for a, b, df in zip(nulls, fulls, dfs)]
+        low = [i for i, p in enumerate(ps) if p < REFIT_BELOW]
+        better = set()
+        if low:
+            for i, again in zip(low, dirichlet.fit_glm_many(counts[low], real[low], null_design, start=[fulls[i] for i in low])):
+                if again.log_likelihood > nulls[i].log_likelihood:
+                    nulls[i] = again
+                    better.add(i)
+                    ps[i] = dirichlet.ratio_test(again.log_likelihood, fulls[i].log_likelihood, dfs[i])
+        for i, (null, full) in enumerate(zip(nulls, fulls)):
+            yield sizes[i], null.log_likelihood, full.log_likelihood, dfs[i], ps[i], null.converged, full.converged, i in better, null.iterations, full.iterations, null.gradient_norm, full.gradient_norm
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for mine, counts, real in stacked(batch, np.array(samples)):
+                columns = zip(*tested(counts, real))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[ids[i] for i in mine.tolist()], *columns], _FIT_TYPES)], names=names)
+
+    grouped = cells.groupBy("module_id").agg(F.sort_array(F.collect_list(F.struct("j_idx", "sample_idx", F.col("count").cast("double").alias("n")))).alias("cells"))
+    return grouped.mapInArrow(run, FITS)
 
 
 def differential(cells: DataFrame, labels: Mapping[int, int], boot: DataFrame | None = None, covariates: Mapping[int, Sequence[float]] | None = None, min_reads: int = 10, min_samples: int = 3, df_mode: str = "groups") -> DataFrame:
