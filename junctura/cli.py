@@ -86,9 +86,9 @@ def load_reads(spark, paths: list[str], regions: list[tuple[str, int, int]] | No
 
 def write_results(res: Results, out: str, formats: set[str], samples: dict | None = None, parameters: dict | None = None) -> None:
     diff, diag = res.diff, res.diagnostics
-    S.write_tsv(S.results_table(diff, diag).orderBy("module_id"), f"{out}/results.tsv")
+    S.write_tsv(S.results_table(diff, diag), f"{out}/results.tsv", order=["module_id"])
     genes = res.module_junctions.select(*J.KEY, "gene_id", "gene_name").dropDuplicates(J.KEY)
-    S.write_tsv(S.junction_details(res.evidence.join(genes, J.KEY, "left"), res.nmd).orderBy("junction_id"), f"{out}/junctions.tsv")
+    S.write_tsv(S.junction_details(res.evidence.join(genes, J.KEY, "left"), res.nmd), f"{out}/junctions.tsv", order=["junction_id"])
     S.write_tsv(S.summary_table(diff, diag).drop("ord"), f"{out}/summary.tsv")
     export(diff, res, out, formats)
     if "xlsx" in formats:
@@ -102,11 +102,11 @@ def write_results(res: Results, out: str, formats: set[str], samples: dict | Non
 def export(diff: DataFrame, res: Results | None, out: str, formats: set[str]) -> None:
     tables = {"rmats": X.rmats_format, "leafcutter": X.leafcutter_format}
     for name in formats & set(tables):
-        S.write_tsv(tables[name](diff), f"{out}/{name}.tsv")
+        S.write_tsv(tables[name](diff), f"{out}/{name}.tsv", order=[{"rmats": "ID", "leafcutter": "cluster"}[name]])
     if "bed" in formats:
-        S.write_tsv(X.bed_format(diff), f"{out}/junctions.bed", header=False)
+        S.write_tsv(X.bed_format(diff), f"{out}/junctions.bed", header=False, order=["chrom", "start", "end", "name"])
     if "gtf" in formats:
-        S.write_tsv(X.gtf_format(diff), f"{out}/events.gtf", header=False)
+        S.write_tsv(X.gtf_format(diff), f"{out}/events.gtf", header=False, order=["chrom", "start", "end", "attributes"])
     if "majiq" in formats:
         X.majiq_format(diff).select("json").write.mode("overwrite").text(f"{out}/lsv")
         if res is not None:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import at_largest, number
+from .tables import at_largest, number, numbered
 
 
 def _parsed(diff: DataFrame) -> DataFrame:
     """Adds the module's index in output order, and starts and ends of its junctions as arrays."""
     inner = lambda i: F.transform(F.filter("junction_coords", lambda c: c.rlike(r"^[^:]*:\d+-\d+(:|$)")), lambda c: F.regexp_extract(c, r"^[^:]*:(\d+)-(\d+)", i).cast("bigint"))
-    order = Window.orderBy("module_id")
-    return diff.withColumns({"idx": F.row_number().over(order) - 1, "starts": inner(1), "ends": inner(2)}).withColumns({"lo": F.array_min("starts"), "hi": F.array_max("ends")})
+    return numbered(diff, "module_id", "idx").withColumns({"starts": inner(1), "ends": inner(2)}).withColumns({"lo": F.array_min("starts"), "hi": F.array_max("ends")})
 
 
 def _sum(array: Column) -> Column:

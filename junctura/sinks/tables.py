@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import written
+
 # The header lines that other programs read.
 RESULTS = [
     "module_id", "gene_id", "gene_name", "chrom", "strand", "event_type", "n_junctions", "max_abs_delta_psi", "psi_group1_max_effect_junction", "psi_group2_max_effect_junction", "log_likelihood_null", "log_likelihood_full", "degrees_of_freedom", "p_value", "fdr", "confidence_tier",
@@ -98,9 +100,31 @@ def summary_table(diff: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return totals.unionByName(types).unionByName(tiers).unionByName(means).select(F.explode("r").alias("x")).select("x.*").orderBy("ord", "Metric")
 
 
-def write_tsv(table: DataFrame, path: str, header: bool = True) -> None:
-    """One folder of tab-separated text; a single part, as the table is one row a module."""
-    table.coalesce(1).write.mode("overwrite").option("sep", "\t").option("quote", "\u0000").option("emptyValue", "").option("header", header).csv(path)
+def numbered(table: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds the place of each row in the order of a distinct key, from 0, without a task that holds all rows.
+
+    Rows are dealt over ranges of the key and written, so that a range stays what it is; a row's
+    number is its place within its range and the rows of the ranges before, of which there are a
+    few thousand.
+    """
+    ranged = written(table.repartitionByRange(F.col(key).asc_nulls_first()).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("__range", "n")).alias("r"))
+    before = F.transform("r", lambda x: F.struct(x["__range"], F.aggregate(F.filter("r", lambda y: y["__range"] < x["__range"]), F.lit(0).cast("bigint"), lambda total, y: total + y["n"])))
+    offsets = counts.select(F.map_from_entries(before).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first())) - 1
+    placed = ranged.withColumn("__own", own).crossJoin(F.broadcast(offsets))
+    return placed.withColumn(name, F.element_at("__before", F.col("__range")) + F.col("__own")).drop("__range", "__own", "__before")
+
+
+def write_tsv(table: DataFrame, path: str, header: bool = True, order: list[str] | None = None) -> None:
+    """One folder of tab-separated text.
+
+    With `order`, parts are ranges of these columns, in order, each with the header that Spark's
+    reader expects of every part; small tables come to one part.  Without, a single part, for
+    tables of a row a tool or metric.
+    """
+    rows = table.coalesce(1) if order is None else table.orderBy(*order)
+    rows.write.mode("overwrite").option("sep", "\t").option("quote", "\u0000").option("emptyValue", "").option("header", header).csv(path)
 
 
 def save_stage(df: DataFrame, path: str) -> None:

@@ -5,7 +5,6 @@ import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 
-import pytest
 
 from junctura.sinks import drawings as D
 from junctura.sinks import pdf as P
@@ -45,10 +44,12 @@ def test_charts_show_every_item():
     assert ET.fromstring(D.scatter([], "x", "y")) is not None
 
 
-def test_a_sheet_is_not_cut(monkeypatch):
+def test_a_sheet_is_not_cut(spark, tmp_path, monkeypatch):
+    """What one sheet cannot hold goes on in the next."""
     monkeypatch.setattr(W, "MOST_ROWS", 3)
-    with pytest.raises(ValueError):
-        W._sheet(["a"], [[1], [2], [3]], [""] * 3)
+    W.write_workbook(str(tmp_path / "b.xlsx"), [("A", spark.range(5).coalesce(1))])
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
+        assert sum(z.read(n).count(b"<v>") for n in z.namelist() if "sheets/" in n) == 5
 
 
 def _pages(path):
