@@ -31,26 +31,38 @@ def site_matches(junctions: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def substituted(junctions: DataFrame, models: DataFrame) -> DataFrame:
-    """Each junction in each transcript of its gene with which it shares a site, with the exons it makes.
+    """Each junction in each transcript of its gene, chromosome and strand with which it shares a site, and what it changes there.
 
-    Donor and acceptor matches are two equi joins; the first intron that matches is changed, and
-    what would turn an exon inside out drops out.
+    Donor and acceptor matches are two equi joins; the first intron that matches is changed: at
+    most one exon, `k`, which becomes [new_start, new_end).  k is null where nothing changes; what
+    would turn an exon inside out drops out.
     """
-    sites = models.select("gene_id", "transcript_id", "exons", F.explode(F.expr("if(size(exons) > 1, sequence(0, size(exons) - 2), cast(array() as array<int>))")).alias("i"))
-    sites = sites.withColumns({"tx_donor": F.expr("exons[i].end"), "tx_acceptor": F.expr("exons[i + 1].start")})
+    own = ["gene_id", "chrom", "strand"]
+    sites = models.select(*own, "transcript_id", "exons", F.explode(F.expr("if(size(exons) > 1, sequence(0, size(exons) - 2), cast(array() as array<int>))")).alias("i"))
+    slim = sites.select(*own, "transcript_id", "i", F.expr("exons[i].end").alias("donor"), F.expr("exons[i + 1].start").alias("acceptor"), F.expr("exons[i].start").alias("up_start"), F.expr("exons[i + 1].end").alias("down_end"))
     keys = ["chrom", "start", "end", "strand", "gene_id", "transcript_id"]
-    slim = sites.select("gene_id", "transcript_id", "i", F.col("tx_donor").alias("donor"), F.col("tx_acceptor").alias("acceptor"))
-    by_donor = junctions.join(slim.withColumnRenamed("donor", "start"), ["gene_id", "start"]).select(*keys, "i")
-    by_acceptor = junctions.join(slim.withColumnRenamed("acceptor", "end"), ["gene_id", "end"]).select(*keys, "i")
-    first = by_donor.unionByName(by_acceptor).groupBy(*keys).agg(F.min("i").alias("i"))
-    joined = first.join(models.select("gene_id", "transcript_id", "exons"), ["gene_id", "transcript_id"])
-    changed = F.expr("""
-        transform(exons, (x, k) -> case
-          when start = exons[i].end and `end` = exons[i + 1].start then x
-          when start = exons[i].end and k = i + 1 then named_struct('start', `end`, 'end', x.end)
-          when start <> exons[i].end and k = i then named_struct('start', x.start, 'end', start)
-          else x end)""")
-    return joined.withColumn("exons", changed).filter(F.expr("forall(exons, x -> x.start < x.end)")).drop("i")
+    met = ["i", "donor", "acceptor", "up_start", "down_end"]
+    by_donor = junctions.join(slim.withColumn("start", F.col("donor")), [*own, "start"]).select(*keys, *met)
+    by_acceptor = junctions.join(slim.withColumn("end", F.col("acceptor")), [*own, "end"]).select(*keys, *met)
+    first = by_donor.unionByName(by_acceptor).groupBy(*keys).agg(F.min(F.struct(*met)).alias("m")).select(*keys, "m.*")
+    at_donor, at_acceptor = F.col("start") == F.col("donor"), F.col("end") == F.col("acceptor")
+    changed = first.select(
+        *keys,
+        F.when(at_donor & at_acceptor, None).when(at_donor, F.col("i") + 1).otherwise(F.col("i")).alias("k"),
+        F.when(at_donor, F.col("end")).otherwise(F.col("up_start")).alias("new_start"),
+        F.when(at_donor, F.col("down_end")).otherwise(F.col("start")).alias("new_end"),
+    )
+    return changed.filter("k is null or new_start < new_end")
+
+
+def exon_bases(models: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataFrame:
+    """`models` with `bases`, the bases of each exon in order, null where the genome has none; a distinct exon is cut once."""
+    each = models.select("gene_id", "transcript_id", "chrom", "strand", F.posexplode("exons").alias("n", "x")).select("gene_id", "transcript_id", "chrom", "strand", "n", F.col("x.start").alias("bases_start"), F.col("x.end").alias("bases_end"))
+    cut = genome_slices(each.select("chrom", "bases_start", "bases_end").distinct(), tiles, "bases", tile)
+    found = each.join(cut, ["chrom", "bases_start", "bases_end"], "left")
+    of = ["gene_id", "transcript_id", "chrom", "strand"]
+    rows = found.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("n", F.col("bases_start").alias("start"), F.col("bases_end").alias("end"), "bases"))).alias("x"))
+    return rows.select(*of, F.transform("x", lambda e: F.struct(e["start"].alias("start"), e["bases"].alias("bases"), (e["end"] - e["start"]).alias("size"))).alias("pieces"))
 
 
 def classify_nmd(junctions: DataFrame, models: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataFrame:
@@ -58,20 +70,23 @@ def classify_nmd(junctions: DataFrame, models: DataFrame, tiles: DataFrame, tile
 
     The reading frame is the first ATG of the spliced sequence; a stop more than NMD_DISTANCE
     bases before the last exon junction is premature.  Without stop or exon junction a path is
-    productive; transcripts without sequence or ATG do not count.
+    productive; transcripts without sequence or ATG do not count.  A transcript's bases are put
+    together once; a junction in it changes one exon at most, whose bases alone are cut anew.
     """
     keys = ["chrom", "start", "end", "strand", "gene_id"]
-    made = substituted(junctions.select(*keys).distinct(), models)
-    parts = made.select(*keys, "transcript_id", F.posexplode("exons").alias("k", "x")).select(*keys, "transcript_id", "k", F.col("x.start").alias("bases_start"), F.col("x.end").alias("bases_end"))
-    cut = genome_slices(parts, tiles, "bases", tile)
-    piece = F.struct("bases_start", "bases")
-    spliced = cut.groupBy(*keys, "transcript_id").agg(F.sort_array(F.collect_list(piece)).alias("ps"), F.sum(F.col("bases_end") - F.col("bases_start")).alias("len"), F.max_by(F.col("bases_end") - F.col("bases_start"), "bases_start").alias("last_len"), F.count("*").alias("n"))
-    whole = made.select(*keys, "transcript_id", F.size("exons").alias("n_exons"))
-    spliced = spliced.join(whole, [*keys, "transcript_id"]).filter("n = n_exons and forall(ps, p -> p.bases <> '')")
+    named = junctions.select(*keys).distinct()
+    made = substituted(named, models)
+    known = models.filter("forall(exons, x -> x.start < x.end)")
+    pieces = exon_bases(known, tiles, tile)
+    cut = genome_slices(made.filter("k is not null").select("chrom", "new_start", "new_end").distinct(), tiles, "new", tile)
+    both = made.join(pieces, ["gene_id", "transcript_id", "chrom", "strand"]).join(cut, ["chrom", "new_start", "new_end"], "left")
+    own = F.expr("if(k is null, pieces, transform(pieces, (x, n) -> if(n = k, named_struct('start', new_start, 'bases', new, 'size', new_end - new_start), x)))")
+    spliced = both.select(*keys, "transcript_id", F.sort_array(own).alias("ps")).filter("forall(ps, p -> coalesce(p.bases, '') <> '')")
     mrna = F.array_join(F.transform("ps", lambda p: p["bases"]), "")
-    spliced = spliced.withColumn("mrna", F.when(F.col("strand") == "-", reverse_complement(mrna)).otherwise(mrna)).filter(F.length("mrna") >= 3)
+    length = F.aggregate("ps", F.lit(0).cast("bigint"), lambda total, p: total + p["size"])
+    spliced = spliced.select(*keys, "transcript_id", F.when(F.col("strand") == "-", reverse_complement(mrna)).otherwise(mrna).alias("mrna"), F.when(F.size("ps") > 1, length - F.element_at("ps", -1)["size"]).alias("last_ejc")).filter(F.length("mrna") >= 3)
     spliced = spliced.withColumn("atg", F.instr("mrna", "ATG") - 1).filter("atg >= 0")
-    spliced = spliced.withColumn("stop", stop_codon(F.col("mrna"), F.col("atg"))).withColumn("last_ejc", F.when(F.col("n") > 1, F.col("len") - F.col("last_len")))
+    spliced = spliced.withColumn("stop", stop_codon(F.col("mrna"), F.col("atg")))
     early = F.coalesce(F.col("last_ejc") - F.col("stop") > NMD_DISTANCE, F.lit(False))
     counted = spliced.groupBy(*keys).agg(
         F.count_if(~early).alias("n_productive_paths"),
@@ -79,7 +94,7 @@ def classify_nmd(junctions: DataFrame, models: DataFrame, tiles: DataFrame, tile
         F.min(F.when(early, F.col("stop"))).alias("ptc_position"),
         F.max_by("last_ejc", F.when(F.col("stop").isNotNull() & F.col("last_ejc").isNotNull(), F.col("transcript_id"))).alias("last_ejc_position"),
     )
-    out = junctions.select(*keys).distinct().join(counted, keys, "left").fillna(0, ["n_productive_paths", "n_unproductive_paths"])
+    out = named.join(counted, keys, "left").fillna(0, ["n_productive_paths", "n_unproductive_paths"])
     total = F.col("n_productive_paths") + F.col("n_unproductive_paths")
     label = F.when(total == 0, "NE").when(F.col("n_productive_paths") > 0, "PR").otherwise("UP")
     return out.withColumns({"classification": label, "confidence": F.when(total == 0, F.lit(float("nan"))).otherwise(F.col("n_productive_paths") / total)})
