@@ -182,13 +182,24 @@ def cmd_compare(a, spark) -> None:
     names = sorted(r.tool for r in everything.select("tool").distinct().collect())
     likeness = {(r.tool_a, r.tool_b): r.jaccard for r in C.jaccard_matrix(everything).collect()}
     shared = [(r.tools.split("&"), r.n) for r in C.exclusive_intersections(everything, 15).collect()]
-    for file, drawing in (("jaccard", D.heat_map(names, likeness)), ("intersections", D.intersections(names, shared))):
-        with open(f"{a.output_dir}/{file}.svg", "w") as f:
-            f.write(drawing)
+    drawings = {"jaccard": D.heat_map(names, likeness), "intersections": D.intersections(names, shared)}
+    if len(names) <= 4:
+        drawings["venn"] = D.venn(names, shared)  # of four tools there are fifteen intersections at most
     for t in tables[1:]:
         tool = t.first()
         if tool is not None:
-            S.write_tsv(C.match_by_gene(tables[0], t, tool.tool), f"{a.output_dir}/matched-{tool.tool}.tsv")
+            matched = written(C.match_by_gene(tables[0], t, tool.tool), "matched")
+            S.write_tsv(matched, f"{a.output_dir}/matched-{tool.tool}.tsv", order=["gene_id"])
+            both = [(r.x, r.y) for r in matched.filter("concordant").selectExpr("own_delta_psi x", f"{tool.tool}_delta_psi y").filter("x is not null and y is not null").collect()]  # a row a gene
+            r = C.delta_correlation(matched, tool.tool).first()
+            drawings[f"delta-{tool.tool}"] = D.plane(both, "own difference", f"{tool.tool} difference", f"r = {r.r or 0.0:.3f}, n = {r.n}")
+    _draw(a.output_dir, drawings)
+
+
+def _draw(folder: str, drawings: dict[str, str]) -> None:
+    for name, drawing in drawings.items():
+        with open(f"{folder}/{name}.svg", "w") as f:
+            f.write(drawing)
 
 
 def cmd_sashimi(a, spark) -> None:
@@ -218,7 +229,15 @@ def cmd_evaluate(a, spark) -> None:
     metrics = written(C.evaluate(T.own_results(spark, a.results), T.truth_table(T.read_tsv(spark, a.truth)), a.fdr), "metrics")
     S.write_tsv(metrics, f"{a.output_dir}/metrics.tsv")
     published = T.read_tsv(spark, a.published) if a.published else None
-    S.write_tsv(C.rank_tools(metrics, published), f"{a.output_dir}/ranking.tsv")
+    ranking = written(C.rank_tools(metrics, published), "ranking")
+    S.write_tsv(ranking, f"{a.output_dir}/ranking.tsv", order=["rank"])
+    tools = ranking.orderBy("rank").collect()  # a row a tool
+    kinds = [r for r in metrics.collect() if r.level not in ("gene", "event")]
+    _draw(a.output_dir, {
+        "tools": D.accuracy_plane([(r.tool, r.fdr, r.tpr) for r in tools], "own"),
+        "f-scores": D.bars([r.tool for r in tools], {"F-score": [r.f_score for r in tools]}, "own"),
+        "types": D.bars([r.level for r in kinds], {"TPR": [r.tpr for r in kinds], "FDR": [r.fdr for r in kinds], "F-score": [r.f_score for r in kinds]}),
+    })
 
 
 def parser() -> argparse.ArgumentParser:

@@ -4,27 +4,41 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..stages import written
 from .junctions import KEY
 
 ROWS_A_FILE = 1_000_000
+HUB = 1_000_000
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", hub: int = HUB) -> DataFrame:
     """(v, root): each vertex with the smallest it is connected to, of any type that has an order.
 
     Labels spread over edges and jump to their labels' labels; each round is written to the
-    shared checkpoint folder, so the plan stays short and lost executors cost one round.
+    shared checkpoint folder, so the plan stays short and lost executors cost one round.  Edges
+    are dealt by both ends, minima are combined before they are shuffled, and the edges to a
+    vertex of more than `hub` edges meet its label in a broadcast join, of which there are at
+    most edges / hub, so no vertex is a hot key.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().persist()
-    files = both.count() // ROWS_A_FILE + 1
+    n = both.count()
+    files = n // ROWS_A_FILE + 1
+    hubs = written(both.groupBy(F.col("y").alias("h")).agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("h").coalesce(1), "hubs") if n > hub else None
+    if hubs is not None and hubs.isEmpty():
+        hubs = None
     labels = written(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("root")).coalesce(files))
     for turn in count():
-        near = both.join(labels, both["y"] == labels["v"]).groupBy("x").agg(F.min("root").alias("m"))
+        if hubs is None:
+            reached = both.join(labels, both["y"] == labels["v"]).select("x", "root")
+        else:
+            known = labels.join(F.broadcast(hubs), labels["v"] == hubs["h"]).select("v", "root")
+            few = both.join(F.broadcast(hubs), both["y"] == hubs["h"], "left_anti")
+            reached = few.join(labels, few["y"] == labels["v"]).select("x", "root").unionByName(both.join(F.broadcast(known), both["y"] == known["v"]).select("x", "root"))
+        near = reached.groupBy("x").agg(F.min("root").alias("m"))
         spread = labels.join(near, labels["v"] == near["x"]).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("v").alias("p"), F.col("root").alias("up"))
         seen = Observation(f"components {turn}")
@@ -91,8 +105,23 @@ def coordinated_groups(members: DataFrame, edges: DataFrame, least: int = 3) ->
 
 
 def similar_junctions(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs i < j of a module whose neighbour sets have Jaccard similarity of the threshold or more."""
-    near = symmetric(edges).filter("n > 0").groupBy("module_id", "i").agg(F.collect_set("j").alias("near"))
-    a, b = near.select("module_id", "i", F.col("near").alias("x")), near.select("module_id", F.col("i").alias("j"), F.col("near").alias("y"))
+    """Pairs i < j of a module whose neighbour sets have Jaccard similarity of the threshold or more, which is over 0.
+
+    Sets that similar share a neighbour among the first (1 - threshold) of each, in one order, and
+    differ in size by no more than the threshold: pairs meet at such neighbours, the rare ones first,
+    and are then compared whole.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be over 0: all pairs are similar by 0")
+    near = symmetric(edges).filter("n > 0").select("module_id", "i", "j").distinct()
+    often = near.groupBy("module_id", "j").agg(F.count("*").alias("often"))
+    own = Window.partitionBy("module_id", "i")
+    placed = near.join(often, ["module_id", "j"]).withColumns({"place": F.row_number().over(own.orderBy("often", "j")), "size": F.count("*").over(own)})
+    first = placed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("module_id", "j", "i", "size")
+    a, b = first.select("module_id", "j", "i", "size"), first.select("module_id", "j", F.col("i").alias("k"), F.col("size").alias("k_size"))
+    alike = (F.col("i") < F.col("k")) & (F.least("size", "k_size") >= F.greatest("size", "k_size") * threshold - 1e-9)
+    pairs = a.join(b, ["module_id", "j"]).filter(alike).select("module_id", "i", "k").distinct()
+    sets = near.groupBy("module_id", "i").agg(F.collect_set("j").alias("near"))
+    met = pairs.join(sets.withColumnRenamed("near", "x"), ["module_id", "i"]).join(sets.select("module_id", F.col("i").alias("k"), F.col("near").alias("y")), ["module_id", "k"])
     jaccard = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return a.join(b, "module_id").filter("i < j").withColumn("similarity", jaccard).filter(F.col("similarity") >= threshold).select("module_id", "i", "j", "similarity")
+    return met.withColumn("similarity", jaccard).filter(F.col("similarity") >= threshold).select("module_id", "i", F.col("k").alias("j"), "similarity")

@@ -102,3 +102,17 @@ def beta_posterior(count: Column, total: Column, a: float = 0.5, b: float = 0.5)
     alpha, beta = count + a, total - count + b
     n = alpha + beta
     return alpha / n, 4 * F.sqrt(alpha * beta / (n * n * (n + 1)))
+
+
+def softmax(rows: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """Adds exp(value) over its sum within a group, from the group's largest value so that nothing overflows."""
+    w = Window.partitionBy(*keys)
+    powers = rows.withColumn("__e", F.exp(F.col(value) - F.max(value).over(w)))
+    return powers.withColumn(name, F.col("__e") / F.sum("__e").over(w)).drop("__e")
+
+
+def z_scores(rows: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """Adds the distance from the group's mean in its population standard deviations, 0 where nothing varies."""
+    w = Window.partitionBy(*keys)
+    spread = F.stddev_pop(value).over(w)
+    return rows.withColumn(name, F.when(spread > 0, (F.col(value) - F.avg(value).over(w)) / spread).otherwise(0.0))

@@ -261,21 +261,15 @@ def heterogeneity_variances(spark, sf):
 
 @query("covariate_z_scores", "SELECT c_custkey, CASE WHEN stddev_pop(c_acctbal) OVER w > 0 THEN round((c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w, 6) ELSE 0 END AS z FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment)")
 def z_scores(spark, sf):
-    """Customers of a nation and segment as samples, their balance as covariate, through the design matrix."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        full, _, _ = dirichlet.design_matrices(np.zeros(len(g), int), g[["c_acctbal"]].to_numpy(float))
-        return pd.DataFrame({"c_custkey": g["c_custkey"], "z": full[:, -1].round(6)})
-
-    return B.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment").groupBy("c_nationkey", "c_mktsegment").applyInPandas(run, "c_custkey bigint, z double")
+    """Customers of a nation and segment as samples, their balance as covariate."""
+    rows = B.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    return P.z_scores(rows, "c_acctbal", ["c_nationkey", "c_mktsegment"], "z").select("c_custkey", F.round("z", 6).alias("z"))
 
 
 @query("softmax", f"WITH {B.EVIDENCE_SQL}, m AS (SELECT *, max(norm) OVER (PARTITION BY module_id, sample_idx) AS top FROM ev) SELECT module_id, j_idx, sample_idx, round(exp(norm - top) / sum(exp(norm - top)) OVER (PARTITION BY module_id, sample_idx), 9) AS p FROM m")
 def softmax(spark, sf):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return g[["module_id", "j_idx", "sample_idx"]].assign(p=dirichlet.softmax(g["norm"].to_numpy()).round(9))
-
-    return B.evidence(spark, sf).select("module_id", "j_idx", "sample_idx", "norm").groupBy("module_id", "sample_idx").applyInPandas(run, "module_id string, j_idx int, sample_idx int, p double")
+    rows = P.softmax(B.evidence(spark, sf).select("module_id", "j_idx", "sample_idx", "norm"), "norm", ["module_id", "sample_idx"], "p")
+    return rows.select("module_id", "j_idx", "sample_idx", F.round("p", 9).alias("p"))
 
 
 def _analysed(spark, sf, **settings):

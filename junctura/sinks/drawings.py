@@ -1,4 +1,4 @@
-"""Charts as SVG text: volcano, depth and arcs of a gene, heat maps and intersections."""
+"""Charts as SVG text: volcano, depth and arcs of a gene, heat maps, sets, and comparisons of tools."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import html
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+
 COLOURS = ("#4682b4", "#b22222", "#2e8b57", "#daa520")
 GREY = "#999999"
 
@@ -79,6 +81,85 @@ def intersections(names: Sequence[str], counts: Sequence[tuple[Sequence[str], in
     return _svg(130 + step * len(counts), 170 + 18 * len(names), "".join(body))
 
 
+def _inside(k: int, n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points lie in set k of n: circles around a centre, or four ellipses that cross, on a plane from -1 to 1."""
+    if n <= 3:
+        turn = 2 * math.pi * k / n + (math.pi / 2 if n == 3 else math.pi)
+        far = 0.0 if n == 1 else 0.3
+        return (x - far * math.cos(turn)) ** 2 + (y + far * math.sin(turn)) ** 2 < 0.5**2
+    tilt, dx, dy = (math.pi / 4 if k < 2 else -math.pi / 4), (-0.3, -0.06, 0.06, 0.3)[k], (0.1, -0.12, -0.12, 0.1)[k]
+    u, v = (x - dx) * math.cos(tilt) + (y - dy) * math.sin(tilt), (y - dy) * math.cos(tilt) - (x - dx) * math.sin(tilt)
+    return (u / 0.68) ** 2 + (v / 0.36) ** 2 < 1
+
+
+def venn(names: Sequence[str], counts: Sequence[tuple[Sequence[str], int]], size: int = 460) -> str:
+    """Up to four sets and the sizes of their exclusive intersections, each written in the middle of its region."""
+    if not 1 <= len(names) <= 4:
+        raise ValueError("a diagram shows one to four sets; draw intersections() of more")
+    n = len(names)
+    grid = np.linspace(-1, 1, 201)
+    x, y = (v.ravel() for v in np.meshgrid(grid, grid))
+    inside = [_inside(k, n, x, y) for k in range(n)]
+    at = lambda u, v: (size / 2 + u * size / 2, size / 2 + 24 + v * size / 2)
+    body = []
+    for k, mask in enumerate(inside):
+        shape = mask.reshape(201, 201)
+        rows = np.flatnonzero(shape.any(1))
+        left, right = [(grid[shape[r].argmax()], grid[r]) for r in rows], [(grid[200 - shape[r, ::-1].argmax()], grid[r]) for r in rows[::-1]]
+        edge = " ".join(f"{px:.1f},{py:.1f}" for px, py in (at(u, v) for u, v in left + right))
+        body.append(f'<polygon points="{edge}" fill="{COLOURS[k]}" fill-opacity="0.3" stroke="{COLOURS[k]}"/>')
+        total = sum(c for who, c in counts if names[k] in who)
+        body.append(_text(size * (k + 0.5) / n, 16, f"{names[k]} ({total})", more=f' fill="{COLOURS[k]}" font-weight="bold"'))
+    told = {frozenset(who): c for who, c in counts}
+    for code in range(1, 1 << n):
+        region = np.all([mask if code >> k & 1 else ~mask for k, mask in enumerate(inside)], axis=0)
+        if region.any():
+            # the point farthest from the region's border, roughly: nearest to the middle of its points
+            px, py = x[region], y[region]
+            near = int(((px - px.mean()) ** 2 + (py - py.mean()) ** 2).argmin())
+            body.append(_text(*at(px[near], py[near]), str(told.get(frozenset(names[k] for k in range(n) if code >> k & 1), 0))))
+    return _svg(size, size + 30, "".join(body))
+
+
+def plane(points: Sequence[tuple[float, float]], x_name: str, y_name: str, note: str = "", size: int = 360) -> str:
+    """Points around zero in both directions, with a note in the corner."""
+    points = [(x, y) for x, y in points if math.isfinite(x) and math.isfinite(y)]
+    top = max([max(abs(x), abs(y)) for x, y in points], default=1) or 1
+    at = lambda v: 50 + (v / top + 1) / 2 * (size - 70)
+    body = [f'<rect x="50" y="20" width="{size - 70}" height="{size - 70}" fill="none" stroke="black"/>', f'<path d="M{at(0):.1f} 20V{size - 50}M50 {size - 30 - at(0):.1f}H{size - 20}" stroke="{GREY}" stroke-dasharray="4"/>']
+    body += [_text(at(v), size - 34, f"{v:.3g}") for v in (-top, 0, top)] + [_text(46, size - 26 - at(v), f"{v:.3g}", "end") for v in (-top, 0, top)]
+    body += [_text(size / 2, size - 10, x_name), _text(14, size / 2, y_name, more=f' transform="rotate(-90 14 {size / 2:.0f})"'), _text(58, 36, note, "start")]
+    body += [f'<circle cx="{at(x):.1f}" cy="{size - 30 - at(y):.1f}" r="2.5" fill="{COLOURS[0]}" fill-opacity="0.6"/>' for x, y in points] or [_text(size / 2, size / 2, "no shared events")]
+    return _svg(size, size, "".join(body))
+
+
+def bars(names: Sequence[str], series: Mapping[str, Sequence[float]], marked: str | None = None) -> str:
+    """Groups of bars from 0 to 1 with their values; one group may be marked."""
+    width, left, base = 16 * len(series) + 18, 40, 200
+    body = [f'<path d="M{left} 20V{base}H{left + width * len(names)}" fill="none" stroke="black"/>', _text(left - 4, 24, "1", "end"), _text(left - 4, base, "0", "end")]
+    for i, name in enumerate(names):
+        x = left + width * i + 9
+        for k, values in enumerate(series.values()):
+            v = min(max(values[i], 0.0), 1.0) if math.isfinite(values[i]) else 0.0
+            colour = COLOURS[1] if name == marked else COLOURS[k % len(COLOURS)]
+            body.append(f'<rect x="{x + 16 * k}" y="{base - 180 * v:.1f}" width="14" height="{180 * v:.1f}" fill="{colour}"/>' + _text(x + 16 * k + 7, base - 180 * v - 3, f"{values[i]:.2f}", more=' font-size="7"'))
+        body.append(_text(x + 8 * len(series), base + 12, name, "end", f' transform="rotate(-45 {x + 8 * len(series):.0f} {base + 12})"'))
+    body += [_text(left + 10 + 90 * k, 12, name, "start", f' fill="{COLOURS[k % len(COLOURS)]}"') for k, name in enumerate(series)]
+    return _svg(left + width * len(names) + 20, base + 110, "".join(body))
+
+
+def accuracy_plane(tools: Sequence[tuple[str, float, float]], marked: str, size: int = 420) -> str:
+    """Tools (name, false-discovery rate, true-positive rate) with their names and a line at 0.05."""
+    right = max([f for _, f, _ in tools if math.isfinite(f)] + [0.05]) * 1.15
+    at = lambda f, t: (50 + f / right * (size - 130), size - 40 - t * (size - 60))
+    body = [f'<path d="M50 20V{size - 40}H{size - 60}" fill="none" stroke="black"/>', f'<path d="M{at(0.05, 0)[0]:.1f} 20V{size - 40}" stroke="{COLOURS[1]}" stroke-dasharray="4"/>', _text(size / 2, size - 10, "false-discovery rate"), _text(14, size / 2, "true-positive rate", more=f' transform="rotate(-90 14 {size / 2:.0f})"')]
+    for name, f, t in tools:
+        if math.isfinite(f) and math.isfinite(t):
+            x, y = at(f, t)
+            body.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{6 if name == marked else 3}" fill="{COLOURS[1] if name == marked else GREY}"/>' + _text(x + 6, y - 4, name, "start", ' font-size="8"'))
+    return _svg(size, size, "".join(body))
+
+
 def table(columns: Sequence[str], rows: Sequence[Sequence[str]]) -> str:
     """Rows of text under a line, columns as wide as their longest entry."""
     widths = [12 + 7 * max(map(len, column)) for column in zip(columns, *rows)]

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 COLUMNS = ["gene_id", "gene_name", "chrom", "strand", "event_type", "delta_psi", "p_value", "fdr", "significant", "tool"]
 SCHEMA = "gene_id string, gene_name string, chrom string, strand string, event_type string, delta_psi double, p_value double, fdr double, significant boolean, tool string"
 OWN = "own"
+# Names that other programs write.
 RMATS_TYPES = ("SE", "A3SS", "A5SS", "MXE", "RI")
 ALPHA = 0.05
 
@@ -104,6 +105,7 @@ def _suppa2(df: DataFrame) -> DataFrame:
     )
 
 
+# Names that other programs write.
 TRUTH_NAMES = {
     "gene_id": ("gene", "gene_id", "geneid"),
     "event_type": ("event", "event_type", "type"),

@@ -5,6 +5,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 
+import pytest
 
 from junctura.sinks import drawings as D
 from junctura.sinks import pdf as P
@@ -82,3 +83,32 @@ def test_pdf_report_holds_all(spark, tmp_path):
         ET.fromstring(f.read_text())
     P.pdf_report(str(tmp_path / "b.pdf"), str(tmp_path / "none"), diff.limit(0), diagnosed.limit(0))
     assert len(_pages(tmp_path / "b.pdf")) == 5
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_venn_has_every_region(n):
+    """Each exclusive intersection has a region of its own, in which its number stands."""
+    names = [f"tool{k}" for k in range(n)]
+    every = [[t for k, t in enumerate(names) if code >> k & 1] for code in range(1, 1 << n)]
+    drawn = ET.fromstring(D.venn(names, [(who, 1000 + i) for i, who in enumerate(every)]))
+    texts = [t.text for t in drawn.iter(f"{SVG}text")]
+    assert len(list(drawn.iter(f"{SVG}polygon"))) == n
+    for i, who in enumerate(every):
+        assert str(1000 + i) in texts, who
+    for t in names:
+        assert f"{t} ({sum(1000 + i for i, who in enumerate(every) if t in who)})" in texts
+
+
+def test_venn_of_too_many_sets():
+    with pytest.raises(ValueError):
+        D.venn(list("abcde"), [])
+
+
+def test_comparison_charts():
+    p = ET.fromstring(D.plane([(0.5, -0.2), (float("nan"), 1.0), (-0.1, 0.3)], "a", "b", "r = 1"))
+    assert len(list(p.iter(f"{SVG}circle"))) == 2
+    assert "no shared events" in D.plane([], "a", "b")
+    b = ET.fromstring(D.bars(["x", "y"], {"TPR": [0.5, 2.0], "FDR": [float("nan"), 0.1]}, "x"))
+    assert [r.get("height") for r in b.iter(f"{SVG}rect")] == ["90.0", "0.0", "180.0", "18.0"]
+    t = ET.fromstring(D.accuracy_plane([("own", 0.04, 0.7), ("other", 0.2, 0.5), ("none", float("nan"), 0.1)], "own"))
+    assert [c.get("r") for c in t.iter(f"{SVG}circle")] == ["6", "3"]
