@@ -284,10 +284,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
     Documents whose shingle sets have Jaccard similarity of threshold percent or more are
     linked; component_id is the smallest key reachable, kept where it is the row's own.  Null
     and empty texts, and texts of white space, have no shingles and no links.  Rows that repeat
-    a key are one document.  Rows without a key are returned with null component, kept true,
-    and link nothing.  Empty tables give no rows; other columns are ignored.
+    a key are one document, with the links of all its texts.  Rows without a key are returned
+    with null component, kept true, and link nothing.  Empty tables give no rows; other columns
+    are ignored.
     """
     feats = stash(features(docs, key, text), "features")
+    named = F.struct("hi", "lo", "n")
+    several = feats.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(named).alias("a"), F.max(named).alias("b")).filter("a < b").select("doc_id")
+    several = stash(several, "several")
+    if not several.isEmpty():
+        return _several_texts(docs, several, threshold, recall, key, text)
     salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     live = feats.filter("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     same = ["hi", "lo", "n"]
@@ -324,6 +330,30 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, recall: float =
     return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _several_texts(docs: DataFrame, several: DataFrame, threshold: int, recall: float, key: str, text: str) -> DataFrame:
+    """near_duplicates() where some keys, `several`, stand for more than one text: each such text links under a name of its own.
+
+    The components that a key's texts are in are then joined up.  A name is a 64-bit hash of key
+    and text, or the key itself where it has one text.
+    """
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("body")).join(several.withColumn("__jx_several", F.lit(True)), "doc_id", "left")
+    name = F.when(F.col("__jx_several"), F.xxhash64("doc_id", F.coalesce("body", F.lit("")))).otherwise(F.col("doc_id"))
+    rows = rows.select("doc_id", name.alias("name"), "body")
+    names = stash(rows.filter("doc_id is not null").select("name", "doc_id").distinct(), "names")
+    # no name stands for two texts here, so this goes one level deep
+    each = stash(near_duplicates(rows.select("name", "body"), threshold, recall, "name", "body").drop("kept"), "texts")
+    placed = each.filter("name is not null and n_shingles > 0").select("name", "component_id").distinct().join(names, "name")
+    firsts = placed.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    edges = placed.join(firsts, "doc_id").filter("component_id > a").select("a", F.col("component_id").alias("b")).distinct()
+    roots = components(stash(edges, "edges"))
+    placed = stash(placed.join(roots, placed["component_id"] == roots["v"], "left").select("name", "doc_id", F.coalesce("root", "component_id").alias("root")), "placed")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("least"))
+    told = stash(placed.join(least, "root").select(F.col("name").alias("__jx_name"), "least"), "told")
+    found = each.join(names, "name", "left").join(told, (F.col("name") == F.col("__jx_name")) & (F.col("n_shingles") > 0), "left")
+    component = F.coalesce("least", "doc_id")  # a text without words is linked with nothing
+    return found.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
 def shingle_sets(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows (doc, root, fits) of `groups` with their sets of shingles, sorted 64-bit hashes; other texts are not shuffled."""
 

@@ -114,3 +114,23 @@ def test_mixing_sql_agrees_on_odd_rows(spark, tmp_path):
     want = db.sql(mixing.SQL["op6_mix"]).fetchall()
     got = [tuple(r) for r in mixing.op6_mix(spark, str(tmp_path)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_neardup_of_ids_with_two_texts(spark):
+    """200 ids with two texts each, and a near copy of each text under an id of its own: no link is lost."""
+    words = lambda tag, n=40: [f"{tag}w{i}" for i in range(n)]
+    rows = []
+    for k in range(200):
+        for side in "ab":
+            own = words(f"{side}{k}")
+            rows += [(k, " ".join(own)), (1000 + 2 * k + (side == "b"), " ".join([*own, "more"]))]
+    rows += [(5000, "alone " + " ".join(words("z"))), (5000, "alone " + " ".join(words("z"))), (None, " ".join(words("a0"))), (5001, None), (5001, " ".join(words("a1")))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
+    for k in range(200):
+        assert by[k] == {(k, True)} and by[1000 + 2 * k] == by[1001 + 2 * k] == {(k, False)}, k
+    assert by[5000] == {(5000, True)} and by[None] == {(None, True)}
+    assert {c for c, _ in by[5001]} <= {1, 5001} and (1, False) in by[5001]
