@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import written
+
 
 #: Bins are of LEVELS widths, each SPAN of the one before; an interval of at most SPAN bins of a width is cut into those.
 WIDTH = 1 << 14
@@ -73,13 +75,43 @@ def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, on).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
+def _apart(start: Column, reach: Column, touching: bool) -> Column:
+    return start > reach if touching else start >= reach
+
+
 def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "strand"), touching: bool = True, carry: list[Column] | None = None, bin_width: int | None = 1 << 20) -> DataFrame:
     """Islands of overlapping intervals with their bounds and number; touching ones merge or stay apart.
 
-    A running maximum of ends tells where an island begins.  Rows are swept within bins of
-    `bin_width` by start; what earlier bins reach and how many islands they begin is carried over
-    in a table of a row a bin, so no task holds a chromosome.  None is for keys that have few
-    intervals each, which are swept whole.  `carry` adds aggregates.
+    A running maximum of ends tells where an island begins.  Intervals are read once and swept
+    within bins of `bin_width` by start, so no task holds a chromosome, and the islands of a bin
+    are written.  Most end within their bin and are reached by none before it; only the others
+    are swept over bins.  None is for keys that have few intervals each, which are swept whole;
+    `carry` adds aggregates, for which all intervals are swept over bins.  `island` is a number
+    that rises with the place within a key.
+    """
+    if bin_width is None or carry:
+        return _swept(intervals.withColumn("__n", F.lit(1)), keys, touching, bin_width, carry)
+    place = [*keys, "__bin"]
+    rows = intervals.select(*keys, "start", "end", F.floor(F.col("start") / bin_width).alias("__bin"))
+    order = Window.partitionBy(*place).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = rows.withColumn("__before", before).withColumn("__new", F.when(F.col("__before").isNull() | _apart(F.col("start"), F.col("__before"), touching), 1).otherwise(0))
+    numbered = flagged.withColumn("__number", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    local = written(numbered.groupBy(*place, "__number").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("__n")), "islands")
+    local = local.withColumn("__id", F.col("__bin") * (1 << 32) + F.col("__number")).drop("__number")
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    tops = local.groupBy(*place).agg(F.max("end").alias("__top")).select(*place, F.max("__top").over(earlier).alias("__reach"))
+    told = _with_bins(local, tops, place)
+    over = F.coalesce(~_apart(F.col("start"), F.col("__reach"), touching) | (F.col("end") >= (F.col("__bin") + 1) * bin_width), F.col("end") >= (F.col("__bin") + 1) * bin_width, F.lit(False))
+    whole = told.filter(~over).select(*keys, F.col("__id").alias("island"), "start", "end", F.col("__n").alias("n"))
+    rest = _swept(told.filter(over).select(*keys, "start", "end", "__n", "__id"), keys, touching, bin_width, [F.min("__id").alias("__first")])
+    return whole.unionByName(rest.select(*keys, F.col("__first").alias("island"), "start", "end", "n"))
+
+
+def _swept(intervals: DataFrame, keys: tuple[str, ...], touching: bool, bin_width: int | None, carry: list[Column] | None = None) -> DataFrame:
+    """Islands of rows that stand for __n intervals each.
+
+    What earlier bins reach and how many islands they begin is carried over in a table of a row a bin.
     """
     place = [*keys] if bin_width is None else [*keys, "__bin"]
     rows = intervals if bin_width is None else intervals.withColumn("__bin", F.floor(F.col("start") / bin_width))
@@ -92,14 +124,13 @@ def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "str
         rows = _with_bins(rows, tops.select(*place, F.max("__top").over(earlier).alias("__reach")), place)
         reach = F.greatest("__reach", reach)
     flagged = rows.withColumn("__before", reach)
-    apart = (F.col("start") > F.col("__before")) if touching else (F.col("start") >= F.col("__before"))
-    flagged = flagged.withColumn("__new", F.when(F.col("__before").isNull() | apart, 1).otherwise(0))
+    flagged = flagged.withColumn("__new", F.when(F.col("__before").isNull() | _apart(F.col("start"), F.col("__before"), touching), 1).otherwise(0))
     if bin_width is not None:
         begun = flagged.groupBy(*place).agg(F.sum("__new").alias("__begun"))
         flagged = _with_bins(flagged, begun.select(*place, F.coalesce(F.sum("__begun").over(earlier), F.lit(0)).alias("__islands")), place)
         number = F.col("__islands") + number
     islands = flagged.withColumn("island", number)
-    return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *(carry or []))
+    return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("__n").alias("n"), *(carry or []))
 
 
 def subtract(pairs: DataFrame) -> DataFrame:

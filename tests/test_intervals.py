@@ -35,3 +35,20 @@ def test_long_intervals_are_in_few_bins(spark):
     rows = spark.createDataFrame([("c1", 0, 1 << 30, ".", 1), ("c1", 5, 10, "+", 2)], ROWS)
     counts = {r.id: r.n for r in I._binned(rows, rows, "", False).groupBy("id").count().withColumnRenamed("count", "n").collect()}
     assert counts[1] <= 65 and counts[2] == 2
+
+
+def test_a_dense_place_and_long_intervals_merge(spark):
+    """Many intervals in one bin, one over all bins, islands that just touch a bin's end."""
+    rows = [("c1", 100 + k % 50, 200 + k % 60, "+", k) for k in range(5000)] + [("c1", 5, 64_000, "-", 1)] + [("c1", 1000 * k, 1000 * k + (1000 if k % 3 else 400), "-", k) for k in range(80)]
+    for touching in (True, False):
+        want = []
+        for strand in "+-":
+            reach = None
+            for _, s, e, _, _ in sorted(r for r in rows if r[3] == strand):
+                if reach is None or (s > reach if touching else s >= reach):
+                    want.append(["c1", strand, s, e, 0])
+                reach = max(e, reach or e)
+                want[-1][3:] = reach, want[-1][4] + 1
+        for width in (1000, 1 << 20):
+            got = I.merge_intervals(spark.createDataFrame(rows, ROWS), touching=touching, bin_width=width)
+            assert sorted([r.chrom, r.strand, r.start, r.end, r.n] for r in got.collect()) == sorted(want)
