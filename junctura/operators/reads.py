@@ -177,14 +177,21 @@ def region_junctions(reads: DataFrame, chrom: str, start: int, end: int, min_anc
     return found.filter((F.col("end") >= start) & (F.col("start") <= end)).groupBy("sample_idx", "start", "end").agg(F.count("*").alias("n"))
 
 
-def exon_body_reads(reads: DataFrame, exons: DataFrame, min_mapq: int = 0, width: int = 1 << 14) -> DataFrame:
+def exon_body_reads(reads: DataFrame, exons: DataFrame, min_mapq: int = 0) -> DataFrame:
     """Reads all of whose blocks lie within an exon: raw count and sum of 1/NH for (exon_id, sample_idx).
 
-    Exons of (exon_id, chrom, start, end) and reads meet in bins of `width` by the read's start,
-    which any exon that holds the read also covers.
+    Reads of one place and CIGAR are counted first, and exons of (exon_id, chrom, start, end) meet
+    them once for each distinct place, in bins whose width is the power of two that holds the exon.
+    A read is in one bin of each width that there is and that is no shorter than itself.
     """
-    found = reads.filter(passes_filters() & (F.col("mapq") >= min_mapq)).select("sample_idx", "chrom", aligned_span("cigar", "pos").alias("a"), nh().alias("nh")).filter("a.last is not null")
-    found = found.withColumn("bin", F.floor(F.col("a.first") / width))
-    bins = exons.select("exon_id", "chrom", F.col("start").alias("x_start"), F.col("end").alias("x_end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("bin"))
-    inside = found.join(bins, ["chrom", "bin"]).filter("a.first >= x_start and a.last <= x_end")
-    return inside.groupBy("exon_id", "sample_idx").agg(F.count("*").alias("n"), F.sum(1 / F.col("nh")).alias("weighted"))
+    passed = reads.filter(passes_filters() & (F.col("mapq") >= min_mapq)).groupBy("sample_idx", "chrom", "pos", "cigar").agg(F.count("*").alias("n"), F.sum(1 / nh()).alias("weighted"))
+    found = passed.select("sample_idx", "chrom", aligned_span("cigar", "pos").alias("a"), "n", "weighted").filter("a.last is not null")
+    places = exons.select("chrom", F.col("start").alias("x_start"), F.col("end").alias("x_end")).filter("x_start < x_end").distinct()
+    places = places.withColumn("width", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("x_end") - F.col("x_start")))).cast("bigint"))
+    widths = places.agg(F.collect_set("width").alias("widths"))  # one row of at most 63 numbers
+    bins = places.select("*", F.explode(F.sequence(F.floor(F.col("x_start") / F.col("width")), F.floor((F.col("x_end") - 1) / F.col("width")))).alias("bin"))
+    spread = found.crossJoin(F.broadcast(widths)).select("sample_idx", "chrom", "a", "n", "weighted", F.explode("widths").alias("width")).filter("a.last - a.first <= width").withColumn("bin", F.floor(F.col("a.first") / F.col("width")))
+    inside = spread.join(bins, ["chrom", "width", "bin"]).filter("a.first >= x_start and a.last <= x_end")
+    totals = inside.groupBy("chrom", "x_start", "x_end", "sample_idx").agg(F.sum("n").alias("n"), F.sum("weighted").alias("weighted"))
+    named = exons.select("exon_id", "chrom", F.col("start").alias("x_start"), F.col("end").alias("x_end"))
+    return totals.join(named, ["chrom", "x_start", "x_end"]).groupBy("exon_id", "sample_idx").agg(F.sum("n").alias("n"), F.sum("weighted").alias("weighted"))
