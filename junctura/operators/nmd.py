@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import TILE, genome_slices, reverse_complement, stop_codon
+from ..stages import written
 
 NMD_DISTANCE = 55
 
@@ -105,13 +106,14 @@ def frame_graph(exons: DataFrame, junctions: DataFrame) -> DataFrame:
 
     A graph a gene: `exons` has gene_id, chrom, strand, start and end, `junctions` chrom, strand,
     start and end.  An exon ends where an intron begins on the same chromosome and strand, and
-    both exons are of one gene.
+    both exons are of one gene.  A gene's exons meet first, as an intron's ends may be those of
+    exons of any number of genes; introns are written, so that few of them are broadcast.
     """
     own = ["gene_id", "chrom", "strand"]
     up = exons.select(*own, F.col("start").alias("up_start"), F.col("end").alias("up_end")).distinct()
     down = exons.select(*own, F.col("start").alias("down_start"), F.col("end").alias("down_end")).distinct()
-    introns = junctions.select("chrom", "strand", F.col("start").alias("up_end"), F.col("end").alias("down_start")).distinct()
-    met = introns.join(up, ["chrom", "strand", "up_end"]).join(down, [*own, "down_start"])
+    introns = written(junctions.select("chrom", "strand", F.col("start").alias("up_end"), F.col("end").alias("down_start")).distinct(), "introns")
+    met = up.join(down, own).join(introns, ["chrom", "strand", "up_end", "down_start"], "left_semi")
     frame = F.explode(F.array(*map(F.lit, range(3)))).alias("frame")
     edges = met.select(*own, "up_start", "up_end", frame, "down_start", "down_end")
     return edges.withColumn("next_frame", ((F.col("frame") + F.col("down_start") - F.col("up_end")) % 3).cast("int"))

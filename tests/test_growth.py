@@ -3,8 +3,14 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from junctura.functions import sequence as Q
 from junctura.operators import graph as G
+from junctura.operators import modules as M
+from junctura.operators import nmd as N
 from junctura.operators import reads as R
+from junctura.sources.annotation import gene_models, gtf_rows
 
 
 def _plan(df):
@@ -62,3 +68,37 @@ def _rows_of_joins(df):
 
     walk(plan)
     return out
+
+
+def test_modules_do_not_expand_their_junctions(spark):
+    members = spark.createDataFrame([(f"cluster:{c}", "chr1", 100 * c + k, 100 * c + k + 40, "+") for c in range(3) for k in range(20)], "cluster_id string, chrom string, start bigint, end bigint, strand string")
+    genes = spark.createDataFrame([(f"g{k}", None if k % 2 else "n", "chr1", 10 * k, 10 * k + 150, "+") for k in range(12)], "gene_id string, gene_name string, chrom string, start bigint, end bigint, strand string")
+    modules, junctions = M.build_modules(G.clusters(members), members, genes)
+    assert _sorted(modules.select("module_id", "gene_id", "gene_name", "chrom", "strand", "start", "end", "n_connections")) == _sorted(junctions.groupBy("module_id", "gene_id", "gene_name", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_connections")))
+    assert junctions.count() == modules.agg(F.sum("n_connections")).first()[0] > 400
+    modules.collect()
+    assert max(_rows_of_joins(modules)) <= 150
+
+
+def _sorted(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_attributes_are_found_without_a_map(spark):
+    texts = ['gene_id "a"; transcript_id "b"; gene_name "n n";', 'gene_id "a";gene_id "b"', '  gene_id   "x" ; y', "gene_id", "gene_id ;gene_type", 'gene_idx "q"; ref_gene_id "z"', 'gene_id\t"t"; a', 'x gene_id "q"', 'gene_id ""; z', "", '; ;gene_id "k" ;;', 'gene_id "1"; gene_id', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    for key in ("gene_id", "gene_name", "gene_type"):
+        found = rows.select(Q.attribute(F.col("v"), key).alias("got"), F.try_element_at(Q.attributes(F.col("v")), F.lit(key)).alias("want")).collect()
+        assert [r.got for r in found] == [r.want for r in found]
+    lines = rows.select(F.concat_ws("\t", F.lit("chr1"), F.lit("s"), F.lit("exon"), F.lit("1"), F.lit("9"), F.lit("."), F.lit("+"), F.lit("."), "v").alias("value"))
+    plan = _plan(gene_models(gtf_rows(lines))[0])
+    assert "lambda" not in plan and plan.count("LogicalRDD") == 1
+
+
+def test_exons_of_a_gene_meet_before_introns_of_all(spark):
+    exons = spark.createDataFrame([(f"g{g}", "chr1", "+", 100 * k, 100 * k + 50) for g in range(30) for k in range(4)], "gene_id string, chrom string, strand string, start bigint, end bigint")
+    introns = spark.createDataFrame([("chr1", "+", 100 * k + 50, 500 + m) for k in range(4) for m in range(200)] + [("chr1", "+", 50, 100), ("chr1", "+", 50, 300)], "chrom string, strand string, start bigint, end bigint")
+    edges = N.frame_graph(exons, introns)
+    got = {(r.gene_id, r.up_start, r.frame, r.down_start, r.next_frame) for r in edges.collect()}
+    assert got == {(f"g{g}", 0, f, d, (f + d - 50) % 3) for g in range(30) for f in range(3) for d in (100, 300)}
+    assert max(_rows_of_joins(edges)) <= 30 * 16
