@@ -28,13 +28,16 @@ def build_modules(clusters: DataFrame, members: DataFrame, genes: DataFrame) ->
     merged = merge_intervals(genic, keys, touching=False, carry=[ids], bin_width=None).select(*keys, "cluster_ids")
     alone = lone.select(*keys, F.array("cluster_id").alias("cluster_ids"))
     first = merged.unionByName(alone).withColumn("lead", F.array_min("cluster_ids"))
-    held = first.withColumn("cluster_id", F.explode("cluster_ids")).drop("cluster_ids")
-    joined = held.join(members.select("cluster_id", "start", "end"), "cluster_id").select(*keys, "lead", "start", "end").distinct()
+    held = first.withColumn("cluster_id", F.explode(F.array_distinct("cluster_ids"))).drop("cluster_ids")
+    junction = members.select("cluster_id", "start", "end").distinct()
+    # a junction is in one cluster, so bounds and numbers of modules are those of their clusters, without their junctions
+    sizes = junction.groupBy("cluster_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
     w = Window.partitionBy(*keys, "lead")
     name = F.concat_ws(":", F.when(F.col("gene_id") == "", "intergenic").otherwise(F.col("gene_id")), "chrom", "strand", F.format_string("%d-%d", F.min("start").over(w), F.max("end").over(w)))
-    numbered = joined.withColumns({"module_id": name, "j_idx": F.row_number().over(w.orderBy("start", "end")) - 1})
-    junctions = numbered.select("module_id", "j_idx", *KEY, "gene_id", "gene_name")
-    modules = junctions.groupBy("module_id", "gene_id", "gene_name", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_connections"))
+    named = held.join(sizes, "cluster_id").withColumn("module_id", name)
+    modules = named.groupBy("module_id", "gene_id", "gene_name", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_connections"))
+    joined = named.select("module_id", "cluster_id", *keys, "lead").join(junction, "cluster_id")
+    junctions = joined.withColumn("j_idx", F.row_number().over(w.orderBy("start", "end")) - 1).select("module_id", "j_idx", *KEY, "gene_id", "gene_name")
     return modules.withColumn("is_binary", F.col("n_connections") == 2), junctions
 
 
