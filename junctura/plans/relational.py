@@ -257,7 +257,7 @@ def components(spark, sf):
     """Suppliers hang together by their parts, which is one large component; each customer with their orders is a small one."""
     large = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100_000).alias("b"))
     small = B.table(spark, sf, "orders").select((F.col("o_custkey") + 10_000_000).alias("a"), (F.col("o_orderkey") + 100_000_000).alias("b"))
-    return G.components(large.unionByName(small).distinct())
+    return G.components(large.unionByName(small))
 
 
 _SITES = """jx AS (SELECT DISTINCT chrom, s, e, strand FROM jf WHERE e - s <= 160),

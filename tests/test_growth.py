@@ -11,6 +11,7 @@ from junctura.operators import modules as M
 from junctura.operators import nmd as N
 from junctura.operators import reads as R
 from junctura.sources.annotation import gene_models, gtf_rows
+from junctura.stages import written as kept
 
 
 def _plan(df):
@@ -102,3 +103,12 @@ def test_exons_of_a_gene_meet_before_introns_of_all(spark):
     got = {(r.gene_id, r.up_start, r.frame, r.down_start, r.next_frame) for r in edges.collect()}
     assert got == {(f"g{g}", 0, f, d, (f + d - 50) % 3) for g in range(30) for f in range(3) for d in (100, 300)}
     assert max(_rows_of_joins(edges)) <= 30 * 16
+
+
+def test_only_changed_labels_spread_again(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "written", lambda df, *name: made.append(kept(df, *name)) or made[-1])
+    path = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(k + 1, k) for k in range(30)] + [(50, None), (7, 7)], "a bigint, b bigint")
+    assert {r.v: r.root for r in G.components(path).collect()} == {k: 0 for k in range(31)}
+    changed = [t.filter("old <> root").count() for t in made[1:]]
+    assert changed[0] > 0 and changed[-1] == 0
