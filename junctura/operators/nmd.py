@@ -10,6 +10,10 @@ from ..stages import written
 
 NMD_DISTANCE = 55
 
+#: Transcripts and junctions of a gene meet by OWN; a junction is named by KEYS.
+OWN = ["gene_id", "chrom", "strand"]
+KEYS = ["chrom", "start", "end", "strand", "gene_id"]
+
 
 def transcripts(exons: DataFrame) -> DataFrame:
     """(gene_id, transcript_id, chrom, strand, exons): exons as a sorted array."""
@@ -31,39 +35,50 @@ def site_matches(junctions: DataFrame, sites: DataFrame) -> DataFrame:
     return by_donor.unionByName(by_acceptor).groupBy("gene_id", "start", "end", "transcript_id").agg(F.min("i").alias("first_match"))
 
 
+def introns(models: DataFrame) -> DataFrame:
+    """(gene_id, transcript_id, chrom, strand, start, end): the gaps between a transcript's exons."""
+    gaps = F.expr("transform(slice(exons, 2, size(exons)), (x, i) -> struct(exons[i].end as start, x.start as end))")
+    return models.select("gene_id", "transcript_id", "chrom", "strand", F.explode(gaps).alias("x")).select("gene_id", "transcript_id", "chrom", "strand", "x.*").filter("start < end")
+
+
 def substituted(junctions: DataFrame, models: DataFrame) -> DataFrame:
     """Each junction in each transcript of its gene, chromosome and strand with which it shares a site, and what it changes there.
 
-    Donor and acceptor matches are two equi joins; the first intron that matches is changed: at
-    most one exon, `k`, which becomes [new_start, new_end).  k is null where nothing changes; what
-    would turn an exon inside out drops out.
+    Junctions meet a gene's transcripts, not their introns one by one; the first intron that shares
+    donor or acceptor is changed: at most one exon, `k`, which becomes [new_start, new_end).  k is
+    null where nothing changes; what would turn an exon inside out drops out.  Further columns of
+    `models` stay.
     """
-    own = ["gene_id", "chrom", "strand"]
-    sites = models.select(*own, "transcript_id", "exons", F.explode(F.expr("if(size(exons) > 1, sequence(0, size(exons) - 2), cast(array() as array<int>))")).alias("i"))
-    slim = sites.select(*own, "transcript_id", "i", F.expr("exons[i].end").alias("donor"), F.expr("exons[i + 1].start").alias("acceptor"), F.expr("exons[i].start").alias("up_start"), F.expr("exons[i + 1].end").alias("down_end"))
-    keys = ["chrom", "start", "end", "strand", "gene_id", "transcript_id"]
-    met = ["i", "donor", "acceptor", "up_start", "down_end"]
-    by_donor = junctions.join(slim.withColumn("start", F.col("donor")), [*own, "start"]).select(*keys, *met)
-    by_acceptor = junctions.join(slim.withColumn("end", F.col("acceptor")), [*own, "end"]).select(*keys, *met)
-    first = by_donor.unionByName(by_acceptor).groupBy(*keys).agg(F.min(F.struct(*met)).alias("m")).select(*keys, "m.*")
-    at_donor, at_acceptor = F.col("start") == F.col("donor"), F.col("end") == F.col("acceptor")
-    changed = first.select(
-        *keys,
-        F.when(at_donor & at_acceptor, None).when(at_donor, F.col("i") + 1).otherwise(F.col("i")).alias("k"),
-        F.when(at_donor, F.col("end")).otherwise(F.col("up_start")).alias("new_start"),
-        F.when(at_donor, F.col("down_end")).otherwise(F.col("start")).alias("new_end"),
-    )
+    rest = [c for c in models.columns if c not in OWN]
+    sites = models.withColumns({"__donors": F.expr("slice(exons.end, 1, greatest(size(exons) - 1, 0))"), "__acceptors": F.expr("slice(exons.start, 2, size(exons))")})
+    met = junctions.select(*KEYS).join(sites, OWN)
+    # numbers of the first introns, from 1, that have the donor and the acceptor; 0 where none has
+    at = {"__d": F.coalesce(F.array_position("__donors", F.col("start")), F.lit(0)).cast("int"), "__a": F.coalesce(F.array_position("__acceptors", F.col("end")), F.lit(0)).cast("int")}
+    met = met.withColumns(at).filter("__d > 0 or __a > 0")
+    by_donor = F.expr("__d > 0 and (__a = 0 or __d <= __a)")
+    changed = met.select(
+        *KEYS, *rest,
+        F.expr("case when __d = __a then null when __d > 0 and (__a = 0 or __d < __a) then __d else __a - 1 end").alias("k"),
+        F.when(by_donor, F.col("end")).otherwise(F.expr("get(exons, __a - 1).start")).alias("new_start"),
+        F.when(by_donor, F.expr("get(exons, __d).end")).otherwise(F.col("start")).alias("new_end"),
+    )
     return changed.filter("k is null or new_start < new_end")
 
 
 def exon_bases(models: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataFrame:
-    """`models` with `bases`, the bases of each exon in order, null where the genome has none; a distinct exon is cut once."""
-    each = models.select("gene_id", "transcript_id", "chrom", "strand", F.posexplode("exons").alias("n", "x")).select("gene_id", "transcript_id", "chrom", "strand", "n", F.col("x.start").alias("bases_start"), F.col("x.end").alias("bases_end"))
-    cut = genome_slices(each.select("chrom", "bases_start", "bases_end").distinct(), tiles, "bases", tile)
+    """`models` with `pieces`, the starts, bases and sizes of their exons in order, bases null where the genome has none; a distinct exon is cut once.
+
+    Cut exons are written, so that few of them are broadcast and a gene's transcripts stay where they are dealt.
+    """
+    of = [*OWN, "transcript_id"]
+    place = F.posexplode("exons").alias("n", "x")
+    distinct = models.select("chrom", F.explode("exons").alias("x")).select("chrom", F.col("x.start").alias("bases_start"), F.col("x.end").alias("bases_end")).distinct()
+    cut = written(genome_slices(distinct, tiles, "bases", tile), "exon-bases")
+    each = models.repartition(*OWN).select(*of, place).select(*of, "n", F.col("x.start").alias("bases_start"), F.col("x.end").alias("bases_end"))
     found = each.join(cut, ["chrom", "bases_start", "bases_end"], "left")
-    of = ["gene_id", "transcript_id", "chrom", "strand"]
     rows = found.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("n", F.col("bases_start").alias("start"), F.col("bases_end").alias("end"), "bases"))).alias("x"))
-    return rows.select(*of, F.transform("x", lambda e: F.struct(e["start"].alias("start"), e["bases"].alias("bases"), (e["end"] - e["start"]).alias("size"))).alias("pieces"))
+    exons = F.transform("x", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
+    return rows.select(*of, exons.alias("exons"), F.transform("x", lambda e: F.struct(e["start"].alias("start"), e["bases"].alias("bases"), (e["end"] - e["start"]).alias("size"))).alias("pieces"))
 
 
 def classify_nmd(junctions: DataFrame, models: DataFrame, tiles: DataFrame, tile: int = TILE) -> DataFrame:
@@ -73,14 +88,15 @@ def classify_nmd(junctions: DataFrame, models: DataFrame, tiles: DataFrame, tile
     bases before the last exon junction is premature.  Without stop or exon junction a path is
     productive; transcripts without sequence or ATG do not count.  A transcript's bases are put
     together once; a junction in it changes one exon at most, whose bases alone are cut anew.
+    Junctions and transcripts are dealt by gene, first without bases to tell the exons to cut,
+    which are written, then with bases; so what is dealt grows with them and not with their pairs.
     """
-    keys = ["chrom", "start", "end", "strand", "gene_id"]
-    named = junctions.select(*keys).distinct()
-    made = substituted(named, models)
+    keys = KEYS
+    named = junctions.select(*keys).repartition(*OWN).distinct()
     known = models.filter("forall(exons, x -> x.start < x.end)")
-    pieces = exon_bases(known, tiles, tile)
-    cut = genome_slices(made.filter("k is not null").select("chrom", "new_start", "new_end").distinct(), tiles, "new", tile)
-    both = made.join(pieces, ["gene_id", "transcript_id", "chrom", "strand"]).join(cut, ["chrom", "new_start", "new_end"], "left")
+    places = substituted(named, known).filter("k is not null").select("chrom", "new_start", "new_end").distinct()
+    cut = written(genome_slices(places, tiles, "new", tile), "changed-exons")
+    both = substituted(named, exon_bases(known, tiles, tile)).drop("exons").join(cut, ["chrom", "new_start", "new_end"], "left")
     own = F.expr("if(k is null, pieces, transform(pieces, (x, n) -> if(n = k, named_struct('start', new_start, 'bases', new, 'size', new_end - new_start), x)))")
     spliced = both.select(*keys, "transcript_id", F.sort_array(own).alias("ps")).filter("forall(ps, p -> coalesce(p.bases, '') <> '')")
     mrna = F.array_join(F.transform("ps", lambda p: p["bases"]), "")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as Q
 from ..operators import nmd as N
 from ..sources.annotation import gene_models, gtf_rows
+from ..stages import written
 from . import base as B
 from .relational import _TX, exons
 
@@ -125,10 +125,8 @@ def nmd_classes(spark, sf):
     """Junctions in synthetic transcripts over the genome."""
     some = exons(spark, sf)
     scaled = some.withColumns({"start": (F.col("start") / 8).cast("bigint"), "end": (F.col("end") / 8).cast("bigint")})
-    w = Window.partitionBy("gene_id", "transcript_id").orderBy("start", "end")
-    gaps = scaled.select("gene_id", "chrom", "strand", F.col("end").alias("s"), F.lead("start").over(w).alias("e")).filter("e > s")
-    js = gaps.select("chrom", F.col("s").alias("start"), F.col("e").alias("end"), "strand", "gene_id").distinct()
-    return N.classify_nmd(js, N.transcripts(scaled), Q.genome_tiles(genome(spark, sf), 64), 64)
+    models = written(N.transcripts(scaled), "models")
+    return N.classify_nmd(N.introns(models), models, Q.genome_tiles(genome(spark, sf), 64), 64)
 
 
 @query("gene_id_normalise", """WITH g AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN '"ENSG' || p_partkey || '.' || p_size || '"' WHEN p_partkey % 3 = 1 THEN 'ENSG' || p_partkey ELSE p_brand || '.' || p_size END AS id FROM part) SELECT id, CASE WHEN starts_with(trim(id, '"'), 'ENSG') THEN split_part(trim(id, '"'), '.', 1) ELSE trim(id, '"') END AS gene FROM g""")

@@ -112,3 +112,28 @@ def test_only_changed_labels_spread_again(spark, monkeypatch):
     assert {r.v: r.root for r in G.components(path).collect()} == {k: 0 for k in range(31)}
     changed = [t.filter("old <> root").count() for t in made[1:]]
     assert changed[0] > 0 and changed[-1] == 0
+
+
+def test_junctions_meet_the_transcripts_of_their_gene(spark):
+    rng = random.Random(3)
+    models = {(f"g{t % 7}", f"t{t}"): sorted((s, s + rng.choice([4, 7, 7, 10])) for s in rng.choices(range(0, 120, 6), k=rng.randrange(1, 6))) for t in range(60)}
+    junctions = sorted({(f"g{rng.randrange(8)}", a, b) for a in range(120) for b in range(a + 1, 130) if rng.random() < 0.2})
+    want = []
+    for gene, start, end in junctions:
+        for (own, tx), x in models.items():
+            i = next((i for i in range(len(x) - 1) if x[i][1] == start or x[i + 1][0] == end), None)
+            if own != gene or i is None:
+                continue
+            donor, acceptor = x[i][1] == start, x[i + 1][0] == end
+            k, new = (i + 1, (end, x[i + 1][1])) if donor else (i, (x[i][0], start))
+            if donor and acceptor or new[0] < new[1]:
+                want.append((start, end, gene, tx, None if donor and acceptor else k, *new))
+    models = spark.createDataFrame([(g, t, "chr1", "+", x) for (g, t), x in models.items()], "gene_id string, transcript_id string, chrom string, strand string, exons array<struct<start:bigint,end:bigint>>")
+    junctions = spark.createDataFrame([("chr1", s, e, "+", g) for g, s, e in junctions], "chrom string, start bigint, end bigint, strand string, gene_id string")
+    made = N.substituted(junctions, models).select("start", "end", "gene_id", "transcript_id", "k", "new_start", "new_end")
+    assert _sorted(made) == sorted(want, key=str) and len(want) > 100
+    # both sides are dealt once, by gene; the slices of few exons are broadcast
+    bases = "".join(rng.choices("ACGT", k=200))
+    tiles = Q.genome_tiles(spark.createDataFrame([("chr1", bases)], "chrom string, seq string"))
+    plan = N.classify_nmd(junctions, models, tiles)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 6, plan.count("Exchange hashpartitioning(")
