@@ -13,6 +13,8 @@ from ..stages import written
 #: Bins are of LEVELS widths, each SPAN of the one before; an interval of at most SPAN bins of a width is cut into those.
 WIDTH = 1 << 14
 LEVELS, SPAN = 4, 64
+#: Intervals that a task sorts at once, some 100 bytes each.
+ROWS = 1 << 20
 
 
 def _level(start: Column, end: Column, least: int) -> Column:
@@ -68,11 +70,17 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = WIDTH, any_stra
     return a.join(b, on).filter(owned).select(*left.columns, *named.columns)
 
 
-def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, place: list[str]) -> DataFrame:
+    """Rows by place in partitions of some ROWS rows, where shuffle partitions would hold more, so that no task sorts more as the input grows."""
+    n = rows.count() // ROWS + 1
+    return rows.repartition(n, *place) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Rows with the columns of their bin; keys may be null."""
     named = bins.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in bins.columns if c not in keys))
     on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
-    return rows.join(named, on).drop(*(f"__k{i}" for i in range(len(keys))))
+    return rows.join(named, on, how).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
 def _apart(start: Column, reach: Column, touching: bool) -> Column:
@@ -82,26 +90,39 @@ def _apart(start: Column, reach: Column, touching: bool) -> Column:
 def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "strand"), touching: bool = True, carry: list[Column] | None = None, bin_width: int | None = 1 << 20) -> DataFrame:
     """Islands of overlapping intervals with their bounds and number; touching ones merge or stay apart.
 
-    A running maximum of ends tells where an island begins.  Intervals are read once and swept
-    within bins of `bin_width` by start, so no task holds a chromosome, and the islands of a bin
-    are written.  Most end within their bin and are reached by none before it; only the others
-    are swept over bins.  None is for keys that have few intervals each, which are swept whole;
+    A running maximum of ends tells where an island begins.  Intervals are swept within bins of
+    `bin_width` by start, so no task holds a chromosome, and the islands of a bin, taken from the
+    same order by running figures, are written.  Most end within their bin and are reached by none
+    before it; bins that are reached are few and written, so only those islands are swept over bins.  None is for keys that have few intervals each, which are swept whole;
     `carry` adds aggregates, for which all intervals are swept over bins.  `island` is a number
     that rises with the place within a key.
     """
     if bin_width is None or carry:
         return _swept(intervals.withColumn("__n", F.lit(1)), keys, touching, bin_width, carry)
     place = [*keys, "__bin"]
-    rows = intervals.select(*keys, "start", "end", F.floor(F.col("start") / bin_width).alias("__bin"))
+    rows = _dealt(intervals.select(*keys, "start", "end", F.floor(F.col("start") / bin_width).alias("__bin")), place)
     order = Window.partitionBy(*place).orderBy("start", "end")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.col("__new") == 1
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = rows.withColumn("__before", before).withColumn("__new", F.when(F.col("__before").isNull() | _apart(F.col("start"), F.col("__before"), touching), 1).otherwise(0))
-    numbered = flagged.withColumn("__number", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    local = written(numbered.groupBy(*place, "__number").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("__n")), "islands")
-    local = local.withColumn("__id", F.col("__bin") * (1 << 32) + F.col("__number")).drop("__number")
+    numbered = flagged.withColumns({"__number": F.sum("__new").over(so_far), "__at": F.row_number().over(order), "__next": F.lead("__new").over(order)})
+    known = numbered.withColumns({
+        "__island": F.max(F.struct("__number", "end")).over(so_far),
+        "__start": F.last(F.when(new, F.col("start")), ignorenulls=True).over(so_far),
+        "__from": F.max(F.when(new, F.col("__at"))).over(so_far),
+        "__least": F.first("start").over(so_far),
+    }).filter("__next is null or __next = 1")
+    last = F.col("__next").isNull()
+    local = known.select(
+        *keys, "__bin", F.col("__start").alias("start"), F.col("__island.end").alias("end"), (F.col("__at") - F.col("__from") + 1).cast("bigint").alias("__n"),
+        (F.col("__bin") * (1 << 32) + F.col("__number")).alias("__id"), last.alias("__last"), F.when(last, F.greatest("__before", "end")).alias("__top"), F.when(last, F.col("__least")).alias("__least"),
+    )
+    local = written(local, "islands")
     earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    tops = local.groupBy(*place).agg(F.max("end").alias("__top")).select(*place, F.max("__top").over(earlier).alias("__reach"))
-    told = _with_bins(local, tops, place)
+    tops = local.filter("__last").select(*place, "__least", F.max("__top").over(earlier).alias("__reach"))
+    reached = written(tops.filter(~_apart(F.col("__least"), F.col("__reach"), touching)).drop("__least"), "reached")
+    told = _with_bins(local, reached, place, "left")
     over = F.coalesce(~_apart(F.col("start"), F.col("__reach"), touching) | (F.col("end") >= (F.col("__bin") + 1) * bin_width), F.col("end") >= (F.col("__bin") + 1) * bin_width, F.lit(False))
     whole = told.filter(~over).select(*keys, F.col("__id").alias("island"), "start", "end", F.col("__n").alias("n"))
     rest = _swept(told.filter(over).select(*keys, "start", "end", "__n", "__id"), keys, touching, bin_width, [F.min("__id").alias("__first")])

@@ -52,3 +52,25 @@ def test_a_dense_place_and_long_intervals_merge(spark):
         for width in (1000, 1 << 20):
             got = I.merge_intervals(spark.createDataFrame(rows, ROWS), touching=touching, bin_width=width)
             assert sorted([r.chrom, r.strand, r.start, r.end, r.n] for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("touching", [False])
+def test_islands_are_swept_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch, touching):
+    rows = [(c, s, e + k % 3, st, k) for c, s, e, st, k in some(3000, 4) if e - s < 200_000] + [("c1", 5, 3_300_000, "+", -1), ("c2", 70, 60, "-", -2), ("c2", 65, 66, "-", -3)]
+    want = []
+    for key in sorted({(r[0], r[3]) for r in rows}):
+        reach = None
+        for _, s, e, _, _ in sorted(r for r in rows if (r[0], r[3]) == key):
+            if reach is None or (s > reach if touching else s >= reach):
+                want.append([*key, s, e, 0])
+                reach = e
+            reach = max(e, reach)
+            want[-1][3:] = max(want[-1][3], e), want[-1][4] + 1
+    made, kept = {}, I.written
+    monkeypatch.setattr(I, "ROWS", 64, raising=False)
+    monkeypatch.setattr(I, "written", lambda df, name: made.setdefault(name, df) and kept(df, name))
+    got = I.merge_intervals(spark.createDataFrame(rows, ROWS), touching=touching)
+    assert sorted([r.chrom, r.strand, r.start, r.end, r.n] for r in got.collect()) == sorted(want) and len(want) > 100
+    # one sort and no table of islands in a task's memory, and as many tasks as the rows need
+    assert "Aggregate" not in made["islands"]._jdf.queryExecution().optimizedPlan().toString()
+    assert made["islands"].rdd.getNumPartitions() == len(rows) // 64 + 1
