@@ -54,7 +54,7 @@ def test_a_dense_place_and_long_intervals_merge(spark):
             assert sorted([r.chrom, r.strand, r.start, r.end, r.n] for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("touching", [False])
+@pytest.mark.parametrize("touching", [True, False])
 def test_islands_are_swept_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch, touching):
     rows = [(c, s, e + k % 3, st, k) for c, s, e, st, k in some(3000, 4) if e - s < 200_000] + [("c1", 5, 3_300_000, "+", -1), ("c2", 70, 60, "-", -2), ("c2", 65, 66, "-", -3)]
     want = []
