@@ -32,9 +32,18 @@ DEFAULTS = {"contig": "contig", "assembly": "assembly", "bases": "bases", "tile"
 TILES = "contig string, tile int, start bigint, end bigint, bases string, acgt bigint, gc bigint, donors bigint, acceptors bigint, stops bigint, assembly string"
 
 
+WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+#: ASCII but NUL, bases and white space.
+OTHER = "".join(c for c in map(chr, range(1, 128)) if c not in "ACGTacgt" + WHITE)
+
+
 def clean(text):
-    """Bases of a FASTA body: no white space, upper-cased, N for anything but A, C, G and T."""
-    return F.regexp_replace(F.translate(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), "acgt", "ACGT"), "[^ACGT]", "N")
+    """Bases of a FASTA body: no white space, upper-cased, N for anything but A, C, G and T.
+
+    One pass translates ASCII, so the pattern, which is slow where it matches, meets other characters only.
+    """
+    ascii = F.translate(text, "acgt" + OTHER + WHITE, "ACGT" + "N" * len(OTHER))
+    return F.regexp_replace(ascii, "[^ACGTN]", "N")
 
 
 def tiles(texts: DataFrame, conf: dict) -> DataFrame:
@@ -45,12 +54,14 @@ def tiles(texts: DataFrame, conf: dict) -> DataFrame:
     # a codon that begins in a tile goes up to two bases over its end, a dinucleotide one
     cut = genome_tiles(whole, size, overhang=2)
     own, pairs = F.substring("seq", 1, size), F.substring("seq", 1, size + 1)
+    known = F.replace(own, F.lit("N"), F.lit(""))
+    others = F.replace(F.replace(known, F.lit("G"), F.lit("")), F.lit("C"), F.lit(""))
     count = lambda text, words: F.regexp_count(text, F.lit("|".join(words))).cast("bigint")
     donors, acceptors = (sorted({m.split("/")[k] for m in MOTIF_SCORES if "/" in m}) for k in (0, 1))
     start = F.col("tile").cast("bigint") * size
     return cut.select(
         "chrom.contig", "tile", start.alias("start"), (start + F.length(own)).alias("end"), pairs.alias("bases"),
-        count(own, "ACGT").alias("acgt"), count(own, "GC").alias("gc"), count(pairs, donors).alias("donors"), count(pairs, acceptors).alias("acceptors"), count(F.col("seq"), STOP_CODONS).alias("stops"), "chrom.assembly",
+        F.length(known).cast("bigint").alias("acgt"), (F.length(known) - F.length(others)).cast("bigint").alias("gc"), count(pairs, donors).alias("donors"), count(pairs, acceptors).alias("acceptors"), count(F.col("seq"), STOP_CODONS).alias("stops"), "chrom.assembly",
     )
 
 

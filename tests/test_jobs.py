@@ -170,3 +170,20 @@ def test_contig_index_of_nothing(spark, tmp_path):
     spark.createDataFrame([("5", "t2t", None, 3)], CONTIGS).filter("contig = '6'").write.parquet(texts)
     assert contig_index.run(spark, texts, out) == {"texts": 0, "tiles": 0, "bases": 0}
     assert contig_index.read_index(spark, out).count() == 0
+
+
+def test_patterns_of_bases_meet_no_ascii(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from jobs.contig_index import clean
+
+    odd = ["".join(map(chr, range(1, 256))) * 2, "\0acgtnNRY*-\x1f\x7f", "A\u00a0C\u2028G\u3000T\U0001f600a", " \t\n\x0b\x0c\r", "", "acgt" * 50 + "xyz"]
+    want = [re.sub("[^ACGT]", "N", re.sub(r"[\x20\x09-\x0D]", "", t).translate(str.maketrans("acgt", "ACGT"))) for t in odd]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)] + [(len(odd), None)], "k int, t string")
+    cleaned = rows.select("k", clean(F.col("t")).alias("s"))
+    assert [r.s for r in sorted(cleaned.collect())] == [*want, None]
+    # a pattern that matches most of a text made the time of the job
+    patterns = re.findall(r"(\[\S+?\]), \w?, 1\)", cleaned._jdf.queryExecution().optimizedPlan().toString())
+    assert patterns and not [p for p in patterns if re.search(p, "ACGTN")], patterns
