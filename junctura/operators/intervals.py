@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..stages import written
@@ -70,10 +70,18 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = WIDTH, any_stra
     return a.join(b, on).filter(owned).select(*left.columns, *named.columns)
 
 
-def _dealt(rows: DataFrame, place: list[str]) -> DataFrame:
-    """Rows by place in partitions of some ROWS rows, where shuffle partitions would hold more, so that no task sorts more as the input grows."""
-    n = rows.count() // ROWS + 1
-    return rows.repartition(n, *place) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+def _parts(spark: SparkSession, n: int) -> int:
+    """Partitions of some ROWS rows at most for n rows, and enough for all cores."""
+    return max(n // ROWS + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def _dealt(rows: DataFrame, place: list[str], n: int | None = None) -> DataFrame:
+    """Rows by place in partitions of a bounded number of rows, so that no task sorts more as the input grows; `n` is how many there are at most, where known.
+
+    The number of partitions is given: adaptive execution would join shuffle partitions until few are left.
+    """
+    n = rows.count() if n is None else n
+    return rows if n < ROWS else rows.repartition(_parts(rows.sparkSession, n), *place)
 
 
 def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -83,6 +91,18 @@ def _with_bins(rows: DataFrame, bins: DataFrame, keys: list[str], how: str = "in
     return rows.join(named, on, how).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
+def _with_reached(islands: DataFrame, reached: DataFrame, place: list[str]) -> DataFrame:
+    """Islands with __reach where their bin is reached: bins that are few are broadcast, others meet the islands in partitions of a bounded number of rows."""
+    n = reached.count()
+    if n <= ROWS // 4:
+        return _with_bins(islands, F.broadcast(reached), place, "left")
+    parts = _parts(islands.sparkSession, islands.count() + n)
+    key = F.struct(*place)  # equal where nulls are
+    bins = reached.select(key.alias("__reached"), "__reach").repartition(parts, "__reached").hint("merge")
+    met = islands.withColumn("__place", key).repartition(parts, "__place")
+    return met.join(bins, F.col("__place") == F.col("__reached"), "left").drop("__place", "__reached")
+
+
 def _apart(start: Column, reach: Column, touching: bool) -> Column:
     return start > reach if touching else start >= reach
 
@@ -93,7 +113,8 @@ def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "str
     A running maximum of ends tells where an island begins.  Intervals are swept within bins of
     `bin_width` by start, so no task holds a chromosome, and the islands of a bin, taken from the
     same order by running figures, are written.  Most end within their bin and are reached by none
-    before it; bins that are reached are few and written, so only those islands are swept over bins.  None is for keys that have few intervals each, which are swept whole;
+    before it.  Of the others, those of a bin that earlier bins reach are one island, and one at
+    most goes over the bin's end, so two rows a bin are swept over bins.  None is for keys that have few intervals each, which are swept whole;
     `carry` adds aggregates, for which all intervals are swept over bins.  `island` is a number
     that rises with the place within a key.
     """
@@ -120,12 +141,16 @@ def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chrom", "str
     )
     local = written(local, "islands")
     earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    tops = local.filter("__last").select(*place, "__least", F.max("__top").over(earlier).alias("__reach"))
+    ends = local.filter("__last and __bin is not null")
+    bins = ends.count()
+    tops = _dealt(ends, [*keys], bins).select(*place, "__least", F.max("__top").over(earlier).alias("__reach"))
     reached = written(tops.filter(~_apart(F.col("__least"), F.col("__reach"), touching)).drop("__least"), "reached")
-    told = _with_bins(local, reached, place, "left")
-    over = F.coalesce(~_apart(F.col("start"), F.col("__reach"), touching) | (F.col("end") >= (F.col("__bin") + 1) * bin_width), F.col("end") >= (F.col("__bin") + 1) * bin_width, F.lit(False))
-    whole = told.filter(~over).select(*keys, F.col("__id").alias("island"), "start", "end", F.col("__n").alias("n"))
-    rest = _swept(told.filter(over).select(*keys, "start", "end", "__n", "__id"), keys, touching, bin_width, [F.min("__id").alias("__first")])
+    told = _with_reached(local, reached, place)
+    joins = F.coalesce(~_apart(F.col("start"), F.col("__reach"), touching), F.lit(False))
+    told = told.withColumns({"__joins": joins, "__leaves": F.coalesce(F.col("end") >= (F.col("__bin") + 1) * bin_width, F.lit(False))})
+    whole = told.filter("not (__joins or __leaves)").select(*keys, F.col("__id").alias("island"), "start", "end", F.col("__n").alias("n"))
+    few = told.filter("__joins or __leaves").groupBy(*place, "__joins").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("__n").alias("__n"), F.min("__id").alias("__id"))
+    rest = _swept(_dealt(few, [*keys], 2 * bins), keys, touching, None, [F.min("__id").alias("__first")])
     return whole.unionByName(rest.select(*keys, F.col("__first").alias("island"), "start", "end", "n"))
 
 

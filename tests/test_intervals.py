@@ -74,3 +74,68 @@ def test_islands_are_swept_in_tasks_of_a_bounded_number_of_rows(spark, monkeypat
     # one sort and no table of islands in a task's memory, and as many tasks as the rows need
     assert "Aggregate" not in made["islands"]._jdf.queryExecution().optimizedPlan().toString()
     assert made["islands"].rdd.getNumPartitions() == len(rows) // 64 + 1
+
+
+def _islands(rows, touching):
+    """(chrom, strand, start, end, n) by one sweep of a key's rows."""
+    want = []
+    for key in {(r[0], r[3]) for r in rows}:
+        reach = None
+        for _, s, e, _, _ in sorted((r for r in rows if (r[0], r[3]) == key), key=lambda r: r[1:3]):
+            if reach is None or (s > reach if touching else s >= reach):
+                want.append([*key, s, e, 0])
+                reach = e
+            reach = max(e, reach)
+            want[-1][3:] = max(want[-1][3], e), want[-1][4] + 1
+    return sorted(want, key=str)
+
+
+def _merged(rows):
+    return sorted(([r.chrom, r.strand, r.start, r.end, r.n] for r in rows.collect()), key=str)
+
+
+@pytest.mark.parametrize("touching", [True, False])
+def test_tasks_stay_bounded_where_shuffle_partitions_are_many(spark, monkeypatch, touching):
+    """Adaptive execution joins small shuffle partitions, so their number bounds nothing."""
+    rows = [("c1", 7000 * k, 7000 * k + (7000 if k % 3 else 300), "+-"[k % 2], k) for k in range(3000)]
+    made, kept = {}, I.written
+    monkeypatch.setattr(I, "ROWS", 64)
+    monkeypatch.setattr(I, "written", lambda df, name: made.setdefault(name, df) and kept(df, name))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = I.merge_intervals(spark.createDataFrame(rows, ROWS), touching=touching)
+        assert _merged(got) == _islands(rows, touching)
+        assert made["islands"].rdd.getNumPartitions() == len(rows) // 64 + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("touching", [True, False])
+def test_many_reached_bins_meet_the_islands_in_bounded_partitions(spark, monkeypatch, touching):
+    """An interval goes over or up to the end of each bin; keys may be null."""
+    rows = [(c, 1000 * k + d, 1000 * k + d + n, "+", k) for c in ("c1", None) for k in range(60) for d, n in ((0, 50), (40, 60), (200, 100), (300, 7), (900, 90 + k % 3 * 10 + k % 7))]
+    joined, told = [], I._with_reached
+    monkeypatch.setattr(I, "ROWS", 32)
+    monkeypatch.setattr(I, "_with_reached", lambda *a: joined.append(told(*a)) or joined[-1])
+    got = I.merge_intervals(spark.createDataFrame(rows, ROWS), touching=touching, bin_width=1000)
+    assert _merged(got) == _islands(rows, touching) and len(got.collect()) > 200
+    plan = joined[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 2
+    assert joined[0].rdd.getNumPartitions() >= joined[0].count() // 32
+
+
+@pytest.mark.parametrize("touching", [True, False])
+def test_islands_under_a_long_interval_are_one_row_a_bin(spark, monkeypatch, touching):
+    rows = [("c1", 5, 47_500, "+", -1), ("c1", 5, 9, None, -3), (None, 5, 5_000, "+", -4)] + [(c, 20 * k, 20 * k + 8, "+", k) for c in ("c1", None) for k in range(3000)]
+    seen, swept = [], I._swept
+    monkeypatch.setattr(I, "_swept", lambda df, *a: seen.append(df.count()) or swept(df, *a))
+    got = I.merge_intervals(spark.createDataFrame(rows, ROWS), touching=touching, bin_width=1000)
+    assert _merged(got) == _islands(rows, touching)
+    # of 3,000 islands under long intervals, at most two a bin are swept over bins
+    assert seen[0] <= 2 * (48 + 6)
+
+
+def test_rows_without_a_start_reach_nothing(spark):
+    rows = [("c1", 20 * k, 20 * k + 8, "+", k) for k in range(200)]
+    got = I.merge_intervals(spark.createDataFrame([*rows, ("c1", None, 3_000, "+", -1)], ROWS), bin_width=1000)
+    assert _merged(got.filter("start is not null")) == _islands(rows, True)
