@@ -33,6 +33,20 @@ def test_exclusive_pairs_are_made_last(spark):
     assert "Join" not in above and "Aggregate" not in above
 
 
+def test_exclusive_pairs_come_of_one_junction_at_a_time(spark):
+    own = {"a": range(60), "b": range(7)}
+    members = spark.createDataFrame([(m, k) for m, ks in own.items() for k in ks], "module_id string, j_idx bigint")
+    # junction 0 has more neighbours in a block than are looked through, the others few or none
+    linked = {("a", 0, k) for k in range(1, 55)} | {("a", k, k + 1) for k in range(1, 59, 3)} | {("b", 2, 5)}
+    edges = spark.createDataFrame([(*e, 1) for e in linked], "module_id string, i bigint, j bigint, n bigint")
+    want = sorted((m, i, j) for m, ks in own.items() for i, j in combinations(ks, 2) if (m, i, j) not in linked)
+    for block in (5, 1000):
+        assert sorted(tuple(r) for r in G.exclusive_pairs(members, edges, block).collect()) == want
+    # a stage puts out all pairs of its input row at once: rows are made of blocks before the exchange, not beside the pairs
+    stage = G.exclusive_pairs(members, edges)._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert stage.count("Generate explode") == 1
+
+
 def test_reads_of_one_place_meet_exons_of_one_place_once(spark):
     rows = [(k % 2, f"q{k}", 0, "chr1", 100 + k % 3, 30, "40M50N10M", 1 + k % 2, None) for k in range(600)]
     reads = spark.createDataFrame([*rows, (0, "long", 0, "chr1", 100, 30, "3000M", None, None)], R.READS)
